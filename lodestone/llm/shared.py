@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles, so that temporary arrays stay small.
 CHUNK_BYTES = 1 << 20
+#: Rows of one label in a sample; up to this number Spark ranks within each task before it shuffles.
+MOST_PER_LABEL = 1000
 #: The bytes that part words: space and \x09-\x0D.
 IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -41,14 +43,12 @@ def labelled_sample(labelled: DataFrame, docs: DataFrame, label: str, text: str,
     """At most max_rows (text, label) pairs for fitting a model, dealt evenly over the labels.
 
     Keys are chosen from key and label alone, in the order of the key's hash, and every labelled row is a
-    candidate; only then are the texts of the chosen keys read. Null labels and texts are left out. Rows that
+    candidate (no label gives more than MOST_PER_LABEL rows); only then are the texts of the chosen keys read. Null labels and texts are left out. Rows that
     repeat a key count as one label; a key with two labels may give either.
     """
-    from pyspark.sql import Window
-
     usable = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).join(docs.select(key), key, "left_semi")
     ranked = usable.withColumn("_h", F.xxhash64(key)).withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
-    chosen = dict(ranked.where(F.col("_n") <= max_rows).orderBy("_n", "_h", key, label).limit(max_rows).select(key, label).collect())
+    chosen = dict(ranked.where(F.col("_n") <= min(max_rows, MOST_PER_LABEL)).orderBy("_n", "_h", key, label).limit(max_rows).select(key, label).collect())
     if not chosen:
         return []
     found = docs.where(F.col(key).isin(list(chosen)) & F.col(text).isNotNull()).select(key, text).limit(2 * max_rows).collect()
