@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, quality_rules
+from lodestone.llm import language_id, packing, quality_rules, simhash
 from lodestone.llm.shared import work_folder
 
 #: A text whose best language has less than this probability is rejected.
@@ -27,9 +28,22 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model).where("kept").select(*docs.columns)
 
 
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup (6): of each group of linked documents the one with the smallest doc_id stays."""
+    return simhash.keep_first(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing (5): the pieces of all documents that are left, in sequences of 2048 tokens."""
+    pieces = packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identified),
     ("quality_rules", of_quality),
+    ("simhash_dedup", without_near_duplicates),
+    ("packing", packed),
 ]
 
 #: The stages apply trained models and hashes that SQL lacks; tests hold them against brute force.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, fingerprints, language_id, quality_classifier, quality_rules, simhash, warc
+from lodestone.llm import byte_bpe, chat_format, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, warc
 from lodestone.llm.shared import crc_mod
 
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's perspective."""
+    return chat_format.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows whose crc32 modulo 4 is 2 take no part in the fit."""
     docs = table(spark, sf_dir, "documents")
@@ -31,6 +36,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model).drop("text")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,8 +81,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_perspectives": op1_chat_perspectives,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_license_scan": op4_license_scan,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
@@ -75,6 +94,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_perspectives": """
+        WITH s AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS s, coalesce(text, '') AS content FROM conversations),
+        c AS (SELECT DISTINCT conv_id, s AS perspective FROM s WHERE s <> 'system'),
+        m AS (SELECT s.conv_id, perspective, turn, s,
+                     CASE WHEN s = 'system' THEN 'system' WHEN s = perspective THEN 'assistant' ELSE 'user' END AS role,
+                     CASE WHEN s <> 'system' AND s <> perspective THEN s END AS name, content,
+                     CASE WHEN s <> 'system' AND s = perspective THEN 1 ELSE 0 END AS mask
+              FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
+        r AS (SELECT *, '<|' || concat_ws(' ', role, name) || '|>' || chr(10) || content || '<|end|>' || chr(10) AS rendered FROM m)
+        SELECT conv_id, perspective, turn, role, name, content, rendered, CAST(mask AS INTEGER) AS mask,
+               CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, s, content
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+               CAST(length(rendered) AS BIGINT) AS length
+        FROM r
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),

@@ -162,3 +162,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bl
 def hex_digits(column: str) -> Column:
     """A signed long as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one document of each component: that with the smallest key. All columns stay.
+
+    Rows that repeat key and text count as one document. Documents with a null key stay only where their component
+    has no other key.
+    """
+    found = near_duplicates(docs, text, key)
+    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
+    return docs.join(first, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key, text])
