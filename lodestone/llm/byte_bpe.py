@@ -15,6 +15,7 @@ import base64
 import codecs
 import gc
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of what a worker keeps; at a bound it forgets all and starts anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 250_000, 200_000, 500_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 250_000, 150_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +43,7 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.openings = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.sorted = sorted(ranks)
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.pairs: dict[int, bool] = {}
         self._forget()
@@ -50,6 +52,8 @@ class Transducer:
         self.numbers: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.alike: dict[tuple, int] = {}
+        self.over: dict[tuple[bytes, bytes], list[int]] = {}
         self._state(b"", [(-1, -1)], [0])
 
     def _edges(self, token: int) -> tuple[list, list] | None:
@@ -139,9 +143,38 @@ class Transducer:
         if base:
             sent, last = self._way(last, base), [(last[base][0], -1), *((t, s - base) if s >= base else (-1, -1) for t, s in last[base + 1 :])]
             since, still = since[base:], [i - base for i in still]
+        if since and last[0][0] >= 0:
+            last[0] = (self._stands_for(last[0][0], since), -1)
         move = self.moves[state << 8 | byte] = (self._state(since, last, still), sent)
         return move
 
+    def _stands_for(self, token: int, since: bytes) -> int:
+        """A token that bars the same tokens from following among those that agree with the bytes `since`; -1 if it bars none.
+
+        What a token bars depends on the merges over the border that come before its edge parts end.
+        """
+        early = []
+        for x, ends in self._edges(token)[0]:
+            over = self.over.get((x, since))
+            if over is None:
+                if len(self.over) >= MAX_PAIRS:
+                    self.over.clear()
+                over = self.over[x, since] = self._merges_over(x, since)
+            if over and (n := bisect_left(over, ends)):
+                early.append((x, n))
+        return self.alike.setdefault((since, tuple(early)), token) if early else -1
+
+    def _merges_over(self, x: bytes, since: bytes) -> list[int]:
+        """The sorted ranks of x with a first part of `since`, or with something that starts with it."""
+        whole = x + since
+        found = [self.ranks[whole[:k]] for k in range(len(x) + 1, len(whole)) if whole[:k] in self.ranks]
+        if whole in self.ranks or whole in self.openings:
+            at = bisect_left(self.sorted, whole)
+            while at < len(self.sorted) and self.sorted[at].startswith(whole):
+                found.append(self.ranks[self.sorted[at]])
+                at += 1
+        return sorted(found)
+
     @staticmethod
     def _way(last: list[tuple[int, int]], end: int) -> tuple[int, ...]:
         """The tokens up to the byte `end`."""
@@ -243,28 +276,43 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return kept.mapInArrow(run, schema)
 
 
-def decode_stream(blocks: Iterable[Iterable[int]], tokens: dict[int, bytes]) -> Iterator[str]:
-    """Text of blocks of ids as they come. Bytes of a character not yet complete wait for the next block."""
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    for block in blocks:
-        yield machine.decode(b"".join(map(tokens.__getitem__, block)))
-    yield machine.decode(b"", final=True)
+class Decoder:
+    """The bytes of ids, as one array from which numpy gathers, and a UTF-8 state machine over them."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        self.lengths = np.zeros(max(tokens, default=0) + 1, np.int64)
+        for i, token in tokens.items():
+            self.lengths[i] = len(token)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.all = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.all[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+    def stream(self, blocks: Iterable[np.ndarray]) -> Iterator[str]:
+        """Text of blocks of ids as they come. Bytes of a character not yet complete wait for the next block."""
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        for ids in blocks:
+            yield machine.decode(self.raw(ids))
+        yield machine.decode(b"", final=True)
 
 
-def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded", block: int = 4096) -> DataFrame:
+def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded", block: int = 65536) -> DataFrame:
     """coded with the text that its ids stand for instead of the ids; null ids give an empty text."""
     kept = coded.select(*[F.col(f"`{c}`") for c in coded.columns if c.lower() not in (text.lower(), ids.lower())], F.col(ids).alias("_ids"))
     schema = T.StructType([*kept.drop("_ids").schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, ".").pieces.transducer.tokens if (path, ".") in _encoders else {i: t for t, i in read_ranks(path).items()}
+        own = Decoder({i: t for t, i in read_ranks(path).items()})
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = []
                 for row in part.column(part.num_columns - 1):
-                    flat = row.values.to_pylist() if row.is_valid else []
-                    texts.append("".join(decode_stream((flat[i : i + block] for i in range(0, len(flat), block)), tokens)))
+                    flat = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int32)
+                    texts.append("".join(own.stream(flat[i : i + block] for i in range(0, len(flat), block))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], schema=pa.schema([*list(part.schema)[:-1], pa.field(text, pa.string(), False)]))
 
     return kept.mapInArrow(run, schema)
