@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 4
 #: Where neighbours by key are met: rows of a range of keys, quantiles that part the keys, and the most ranges.
 RANGE_ROWS, QUANTILES, MOST_RANGES = 4000, 256, 16384
 

@@ -26,6 +26,8 @@ from lodestone.llm.shared import work_folder
 MIN_REVISIT_BYTES = 100
 #: Ranges of selected records that are this near are read together, up to so many bytes at once.
 MAX_GAP, MAX_READ = 64 << 10, 8 << 20
+#: Bytes of records that one task reads.
+TASK_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "key long, archive string, offset long, length long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
 RECORD = "key long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -149,7 +151,9 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     A response's digest and size are taken from the payload that was read, and a payload that does not have the
     digest of its header ends the job; a revisit has those of its header and a null payload.
     """
-    sorted_rows = index.select("folder", "archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    held = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-held // TASK_BYTES))  # index rows are small, what they stand for is not
+    sorted_rows = index.select("folder", "archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, opened, source = None, None, None
