@@ -203,3 +203,353 @@ def search_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice under a budget, for each of twenty groups."""
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("g"), "o_orderkey", (F.octet_length("o_orderpriority") * 7 + F.col("o_orderkey") % 90).cast("long").alias("cost"))
     return budget.choose(rows, ["o_orderkey"], "cost", 900, 40, group=["g"]).select("g", "o_orderkey")
+
+
+# Read
+
+
+@query("read_slice", f"WITH {_FILES}, {_LINES}, c AS (SELECT path, string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no BETWEEN 2 AND 4) AS s, max(line_no) AS n, max(content) AS content FROM l GROUP BY 1) SELECT path, sha256(coalesce(s || CASE WHEN n > 4 OR content LIKE '%' || chr(10) THEN chr(10) ELSE '' END, '')) AS slice_sha256, CAST(n AS INTEGER) AS total_lines, CAST(least(4, n) AS INTEGER) AS last_line FROM c")
+def read_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.slice_lines(files(spark, sf_dir).where("content <> ''"), 2, 3).select("path", F.sha2("slice", 256).alias("slice_sha256"), "total_lines", F.least(F.lit(4), "last_line").alias("last_line"))
+
+
+@query("read_tail", f"WITH {_FILES}, {_LINES}, n AS (SELECT path, max(line_no) AS n, max(content) AS content FROM l GROUP BY 1), c AS (SELECT l.path, string_agg(line, chr(10) ORDER BY line_no) AS s, min(line_no) AS a, max(n.content) AS content FROM l JOIN n ON l.path = n.path WHERE line_no > n - 2 GROUP BY 1) SELECT path, sha256(s || CASE WHEN content LIKE '%' || chr(10) THEN chr(10) ELSE '' END) AS slice_sha256, CAST(a AS INTEGER) AS first_line FROM c")
+def read_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.slice_lines(files(spark, sf_dir).where("content <> ''"), -2).select("path", F.sha2("slice", 256).alias("slice_sha256"), "first_line")
+
+
+@query("read_batch", f"WITH {_FILES}, r AS (SELECT CAST(page_id AS INTEGER) AS request_idx, 'src' || page_id % 20 || '/en/' || page_id || '.txt' AS path FROM pages), k AS (SELECT 200000 // count(*) AS share FROM r) SELECT request_idx, r.path, f.path IS NOT NULL AS found, left(content, CAST(share AS INTEGER)) AS text, CAST(coalesce(greatest(length(content) - share, 0), 0) AS BIGINT) AS omitted, coalesce(length(content) > share, false) AS truncated FROM r CROSS JOIN k LEFT JOIN f ON r.path = f.path")
+def read_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "pages").select(F.col("page_id").cast("int").alias("request_idx"), F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string"), F.lit("/en/"), F.col("page_id").cast("string"), F.lit(".txt")).alias("path"))
+    return read.read_batch(asked, files(spark, sf_dir), 200_000)
+
+
+# Trees
+
+_PREFIXES = "x AS (SELECT DISTINCT path, unnest(generate_series(0, len(string_split(path, '/')))) AS depth FROM p WHERE path <> ''), y AS (SELECT path, depth, array_to_string(list_slice(string_split(path, '/'), 1, depth), '/') AS prefix, depth = len(string_split(path, '/')) AS leaf FROM x)"
+_ROLLUP = f"{_PAGES}, {_PREFIXES}, a AS (SELECT prefix, depth, count(*) AS file_count, bool_or(leaf) AS is_leaf FROM y GROUP BY 1, 2), ds AS (SELECT prefix FROM a WHERE NOT is_leaf AND depth > 0), dc AS (SELECT a.prefix, count(*) AS dir_count FROM a JOIN ds ON ds.prefix <> a.prefix AND (a.prefix = '' OR starts_with(ds.prefix, a.prefix || '/')) GROUP BY 1), t AS (SELECT a.prefix, CAST(depth AS INTEGER) AS depth, CASE WHEN is_leaf THEN 'file' ELSE 'dir' END AS kind, file_count, coalesce(dir_count, 0) AS dir_count FROM a LEFT JOIN dc ON a.prefix = dc.prefix)"
+
+
+@query("tree_rollup", f"WITH {_ROLLUP} SELECT * FROM t")
+def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.rollup(page_paths(spark, sf_dir))
+
+
+@query("tree_depth", f"WITH {_PAGES} SELECT CAST(max(len(string_split(path, '/'))) AS INTEGER) AS max_depth FROM p")
+def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.max_depth(page_paths(spark, sf_dir))
+
+
+@query("tree_anchors", f"WITH {_ROLLUP}, s AS (SELECT DISTINCT path FROM p WHERE path LIKE '%/en/1%'), m AS (SELECT prefix FROM t WHERE depth > 0 AND (prefix IN (SELECT path FROM s) OR (kind = 'dir' AND depth = 1))) SELECT t.prefix, t.prefix IN (SELECT path FROM s) AS selected, t.kind = 'dir' AND t.depth = 1 AS heuristic_anchor, EXISTS (SELECT 1 FROM m WHERE m.prefix <> t.prefix AND (t.prefix = '' OR starts_with(m.prefix, t.prefix || '/'))) AS anchor_descendant FROM t")
+def tree_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = page_paths(spark, sf_dir)
+    return tree.anchors(tree.rollup(paths), paths.where(F.col("path").rlike("/en/1"))).select("prefix", "selected", "heuristic_anchor", "anchor_descendant")
+
+
+@query("tree_render")
+def tree_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered tree of all page paths within 2,000 tokens, a row for each line."""
+    paths = page_paths(spark, sf_dir)
+    shown = tree.render(tree.anchors(tree.rollup(paths), paths.where(F.col("path").rlike("/en/1\\d?$"))), max_tokens=2000)
+    return spark.range(1).select(F.posexplode(F.split(F.lit(shown["tree"]), "\n")).alias("line_no", "line"))
+
+
+# Structure: a small code base made of suppliers, each a class that refers to another one's
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    other = F.floor(F.col("s_suppkey") / 2).cast("string")
+    py = F.concat(F.lit("import os\nLIMIT = "), k, F.lit("\nclass Supplier"), k, F.lit("(Supplier"), other, F.lit("):\n    def name(self):\n        return os.name\n\ndef make"), k, F.lit("() -> Supplier"), other, F.lit(":\n    return None\n"))
+    ts = F.concat(F.lit("import { x } from './x';\nexport class Supplier"), k, F.lit(" extends Supplier"), other, F.lit(" {\n  name(): string {\n    return 'n';\n  }\n}\nexport function make"), k, F.lit("(): Supplier"), other, F.lit(" {\n  return null;\n}\n"))
+    is_py = F.col("s_suppkey") % 2 == 0
+    path = F.concat(F.lit("src/supplier"), k, F.when(is_py, F.lit(".py")).otherwise(F.lit(".ts")))
+    return table(spark, sf_dir, "supplier").select(path.alias("path"), F.when(is_py, py).otherwise(ts).alias("content"))
+
+
+_SUPPLIERS = "s AS (SELECT CAST(s_suppkey AS BIGINT) AS k, 'src/supplier' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.ts' END AS path FROM supplier)"
+
+
+@query(
+    "codemap_extract",
+    f"""WITH {_SUPPLIERS} SELECT path, 1 AS line_no, 'import' AS kind, CASE WHEN k % 2 = 0 THEN 'import os' ELSE '''./x''' END AS name, NULL AS container FROM s
+    UNION ALL SELECT path, 2, 'var', 'LIMIT', NULL FROM s WHERE k % 2 = 0
+    UNION ALL SELECT path, CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END, 'class', 'Supplier' || k, NULL FROM s
+    UNION ALL SELECT path, CASE WHEN k % 2 = 0 THEN 4 ELSE 3 END, 'method', 'name', 'Supplier' || k FROM s
+    UNION ALL SELECT path, 7, 'function', 'make' || k, NULL FROM s""",
+)
+def codemap_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.symbols(_code(spark, sf_dir)).select("path", "line_no", "kind", "name", "container")
+
+
+@query("codemap_text")
+def codemap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.codemaps(structure.symbols(_code(spark, sf_dir)))
+
+
+@query("type_index", f"WITH {_SUPPLIERS} SELECT 'Supplier' || k AS type_name, path FROM s")
+def type_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.type_index(structure.symbols(_code(spark, sf_dir)))
+
+
+@query("type_references", f"WITH {_SUPPLIERS} SELECT path, 'Supplier' || (k // 2) AS type_name FROM s WHERE k // 2 <> k UNION SELECT path, 'LIMIT' FROM s WHERE k % 2 = 0")
+def type_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.references(structure.symbols(_code(spark, sf_dir)))
+
+
+@query("auto_closure", f"WITH {_SUPPLIERS}, c AS (SELECT * FROM s WHERE k % 3 = 0) SELECT DISTINCT 'one' AS session_id, d.path FROM c JOIN s d ON d.k = c.k // 2 WHERE d.path NOT IN (SELECT path FROM c)")
+def auto_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = _code(spark, sf_dir)
+    found = structure.symbols(code)
+    explicit = code.where(F.regexp_extract("path", "(\\d+)", 1).cast("int") % 3 == 0).select(F.lit("one").alias("session_id"), "path", F.lit("full").alias("mode"))
+    return selection.closure(explicit, structure.references(found), structure.type_index(found))
+
+
+@query(
+    "structure_budget",
+    f"""WITH {_FILES}, t AS (SELECT path, {_TOKENS.format("content")} AS cost FROM f WHERE path LIKE 'src1/%'), a AS (SELECT list({{'path': path, 'cost': cost, 'n': 0, 'used': 0::BIGINT, 'kept': []::VARCHAR[]}} ORDER BY path) AS xs FROM (SELECT * FROM t ORDER BY path LIMIT 10)),
+    r AS (SELECT list_reduce(list_prepend({{'path': '', 'cost': 0::BIGINT, 'n': 0, 'used': 0::BIGINT, 'kept': []::VARCHAR[]}}, xs), lambda s, x: CASE WHEN s.n = 0 OR s.used + x.cost <= 3000 THEN {{'path': '', 'cost': 0::BIGINT, 'n': s.n + 1, 'used': s.used + x.cost, 'kept': list_append(s.kept, x.path)}} ELSE s END) AS s FROM a)
+    SELECT unnest(s.kept) AS path FROM r""",
+)
+def structure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten files of a folder as far as 3,000 tokens go; the first is always taken."""
+    return structure.structures(files(spark, sf_dir).select("path", F.col("content").alias("text")), ["src1"], 10, 3000).select("path")
+
+
+# Intervals and selection
+
+_RANGES = "r AS (SELECT l_orderkey AS key, CAST(l_linenumber * 20 AS BIGINT) AS a, CAST(l_linenumber * 20 + l_quantity AS BIGINT) AS b FROM lineitem)"
+
+
+@query("interval_union", f"WITH {_RANGES}, o AS (SELECT *, max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r), i AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM o) SELECT key, min(a) AS start, max(b) AS \"end\" FROM i GROUP BY key, n")
+def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.normalise(ranges(spark, sf_dir), "key")
+
+
+@query(
+    "interval_difference",
+    """WITH w AS (SELECT l_orderkey AS key, CAST(min(l_linenumber) * 20 AS BIGINT) AS a, CAST(max(l_linenumber) * 20 + 30 AS BIGINT) AS b FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1),
+    c AS (SELECT l_orderkey AS key, CAST(l_linenumber * 20 + 5 AS BIGINT) AS a, CAST(l_linenumber * 20 + 5 + l_quantity % 12 AS BIGINT) AS b FROM lineitem WHERE l_orderkey % 4 = 0),
+    p AS (SELECT key, unnest(generate_series(a, b)) AS x FROM w), q AS (SELECT DISTINCT key, unnest(generate_series(a, b)) AS x FROM c), d AS (SELECT p.key, p.x FROM p ANTI JOIN q ON p.key = q.key AND p.x = q.x),
+    i AS (SELECT key, x, x - row_number() OVER (PARTITION BY key ORDER BY x) AS g FROM d) SELECT key, min(x) AS start, max(x) AS "end" FROM i GROUP BY key, g""",
+)
+def interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    whole = items.groupBy(F.col("l_orderkey").alias("key")).agg((F.min("l_linenumber") * 20).cast("long").alias("start"), (F.max("l_linenumber") * 20 + 30).cast("long").alias("end"))
+    cut = items.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 20 + 5).cast("long").alias("start"), (F.col("l_linenumber") * 20 + 5 + F.col("l_quantity").cast("long") % 12).alias("end"))
+    return intervals.subtract(whole, cut, "key")
+
+
+_SELECTED = "e AS (SELECT coalesce(lang, 'und') AS session_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), d.doc_id || '.txt') AS path, CASE WHEN toxic = 1 THEN 'codemap' WHEN quality = 1 THEN 'full' END AS mode, coalesce(text, '') AS content FROM documents d JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 1)"
+
+
+@query("selection_totals", f"WITH {_SELECTED}, t AS (SELECT *, CASE WHEN mode = 'full' THEN {_TOKENS.format('content')} ELSE 0 END AS n FROM e) SELECT session_id, count(*) AS files, count(*) FILTER (mode = 'full') AS full_files, count(*) FILTER (mode = 'codemap') AS codemap_files, CAST(sum(n) AS BIGINT) AS full_tokens, CAST(sum(n) AS BIGINT) AS total_tokens FROM t GROUP BY 1")
+def selection_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.totals(selection.measured(selected(spark, sf_dir), files(spark, sf_dir))).select("session_id", "files", "full_files", "codemap_files", "full_tokens", "total_tokens")
+
+
+@query("selection_upsert", f"WITH {_SELECTED}, u AS (SELECT session_id, path, 'codemap' AS mode FROM e WHERE path LIKE '%5.txt'), m AS (SELECT session_id, path, mode FROM u UNION ALL SELECT session_id, path, mode FROM e WHERE path NOT LIKE '%5.txt') SELECT session_id, path, mode FROM m")
+def selection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir)
+    before = selection.measured(selected(spark, sf_dir), rows)
+    update = selected(spark, sf_dir).where(F.col("path").endswith("5.txt")).withColumn("mode", F.lit("codemap"))
+    return selection.add(before, update, rows).select("session_id", "path", "mode")
+
+
+@query("selection_slices", f"WITH {_SELECTED} SELECT session_id, path, 'slices' AS mode, 1 AS start, CAST(least(4, len(string_split(content, chr(10))) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END) AS INTEGER) AS \"end\" FROM e WHERE mode = 'full' AND content <> ''")
+def selection_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping and reversed ranges added one after the other meet in one range."""
+    rows = files(spark, sf_dir)
+    chosen = selected(spark, sf_dir).where("mode = 'full'").withColumn("mode", F.lit("slices"))
+    part = lambda a, b: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(None).cast("string").alias("description")))
+    first = selection.measured(chosen.withColumn("slices", part(2, 1)), rows)
+    both = selection.add(first, chosen.withColumn("slices", part(3, 4)), rows)
+    return both.select("session_id", "path", "mode", F.inline("slices")).drop("description")
+
+
+@query("selection_remove", f"WITH {_SELECTED} SELECT session_id, path, mode FROM e WHERE NOT (path LIKE '%2.txt')")
+def selection_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir)
+    before = selection.measured(selected(spark, sf_dir), rows)
+    return selection.remove(before, selected(spark, sf_dir).where(F.col("path").endswith("2.txt")), rows).select("session_id", "path", "mode")
+
+
+@query("selection_invalidate", f"WITH {_SELECTED} SELECT session_id, path, CASE WHEN mode = 'full' AND path NOT LIKE '%3.txt' AND content <> '' THEN 'slices' WHEN mode = 'full' THEN 'full' ELSE mode END AS mode, mode = 'full' AND path LIKE '%3.txt' AS slices_invalidated FROM e")
+def selection_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of files that have changed since turn to whole files."""
+    rows = files(spark, sf_dir)
+    part = F.array(F.struct(F.lit(1).alias("start"), F.lit(1).alias("end"), F.lit(None).cast("string").alias("description")))
+    chosen = selected(spark, sf_dir)
+    chosen = chosen.withColumn("slices", F.when(F.col("mode") == "full", part).otherwise(F.col("slices"))).withColumn("mode", F.when(F.col("mode") == "full", F.lit("slices")).otherwise(F.col("mode")))
+    before = selection.measured(chosen, rows)
+    now = rows.withColumn("content", F.when(F.col("path").endswith("3.txt"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return selection.invalidate(before, now).select("session_id", "path", "mode", "slices_invalidated")
+
+
+# Packaging
+
+
+@query("intent_detect", "SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), 'review mode|code review|review (changes|the changes|the diff|the pr|this pr|pull request|my changes|my pr)|git diff|pull request|pr review|compare (branch|main|master)') OR role = 'review' AS review FROM conversations")
+def intent_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", packaging.review_intent(F.col("role"), F.col("text")).alias("review"))
+
+
+@query("preset_resolve", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'plan' WHEN event_type = 'error' THEN 'review' ELSE 'standard' END AS preset FROM events")
+def preset_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", F.lit("plan")).when(F.col("event_type") == "error", F.lit("review")).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", packaging.preset(F.lit(None).cast("string"), kind, F.col("props"), ["standard", "plan", "review", "diff-followup", "mvp"]).alias("preset"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = files(spark, sf_dir)
+    entries = selection.measured(selected(spark, sf_dir).where(F.col("path").rlike("[05]\\.txt$")), rows)
+    contents = packaging.joined_blocks(packaging.file_blocks(entries, rows)).withColumn("section", F.lit("file_contents"))
+    prompts = entries.select("session_id").distinct().select("session_id", F.lit("user_instructions").alias("section"), F.lit("Explain.").alias("text"))
+    return entries, contents.select("session_id", "section", "text").unionByName(prompts)
+
+
+_PACKED = f"""{_SELECTED}, b AS (SELECT session_id, string_agg('File: ' || path || chr(10) || '```txt' || chr(10) || rtrim(content, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '```', chr(10) || chr(10) ORDER BY path) AS t FROM e WHERE mode = 'full' AND regexp_matches(path, '[05][.]txt$') GROUP BY 1),
+    x AS (SELECT session_id, CASE WHEN t IS NULL THEN '' ELSE '<file_contents>' || chr(10) || t || chr(10) || '</file_contents>' || chr(10) || chr(10) END || '<user_instructions>' || chr(10) || 'Explain.' || chr(10) || '</user_instructions>' AS text FROM (SELECT DISTINCT session_id FROM e WHERE regexp_matches(path, '[05][.]txt$')) LEFT JOIN b USING (session_id))"""
+
+
+@query("payload_hash", f"WITH {_PACKED} SELECT session_id, sha256(text) AS content_sha256, {_TOKENS.format('text')} AS tokens FROM x")
+def payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packaging.payload(_packed(spark, sf_dir)[1]).select("session_id", "content_sha256", "tokens")
+
+
+@query("token_breakdown", f"WITH {_PACKED}, m AS (SELECT session_id, CAST(sum(CASE WHEN mode = 'full' THEN {_TOKENS.format('content')} ELSE 0 END) AS BIGINT) AS files_full FROM e WHERE regexp_matches(path, '[05][.]txt$') GROUP BY 1) SELECT session_id, files_full, 3 AS instructions, {_TOKENS.format('text')} AS total FROM x JOIN m USING (session_id)")
+def token_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, sections = _packed(spark, sf_dir)
+    return packaging.breakdown(sections, entries, packaging.payload(sections)).select("session_id", "files_full", "instructions", "total")
+
+
+@query("receipt")
+def receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, sections = _packed(spark, sf_dir)
+    made = packaging.payload(sections)
+    return packaging.receipt(entries, made, packaging.breakdown(sections, entries, made), "standard", 160_000, "2024-01-01T00:00:00.000Z")
+
+
+# Edits
+
+
+@query("edit_occurrences", f"WITH {_FILES} SELECT path, CAST((length(content) - length(replace(content, ' the ', ''))) / 5 AS INTEGER) AS n FROM f")
+def edit_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("path", T.occurrences("content", " the ").alias("n"))
+
+
+_NORMAL = r"regexp_replace(substr(regexp_replace(regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), '^(public|private|internal|protected|static|final|override|export|async) ', ''), '[-=_*~]{4,}', '-', 'g'), 1, 150), '\s*(->|=>|:=|=|:)$', '')"
+
+
+@query("edit_normalize", f"WITH {_FILES}, {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line_no, {_NORMAL} AS normal FROM l")
+def edit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.line_table(files(spark, sf_dir)).select("path", "line_no", T.normalised_line("line").alias("normal"))
+
+
+@query("edit_overlap", f"WITH {_RANGES}, o AS (SELECT key, a, lag(b) OVER (PARTITION BY key ORDER BY a, b) AS before FROM r) SELECT key, bool_or(coalesce(a < before, false)) AS overlaps FROM o GROUP BY 1")
+def edit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("key").orderBy("start", "end")
+    clash = ranges(spark, sf_dir).withColumn("clash", F.coalesce(F.col("start") < F.lag("end").over(order), F.lit(False)))
+    return clash.groupBy("key").agg(F.bool_or("clash").alias("overlaps"))
+
+
+@query("edit_apply", f"WITH {_FILES} SELECT path, 'applied' AS status, sha256(replace(content, ' the ', ' THE ')) AS post_sha256 FROM f WHERE contains(content, ' the ')")
+def edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).where(F.contains("content", F.lit(" the ")))
+    wanted = rows.select("path", F.lit(0).alias("edit_index"), F.lit(" the ").alias("search"), F.lit(" THE ").alias("replace"), F.lit(True).alias("all"))
+    return edits.planned(rows, wanted).select("path", "status", "post_sha256")
+
+
+@query("edit_errors", f"WITH {_FILES}, n AS (SELECT path, (length(content) - length(replace(content, 'tion', ''))) // 4 AS n FROM f WHERE contains(content, 'tion')) SELECT path, CASE WHEN n > 1 THEN 'multiple_matches' END AS code FROM n")
+def edit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).where(F.contains("content", F.lit("tion")))
+    wanted = rows.select("path", F.lit(0).alias("edit_index"), F.lit("tion").alias("search"), F.lit("").alias("replace"), F.lit(False).alias("all"))
+    return edits.planned(rows, wanted).select("path", "error.code")
+
+
+@query(
+    "edit_fuzzy",
+    f"""WITH {_FILES}, {_LINES}, n AS (SELECT path, line_no, {_NORMAL} AS s FROM l WHERE line_no <= 3),
+    g AS (SELECT path, line_no, s, list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2)) AS x FROM n WHERE length(s) > 1), q AS (SELECT list_transform(generate_series(1, 16), lambda i: substr('the thing of ands', i, 2)) AS y),
+    c AS (SELECT path, line_no, len(x) AS a, len(y) AS b, list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda u: u = t)), len(list_filter(y, lambda u: u = t))))) AS shared FROM g, q)
+    SELECT path, CAST(line_no AS INTEGER) AS line_no, round(2.0 * shared / (a + b), 6) AS dice FROM c""",
+)
+def edit_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the first lines of all files are to a line that is looked for."""
+    rows = search.line_table(files(spark, sf_dir)).where("line_no <= 3").select("path", "line_no", T.normalised_line("line").alias("s"))
+    return rows.where(F.char_length("s") > 1).select("path", "line_no", F.round(T.multiset_dice(F.lit("the thing of ands"), F.col("s")), 6).alias("dice"))
+
+
+@query("diff_linewise", f"WITH {_FILES}, {_LINES}, b AS (SELECT path, list(line ORDER BY line_no) AS ls FROM l GROUP BY 1), c AS (SELECT path, ls, string_split(replace(array_to_string(ls, chr(10)), 'that', 'this'), chr(10)) AS rs FROM b) SELECT path, list_concat(list_transform(list_filter(ls, lambda x: NOT list_contains(rs, x)), lambda x: '-' || x), list_transform(list_filter(rs, lambda x: NOT list_contains(ls, x)), lambda x: '+' || x)) AS diff FROM c")
+def diff_linewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).where("content <> ''").select("path", edits.line_diff("content", F.replace("content", F.lit("that"), F.lit("this"))).alias("diff"))
+
+
+# Version control: records made of events
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+@query("status_parse", "SELECT 'f' || event_id || ' x.txt' AS path, CASE event_type WHEN 'click' THEN 'staged' WHEN 'purchase' THEN 'unstaged' WHEN 'error' THEN 'deleted' WHEN 'view' THEN 'untracked' END AS state FROM events WHERE event_type <> 'signup' UNION ALL SELECT 'f' || event_id || ' x.txt', 'staged' FROM events WHERE event_type = 'purchase'")
+def status_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcs.status_entries(_status_lines(spark, sf_dir)).select("path", "state")
+
+
+def _status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(" x.txt"))
+    xy = F.when(F.col("event_type") == "click", F.lit("M.")).when(F.col("event_type") == "purchase", F.lit("MM")).when(F.col("event_type") == "error", F.lit(".D"))
+    ordinary = F.concat(F.lit("1 "), xy, F.lit(" N... 100644 100644 100644 0000 0000 "), name)
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("? "), name)).when(F.col("event_type") == "signup", F.lit("# branch.head main")).otherwise(ordinary)
+    return _events(spark, sf_dir).select(F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+@query("status_totals", "WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), k AS (SELECT coalesce(sum(n) FILTER (event_type IN ('click', 'purchase')), 0) AS staged, coalesce(sum(n) FILTER (event_type = 'purchase'), 0) AS unstaged, coalesce(sum(n) FILTER (event_type = 'view'), 0) AS untracked, coalesce(sum(n) FILTER (event_type = 'error'), 0) AS deleted FROM c) SELECT 'staged' AS state, CAST(staged AS BIGINT) AS count FROM k UNION ALL SELECT 'unstaged', CAST(unstaged AS BIGINT) FROM k UNION ALL SELECT 'untracked', CAST(untracked AS BIGINT) FROM k UNION ALL SELECT 'deleted', CAST(deleted AS BIGINT) FROM k UNION ALL SELECT 'renamed', 0")
+def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcs.status_totals(vcs.status_entries(_status_lines(spark, sf_dir)))
+
+
+@query("diff_stats_join", "SELECT 'f' || event_id AS path, substr(upper(event_type), 1, 1) AS status, CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 0 ELSE user_id END AS insertions, CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 0 ELSE event_id % 11 END AS deletions, event_id % 3 <> 0 AND event_id % 7 = 0 AS \"binary\" FROM events")
+def diff_stats_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    name = F.concat(F.lit("f"), F.col("event_id").cast("string"))
+    binary = F.col("event_id") % 7 == 0
+    number = lambda c: F.when(binary, F.lit("-")).otherwise(c.cast("string"))
+    numstat = rows.where("event_id % 3 <> 0").select(F.concat_ws("\t", number(F.col("user_id")), number(F.col("event_id") % 11), name).alias("line"))
+    names = rows.select(F.concat_ws("\t", F.substring(F.upper("event_type"), 1, 1), name).alias("line"))
+    return vcs.diff_files(numstat, names).drop("old_path")
+
+
+@query("diff_totals", "SELECT count(*) AS files, CAST(sum(CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 0 ELSE user_id END) AS BIGINT) AS insertions, CAST(sum(CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 0 ELSE event_id % 11 END) AS BIGINT) AS deletions FROM events")
+def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcs.diff_totals(diff_stats_join(spark, sf_dir))
+
+
+@query("log_parse", "SELECT sha256(CAST(event_id AS VARCHAR)) AS sha, left(sha256(CAST(event_id AS VARCHAR)), 7) AS short_sha, 'u' || user_id AS author, strftime(ts, '%Y-%m-%d') AS date_iso, props AS subject FROM events")
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = F.sha2(F.col("event_id").cast("string"), 256)
+    line = F.concat_ws(vcs.UNIT, sha, F.substring(sha, 1, 7), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.date_format("ts", "yyyy-MM-dd"), "props")
+    return vcs.log_entries(_events(spark, sf_dir).select(line.alias("line")))
+
+
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id").cast("string")
+    lines = F.array(F.concat(F.lit("diff --git a/f"), k, F.lit(" b/f"), k), F.lit("--- a/f"), F.concat(F.lit("@@ -"), k, F.lit(",2 +"), (F.col("event_id") + 1).cast("string"), F.lit(",2 @@")), F.concat(F.lit("-"), "event_type"), F.concat(F.lit("+"), "props"), F.lit("@@ -90 +91 @@ more"), F.lit(" same"))
+    return _events(spark, sf_dir).select(F.floor(F.col("event_id") / 100).alias("patch_id"), F.col("event_id"), F.posexplode(lines).alias("n", "line")).select("patch_id", (F.col("event_id") * 10 + F.col("n")).alias("line_no"), "line")
+
+
+@query("patch_hunks", "SELECT 'f' || event_id AS path, 1 AS hunk_no, CAST(event_id AS INTEGER) AS old_start, CAST(event_id + 1 AS INTEGER) AS new_start, '@@ -' || event_id || ',2 +' || (event_id + 1) || ',2 @@' || chr(10) || '-' || event_type || chr(10) || '+' || props AS patch, 0 AS omitted_lines FROM events UNION ALL SELECT 'f' || event_id, 2, 90, 91, '@@ -90 +91 @@ more', 1 FROM events")
+def patch_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcs.patch_hunks(_patches(spark, sf_dir), max_lines=4, group="patch_id").select("path", "hunk_no", "old_start", "new_start", "patch", "omitted_lines")
+
+
+@query("blame_lines", "SELECT CAST(event_id AS INTEGER) AS line, left(sha256(CAST(user_id AS VARCHAR)), 8) AS sha_short, 'u' || user_id AS author, props AS content FROM events")
+def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 40)
+    first = F.row_number().over(Window.partitionBy(F.floor(F.col("event_id") / 100), "user_id").orderBy("event_id")) == 1
+    head = F.concat(sha, F.lit(" 1 "), F.col("event_id").cast("string"), F.lit(" 1"))
+    facts = F.when(F.col("first"), F.array(F.concat(F.lit("author u"), F.col("user_id").cast("string")), F.lit("author-time 1700000000"))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(head), facts, F.array(F.concat(F.lit("\t"), "props")))
+    rows = _events(spark, sf_dir).withColumn("first", first).select(F.floor(F.col("event_id") / 100).alias("file"), "event_id", F.posexplode(lines).alias("n", "line")).select("file", (F.col("event_id") * 10 + F.col("n")).alias("line_no"), "line")
+    return vcs.blame_lines(rows, group="file").select("line", "sha_short", "author", "content")
