@@ -104,7 +104,7 @@ ORACLES: dict[str, str] = {
               FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
         r AS (SELECT *, '<|' || concat_ws(' ', role, name) || '|>' || chr(10) || content || '<|end|>' || chr(10) AS rendered FROM m)
         SELECT conv_id, perspective, turn, role, name, content, rendered, CAST(mask AS INTEGER) AS mask,
-               CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, s, content
+               CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, s, left(sha256(content), 32)
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
                CAST(length(rendered) AS BIGINT) AS length
         FROM r
