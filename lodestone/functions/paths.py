@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import col
 
 # Directories that are never entered, lock files, and the language of each extension.
-HARD_IGNORED = [".git", ".hg", ".svn", ".rp-mini", "node_modules", "__pycache__", ".gradle", ".idea", ".cargo", "dist", "build", ".DS_Store"]
+HARD_IGNORED = [".git", ".hg", ".svn", ".lodestone", "node_modules", "__pycache__", ".gradle", ".idea", ".cargo", "dist", "build", ".DS_Store"]
 LOCK_FILES = ["pnpm-lock.yaml", "package-lock.json", "yarn.lock", "bun.lockb", "Cargo.lock", "Gemfile.lock", "Pipfile.lock", "poetry.lock", "composer.lock"]
 LANGUAGES = {
     "ts": "ts", "tsx": "tsx", "js": "js", "mjs": "js", "cjs": "js", "py": "py", "go": "go", "rs": "rust", "swift": "swift", "java": "java",

@@ -132,7 +132,7 @@ def levels(files: DataFrame) -> DataFrame:
     outer = F.coalesce(F.sum(wraps.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     indent = F.char_length(F.regexp_extract("line", r"^[ \t]*", 0))
     level = F.when(F.col("language").isin(INDENTED), F.when(indent == 0, 0).when(indent <= 4, 1).otherwise(2)).otherwise(opened - outer)
-    return cut.withColumn("level", level.cast("int")).withColumn("code", F.trim(F.regexp_replace("line", r"\s*(//.*)$", "")))
+    return cut.withColumn("level", level.cast("int")).withColumn("code", F.regexp_replace("line", r"^\s+|\s*(?://.*)?$", ""))
 
 
 def symbols(files: DataFrame) -> DataFrame:

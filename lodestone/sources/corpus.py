@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from lodestone.functions import text as T
 
 # The sample that is sniffed, the size cap, and the ignore files.
 SNIFF_BYTES, SIZE_CAP = 8192, 10_000_000
+FILES_PER_TASK = 2000
 IGNORE_FILES = [".gitignore", ".repo_ignore", ".cursorignore"]
 
 
@@ -50,48 +55,66 @@ def paths_of_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path")).where("path <> ''").distinct()
 
 
-def scan(spark: SparkSession, root: str, extra_rules: list[str] = (), ios_preset: bool | str = "auto", size_cap: int = SIZE_CAP, allow_patterns: str | None = None) -> DataFrame:
-    """All files below a folder of any file system that Spark reads, less the ignored ones.
+def listing(root: str) -> list[tuple[str, str, int, float]]:
+    """(path, abs_path, size, mtime_ms) of the files below a folder of any file system that Arrow opens.
 
-    Columns: root, path, abs_path, size, mtime_ms, content (bytes), is_binary, oversized, likely_generated,
-    language. Ignore files are read first; rules of deeper folders come later and so win. Files that cannot be
-    read are skipped.
+    Spark's own readers leave out names that begin with a dot or an underscore, which source trees need.
+    Directories that are never entered are not listed; entries that cannot be read are left out.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-    if allow_patterns:
-        reader = reader.option("pathGlobFilter", allow_patterns)
-    base = root.rstrip("/")
-    found = reader.load(base)
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + F_quote(base), "")
-    rows = found.select(F.lit(base).alias("root"), F.regexp_replace(relative, "^/+", "").alias("path"), F.col("path").alias("abs_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"), "content")
-    visible = rows.where(~P.hard_ignored("path"))
-    rules = ignore_rules(visible, extra_rules, ios_preset)
-    kept = visible.where(~P.ignored("path", rules)).where(~F.col("path").rlike("\\.xcassets/.+"))
-    return flagged(kept, size_cap)
-
-
-def F_quote(text: str) -> str:
-    """A folder as a literal in a regular expression, without its scheme."""
-    import re
-
-    return re.escape(re.sub(r"^file:/+", "/", text))
-
-
-def ignore_rules(rows: DataFrame, extra: list[str] = (), ios_preset: bool | str = "auto") -> list[str]:
-    """The rules that hold for a scanned folder: preset, extra ones, then those of ignore files by depth.
-
-    Ignore files are few and small beside the corpus; only they are collected.
+    system, base = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    base = base.rstrip("/")
+    found, folders = [], [base]
+    while folders:
+        for entry in system.get_file_info(pa.fs.FileSelector(folders.pop(), allow_not_found=True)):
+            relative = entry.path[len(base) :].lstrip("/")
+            if entry.base_name in P.HARD_IGNORED:
+                continue
+            if entry.type == pa.fs.FileType.Directory:
+                folders.append(entry.path)
+            elif entry.type == pa.fs.FileType.File:
+                found.append((relative, entry.path, int(entry.size or 0), (entry.mtime_ns or 0) / 1e6))
+    return sorted(found)
+
+
+def scan(spark: SparkSession, root: str, extra_rules: list[str] = (), ios_preset: bool | str = "auto", size_cap: int = SIZE_CAP) -> DataFrame:
+    """All files below a folder, less the ignored ones, with their bytes read by tasks.
+
+    Columns: root, path, abs_path, size, mtime_ms, content, is_binary, oversized, likely_generated, language. Ignore
+    files are read first; rules of deeper folders come later and so win.
     """
+    entries = listing(root)
+    rules = ignore_rules(root, [e[0] for e in entries], extra_rules, ios_preset)
+    rows = spark.createDataFrame(entries, "path string, abs_path string, size long, mtime_ms double")
+    kept = rows.where(~P.ignored("path", rules)).where(~F.col("path").rlike("\\.xcassets/.+"))
+    tasks = max(spark.sparkContext.defaultParallelism, len(entries) // FILES_PER_TASK)
+    named = kept.select(F.lit(root).alias("root"), "path", "abs_path", "size", "mtime_ms").repartition(tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")[0]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part, contents = batch.slice(k, 64), []
+                for path in part.column(2).to_pylist():
+                    with system.open_input_stream(path, compression=None) as source:
+                        contents.append(source.read())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], names=[*part.schema.names, "content"])
+
+    return flagged(named.mapInArrow(run, "root string, path string, abs_path string, size long, mtime_ms double, content binary"), size_cap)
+
+
+def ignore_rules(root: str, paths: list[str], extra: list[str] = (), ios_preset: bool | str = "auto") -> list[str]:
+    """The rules that hold for a listed folder: extra ones, the preset, then those of ignore files by depth."""
+    system, base = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
     rules = list(extra)
-    own = rows.where(P.base_name("path").isin(IGNORE_FILES)).select("path", F.col("content").cast("string").alias("t"))
     if ios_preset == "auto":
-        ios_preset = not rows.where(F.col("path").rlike("^[^/]+\\.xcodeproj/") | (F.col("path") == "Package.swift")).isEmpty()
+        ios_preset = any("/" in p and p.split("/")[0].endswith(".xcodeproj") or p == "Package.swift" for p in paths)
     if ios_preset:
         rules += P.IOS_RULES
-    for path, text in sorted(own.collect(), key=lambda r: (r[0].count("/"), r[0].rpartition("/")[0], IGNORE_FILES.index(r[0].rpartition("/")[2]))):
-        folder = path.rpartition("/")[0]
-        for line in text.splitlines():
-            rules += P.rebased(folder, line)
+    own = [p for p in paths if p.rpartition("/")[2] in IGNORE_FILES]
+    for path in sorted(own, key=lambda p: (p.count("/"), p.rpartition("/")[0], IGNORE_FILES.index(p.rpartition("/")[2]))):
+        with system.open_input_stream(f"{base}/{path}") as source:
+            for line in source.read().decode("utf-8", "replace").splitlines():
+                rules += P.rebased(path.rpartition("/")[0], line)
     return rules
 
 
