@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of what a worker keeps; at a bound it forgets all and starts anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 250_000, 150_000, 300_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 100_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -316,3 +316,29 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], schema=pa.schema([*list(part.schema)[:-1], pa.field(text, pa.string(), False)]))
 
     return kept.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", block: int = 65536) -> DataFrame:
+    """docs with the ids of each whole text, and the text that these ids decode to, instead of the text.
+
+    Both steps are those of encode() and decode(); done in one pass, the ids need not go to Python again.
+    """
+    new = (text.lower(), ids.lower(), decoded.lower())
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], F.col(text).alias("_text"))
+    schema = T.StructType([*kept.drop("_text").schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, pattern)
+        machine = Decoder(coder.pieces.transducer.tokens)
+        gc.disable()  # millions of small objects without a cycle among them
+        element = pa.list_(pa.field("element", pa.int32(), False))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                found = [coder.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))).cast(element)
+                texts = pa.array(["".join(machine.stream(x[i : i + block] for i in range(0, len(x), block))) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, texts], schema=pa.schema([*list(part.schema)[:-1], pa.field(ids, element, False), pa.field(decoded, pa.string(), False)]))
+
+    return kept.mapInArrow(run, schema)

@@ -190,6 +190,8 @@ def test_bpe_is_that_of_tiktoken(spark):
         assert r["ids"] == reference.encode_ordinary(texts[r["doc_id"]] or "")
     back = byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN), RANKS, block=3).collect()
     assert {r["doc_id"]: r["decoded"] for r in back} == {k: t or "" for k, t in texts.items()}
+    both_ways = {r["doc_id"]: (r["ids"], r["decoded"]) for r in byte_bpe.round_trip(docs.withColumn("decoded", F.lit(1)), RANKS, P.PATTERN).collect()}
+    assert both_ways == {r["doc_id"]: (r["ids"], texts[r["doc_id"]] or "") for r in rows}
     assert byte_bpe.encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 
