@@ -44,7 +44,7 @@ def offsets(text: Column, phrase: Column) -> Column:
         F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o")),
         lambda s, p: F.struct((s["at"] + F.char_length(p) + F.char_length(phrase)).alias("at"), F.concat(s["o"], F.array(s["at"] + F.char_length(p))).alias("o")), lambda s: s["o"],
     )
-    return F.when(F.char_length(phrase) == 0, F.array().cast("array<int>")).otherwise(ends)
+    return F.when((F.char_length(phrase) == 0) | ~F.contains(text, phrase), F.array().cast("array<int>")).otherwise(ends)
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -68,7 +68,7 @@ def reanchored(replacement: Column, from_line: Column, to_line: Column) -> Colum
 
 
 def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """(path, edit_index, spans array<struct<start,end,replacement,line>>, matched_by, dice, error) for each edit."""
+    """(path, edit_index, spans array<struct<start,end,replacement>>, matched_by, dice, error) for each edit."""
     rows = edits.join(files.select("path", "content"), "path", "left")
     body, find, put = F.coalesce("content", F.lit("")), F.regexp_replace("search", "\r\n?", "\n"), F.regexp_replace(F.coalesce("replace", F.lit("")), "\r\n?", "\n")
     rows = rows.select("path", "edit_index", F.coalesce("all", F.lit(False)).alias("all"), F.col("content").isNull().alias("_none"), F.regexp_replace(body, "\r\n?", "\n").alias("t"), find.alias("s"), put.alias("r"))
@@ -77,9 +77,9 @@ def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
     rows = rows.withColumn("_esc", F.when((F.size("_lit") == 0) & F.contains("s", F.lit("\\")), offsets(F.col("t"), F.col("_ds"))).otherwise(F.array().cast("array<int>")))
     # fuzzy: lines of the selector without blank ones, lines of the file as they are
     rows = rows.withColumn("_raw", F.filter(F.split("s", "\n"), lambda x: T.normalised_line(x) != "")).withColumn("_sel", F.transform("_raw", T.normalised_line))
-    rows = rows.withColumn("_lines", T.lines("t")).withColumn("_norm", F.transform("_lines", T.normalised_line))
     n, first = F.size("_sel"), F.get("_sel", 0)
     open_yet = (F.size("_lit") == 0) & (F.size("_esc") == 0) & (n > 0)
+    rows = rows.withColumn("_lines", F.when(open_yet, T.lines("t")).otherwise(F.array().cast("array<string>"))).withColumn("_norm", F.transform("_lines", T.normalised_line))
     score = lambda line: T.multiset_dice(first, line)
     rows = rows.withColumn("_scores", F.when(open_yet, F.transform("_norm", score)).otherwise(F.array().cast("array<double>")))
     exact = F.exists("_norm", lambda x: x == first)
@@ -92,7 +92,7 @@ def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
     moved = reanchored(F.col("r"), F.get("_raw", 0), F.get("_lines", at))
     ended = F.endswith(F.get(T.lines_kept("t"), at + n - 1), F.lit("\n"))
     moved = F.when(ended & ~F.endswith(moved, F.lit("\n")), F.concat(moved, F.lit("\n"))).otherwise(moved)
-    span = lambda a, b, text: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), text.alias("replacement"), line_of(F.col("t"), a).alias("line"))
+    span = lambda a, b, text: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), text.alias("replacement"))
     literal = F.transform("_lit", lambda o: span(o, o + F.char_length("s"), F.col("r")))
     escaped = F.transform("_esc", lambda o: span(o, o + F.char_length("_ds"), F.col("_dr")))
     fuzzy = F.array(span(upto(at), upto(at + n), moved))
@@ -100,6 +100,7 @@ def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
     error = lambda code, lines: F.struct(F.lit(code).alias("code"), F.lit(code.replace("_", " ")).alias("message"), lines.cast("array<int>").alias("lines"))
     many = F.when(tier == "literal", F.size("_lit")).when(tier == "escape", F.size("_esc")).otherwise(F.lit(1))
     several = F.transform(F.when(F.size("_lit") > 0, F.col("_lit")).otherwise(F.col("_esc")), lambda o: line_of(F.col("t"), o))
+    several = F.when((many > 1) & ~F.col("all"), several)
     closest = F.array(F.array_position("_scores", F.array_max("_scores")))
     none = F.array().cast("array<int>")
     problem = (
@@ -113,11 +114,13 @@ def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def applied_spans(text: Column, spans: Column) -> Column:
-    """The text with each span of an ordered, disjoint array replaced."""
-    def step(state: Column, s: Column) -> Column:
-        return F.struct(F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), s["replacement"]).alias("out"), s["end"].alias("at"))
+    """The text with each span of an ordered, disjoint array replaced: what stands before each span, its replacement, and the rest."""
+    def piece(span: Column, i: Column) -> Column:
+        last = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+        return F.concat(F.substring(text, last + 1, span["start"] - last), span["replacement"])
 
-    return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    rest = F.substring(text, F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)) + 1, F.char_length(text))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
 
 def planned(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -131,9 +134,10 @@ def planned(files: DataFrame, edits: DataFrame) -> DataFrame:
     )
     rows = found.join(files.select("path", "content"), "path", "left").withColumn("_spans", F.array_sort("_spans"))
     clash = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_spans") - 1, F.lit(1))), lambda i: F.coalesce(F.get("_spans", i)["start"] < F.get("_spans", i - 1)["end"], F.lit(False)))
-    overlap = F.struct(F.lit("overlapping_edits").alias("code"), F.lit("overlapping edits").alias("message"), F.transform("_spans", lambda s: s["line"]).alias("lines")).cast(ERROR)
+    overlap = F.struct(F.lit("overlapping_edits").alias("code"), F.lit("overlapping edits").alias("message"), F.transform("_spans", lambda s: line_of(F.regexp_replace("content", "\r\n?", "\n"), s["start"])).alias("lines")).cast(ERROR)
     rows = rows.withColumn("error", F.coalesce("_error", F.when(clash, overlap)))
-    lf = F.regexp_replace("content", "\r\n?", "\n")
+    rows = rows.withColumn("_lf", F.regexp_replace("content", "\r\n?", "\n"))
+    lf = F.col("_lf")
     crlf = F.regexp_count("content", F.lit("\r\n"))
     mostly = crlf > F.regexp_count("content", F.lit("\n")) - crlf
     after = applied_spans(lf, F.col("_spans"))
@@ -147,11 +151,20 @@ def planned(files: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def line_diff(before: Column | str, after: Column | str) -> Column:
-    """Lines that the other side has nowhere, marked - and +, repeats included."""
-    a, b = T.lines(before), T.lines(after)
-    gone = F.transform(F.filter(a, lambda x: ~F.array_contains(b, x)), lambda x: F.concat(F.lit("-"), x))
-    new = F.transform(F.filter(b, lambda x: ~F.array_contains(a, x)), lambda x: F.concat(F.lit("+"), x))
-    return F.concat(gone, new)
+    """Lines that the other side has nowhere, marked - and +, repeats included.
+
+    The two set differences are worked out once (by hashing); the lines are then looked up in these short arrays.
+    """
+    def both(s: Column) -> Column:
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_except(s["a"], s["b"]).alias("gone"), F.array_except(s["b"], s["a"]).alias("new"))
+
+    def marked(s: Column) -> Column:
+        gone = F.transform(F.filter(s["a"], lambda x: F.array_contains(s["gone"], x)), lambda x: F.concat(F.lit("-"), x))
+        return F.concat(gone, F.transform(F.filter(s["b"], lambda x: F.array_contains(s["new"], x)), lambda x: F.concat(F.lit("+"), x)))
+
+    # a one-element array binds the lines, so that no lambda cuts the texts again
+    held = F.transform(F.transform(F.array(F.struct(T.lines(before).alias("a"), T.lines(after).alias("b"))), both), marked)
+    return F.get(held, 0)
 
 
 def post_context(text: Column | str, line: Column, around: int = 3) -> Column:
