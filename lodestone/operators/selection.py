@@ -145,3 +145,31 @@ def save(selection: DataFrame, folder: str) -> None:
 def load(spark, folder: str, session_id: str) -> DataFrame:
     """A session's entries; the partition filter reads no other session."""
     return spark.read.schema(SCHEMA).parquet(folder).where(F.col("session_id") == session_id)
+
+
+def view(snapshot: DataFrame, kind: str, files: DataFrame | None = None, codemaps: DataFrame | None = None) -> DataFrame:
+    """A selection as `summary` (totals), `files` (a row each with its tokens), `content` (text of full and sliced
+    entries) or `codemaps` (structure of those taken as such)."""
+    if kind == "summary":
+        return totals(snapshot)
+    if kind == "files":
+        return snapshot.select(*_KEY, "mode", "slices", entry_tokens().alias("tokens"), "slices_invalidated")
+    if kind == "content":
+        rows = snapshot.where("mode <> 'codemap'").join(files.select("path", "content"), "path")
+        lines = T.lines_kept("content")
+        parts = F.flatten(F.transform("slices", lambda s: F.slice(lines, s["start"], s["end"] - s["start"] + 1)))
+        return rows.select(*_KEY, F.when(F.col("mode") == "slices", F.array_join(parts, "")).otherwise(F.col("content")).alias("text"))
+    if kind == "codemaps":
+        return snapshot.where("mode = 'codemap'").join(codemaps.select("path", "text"), "path").select(*_KEY, "text")
+    raise ValueError(f"unknown view: {kind}")
+
+
+def prompts_after(events: DataFrame, order: str = "at") -> DataFrame:
+    """(session_id, prompt, tokens) after a log of prompt events: set and clear start anew, append adds as it stands."""
+    by_time = Window.partitionBy("session_id").orderBy(order)
+    restarts = F.sum(F.col("action").isin("set", "clear").cast("int")).over(by_time)
+    last = Window.partitionBy("session_id")
+    rows = events.withColumn("_epoch", F.coalesce(restarts, F.lit(0))).withColumn("_last", F.max("_epoch").over(last)).where("_epoch = _last")
+    said = F.when(F.col("action") == "clear", F.lit("")).otherwise(F.coalesce("text", F.lit("")))
+    whole = rows.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), said.alias("text"))))["text"], "").alias("prompt"))
+    return whole.withColumn("tokens", T.estimate_tokens("prompt"))

@@ -133,3 +133,25 @@ def history(spark: SparkSession, repo: str, commits: int = 200) -> DataFrame:
     """(path, pos): the files of the last commits, latest first."""
     lines = git_lines(spark, repo, "log", f"-{commits}", "--name-only", "--pretty=format:")
     return lines.where("line <> ''").select(F.col("line").alias("path"), F.col("line_no").alias("pos"))
+
+
+def diff(spark: SparkSession, repo: str, spec: str = "uncommitted", detail: str = "files", max_lines: int = PATCH_LINES) -> DataFrame:
+    """A comparison of one repository as `summary` (totals), `files`, `patches` (hunks, capped) or `full` (all hunks)."""
+    args = compare_args(spec)
+    safe = ["diff", "--no-ext-diff", "--no-color"]
+    if detail in ("patches", "full"):
+        return patch_hunks(git_lines(spark, repo, *safe, *args), max_lines if detail == "patches" else None)
+    found = diff_files(git_lines(spark, repo, *safe, "--numstat", *args), git_lines(spark, repo, *safe, "--name-status", *args))
+    if detail == "files":
+        return found
+    if detail == "summary":
+        return diff_totals(found)
+    raise ValueError(f"unknown detail: {detail}")
+
+
+def show(spark: SparkSession, repo: str, revision: str = "HEAD", detail: str = "files") -> tuple[DataFrame, DataFrame]:
+    """A commit's record, and its changes against its first parent."""
+    if revision.startswith("-"):
+        raise ValueError(f"invalid_revision: {revision}")
+    meta = log_entries(git_lines(spark, repo, "log", "-1", "--pretty=format:%H%x1f%h%x1f%an%x1f%aI%x1f%s", revision))
+    return meta, diff(spark, repo, f"{revision}^!", detail)

@@ -121,3 +121,18 @@ def test_stream_adds_only_new_contents(spark, tmp_path):
     incremental.fold(spark.createDataFrame([("a", "1")], schema), 7, table)
     assert spark.read.parquet(table).count() == 3
     assert {r["path"]: r["batch"] for r in incremental.current(spark, table).collect()} == {"a": 0, "b": 1}
+
+
+def test_views_and_prompts(spark):
+    files = spark.createDataFrame([("a.py", "1\n2\n3\n"), ("b.py", "b\n")], "path string, content string")
+    rows = [("s", "a.py", "slices", [(3, 2, None)]), ("s", "b.py", "codemap", [])]
+    entries = spark.createDataFrame(rows, f"session_id string, path string, mode string, slices {selection.SLICES}")
+    maps = spark.createDataFrame([("b.py", "File: b.py\n")], "path string, text string")
+    held = selection.measured(entries, files, maps)
+    assert selection.view(held, "content", files).first()["text"] == "2\n3\n"
+    assert selection.view(held, "codemaps", codemaps=maps).first()["text"] == "File: b.py\n"
+    assert {r["mode"]: r["tokens"] for r in selection.view(held, "files").collect()} == {"slices": 2, "codemap": 3}
+    assert selection.view(held, "summary").first()["total_tokens"] == 5
+    log = [("s", 1, "set", "old"), ("s", 2, "clear", None), ("s", 3, "append", "a"), ("s", 4, "append", "b"), ("t", 1, "append", "x")]
+    told = selection.prompts_after(spark.createDataFrame(log, "session_id string, at int, action string, text string"))
+    assert {r["session_id"]: r["prompt"] for r in told.collect()} == {"s": "ab", "t": "x"}

@@ -119,3 +119,17 @@ def test_a_real_repository(spark, tmp_path):
     assert vcs.compare_args("back:2") == ["HEAD~2"] and vcs.compare_args("mergebase:x") == ["x...HEAD"]
     with pytest.raises(ValueError):
         vcs.compare_args("--output=x")
+
+
+def test_diff_and_show(spark, tmp_path):
+    run(tmp_path, "init", "-q", "-b", "main")
+    for text in ("1\n", "1\n2\n"):
+        (tmp_path / "f").write_text(text)
+        run(tmp_path, "add", ".")
+        run(tmp_path, "commit", "-qm", f"c{len(text)}")
+    assert tuple(vcs.diff(spark, str(tmp_path), "back:1", "summary").first()) == (1, 1, 0)
+    assert vcs.diff(spark, str(tmp_path), "back:1", "patches", max_lines=1).first()["omitted_lines"] == 2
+    meta, changed = vcs.show(spark, str(tmp_path))
+    assert meta.first()["subject"] == "c4" and changed.first()["path"] == "f"
+    with pytest.raises(ValueError):
+        vcs.show(spark, str(tmp_path), "--all")
