@@ -189,7 +189,7 @@ def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_top", None)
 def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole search: the best 50 matches by path and content with context."""
-    return search.search(files(spark, sf_dir), "License", paths=["src1", "src2"], context_lines=1, context_paths=["src1/en/1.txt"], recent=search.recency(commits(spark, sf_dir)))
+    return search.search(files(spark, sf_dir), "License", context_lines=1, context_paths=["src1/en/1.txt"], recent=search.recency(commits(spark, sf_dir)))
 
 
 @query(
