@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
-from lodestone.operators import budget
+from lodestone.operators import budget, ordering
 
 #: Columns of a match.
 MATCH = ["path", "line", "col", "match_text", "context_before", "context_after", "kind", "score"]
@@ -98,12 +98,13 @@ def with_context(matches: DataFrame, lines: DataFrame, around: int) -> DataFrame
 def recency(history: DataFrame, path: str = "path", position: str = "pos") -> DataFrame:
     """(path, rank from 0) by where a path first shows in the history."""
     first = history.groupBy(F.col(path).alias("path")).agg(F.min(position).alias("_first"))
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("_first", "path")) - 1).drop("_first")
+    return ordering.numbered(first, ["_first", "path"], "rank").drop("_first")
 
 
-def ranked(matches: DataFrame, recent: DataFrame | None = None, context_paths: list[str] = (), type_index: DataFrame | None = None) -> DataFrame:
+def ranked(matches: DataFrame, recent: DataFrame | None = None, context_paths: list[str] = (), type_index: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """matches with score and `rank` (from 1): what matched best, stood first, lies near the context paths, was
-    changed lately, and defines the type that it names. matches has `position`, its place in the input, from 0."""
+    changed lately, and defines the type that it names. matches has `position`, its place in the input, from 0.
+    top: only so many rows, which one task then ranks."""
     score = F.coalesce(F.col("score"), F.lit(0.0)) + F.greatest(F.lit(0), F.lit(1000) - F.col("position"))
     if context_paths:
         score = score + F.lit(40) * F.greatest(F.lit(0), *[P.shared_depth(F.col("path"), P.normalised(c)) for c in context_paths])
@@ -117,7 +118,10 @@ def ranked(matches: DataFrame, recent: DataFrame | None = None, context_paths: l
         rows = rows.join(defined, ["_name", "path"], "left")
         score = score + F.coalesce("_defines", F.lit(0))
     rows = rows.withColumn("score", score.cast("double")).drop("_recent", "_name", "_defines")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path", "line")))
+    order = [F.desc("score"), "path", "line"]
+    if top is None:
+        return ordering.numbered(rows, order, "rank", first=1)
+    return rows.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def file_counts(matches: DataFrame) -> DataFrame:
@@ -161,4 +165,4 @@ def search(
         branches.append(found.select("path", "line", "col", "match_text", "context_before", "context_after", F.lit("content").alias("kind"), F.lit(0.0).alias("score"), F.lit(1).alias("_branch")))
     rows = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
     placed = rows.withColumn("position", F.row_number().over(Window.orderBy("_branch", F.desc("score"), "path", "line")) - 1).where(F.col("position") <= max_results)
-    return ranked(placed, recent, context_paths, type_index).where(F.col("rank") <= max_results).select("rank", *MATCH)
+    return ranked(placed, recent, context_paths, type_index, top=max_results).select("rank", *MATCH)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
-from lodestone.operators import budget, edits, intervals, packaging, read, search, selection, structure, tree
+from lodestone.operators import budget, edits, intervals, ordering, packaging, read, search, selection, structure, tree
 from lodestone.plans.tables import commits, files, page_paths, ranges, selected, table
 from lodestone.sources import corpus, vcs
 
@@ -181,7 +181,7 @@ def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.content_matches(files(spark, sf_dir), "License")
-    placed = hits.withColumn("score", F.lit(0.0)).withColumn("position", F.row_number().over(Window.orderBy("path", "line")) - 1)
+    placed = ordering.numbered(hits.withColumn("score", F.lit(0.0)), ["path", "line"], "position")
     recent = search.recency(hits.select("path", F.col("path").alias("pos")))
     return search.ranked(placed, recent, ["src1/en/1.txt"]).select("path", "line", "score", "rank")
 

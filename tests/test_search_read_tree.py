@@ -79,3 +79,13 @@ def test_tree_rendering_and_ladder(spark):
     assert tree.render(marked, mode="selected", have_selection=False) == {"error": {"code": "not_available_until_selection"}}
     folders = tree.render(marked, mode="folders")["tree"]
     assert "mod3" in folders and "file1.py" not in folders
+
+
+def test_numbers_over_ranges(spark):
+    from lodestone.operators import ordering
+
+    rows = spark.range(1000).selectExpr("id % 37 AS a", "id AS b", "'x' AS c").repartition(5)
+    got = ordering.numbered(rows, [F.desc("a"), "b"], "n", first=1).collect()
+    want = sorted(((i % 37, i) for i in range(1000)), key=lambda r: (-r[0], r[1]))
+    assert sorted((r["n"], r["a"], r["b"]) for r in got) == [(k, *r) for k, r in enumerate(want, 1)]
+    assert ordering.numbered(rows.limit(0), ["a"], "n").count() == 0
