@@ -31,8 +31,9 @@ def perspectives(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn"
     """
     texts = turns.select(
         F.col(dialogue).alias("_d"), F.col(turn).alias("_t"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("_s"), F.coalesce(F.col(text), F.lit("")).alias("_x")
-    ).withColumn("_h", F.substring(F.sha2("_x", 256), 1, 32))
-    key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("_d", "_t", "_s", "_h")])
+    ).withColumn("_h", F.unhex(F.substring(F.sha2("_x", 256), 1, 32)))
+    named = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in (F.col("_d"), F.col("_t"), F.col("_s"), F.hex("_h"))])
+    key = F.unhex(F.md5(named))  # 16 bytes for a message
     said = texts.select("_d", "_t", "_s", "_h", F.char_length("_x").cast("long").alias("_n"))  # no texts from here on
     cast = said.where(~F.col("_s").isin(*narrators)).select(F.col("_d").alias("_dd"), F.col("_s").alias("perspective")).distinct()
     seen = said.join(cast, F.col("_d").eqNullSafe(F.col("_dd"))).drop("_dd")
