@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import language_id, packing, quality_rules, simhash
 from lodestone.llm.shared import work_folder
 
-#: A text whose best language has less than this probability is rejected.
+#: A text whose best language has less than this probability is rejected. One class of the net is for texts in no
+#: language, so the share of the best language has no lower bound.
 MIN_LANGUAGE = 0.2
 
 

@@ -4,6 +4,10 @@ The network reads windows of WINDOW bytes of the lower-cased UTF-8 text. Filters
 over the bytes (a byte's input is one-hot, so that a filter is a table of 256 rows for each of its
 positions), each keeps its largest response in the window, and a softmax turns these into probabilities.
 It is trained with numpy on a bounded sample of labelled rows and applied to every window of every text.
+
+One more class stands for what is in none of the languages. Its windows are made: characters of the sample in
+another order, random letters of several scripts, repeated pieces. A text's score is the share of its best
+language among all classes, so it may fall to near 0 whatever the number of languages is.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Steps of a weight of 1 when it is rounded to 16 bits for scoring.
 STEPS = 512
+#: Windows in no language that training makes for each text.
+JUNK_EACH = 1
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
 class ByteConvNet:
-    """tables[w][j]: 256 x FILTERS weights of a width's position j; out, bias: the softmax layer."""
+    """tables[w][j]: 256 x FILTERS weights of a width's position j; out, bias: the softmax layer, a column for each label and a last one for none of them."""
 
     labels: list[str]
     tables: list[np.ndarray]
@@ -87,6 +93,20 @@ def as_windows(text: str) -> np.ndarray:
     return padded.reshape(rows, WINDOW)
 
 
+def _junk(text: str, rng: np.random.Generator) -> str:
+    """About WINDOW characters in no language."""
+    kind, size = int(rng.integers(4)), WINDOW
+    if kind == 0:  # the same characters in another order
+        at = int(rng.integers(max(1, len(text) - size)))
+        return "".join(rng.permutation(list(text[at : at + size])))
+    if kind == 1:  # a piece over and over
+        piece = "".join(chr(97 + k) for k in rng.integers(0, 26, int(rng.integers(1, 5))))
+        return (piece + " " * int(rng.integers(2))) * size
+    first, letters = ((97, 26), (97, 26), (0xDF, 32), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 36), (0x905, 53), (0x3041, 86), (0x4E00, 20000), (0xAC00, 11000))[int(rng.integers(11))]
+    gap = rng.random(size) < rng.choice([0.02, 0.15, 0.25])
+    return "".join(" " if g else chr(first + k) for g, k in zip(gap, rng.integers(0, letters, size).tolist(), strict=True))
+
+
 def train(rows: list[tuple[str, str]], windows_each: int = 4, epochs: int = 6, rate: float = 0.1, seed: int = 7) -> ByteConvNet | None:
     """Fits the network to (text, label) rows. Of a text, up to windows_each windows spread over the whole are used."""
     rows = [(t, y) for t, y in rows if _LETTER.search(t)]
@@ -104,10 +124,16 @@ def train(rows: list[tuple[str, str]], windows_each: int = 4, epochs: int = 6, r
                 window[int(rng.integers(8, WINDOW)) :] = 0
             xs.append(window)
             ys.append(labels.index(label))
+        for _ in range(JUNK_EACH):
+            window = as_windows(_junk(text, rng))[0]
+            if rng.random() < 0.5:
+                window[int(rng.integers(8, WINDOW)) :] = 0
+            xs.append(window)
+            ys.append(len(labels))
     x, y = np.stack(xs), np.array(ys)
-    share = np.bincount(y, minlength=len(labels)) / len(y)
-    weight = (1 / (len(labels) * share))[y]
-    net = ByteConvNet(labels, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.3, (FILTERS * len(WIDTHS), len(labels))).astype(np.float32), np.zeros(len(labels), np.float32))
+    share = np.bincount(y, minlength=len(labels) + 1) / len(y)
+    weight = (1 / ((len(labels) + 1) * share))[y]
+    net = ByteConvNet(labels, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.3, (FILTERS * len(WIDTHS), len(labels) + 1)).astype(np.float32), np.zeros(len(labels) + 1, np.float32))
     for table in net.tables:
         table[:, 0] = -0.3  # filling has no say
     past = [np.full_like(a, 1e-3) for a in (*net.tables, net.shift, net.out, net.bias)]
@@ -137,12 +163,12 @@ def train(rows: list[tuple[str, str]], windows_each: int = 4, epochs: int = 6, r
 
 
 def predict(net: ByteConvNet | None, texts: list[str | None], at_once: int = 64) -> tuple[list[str], list[float]]:
-    """Label and probability of each whole text: the mean over its windows, weighted by the bytes in them."""
+    """Best label and its probability, of each whole text: the mean over its windows, weighted by the bytes in them."""
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if net is None:
         return names, scores
     owners, blocks, held = [], [], 0
-    totals = np.zeros((len(texts), len(net.labels)))
+    totals = np.zeros((len(texts), len(net.labels) + 1))
 
     def flush() -> None:
         nonlocal held
@@ -166,7 +192,7 @@ def predict(net: ByteConvNet | None, texts: list[str | None], at_once: int = 64)
     flush()
     for i in np.flatnonzero(totals.sum(axis=1)):
         share = totals[i] / totals[i].sum()
-        best = int(share.argmax())
+        best = int(share[:-1].argmax())
         names[i], scores[i] = net.labels[best], float(min(1.0, share[best]))
     return names, scores
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import chat_format, language_id, license_scan, quality_classifier, quality_rules
 from lodestone.llm import queries as Q
 from lodestone.llm.shared import span_hashes, text_chunks, words_of
@@ -51,6 +52,34 @@ def test_rounded_weights_agree_with_training_form():
     assert np.abs(net.peak(windows) - net.pooled(windows)[0]).max() < 0.02
 
 
+def letter_junk(rng, texts):
+    """Texts with letters and in no learned language; the last two are words of languages that training has never seen."""
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    found = []
+    for _ in range(20):
+        found.append(" ".join(word("abcdefghijklmnopqrstuvwxyz", int(rng.integers(2, 10))) for _ in range(60)))
+        found.append("".join(rng.permutation(list(texts[int(rng.integers(len(texts)))][:600].lower()))))
+        found.append("".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 200)))
+        found.append("x" * 300)
+        found.append(" ".join(rng.permutation("nie jest się że do to jak ale co mnie był tylko już może gdy przez będzie wszystko nigdy człowiek dlaczego".split())))
+        found.append(" ".join(rng.permutation("не на быть он что это она этот они мы весь который из то за свой год от так".split())))
+    return found
+
+
+def test_language_stage_rejects_letter_junk_and_keeps_rows_apart(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    apart = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and len((r["text"] or "").split()) >= 20]
+    net = language_id.fit(docs.where("crc32(cast(doc_id AS string)) % 4 <> 2").select("doc_id", "text", "lang"))
+    scores = np.array(language_id.predict(net, [r["text"] for r in apart])[1])
+    assert len(apart) > 200 and (scores >= corpus_pipeline.MIN_LANGUAGE).mean() > 0.99
+    junk = letter_junk(np.random.default_rng(5), [r["text"] for r in apart])
+    # a few junk rows among the documents: the stage itself throws them out
+    added = held(spark, [(1_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
+    left = [r["doc_id"] for r in corpus_pipeline.identified(spark, docs.unionByName(added), SF).select("doc_id").collect()]
+    assert sum(k >= 1_000_000 for k in left) <= len(junk) // 50
+    assert sum(k < 1_000_000 for k in left) > 980
+
+
 # Words over buffers
 
 
