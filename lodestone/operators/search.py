@@ -147,22 +147,23 @@ def search(
     files: DataFrame, query: str, mode: str = "auto", regex: bool = False, whole_word: bool = False, paths: list[str] = (), extensions: list[str] = (), exclude: list[str] = (),
     context_lines: int = 0, context_paths: list[str] = (), recent: DataFrame | None = None, type_index: DataFrame | None = None, max_results: int = 50,
 ) -> DataFrame:
-    """The best max_results matches with rank, by path and by content. All matches are scored before the limit."""
+    """The best max_results matches with rank, by path and by content. All matches are scored before the limit; context
+    lines are read for the kept ones only."""
     mode = resolve_mode(query, mode)
     files = narrowed(files, paths, extensions, exclude)
-    none = F.array().cast("array<string>")
     branches = []
     if mode in ("path", "both"):
-        found = path_matches(files, query, 0.15 if mode == "path" else 0.35).orderBy(F.desc("score"), "path").limit(max_results + 1)
-        branches.append(found.select("path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("match_text"), none.alias("context_before"), none.alias("context_after"), F.lit("path").alias("kind"), "score", F.lit(0).alias("_branch")))
+        found = path_matches(files, query, 0.15 if mode == "path" else 0.35)
+        branches.append(found.select("path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("match_text"), F.lit("path").alias("kind"), "score", F.lit(0).alias("_branch")))
     if mode in ("content", "both"):
-        eligible = searchable(files)
-        found = content_matches(eligible, query, regex, whole_word).orderBy("path", "line").limit(max_results + 1)
-        if context_lines:
-            found = with_context(found, line_table(eligible.join(found.select("path").distinct(), "path", "left_semi")), context_lines)
-        else:
-            found = found.withColumns({"context_before": none, "context_after": none})
-        branches.append(found.select("path", "line", "col", "match_text", "context_before", "context_after", F.lit("content").alias("kind"), F.lit(0.0).alias("score"), F.lit(1).alias("_branch")))
+        found = content_matches(searchable(files), query, regex, whole_word)
+        branches.append(found.select("path", "line", "col", "match_text", F.lit("content").alias("kind"), F.lit(0.0).alias("score"), F.lit(1).alias("_branch")))
     rows = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
-    placed = rows.withColumn("position", F.row_number().over(Window.orderBy("_branch", F.desc("score"), "path", "line")) - 1).where(F.col("position") <= max_results)
-    return ranked(placed, recent, context_paths, type_index, top=max_results).select("rank", *MATCH)
+    placed = ordering.numbered(rows, ["_branch", F.desc("score"), "path", "line"], "position")
+    kept = ranked(placed, recent, context_paths, type_index, top=max_results)
+    if context_lines and mode != "path":
+        texts = searchable(files).join(kept.where("kind = 'content'").select("path").distinct(), "path", "left_semi")
+        kept = with_context(kept, line_table(texts), context_lines)
+    else:
+        kept = kept.withColumns({c: F.array().cast("array<string>") for c in ("context_before", "context_after")})
+    return kept.select("rank", *MATCH)

@@ -89,3 +89,21 @@ def test_numbers_over_ranges(spark):
     want = sorted(((i % 37, i) for i in range(1000)), key=lambda r: (-r[0], r[1]))
     assert sorted((r["n"], r["a"], r["b"]) for r in got) == [(k, *r) for k, r in enumerate(want, 1)]
     assert ordering.numbered(rows.limit(0), ["a"], "n").count() == 0
+
+
+def test_boosts_count_among_all_matches_and_not_only_the_first(spark):
+    texts = [(f"a/{k:03d}.txt", f"before {k}\nthe Key {k}\nafter {k}\n") for k in range(120)] + [("z/late.txt", "x\nKey Late\ny\n"), ("z/recent.txt", "u\nKey\nv\n")]
+    many = spark.createDataFrame(texts, "path string, content string")
+    types = spark.createDataFrame([("Key", "z/late.txt")], "type_name string, path string")
+    recent = spark.createDataFrame([("z/recent.txt", 0)], "path string, rank int")
+    rows = search.search(many, "Key", mode="content", context_lines=1, context_paths=["z/x.txt"], type_index=types, recent=recent, max_results=50).orderBy("rank").collect()
+    score = {p: 1000.0 - k + (40 if p.startswith("z/") else 0) + (2000 if p == "z/late.txt" else 0) + (200 if p == "z/recent.txt" else 0) for k, (p, _) in enumerate(sorted(texts))}
+    want = sorted(score, key=lambda p: (-score[p], p))[:50]
+    assert [(r["rank"], r["path"], r["score"]) for r in rows] == [(k, p, score[p]) for k, p in enumerate(want, 1)]
+    assert want[0] == "z/late.txt" and "z/recent.txt" in want
+    assert (rows[0]["context_before"], rows[0]["context_after"]) == (["x"], ["y"])
+    # more matching paths than the limit do not keep a boosted content match out
+    named = many.withColumn("path", F.concat(F.lit("Key/"), "path"))
+    types = types.withColumn("path", F.concat(F.lit("Key/"), "path"))
+    first = search.search(named, "Key", mode="both", type_index=types, max_results=50).orderBy("rank").first()
+    assert (first["path"], first["kind"], first["line"]) == ("Key/z/late.txt", "content", 2)
