@@ -48,6 +48,11 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def is_fallback(sketch: Column, scale: int = SCALE) -> Column:
+    """True where the sketch is a smallest hash, above the threshold: it says nothing of the text's other hashes."""
+    return F.coalesce(F.get(sketch, 0) >= F.lit(-(1 << 63) + (1 << 64) // scale), F.lit(False))
+
+
 def sketched(docs: DataFrame, text: str = "text", column: str = "sketch", scale: int = SCALE) -> DataFrame:
     """docs with the sketch of each whole text; a null text counts as empty and has an empty sketch."""
     step = docs.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
@@ -100,6 +105,8 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The edited text keeps the first half of the code points (the odd one too) and goes on with as many from the
     start of the next text as the other half has, or all. Rows with equal keys follow in the order of their
     texts. Null texts are empty; null keys come last. Other columns are not read.
+    near_* compare the sketches alone; contained_* compare all shingles where a sketch is only a smallest hash, so
+    that very short texts get their exact containment.
     """
     rows = in_key_ranges(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_key")
     dealt = sketched(rows.repartition("_range"), "_text", "_own", scale)
@@ -109,6 +116,10 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next_text"), F.lit(1), half))
     both = sketched(met.withColumn("_edited_text", edited), "_edited_text", "_edited", scale)
+    short_edited, short_next = (is_fallback(F.col("_own"), scale) | is_fallback(F.col(c), scale) for c in ("_edited", "_next"))
+    for name, source, needed in (("own", "_text", short_edited | short_next), ("edited", "_edited_text", short_edited), ("next", "_next_text", short_next)):
+        both = both.withColumn("_words", F.when(needed, words(F.col(source))))
+        both = both.withColumn(f"_all_{name}", F.when(needed, F.array_distinct(shingle_hashes(F.col("_words"))))).drop("_words")
     return both.select(
         F.col("_key").alias(key),
         n.cast("long").alias("n_chars"),
@@ -117,4 +128,6 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
         as_string(F.col("_edited")).alias("edited_fingerprint"),
         containment(F.col("_own"), F.col("_edited")).alias("near_edited"),
         containment(F.col("_own"), F.col("_next")).alias("near_next"),
+        F.when(short_edited, containment(F.col("_all_own"), F.col("_all_edited"))).otherwise(containment(F.col("_own"), F.col("_edited"))).alias("contained_edited"),
+        F.when(short_next, containment(F.col("_all_own"), F.col("_all_next"))).otherwise(containment(F.col("_own"), F.col("_next"))).alias("contained_next"),
     )

@@ -169,6 +169,23 @@ def test_fingerprints_of_few_rows(spark):
     assert len(rows) == 4
 
 
+def test_short_texts_have_an_exact_containment(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[i : i + 5 + i % 4]) for i in range(40)]
+    long = " ".join(words)
+    rows = fingerprints.compare_with_next(spark.createDataFrame([(2 * i + j, t) for i, s in enumerate(texts) for j, t in enumerate((s, long))], "doc_id long, text string")).collect()
+    alone = [r for r in rows if r["doc_id"] % 2 == 0]
+    assert len(alone) == 40 and all(r["contained_next"] == 1.0 for r in alone)
+    assert any(r["near_next"] == 0.0 for r in alone)  # what the smallest hash says
+    n = fingerprints.SHINGLE_WORDS
+    runs = lambda t: {tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} if t.split() else set()
+    for r in alone:
+        own = texts[r["doc_id"] // 2]
+        edited = own[: len(own) - len(own) // 2] + long[: len(own) // 2]
+        if not any(h < -(1 << 63) + (1 << 64) // fingerprints.SCALE for h in plain_sketch(own)):
+            assert r["contained_edited"] == likeness(runs(own), runs(edited))
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(3))
     rows = fingerprints.sketched(spark.createDataFrame([(1, a), (2, b)], "k int, text string"))
