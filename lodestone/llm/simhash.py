@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,13 @@ def _differ(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def with_members(cells: DataFrame) -> DataFrame:
+    """cells that share grid and key with others, with the number of such rows. Counts combine before they are
+    shuffled and are joined back, so that a very large cell can be split among tasks."""
+    counts = cells.groupBy("grid", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return cells.join(counts, ["grid", "key"])
+
+
 def links(nodes: DataFrame, fp: str = "fp", block: int = CELL_BLOCK) -> DataFrame:
     """Links (a, b) of distinct fingerprints, enough of them to give the same components as all links.
 
@@ -92,8 +99,7 @@ def links(nodes: DataFrame, fp: str = "fp", block: int = CELL_BLOCK) -> DataFram
     cells = nodes.select(F.col(fp).alias("fp"), unary_counts(fp).alias("counts")).select(
         "fp", "counts", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.col("counts").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(grid_masks())])).alias("cell")
     ).select("fp", "counts", "cell.grid", "cell.key")
-    sized = cells.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("grid", "key"))).where(F.col("members") > 1)
-    sized = sized.checkpoint()
+    sized = with_members(cells).checkpoint()
     near = (_differ("l.counts", "r.counts") <= MAX_BITS) & (_differ("l.fp", "r.fp") <= MAX_BITS)
     small = sized.where(F.col("members") <= block)
     direct = small.alias("l").join(small.alias("r"), (F.col("l.grid") == F.col("r.grid")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & near)

@@ -95,6 +95,14 @@ def test_links_in_crowded_cells(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_members_of_cells_are_counted_without_a_window(spark):
+    cells = spark.createDataFrame([(i, i % 2, i // 6) for i in range(25)], "fp long, grid int, key long")
+    sized = simhash.with_members(cells)
+    assert "Window" not in sized._jdf.queryExecution().executedPlan().toString()
+    want = {i: sum(j % 2 == i % 2 and j // 6 == i // 6 for j in range(25)) for i in range(25)}
+    assert {r["fp"]: r["members"] for r in sized.collect()} == {i: n for i, n in want.items() if n > 1}
+
+
 def test_manhattan_distance_is_a_lower_bound(spark):
     rng = random.Random(5)
     pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(200)]
