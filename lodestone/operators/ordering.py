@@ -26,3 +26,14 @@ def numbered(rows: DataFrame, order: list[Column | str], column: str, first: int
     starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     placed = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     return placed.join(F.broadcast(starts), "_range").withColumn(column, (F.col("_start") + F.col("_own") + (first - 1)).cast("int")).drop("_range", "_start", "_own")
+
+
+def summed(rows: DataFrame, order: list[Column | str], cost: str, column: str) -> DataFrame:
+    """rows with the sum of `cost` over all rows before them in the order, without bringing the table into one task."""
+    ready_to_checkpoint(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy("_range").agg(F.sum(cost).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_own", F.coalesce(F.sum(cost).over(own), F.lit(0)))
+    return placed.join(F.broadcast(starts), "_range").withColumn(column, (F.col("_start") + F.col("_own")).cast("long")).drop("_range", "_start", "_own")

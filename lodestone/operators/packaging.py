@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
+from lodestone.operators import ordering
 from lodestone.operators import selection as S
 
 # Phrases that ask for a review, the sections in their order, and the prompts' texts.
@@ -57,6 +58,18 @@ def joined_blocks(blocks: DataFrame, text: str = "block") -> DataFrame:
     return blocks.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", text))), lambda b: b[text]), "\n\n").alias("text"))
 
 
+def in_bundles(entries: DataFrame, budget: int) -> DataFrame:
+    """entries with sessions cut, in path order, into bundles of about `budget` tokens: `<session>#<number>`.
+
+    A bundle holds the entries that begin within the same `budget` tokens of the running sum, so only its last entry
+    may reach beyond them. Each entry costs something for its path, so that no bundle has very many.
+    """
+    cost = F.coalesce(S.entry_tokens(), F.lit(0)) + T.estimate_tokens("path") + 8
+    placed = ordering.summed(entries.withColumn("_cost", cost), ["session_id", "path"], "_cost", "_before")
+    number = F.floor(F.col("_before") / budget).cast("string")
+    return placed.withColumn("session_id", F.concat("session_id", F.lit("#"), number)).drop("_cost", "_before")
+
+
 def meta_prompts(names: list[str]) -> str:
     """The preset's prompts as tagged texts; an unknown name is its own text."""
     found = []

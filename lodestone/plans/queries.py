@@ -13,6 +13,9 @@ from lodestone.operators import budget, edits, intervals, ordering, packaging, r
 from lodestone.plans.tables import commits, files, page_paths, ranges, selected, table
 from lodestone.sources import corpus, vcs
 
+#: Tokens of a session when the whole selection is packaged.
+BUNDLE_TOKENS = 160_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -408,6 +411,15 @@ def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return entries, contents.select("session_id", "section", "text").unionByName(prompts)
 
 
+def _bundled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole selection, in sessions that a token budget admits."""
+    rows = files(spark, sf_dir)
+    entries = packaging.in_bundles(selection.measured(selected(spark, sf_dir), rows), BUNDLE_TOKENS)
+    contents = packaging.joined_blocks(packaging.file_blocks(entries, rows)).withColumn("section", F.lit("file_contents"))
+    prompts = entries.select("session_id").distinct().select("session_id", F.lit("user_instructions").alias("section"), F.lit("Explain.").alias("text"))
+    return entries, contents.select("session_id", "section", "text").unionByName(prompts)
+
+
 _PACKED = f"""{_SELECTED}, b AS (SELECT session_id, string_agg('File: ' || path || chr(10) || '```txt' || chr(10) || rtrim(content, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '```', chr(10) || chr(10) ORDER BY path) AS t FROM e WHERE mode = 'full' AND regexp_matches(path, '[05][.]txt$') GROUP BY 1),
     x AS (SELECT session_id, CASE WHEN t IS NULL THEN '' ELSE '<file_contents>' || chr(10) || t || chr(10) || '</file_contents>' || chr(10) || chr(10) END || '<user_instructions>' || chr(10) || 'Explain.' || chr(10) || '</user_instructions>' AS text FROM (SELECT DISTINCT session_id FROM e WHERE regexp_matches(path, '[05][.]txt$')) LEFT JOIN b USING (session_id))"""
 
@@ -423,9 +435,22 @@ def token_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packaging.breakdown(sections, entries, packaging.payload(sections)).select("session_id", "files_full", "instructions", "total")
 
 
+@query("payload_hash_whole")
+def payload_hash_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload_hash over the whole selection."""
+    return packaging.payload(_bundled(spark, sf_dir)[1]).select("session_id", "content_sha256", "tokens")
+
+
+@query("token_breakdown_whole")
+def token_breakdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_breakdown over the whole selection."""
+    entries, sections = _bundled(spark, sf_dir)
+    return packaging.breakdown(sections, entries, packaging.payload(sections)).select("session_id", "files_full", "instructions", "total")
+
+
 @query("receipt")
 def receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, sections = _packed(spark, sf_dir)
+    entries, sections = _bundled(spark, sf_dir)
     made = packaging.payload(sections)
     return packaging.receipt(entries, made, packaging.breakdown(sections, entries, made), "standard", 160_000, "2024-01-01T00:00:00.000Z")
 

@@ -1,7 +1,12 @@
+import hashlib
+import json
+import re
+
 import pytest
 
 import __spark_entry__
 from lodestone.plans import queries
+from lodestone.plans.tables import files, selected
 from tests.oracle import both
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +28,22 @@ def test_entry_has_rows_and_names_match(spark):
     assert {"path", "rank", "tokens"} <= set(df.columns)
     assert df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_whole_selection_is_packaged_in_bounded_sessions(spark, monkeypatch):
+    monkeypatch.setattr(queries, "BUNDLE_TOKENS", 3000)
+    content = {r["path"]: r["content"] for r in files(spark, SF).select("path", "content").collect()}
+    mode = {r["path"]: r["mode"] for r in selected(spark, SF).collect()}
+    records = {r["session_id"]: json.loads(r["receipt"]) for r in queries.QUERIES["receipt"](spark, SF).collect()}
+    hashes = {r["session_id"]: r["content_sha256"] for r in queries.QUERIES["payload_hash_whole"](spark, SF).collect()}
+    sums = {r["session_id"]: r["files_full"] for r in queries.QUERIES["token_breakdown_whole"](spark, SF).collect()}
+    held = [f["path"] for r in records.values() for f in r["files"]]
+    assert sorted(held) == sorted(mode) and len(records) > 4
+    assert hashes.keys() == records.keys() == sums.keys()
+    for session, record in records.items():
+        blocks = ["File: " + f["path"] + "\n```txt\n" + re.sub(r"\s+$", "", content[f["path"]]) + "\n```" for f in record["files"] if f["mode"] == "full"]
+        body = "<file_contents>\n" + "\n\n".join(blocks) + "\n</file_contents>\n\n" if blocks else ""
+        text = body + "<user_instructions>\nExplain.\n</user_instructions>"
+        assert hashes[session] == record["content_hash"] == hashlib.sha256(text.encode()).hexdigest()
+        assert sums[session] == sum(f["tokens"] for f in record["files"])
+        assert sum(f["tokens"] for f in record["files"][:-1]) <= 3000
