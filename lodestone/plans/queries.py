@@ -337,12 +337,21 @@ def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     i AS (SELECT key, x, x - row_number() OVER (PARTITION BY key ORDER BY x) AS g FROM d) SELECT key, min(x) AS start, max(x) AS "end" FROM i GROUP BY key, g""",
 )
 def interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    return _uncovered(table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0"))
+
+
+def _uncovered(items: DataFrame) -> DataFrame:
     whole = items.groupBy(F.col("l_orderkey").alias("key")).agg((F.min("l_linenumber") * 20).cast("long").alias("start"), (F.max("l_linenumber") * 20 + 30).cast("long").alias("end"))
     cut = items.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 20 + 5).cast("long").alias("start"), (F.col("l_linenumber") * 20 + 5 + F.col("l_quantity").cast("long") % 12).alias("end"))
     return intervals.subtract(whole, cut, "key")
 
 
+@query("interval_difference_whole")
+def interval_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """interval_difference over all orders."""
+    return _uncovered(table(spark, sf_dir, "lineitem"))
+
+
 _SELECTED = "e AS (SELECT coalesce(lang, 'und') AS session_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), d.doc_id || '.txt') AS path, CASE WHEN toxic = 1 THEN 'codemap' WHEN quality = 1 THEN 'full' END AS mode, coalesce(text, '') AS content FROM documents d JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 1)"
 
 
@@ -505,6 +514,15 @@ def edit_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.char_length("s") > 1).select("path", "line_no", F.round(T.multiset_dice(F.lit("the thing of ands"), F.col("s")), 6).alias("dice"))
 
 
+@query("edit_fuzzy_whole")
+def edit_fuzzy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's first line with words, changed a little, looked for among all lines of the file by the three tiers."""
+    rows = files(spark, sf_dir)
+    first = F.get(F.filter(T.lines("content"), lambda x: T.normalised_line(x) != ""), 0)
+    wanted = rows.select("path", F.lit(0).alias("edit_index"), F.concat(first, F.lit(" zq")).alias("search"), F.lit("found").alias("replace"), F.lit(False).alias("all")).where("search IS NOT NULL")
+    return edits.resolved(rows, wanted).select("path", "matched_by", F.round("dice", 6).alias("dice"), F.get("spans", 0)["start"].alias("start"), F.get("spans", 0)["end"].alias("end"), "error.code", "error.lines")
+
+
 @query("diff_linewise", f"WITH {_FILES}, {_LINES}, b AS (SELECT path, list(line ORDER BY line_no) AS ls FROM l GROUP BY 1), c AS (SELECT path, ls, string_split(replace(array_to_string(ls, chr(10)), 'that', 'this'), chr(10)) AS rs FROM b) SELECT path, list_concat(list_transform(list_filter(ls, lambda x: NOT list_contains(rs, x)), lambda x: '-' || x), list_transform(list_filter(rs, lambda x: NOT list_contains(ls, x)), lambda x: '+' || x)) AS diff FROM c")
 def diff_linewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where("content <> ''").select("path", edits.line_diff("content", F.replace("content", F.lit("that"), F.lit("this"))).alias("diff"))
