@@ -1,9 +1,9 @@
 """Document fingerprints: threshold-scaled sketches in DataFrame functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the
-document's. Sketches of parts merge into the sketch of the whole by union, and the share of a sketch found
-in another estimates containment, however unequal the documents are. So that a short text is not left
-without any, its smallest hash is kept when no hash is below the threshold; that too can be merged.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the document's.
+A text with fewer than FEW hashes below the threshold keeps all of its hashes. Sketches of parts merge into the
+sketch of the whole by union, and the share of a sketch found in another, both brought to the scale of the coarser
+one, estimates containment, however unequal the documents are.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
 SCALE = 4
+#: With fewer hashes than this below the threshold a sketch keeps all, and an estimate is too coarse to be given.
+FEW = 16
 #: Where neighbours by key are met: rows of a range of keys, quantiles that part the keys, and the most ranges.
 RANGE_ROWS, QUANTILES, MOST_RANGES = 4000, 256, 16384
 
@@ -30,27 +32,39 @@ def shingle_hashes(words: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(runs)
 
 
+def below(hashes: Column, scale: int = SCALE) -> Column:
+    """The hashes below 1/scale of the range, from its lower end."""
+    bound = F.lit(-(1 << 63) + (1 << 64) // scale)
+    return F.filter(hashes, lambda h: h < bound)
+
+
 def sketch_of_hashes(hashes: Column, scale: int = SCALE) -> Column:
-    """The sorted, distinct hashes below 1/scale of the range (from its lower end), or else the smallest one."""
-    below = F.lit(-(1 << 63) + (1 << 64) // scale)
-    kept = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < below)))
-    return F.when((F.size(kept) > 0) | (F.size(hashes) == 0), kept).otherwise(F.array(F.array_min(hashes)))
+    """The sorted, distinct hashes below 1/scale of the range; all of them where those are fewer than FEW."""
+    kept = F.array_sort(F.array_distinct(below(hashes, scale)))
+    return F.when(F.size(kept) < FEW, F.array_sort(F.array_distinct(hashes))).otherwise(kept)
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two texts' shingles together, from their sketches."""
+    """The sketch of two texts' shingles together, from their sketches; exactly what their joint hashes would give."""
     return sketch_of_hashes(F.array_union(a, b), scale)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The estimated share of the smaller sketch's shingles that the other has; 1 for two empty sketches, 0 for one."""
+def is_scaled(sketch: Column, scale: int = SCALE) -> Column:
+    """True where the sketch holds only hashes below the threshold, false where it holds all of a text's hashes."""
+    return F.size(below(sketch, scale)) >= FEW
+
+
+def shared_part(a: Column, b: Column) -> Column:
+    """The share of the smaller array's elements that the other has; 1 for two empty ones, 0 for one."""
     least = F.least(F.size(a), F.size(b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
-def is_fallback(sketch: Column, scale: int = SCALE) -> Column:
-    """True where the sketch is a smallest hash, above the threshold: it says nothing of the text's other hashes."""
-    return F.coalesce(F.get(sketch, 0) >= F.lit(-(1 << 63) + (1 << 64) // scale), F.lit(False))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The share of the smaller text's shingles that the other has, from the sketches: exact where both hold all
+    hashes, an estimate where both are scaled, and null (no estimate) where one is scaled and the other is not."""
+    fine = is_scaled(a, scale) == is_scaled(b, scale)
+    return F.when(fine, shared_part(a, b))
 
 
 def sketched(docs: DataFrame, text: str = "text", column: str = "sketch", scale: int = SCALE) -> DataFrame:
@@ -79,7 +93,8 @@ def in_key_ranges(docs: DataFrame, key: str) -> DataFrame:
     the last (a ghost) of the range before. The first row of all is the ghost of the last range.
 
     Ranges follow from quantiles of the keys, which is all that the driver sees; there are MOST_RANGES at most,
-    so the table of their first keys can be broadcast. Null keys form the last range.
+    so the table of their first keys can be broadcast: above MOST_RANGES * RANGE_ROWS rows (65 million) ranges hold more
+    rows, in proportion, and window sorts spill; the result stays the same. Null keys form the last range.
     """
     rows = docs.count()
     steps = max(1, min(rows // (RANGE_ROWS * QUANTILES), MOST_RANGES // QUANTILES))
@@ -105,8 +120,8 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The edited text keeps the first half of the code points (the odd one too) and goes on with as many from the
     start of the next text as the other half has, or all. Rows with equal keys follow in the order of their
     texts. Null texts are empty; null keys come last. Other columns are not read.
-    near_* compare the sketches alone; contained_* compare all shingles where a sketch is only a smallest hash, so
-    that very short texts get their exact containment.
+    Where one sketch holds all hashes of a short text and the other is scaled, sketches give no estimate, and all
+    shingles of both texts are compared instead.
     """
     rows = in_key_ranges(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_key")
     dealt = sketched(rows.repartition("_range"), "_text", "_own", scale)
@@ -116,18 +131,18 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next_text"), F.lit(1), half))
     both = sketched(met.withColumn("_edited_text", edited), "_edited_text", "_edited", scale)
-    short_edited, short_next = (is_fallback(F.col("_own"), scale) | is_fallback(F.col(c), scale) for c in ("_edited", "_next"))
-    for name, source, needed in (("own", "_text", short_edited | short_next), ("edited", "_edited_text", short_edited), ("next", "_next_text", short_next)):
+    mixed = lambda c: is_scaled(F.col("_own"), scale) != is_scaled(F.col(c), scale)
+    both = both.withColumns({"_mixed_edited": mixed("_edited"), "_mixed_next": mixed("_next")})
+    for name, source, needed in (("own", "_text", F.col("_mixed_edited") | F.col("_mixed_next")), ("edited", "_edited_text", F.col("_mixed_edited")), ("next", "_next_text", F.col("_mixed_next"))):
         both = both.withColumn("_words", F.when(needed, words(F.col(source))))
         both = both.withColumn(f"_all_{name}", F.when(needed, F.array_distinct(shingle_hashes(F.col("_words"))))).drop("_words")
+    near = lambda c: F.when(F.col(f"_mixed{c}"), shared_part(F.col("_all_own"), F.col(f"_all{c}"))).otherwise(shared_part(F.col("_own"), F.col(c)))
     return both.select(
         F.col("_key").alias(key),
         n.cast("long").alias("n_chars"),
         F.sha2("_edited_text", 256).alias("edited_sha256"),
         as_string(F.col("_own")).alias("fingerprint"),
         as_string(F.col("_edited")).alias("edited_fingerprint"),
-        containment(F.col("_own"), F.col("_edited")).alias("near_edited"),
-        containment(F.col("_own"), F.col("_next")).alias("near_next"),
-        F.when(short_edited, containment(F.col("_all_own"), F.col("_all_edited"))).otherwise(containment(F.col("_own"), F.col("_edited"))).alias("contained_edited"),
-        F.when(short_next, containment(F.col("_all_own"), F.col("_all_next"))).otherwise(containment(F.col("_own"), F.col("_next"))).alias("contained_next"),
+        near("_edited").alias("near_edited"),
+        near("_next").alias("near_next"),
     )
