@@ -1,7 +1,7 @@
 """Hashed n-gram features of whole texts, as numpy index arrays; two logistic models use them.
 
 Words are runs of bytes other than ASCII white space. A feature is a hash of one or two neighbouring words,
-or of a few neighbouring bytes, reduced to a table of 2**bits places. A text's features of a family are
+or of a few neighbouring characters, reduced to a table of 2**bits places. A text's features of a family are
 averaged, so that a score does not grow with the text's length.
 """
 
@@ -42,24 +42,37 @@ def word_families(data: np.ndarray, offsets: np.ndarray, bits: int, hashes: np.n
     return [Family(single, first), Family(pair[inner], kept[np.minimum(first, len(pair))])]
 
 
-def byte_families(data: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple[int, ...] = (2, 4)) -> list[Family]:
-    """Runs of neighbouring bytes of the given sizes. Runs over the border of two rows are left out by the bounds."""
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each UTF-8 character packed into a number, and the number of each row's first character (with the end)."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(starts) == len(data):
+        return data.astype(np.uint32), offsets
+    code = data[starts].astype(np.uint32)
+    sizes = np.diff(starts, append=len(data))
+    for j in range(1, 4):
+        more = np.flatnonzero(sizes > j)
+        code[more] |= data[starts[more] + j].astype(np.uint32) << np.uint32(8 * j)
+    return code, np.searchsorted(starts, offsets)
+
+
+def character_families(data: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple[int, ...] = (2, 4)) -> list[Family]:
+    """Runs of neighbouring characters (code points) of the given sizes. Runs over the border of two rows are left out."""
     found = []
-    wide = data.astype(np.uint32)
+    chars, first = characters(data, offsets)
     for size in sizes:
-        n = max(0, len(data) - size + 1)
+        n = max(0, len(chars) - size + 1)
         code = np.zeros(n, np.uint32)
-        for j in range(size):
-            code = (code << np.uint32(8)) | wide[j : j + n]
         with np.errstate(over="ignore"):
-            code = (code * np.uint32(2654435761)) ^ (code >> np.uint32(15))
-            code = (code * np.uint32(2246822519)) >> np.uint32(32 - bits)
-        ends = np.maximum(offsets[1:] - size + 1, offsets[:-1])
+            for j in range(size):
+                code = code * np.uint32(0x9E3779B1) + chars[j : j + n]
+            code = (code ^ (code >> np.uint32(15))) * np.uint32(2246822519)
+            code = (code ^ (code >> np.uint32(13))) * np.uint32(2654435761) >> np.uint32(32 - bits)
+        ends = np.maximum(first[1:] - size + 1, first[:-1])
         inner = np.zeros(n + 1, np.int32)
-        np.add.at(inner, np.minimum(offsets[:-1], n), 1)
+        np.add.at(inner, np.minimum(first[:-1], n), 1)
         np.add.at(inner, np.minimum(ends, n), -1)
         keep = np.cumsum(inner[:-1]) > 0
-        bounds = np.concatenate([[0], np.cumsum(np.maximum(0, ends - offsets[:-1]))])
+        bounds = np.concatenate([[0], np.cumsum(np.maximum(0, ends - first[:-1]))])
         found.append(Family(code[keep].astype(np.int64), bounds))
     return found
 

@@ -202,21 +202,22 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return train(labelled_sample(rows, rows, label, text, key, max_rows))
 
 
-def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", label_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """docs with the predicted label (`und` for null texts and those without a letter) and its probability.
+def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", label_as: str = "lang_pred", score_as: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs (or only the columns `keep` of it) with the predicted label (`und` for null texts and those without a
+    letter) and its probability.
 
     Existing columns of the two new names are replaced. An empty table gives an empty table; without any
-    labelled row (net is None) every text is `und` with score 0.
+    labelled row (net is None) every text is `und` with score 0. The text goes back to Spark only where it is kept.
     """
-    kept = [c for c in docs.columns if c.lower() not in (label_as.lower(), score_as.lower())]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = source.withColumns({label_as: F.lit("").cast("string"), score_as: F.lit(0.0)}).schema
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (label_as.lower(), score_as.lower())]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text_"))
+    schema = source.drop("_text_").withColumns({label_as: F.lit("").cast("string"), score_as: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                names, scores = predict(net, part.column(part.schema.get_field_index(text)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, label_as, score_as])
+                names, scores = predict(net, part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], label_as, score_as])
 
     return source.mapInArrow(run, schema)

@@ -75,19 +75,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     return train(labelled_sample(labels.where(F.col(label).isin(0, 1)), docs, label, text, key, max_rows))
 
 
-def classify(docs: DataFrame, model: FtrlModel | None, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 from THRESHOLD on).
+def classify(docs: DataFrame, model: FtrlModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or only the columns `keep` of it) with score (0 to 1, higher: label 1 likelier) and predicted (1 from
+    THRESHOLD on).
 
     Null texts score as empty ones, by the bias alone; without a model every score is 0.5. Existing columns of the
-    two names are replaced; an empty table stays empty.
+    two names are replaced; an empty table stays empty. The text goes back to Spark only where it is kept.
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")])
-    schema = source.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    source = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")], F.col(text).alias("_text_"))
+    schema = source.drop("_text_").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, offsets, first, end in text_chunks(batch.column(batch.schema.get_field_index(text))):
+            for data, offsets, first, end in text_chunks(batch.column(batch.num_columns - 1)):
                 score = np.full(end - first, 0.5) if model is None else sigmoid(margins(word_families(data, offsets, BITS), model.tables, model.bias))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
     return source.mapInArrow(run, schema)

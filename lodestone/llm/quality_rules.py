@@ -1,7 +1,7 @@
 """Quality rules: counted rules and a calibrated n-gram model against fixed thresholds.
 
 The counted rules reject texts that are very short or mostly made of repeated passages. A logistic
-regression over hashed word and byte n-grams, fitted to labelled rows and calibrated on a part of them kept
+regression over hashed word and character n-grams, fitted to labelled rows and calibrated on a part of them kept
 apart, judges the rest. Scoring runs over Arrow batches with numpy; every text is read whole.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.hashed_lr import byte_families, margins, row_features, sigmoid, word_families
+from lodestone.llm.hashed_lr import character_families, margins, row_features, sigmoid, word_families
 from lodestone.llm.shared import IS_SPACE, labelled_sample, mix, span_hashes, text_chunks, words_of
 
 #: Fixed thresholds.
@@ -37,12 +37,15 @@ class QualityModel:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, **words) -> list:
-    return word_families(data, offsets, BITS, **words) + byte_families(data, offsets, BITS)
+    return word_families(data, offsets, BITS, **words) + character_families(data, offsets, BITS)
 
 
 def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """The counts of each row, and the word hashes they were taken from."""
     rows = len(offsets) - 1
+    if not len(data):  # nothing but empty texts
+        none = np.zeros(rows, np.int64)
+        return dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), none), {"hashes": np.zeros(0, np.uint64), "first": np.zeros(rows + 1, np.int64)}
     starts, ends, first = words_of(data, offsets)
     hashes = span_hashes(data, starts, ends)
     n_words = np.diff(first)
@@ -147,19 +150,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
 ADDED = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("quality", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
 
-def judge(docs: DataFrame, model: QualityModel | None, text: str = "text") -> DataFrame:
-    """docs with its counts, the model's probability of good quality, base_failed and kept.
+def judge(docs: DataFrame, model: QualityModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or only the columns `keep` of it) with its counts, the model's probability of good quality, base_failed
+    and kept.
 
     A null text has no words and so fails, as an empty one does. Without a model the probability is null and the
-    counted rules alone decide. Existing columns of the added names are replaced; an empty table stays empty.
+    counted rules alone decide. Existing columns of the added names are replaced; an empty table stays empty. The
+    text itself goes back to Spark only where it is among the kept columns.
     """
     names = {f.name for f in ADDED}
-    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
-    schema = T.StructType([*source.schema.fields, *ADDED.fields])
+    source = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in names], F.col(text).alias("_text_"))
+    schema = T.StructType([*source.schema.fields[:-1], *ADDED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, offsets, first, end in text_chunks(batch.column(batch.schema.get_field_index(text))):
+            for data, offsets, first, end in text_chunks(batch.column(batch.num_columns - 1)):
                 counts, words = counted(data, offsets)
                 failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
                 good = None
@@ -167,6 +172,6 @@ def judge(docs: DataFrame, model: QualityModel | None, text: str = "text") -> Da
                     good = sigmoid(model.slope * margins(features(data, offsets, **words), model.tables, model.bias) + model.offset)
                 kept = ~failed if good is None else ~failed & (good >= MIN_QUALITY)
                 added = [*(pa.array(counts[f.name], pa.int64()) for f in ADDED.fields[:5]), pa.nulls(end - first, pa.float64()) if good is None else pa.array(good), pa.array(failed), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *added], names=[*batch.schema.names, *(f.name for f in ADDED.fields)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], *added], names=[*batch.schema.names[:-1], *(f.name for f in ADDED.fields)])
 
     return source.mapInArrow(run, schema)

@@ -25,15 +25,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows whose crc32 modulo 4 is 2 take no part in the fit."""
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"))
-    texts = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")
-    return language_id.identify(texts, net).select("doc_id", "held_out", "lang_pred", "score")
+    texts = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    return language_id.identify(texts, net, keep=["doc_id", "held_out"])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, model).drop("text")
+    return quality_rules.judge(docs, model, keep=["doc_id"])
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; rows whose crc32 modulo 5 is 0 take no part in the fit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
-    texts = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text")
-    return quality_classifier.classify(texts, model).select("doc_id", "held_out", "score", "predicted")
+    texts = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
+    return quality_classifier.classify(texts, model, keep=["doc_id", "held_out"])
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +16,24 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles, so that temporary arrays stay small.
 CHUNK_BYTES = 1 << 20
-#: Rows of one label in a sample; up to this number Spark ranks within each task before it shuffles.
+#: Rows of one label in a sample at most.
 MOST_PER_LABEL = 1000
+#: How many times as many keys as wanted are ranked for a sample.
+OVERSAMPLE = 4
 #: The bytes that part words: space and \x09-\x0D.
 IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests) gets a temporary one; on a cluster that is an error, since executors
+    could not read it. What jobs leave there (checkpoints, tables, archives) is the caller's to remove.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -34,6 +45,18 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """Python's cycle collector is off inside: for loops that make millions of small objects without a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def crc_mod(doc_id: str | Column, by: int) -> Column:
     """crc32 of doc_id as text, modulo `by`."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(by)
@@ -42,17 +65,36 @@ def crc_mod(doc_id: str | Column, by: int) -> Column:
 def labelled_sample(labelled: DataFrame, docs: DataFrame, label: str, text: str, key: str, max_rows: int) -> list[tuple]:
     """At most max_rows (text, label) pairs for fitting a model, dealt evenly over the labels.
 
-    Keys are chosen from key and label alone, in the order of the key's hash, and every labelled row is a
-    candidate (no label gives more than MOST_PER_LABEL rows); only then are the texts of the chosen keys read. Null labels and texts are left out. Rows that
-    repeat a key count as one label; a key with two labels may give either.
+    Of each label the keys with the smallest hashes are taken, MOST_PER_LABEL at most, among all labelled keys that
+    docs holds. Only keys whose hash is so small that a few times as many as wanted are expected get ranked; where
+    docs holds too few of these, the bound is doubled until it takes in every key, so the choice never depends on it.
+    Then the texts of the chosen keys are read. Null keys, labels and texts are left out; of rows that repeat a key
+    the smallest label and text count. The labels themselves are collected: the model has a class for each.
     """
-    usable = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).join(docs.select(key), key, "left_semi")
-    ranked = usable.withColumn("_h", F.xxhash64(key)).withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
-    chosen = dict(ranked.where(F.col("_n") <= min(max_rows, MOST_PER_LABEL)).orderBy("_n", "_h", key, label).limit(max_rows).select(key, label).collect())
-    if not chosen:
+    usable = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.xxhash64(key).alias("_h"))
+    held = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"))
+    wanted = min(max_rows, MOST_PER_LABEL)
+    counts = {r[0]: r[1] for r in usable.groupBy("_y").count().collect()}
+    share = {y: OVERSAMPLE * wanted / n for y, n in counts.items()}
+    chosen: list[tuple] = []
+    open_labels = set(counts)
+    while open_labels:
+        low = F.lit(False)
+        for y in sorted(open_labels):
+            low = low | ((F.col("_y") == F.lit(y)) & (F.lit(share[y] >= 1) | (F.col("_h") < F.lit(min((1 << 63) - 1, -(1 << 63) + int(min(share[y], 1.0) * (1 << 64)))))))
+        few = usable.where(low).groupBy("_k", "_h").agg(F.min("_y").alias("_y")).join(held, "_k", "left_semi")
+        ranked = few.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_k"))).where(F.col("_n") <= wanted)
+        found = ranked.select("_n", "_h", "_k", "_y").collect()
+        met = Counter(r["_y"] for r in found)
+        done = {y for y in open_labels if met[y] >= wanted or share[y] >= 1}
+        chosen += [tuple(r) for r in found if r["_y"] in done]
+        open_labels -= done
+        share = {y: 2 * s for y, s in share.items()}
+    first = {k: y for _, _, k, y in sorted(chosen)[:max_rows]}
+    if not first:
         return []
-    found = docs.where(F.col(key).isin(list(chosen)) & F.col(text).isNotNull()).select(key, text).limit(2 * max_rows).collect()
-    return [(r[1], chosen[r[0]]) for r in sorted(found, key=lambda r: (r[0], r[1]))][:max_rows]
+    texts = docs.where(F.col(key).isin(list(first)) & F.col(text).isNotNull()).groupBy(key).agg(F.min(text)).collect()
+    return [(r[1], first[r[0]]) for r in sorted(texts)]
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -60,6 +102,8 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int,
 
     No text is cut: one that is longer than a chunk is a chunk of its own.
     """
+    if not len(column):
+        return
     if column.null_count:
         column = column.fill_null("")
     if isinstance(column, pa.ChunkedArray):
@@ -67,8 +111,6 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int,
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     else:
-        if not len(column):
-            return
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
