@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import gc
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -26,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.shared import without_collector
+
 #: Bounds of what a worker keeps; at a bound it forgets all and starts anew.
 MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 100_000, 200_000
 
@@ -223,7 +224,7 @@ class Pieces(dict):
 
 
 #: Characters for which the standard library's classes give the same pieces as \p{L} and \p{N} do.
-_PLAIN = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 
 
 class Encoder:
@@ -264,11 +265,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        gc.disable()  # millions of small objects without a cycle among them
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                found = [own.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                with without_collector():
+                    found = [own.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists.cast(pa.list_(pa.field("element", pa.int32(), False)))], schema=pa.schema([*list(part.schema)[:-1], pa.field(ids, pa.list_(pa.field("element", pa.int32(), False)), False)]))
@@ -330,12 +331,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         machine = Decoder(coder.pieces.transducer.tokens)
-        gc.disable()  # millions of small objects without a cycle among them
         element = pa.list_(pa.field("element", pa.int32(), False))
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                found = [coder.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                with without_collector():
+                    found = [coder.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))).cast(element)
                 texts = pa.array(["".join(machine.stream(x[i : i + block] for i in range(0, len(x), block))) for x in found], pa.string())

@@ -27,7 +27,9 @@ def perspectives(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn"
     role system and mask 0. rendered is `<|role name|>\\ncontent<|end|>\\n`; start counts the code points
     rendered before it. Messages stand in the order of turn; equal turns in the order of speaker and of the text's digest. Null
     turns come first. A null text is empty, a null speaker takes part under the name `unknown`, null dialogues
-    form one dialogue. A dialogue of narrators alone has no perspective and so no rows.
+    form one dialogue. A dialogue of narrators alone has no perspective and so no rows. Result rows are messages times
+    participants by nature: a dialogue's, and those of all rows without a dialogue together. Running sums are split into
+    parts of PART_TURNS turns; messages that share one part (all null turns of a dialogue do) are summed in one task.
     """
     texts = turns.select(
         F.col(dialogue).alias("_d"), F.col(turn).alias("_t"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("_s"), F.coalesce(F.col(text), F.lit("")).alias("_x")

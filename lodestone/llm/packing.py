@@ -10,7 +10,6 @@ own. What does not fill a window goes on to the partition's next block; only its
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections import defaultdict
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from lodestone.llm.shared import without_collector
+
 WINDOW, UNITS, DEPTH = 2048, 32, 4
 #: Tokens of a block.
 BLOCK_TOKENS = 4_000_000
@@ -199,7 +200,6 @@ def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", en
     schema = T.StructType([T.StructField(key, kind)] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects without a cycle among them
         ids_of = tokenize(path)
         number = TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # (key, ids, first position, tokens of the document)
@@ -228,10 +228,11 @@ def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", en
             key_type = batch.schema.field(0).type
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                for own, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(ids_of(words), np.uint32(end_id)) if words else np.array([end_id], np.uint32)
-                    held.append((own, ids, 0, len(ids)))
-                    tokens += len(ids)
+                with without_collector():
+                    for own, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        ids = np.append(ids_of(words), np.uint32(end_id)) if words else np.array([end_id], np.uint32)
+                        held.append((own, ids, 0, len(ids)))
+                        tokens += len(ids)
                 if tokens >= BLOCK_TOKENS:
                     yield from block(False)
         if held:

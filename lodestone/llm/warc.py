@@ -86,7 +86,11 @@ def _payload(column: str) -> Column:
 
 
 def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Writes a record for each page into archives in a shared folder and returns their index, read from its table."""
+    """Writes a record for each page into archives in a shared folder and returns their index, read from its table.
+
+    Keys are cast to long (other keys end the job, as Spark's casts do). The index has the URL as it is; the record has
+    it percent-encoded, and a null URL as an empty one.
+    """
     spark = pages.sparkSession
     folder = folder or work_folder(spark, "warc")
     facts = digests(pages, key, payload).distinct()
@@ -102,15 +106,16 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
         out, offset = None, 0
         try:
             for batch in batches:
-                found = []
-                for row in batch.to_pylist():
-                    if out is None:
-                        out = system.open_output_stream(name, compression=None)
-                    member = gzip.compress(record(row["key"], row["url"], row["payload"], row["digest"], row["refers_to"]), compresslevel=1, mtime=0)
-                    out.write(member)
-                    found.append((row["key"], name, offset, len(member), row["url"], "response" if row["refers_to"] is None else "revisit", row["refers_to"], row["digest"], len(row["payload"])))
-                    offset += len(member)
-                yield _batch(found, INDEX_SCHEMA)
+                for k in range(0, batch.num_rows, 256):
+                    found = []
+                    for row in batch.slice(k, 256).to_pylist():
+                        if out is None:
+                            out = system.open_output_stream(name, compression=None)
+                        member = gzip.compress(record(row["key"], row["url"], row["payload"], row["digest"], row["refers_to"]), compresslevel=1, mtime=0)
+                        out.write(member)
+                        found.append((row["key"], name, offset, len(member), row["url"], "response" if row["refers_to"] is None else "revisit", row["refers_to"], row["digest"], len(row["payload"])))
+                        offset += len(member)
+                    yield _batch(found, INDEX_SCHEMA)
         finally:
             if out is not None:
                 out.close()
@@ -149,7 +154,8 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the index rows, from the archives: each with its own fields, and a response with its payload.
 
     A response's digest and size are taken from the payload that was read, and a payload that does not have the
-    digest of its header ends the job; a revisit has those of its header and a null payload.
+    digest of its header ends the job; a revisit has those of its header and a null payload. URLs are those of the
+    records, percent-encoded; the index has them as they were.
     """
     held = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-held // TASK_BYTES))  # index rows are small, what they stand for is not
