@@ -7,6 +7,7 @@ averaged, so that a score does not grow with the text's length.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,34 +56,35 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return code, np.searchsorted(starts, offsets)
 
 
-def character_families(data: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple[int, ...] = (2, 4)) -> list[Family]:
+def character_families(data: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple[int, ...] = (2, 4)) -> Iterator[Family]:
     """Runs of neighbouring characters (code points) of the given sizes. Runs over the border of two rows are left out."""
-    found = []
     chars, first = characters(data, offsets)
     for size in sizes:
         n = max(0, len(chars) - size + 1)
-        code = np.zeros(n, np.uint32)
+        code = chars[:n].copy()
         with np.errstate(over="ignore"):
-            for j in range(size):
-                code = code * np.uint32(0x9E3779B1) + chars[j : j + n]
-            code = (code ^ (code >> np.uint32(15))) * np.uint32(2246822519)
-            code = (code ^ (code >> np.uint32(13))) * np.uint32(2654435761) >> np.uint32(32 - bits)
+            for j in range(1, size):
+                code *= np.uint32(0x9E3779B1)
+                code += chars[j : j + n]
+            code ^= code >> np.uint32(15)
+            code *= np.uint32(2246822519)
+            code ^= code >> np.uint32(13)
+            code *= np.uint32(2654435761)
+            code >>= np.uint32(32 - bits)
         ends = np.maximum(first[1:] - size + 1, first[:-1])
-        inner = np.zeros(n + 1, np.int32)
-        np.add.at(inner, np.minimum(first[:-1], n), 1)
-        np.add.at(inner, np.minimum(ends, n), -1)
-        keep = np.cumsum(inner[:-1]) > 0
+        whole = np.ones(n, bool)
+        for back in range(1, size):  # a run that begins so near a row's end goes over it
+            at = first[1:] - back
+            whole[at[(at >= first[:-1]) & (at < n)]] = False
         bounds = np.concatenate([[0], np.cumsum(np.maximum(0, ends - first[:-1]))])
-        found.append(Family(code[keep].astype(np.int64), bounds))
-    return found
+        yield Family(code[whole], bounds)
 
 
-def margins(families: list[Family], tables: list[np.ndarray], bias: float) -> np.ndarray:
-    """Sparse dot products: the mean weight of each family's features, summed over the families."""
-    total = np.full(len(families[0].bounds) - 1, float(bias))
+def margins(families: Iterable[Family], tables: list[np.ndarray], bias: float) -> np.ndarray:
+    """Sparse dot products: the mean weight of each family's features, summed over the families, one after the other."""
+    total = np.float64(bias)
     for family, table in zip(families, tables, strict=True):
-        counts = np.diff(family.bounds)
-        total += row_sums(table[family.places], family.bounds) / np.maximum(counts, 1)
+        total = total + row_sums(np.take(table, family.places), family.bounds) / np.maximum(np.diff(family.bounds), 1)
     return total
 
 

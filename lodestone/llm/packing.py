@@ -30,7 +30,7 @@ from lodestone.llm.shared import without_collector
 WINDOW, UNITS, DEPTH = 2048, 32, 4
 #: Tokens of a block.
 BLOCK_TOKENS = 4_000_000
-MAX_PIECES = 200_000
+MAX_PIECES = 100_000
 #: A tokenizer's rules for which words can be cut here, and its BPE model asked for one word at a time.
 _KNOWN = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")

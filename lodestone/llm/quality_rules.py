@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.hashed_lr import character_families, margins, row_features, sigmoid, word_families
+from lodestone.llm.hashed_lr import Family, character_families, margins, row_features, sigmoid, word_families
 from lodestone.llm.shared import IS_SPACE, labelled_sample, mix, span_hashes, text_chunks, words_of
 
 #: Fixed thresholds.
@@ -36,8 +36,10 @@ class QualityModel:
     offset: float = 0.0
 
 
-def features(data: np.ndarray, offsets: np.ndarray, **words) -> list:
-    return word_families(data, offsets, BITS, **words) + character_families(data, offsets, BITS)
+def features(data: np.ndarray, offsets: np.ndarray, **words) -> Iterator[Family]:
+    """The families of a model's features, one at a time."""
+    yield from word_families(data, offsets, BITS, **words)
+    yield from character_families(data, offsets, BITS)
 
 
 def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -100,7 +102,7 @@ def train(rows: list[tuple[str, int]], good_share: float, epochs: int = 8, rate:
     column = pa.array([t for t, _ in rows], pa.string())
     examples = []
     for data, offsets, first, end in text_chunks(column):
-        families = features(data, offsets)
+        families = list(features(data, offsets))
         examples += [(row_features(families, i), rows[first + i][1]) for i in range(end - first)]
     tables = [np.zeros(1 << BITS) for _ in range(4)]
     seen = [np.full(1 << BITS, 1e-8) for _ in range(4)]
@@ -135,7 +137,7 @@ def train(rows: list[tuple[str, int]], good_share: float, epochs: int = 8, rate:
             break
     own = min(0.99, max(0.01, float(np.mean([y for _, y in rows]))))
     share = min(0.99, max(0.01, good_share))
-    return QualityModel(tables, float(bias), float(slope), float(offset + np.log(share / (1 - share)) - np.log(own / (1 - own))))
+    return QualityModel([t.astype(np.float32) for t in tables], float(bias), float(slope), float(offset + np.log(share / (1 - share)) - np.log(own / (1 - own))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = 2400) -> QualityModel | None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles, so that temporary arrays stay small.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of one label in a sample at most.
 MOST_PER_LABEL = 1000
 #: How many times as many keys as wanted are ranked for a sample.
