@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ready_to_checkpoint(spark: SparkSession) -> None:
-    """Uses the folder that spark.checkpoint.dir names; a temporary one only where none is named (tests)."""
+    """Uses the shared folder that spark.checkpoint.dir names. Where none is named, a local session (tests) gets a
+    temporary one; on a cluster that is an error, since executors could not read it."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
 def numbered(rows: DataFrame, order: list[Column | str], column: str, first: int = 0) -> DataFrame:

@@ -140,7 +140,7 @@ def summary(matches: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: limit_hit, omitted_total and a suggestion where rows were left out."""
     both = matches.agg(F.count(F.lit(1)).alias("n")).crossJoin(kept.agg(F.count(F.lit(1)).alias("k")))  # one row each
     left = F.col("n") - F.col("k")
-    return both.select((left > 0).alias("limit_hit"), left.alias("omitted_total"), F.when(left > 0, F.lit("Refine or narrow the pattern, add path/extension filters, or lower context_lines.")).alias("suggestion"))
+    return both.select((left > 0).alias("limit_hit"), left.alias("omitted_total"), F.when(left > 0, F.lit("More matched than is shown: use a longer pattern, fewer paths or extensions, or less context.")).alias("suggestion"))
 
 
 def search(

@@ -12,7 +12,6 @@ _USUAL = {"include_files": True, "include_tree": True, "tree_mode": "auto", "cod
 DEFAULTS = {
     "roots": ["."],
     "profile": "full",
-    "tokenizer": "heuristic",
     "budgets": {"discovery": 160_000, "plan": 120_000},
     "caps": {"search_chars": 50_000, "structure_tokens": 6000, "tree_tokens": 10_000, "git_patch_lines": 300, "file_size_bytes": 10_000_000},
     "codemaps": {"languages": ["ts", "tsx", "js", "py", "swift", "go", "rust", "java", "c", "cpp", "c_sharp", "ruby", "php", "dart"], "cache_dir": ".lodestone/codemap-cache"},
@@ -21,7 +20,6 @@ DEFAULTS = {
     "dynamic_roots": {"enabled": True, "max": 4},
     "tools": {"apply_edits": True, "file_actions": True, "git": True},
     "selection": {"auto_codemaps": True, "persist": True, "scope": "session"},
-    "context_builder": {"enhancement": "rewrite", "intent_detection": True},
     "presets": {
         "standard": _USUAL,
         "plan": _USUAL | {"meta_prompts": ["Architect"]},
@@ -30,8 +28,6 @@ DEFAULTS = {
         "mvp": _USUAL | {"tree_mode": "selected", "meta_prompts": ["MVP"]},
     },
     "packager": {"section_order": ["file_map", "file_contents", "git_diff", "meta_prompts", "user_instructions"], "duplicate_instructions_at_top": False},
-    "concurrency": {"parse_workers": 4, "search_max": 4, "hydrate": 8},
-    "daemon": {"keep_alive": False, "idle_timeout_s": 300, "max_rss_mb": 1500},
     "paths": "relative",
 }
 PREFIX = "LODESTONE"
@@ -63,15 +59,15 @@ def from_environment(env: dict[str, str], defaults: dict = DEFAULTS, path: tuple
         name = ".".join((*path, key))
         if isinstance(default, bool):
             if raw not in ("true", "false"):
-                raise ValueError(f"Invalid boolean config override for {name}: {raw}")
+                raise ValueError(f"{name} must be true or false, not {raw!r}")
             found[key] = raw == "true"
         elif isinstance(default, int):
             try:
                 found[key] = int(raw) if raw.strip().lstrip("+-").isdigit() else float(raw)
             except ValueError:
-                raise ValueError(f"Invalid numeric config override for {name}: {raw}") from None
+                raise ValueError(f"{name} must be a number, not {raw!r}") from None
             if found[key] != found[key] or found[key] in (float("inf"), float("-inf")):
-                raise ValueError(f"Invalid numeric config override for {name}: {raw}")
+                raise ValueError(f"{name} must be a number, not {raw!r}")
         elif isinstance(default, list):
             found[key] = [part.strip() for part in raw.split(",") if part.strip()]
         else:
@@ -88,5 +84,5 @@ def load(root: str, overrides: dict | None = None, env: dict[str, str] | None =
     user = Path(home or Path.home()) / ".config" / "lodestone" / "config.json"
     settings = merged(DEFAULTS, _file(user), _file(Path(root) / "lodestone.config.json"), from_environment(dict(os.environ) if env is None else env), overrides or {})
     if settings["profile"] not in PROFILES:
-        raise ValueError(f"Invalid profile config: {settings['profile']}")
+        raise ValueError(f"no such profile: {settings['profile']}")
     return settings

@@ -19,9 +19,9 @@ def refusal(tool: str, settings: dict) -> dict | None:
     if tool not in TOOLS:
         return {"code": "unknown_tool", "tool": tool}
     if settings["tools"].get(tool) is False:
-        return {"code": "tool_disabled_by_config", "tool": tool, "profile": settings["profile"], "message": f'Tool "{tool}" is disabled by tools.{tool}=false.'}
+        return {"code": "tool_disabled_by_config", "tool": tool, "profile": settings["profile"], "message": f"the settings switch {tool} off"}
     if settings["profile"] == "explorer" and tool in MUTATING:
-        return {"code": "tool_disabled_by_profile", "tool": tool, "profile": settings["profile"], "message": f'Tool "{tool}" is disabled by profile "explorer".'}
+        return {"code": "tool_disabled_by_profile", "tool": tool, "profile": settings["profile"], "message": f"an explorer may not use {tool}"}
     return None
 
 

@@ -32,7 +32,7 @@ def flagged(files: DataFrame, size_cap: int = SIZE_CAP) -> DataFrame:
     raw = F.col("content").cast("binary")
     return files.withColumns(
         {
-            "is_binary": F.instr(F.hex(F.substring(raw, 1, SNIFF_BYTES)), "00") > 0 if dict(files.dtypes)["content"] == "string" else _has_nul(F.substring(raw, 1, SNIFF_BYTES)),
+            "is_binary": F.position(F.lit(b"\x00"), F.substring(raw, 1, SNIFF_BYTES)) > 0,
             "oversized": F.col("size") > size_cap,
             "likely_generated": likely_generated("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))),
             "language": P.language("path"),
@@ -40,10 +40,6 @@ def flagged(files: DataFrame, size_cap: int = SIZE_CAP) -> DataFrame:
     )
 
 
-def _has_nul(sample: Column) -> Column:
-    return F.position(F.lit(b"\x00"), sample) > 0
-
-
 def from_documents(docs: DataFrame) -> DataFrame:
     """A corpus from a table of documents: source/lang/doc_id.txt as path, UTF-8 bytes as size."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))

@@ -81,6 +81,55 @@ def test_tree_rendering_and_ladder(spark):
     assert "mod3" in folders and "file1.py" not in folders
 
 
+def drawn(nodes, shape, prefix="", lead="", cap_open=True):
+    """Lines of a small tree below a node, drawn by recursion over its children."""
+    node = nodes[prefix]
+    anchored = lambda n: n["anchor_self"] or n["anchor_descendant"]
+    level = node["depth"]
+    below = [n for n in nodes.values() if n["depth"] == level + 1 and (prefix == "" or n["prefix"].startswith(prefix + "/"))]
+    if shape.folders:
+        below = [n for n in below if n["kind"] == "dir" or n["selected"]]
+    if shape.anchored_only and not node["anchor_descendant"]:
+        below = [n for n in below if anchored(n) or n["heuristic_anchor"]]
+    below.sort(key=lambda n: (n["kind"] == "file", n["prefix"].encode()))
+    more = False
+    if cap_open and shape.depth is not None and level >= shape.depth:
+        kept = [n for n in below if anchored(n)]
+        below, more, cap_open = kept, len(below) > len(kept) and bool(kept), False
+    if shape.distant is not None and level >= shape.distant and not anchored(node):
+        below = []
+    found = []
+    for i, n in enumerate(below):
+        last = i == len(below) - 1 and not more
+        name = n["prefix"].rsplit("/", 1)[-1]
+        short = n["kind"] == "dir" and not (anchored(n) and not (shape.depth == n["depth"] and cap_open and not n["anchor_descendant"])) and (shape.staged or (shape.depth == n["depth"] and cap_open) or (shape.distant is not None and n["depth"] >= shape.distant))
+        label = f"{name}/ {summed(n)}" if short else name + (" *" if n["selected"] else "")
+        found.append(lead + ("└── " if last else "├── ") + label)
+        found += drawn(nodes, shape, n["prefix"], lead + ("    " if last else "│   "), cap_open)
+    return found + ([lead + "└── " + summed(node)] if more else [])
+
+
+def summed(n):
+    return "… (" + ", ".join(f"{k} {w}{'s' * (k != 1)}" for k, w in ((n["file_count"], "file"), (n["dir_count"], "dir")) if k) + ")"
+
+
+def test_lines_are_those_of_a_recursive_drawing(spark, monkeypatch):
+    paths = [f"a{i}/b{j}/c{k}/d{m}.txt" for i in range(3) for j in range(2) for k in range(3) for m in range(2)] + ["a1/b.txt", "z.md", "b-x/y", "src/deep/er/x/y/z.py", "a1/b1x/q"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    marked = tree.anchors(tree.rollup(df), df.where("path IN ('a1/b1/c2/d0.txt', 'src/deep/er/x/y/z.py', 'a1/b0/c0')"))
+    nodes = {r["prefix"]: r.asDict() for r in marked.collect()}
+    placed = tree.placed(marked).cache()
+    shapes = [tree.Shape(folders=f, depth=d, staged=s) for f in (False, True) for d in (None, 0, 1, 2, 3) for s in (False, True)] + [tree.Shape(distant=d, folders=f) for d in (1, 2, 4) for f in (False, True)] + [tree.Shape(anchored_only=True), tree.Shape(anchored_only=True, distant=1)]
+    for shape in shapes:
+        got = [r["line"] for r in tree.lines(placed, shape).orderBy("place").collect()]
+        assert got[1:] == drawn(nodes, shape) and got[0].startswith("."), shape
+        assert tree.Ladder(placed, 0).least_bytes(shape) <= len(tree._text([{"line": x} for x in got]).encode())
+    monkeypatch.setattr(tree, "MOST_LINES", 5)
+    short = tree.render(marked, mode="full")
+    assert short["limit_hit"] and short["omitted_total"] == len(nodes) - 5 and short["tree"].count("\n") == 6
+    assert tree.render(tree.anchors(tree.rollup(df.limit(0)), df.limit(0)))["tree"] == tree.HEAD + "\n"
+
+
 def test_numbers_over_ranges(spark):
     from lodestone.operators import ordering
 
