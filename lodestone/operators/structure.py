@@ -1,15 +1,18 @@
 """Structure of source files: declarations by rules over lines, and what follows from them.
 
-Lines are matched against a table of rules for their language; how deep a line lies comes from running sums of
-brackets (or from indentation), and the container of a member is the last declaration on the level above it.
-All of it is line-level DataFrame work, so one huge file is no different from many small ones but for its window.
+One pass over each file, in Arrow batches: comments and literals are set aside, brackets (or indentation) say in which
+scope a line begins, and the rules of its language say what it declares. Files need no shuffle; one task holds one
+file's text at a time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
+from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
@@ -24,8 +27,9 @@ TYPES = ["class", "interface", "alias", "enum"]
 
 _MODS = r"(?:(?:public|private|protected|internal|open|fileprivate|static|final|abstract|sealed|partial|readonly|override|virtual|async|export|default|declare|inline|const|unsafe|extern|pub(?:\([^)]*\))?|mutating|lazy|weak|late|covariant|external|factory|required|native|synchronized|default|new|volatile|transient)\s+)*"
 _ID = r"([A-Za-z_$][\w$]*)"
-#: (languages, level, kind, expression with the name as its first group). Level 0 is the top, 1 inside a container,
-#: -1 anywhere. The first rule that matches a line decides.
+#: (languages, level, kind, expression with the name as its first group). Level 0 is the top (of the file, a namespace
+#: or a module), 1 inside a container, -1 anywhere. The first rule that matches a line decides; one without a kind
+#: passes a nested type over with all that it holds.
 RULES: list[tuple[str, int, str, str]] = [
     ("ts tsx js", 0, "import", r"^import\b.*?(['\"][^'\"]+['\"]).*$"),
     ("ts tsx js", 0, "export", r"^export\s+(\{[^}]*\}.*|\*.*)$"),
@@ -36,6 +40,7 @@ RULES: list[tuple[str, int, str, str]] = [
     ("ts tsx js", 0, "function", rf"^{_MODS}function\s*\*?\s*{_ID}"),
     ("ts tsx js", 0, "function", rf"^{_MODS}(?:const|let|var)?\s*{_ID}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::\s*[^=]+)?=>"),
     ("ts js", 0, "var", rf"^(?:export\s+)?(?:declare\s+)?(?:const|let|var)\s+{_ID}"),
+    ("ts tsx js java cpp swift dart", 1, "", rf"^{_MODS}(?:class|interface|enum|struct|union|protocol|actor|record)\s+{_ID}"),
     ("ts tsx js", 1, "method", rf"^{_MODS}(?:get\s+|set\s+)?\*?#?{_ID}\s*(?:<[^>]*>)?\(.*[{{;]?\s*$"),
     ("ts tsx js", 1, "property", rf"^{_MODS}#?{_ID}[?!]?\s*[:=;]"),
     ("py", 0, "import", r"^((?:from\s+\S+\s+)?import\s+.+)$"),
@@ -114,51 +119,129 @@ RULES: list[tuple[str, int, str, str]] = [
     ("dart", 1, "method", rf"^{_MODS}(?:[\w<>?,\[\]]+\s+)?(?:get\s+|set\s+)?{_ID}\s*\([^;]*\).*$"),
     ("dart", 1, "property", rf"^{_MODS}[\w<>?,\[\]]+\s+{_ID}\s*(?:=.*)?;$"),
 ]
-#: Languages whose levels come from indentation.
+#: Languages whose scopes come from indentation.
 INDENTED = ["py", "ruby"]
 SYMBOL = "path string, line_no int, level int, kind string, name string, container string, signature string"
 
-
-def levels(files: DataFrame) -> DataFrame:
-    """(path, language, line_no, code, level): each line without comments and literals' brackets, and how deep it lies."""
-    rows = files.withColumn("language", P.language("path")).where("language IS NOT NULL")
-    cut = rows.select("path", "language", F.posexplode(T.lines("content")).alias("_n", "line")).select("path", "language", (F.col("_n") + 1).alias("line_no"), "line")
-    bare = F.regexp_replace(F.regexp_replace("line", r"//.*$|^\s*\*.*$|/\*.*?\*/", ""), r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", '""')
-    step = F.regexp_count(bare, F.lit(r"[{]")) - F.regexp_count(bare, F.lit("[}]"))
-    order = Window.partitionBy("path").orderBy("line_no")
-    opened = F.coalesce(F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a namespace or a bare block around everything does not count as a level
-    wraps = F.col("line").rlike(r"^\s*(namespace\b|extern\s+\"C\"|<\?php)") & (step > 0)
-    outer = F.coalesce(F.sum(wraps.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    indent = F.char_length(F.regexp_extract("line", r"^[ \t]*", 0))
-    level = F.when(F.col("language").isin(INDENTED), F.when(indent == 0, 0).when(indent <= 4, 1).otherwise(2)).otherwise(opened - outer)
-    return cut.withColumn("level", level.cast("int")).withColumn("code", F.regexp_replace("line", r"^\s+|\s*(?://.*)?$", ""))
+_OF_C, _OF_SHELL = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))", r"(?P<comment>#[^\n]*)"
+_DOUBLE, _SINGLE, _BACKTICK = r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'?", r"`(?:\\.|[^`\\])*`?"
+_TRIPLE = r'"""(?:\\.|.)*?(?:"""|\Z)'
+#: What is not code in a language: comments, and literals, which may span lines.
+LITERALS = {
+    "ts tsx js": [_OF_C, r"(?<=[=(,:!&|?\[])[ \t]*/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/*\[\\\n])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\[\\\n])*/", _DOUBLE, _SINGLE, _BACKTICK],
+    "py": [_OF_SHELL, _TRIPLE, r"\'\'\'(?:\\.|.)*?(?:\'\'\'|\Z)", _DOUBLE, _SINGLE],
+    "ruby": [_OF_SHELL, r"(?P<block>^=begin\b.*?(?:^=end\b|\Z))", _DOUBLE, _SINGLE],
+    "go": [_OF_C, _DOUBLE, _SINGLE, r"`[^`]*`?"],
+    "rust": [_OF_C, r'r#+".*?(?:"#+|\Z)', r'"(?:\\.|[^"\\])*"?', r"'(?:\\[^\n]+?|[^'\\\n])'"],
+    "c_sharp": [_OF_C, _TRIPLE, r'\$?@\$?"(?:""|[^"])*"?', _DOUBLE, _SINGLE],
+    "php": [_OF_C, r"(?P<hash>#(?!\[)[^\n]*)", r'"(?:\\.|[^"\\])*"?', r"'(?:\\.|[^'\\])*'?"],
+    "swift": [_OF_C, _TRIPLE, _DOUBLE],
+    "java dart c cpp": [_OF_C, _TRIPLE, _DOUBLE, _SINGLE],
+}
+#: Scopes that hold declarations as the top of a file does.
+_OPEN_SCOPE = re.compile(r"^(?:(?:pub(?:\([^)]*\))?|export|declare|inline)\s+)*(?:namespace|module|mod|global)\b|^extern\s+\"C\"")
+_HAS_OPEN_SCOPES = ["ts", "tsx", "cpp", "c", "c_sharp", "php", "rust"]
+_TOP, _TYPE, _BODY, _BRACKET = "top", "type", "body", "bracket"
+
+
+@cache
+def _rules(language: str) -> list[tuple[int, str, re.Pattern]]:
+    return [(level, kind, re.compile(pattern)) for languages, level, kind, pattern in RULES if language in languages.split()]
+
+
+@cache
+def _literals(language: str) -> re.Pattern:
+    return re.compile("|".join(next(v for k, v in LITERALS.items() if language in k.split())), re.DOTALL | re.MULTILINE)
+
+
+def code_lines(text: str, language: str) -> list[tuple[str, str]]:
+    """Each line without comments, and the same without literals. What a literal holds beyond its first line goes."""
+    shown, bare, at = [], [], 0
+    for m in _literals(language).finditer(text):
+        between, gap = text[at : m.start()], re.sub(r"[^\n]", " ", m.group())
+        first = 0 if m.lastgroup else (m.group() + "\n").index("\n")
+        shown += [between, m.group()[:first], gap[first:]]
+        bare += [between, gap]
+        at = m.end()
+    return list(zip("".join([*shown, text[at:]]).split("\n"), "".join([*bare, text[at:]]).split("\n"), strict=True))
+
+
+def _scope(kind: str) -> str:
+    return _TYPE if kind in (*CONTAINERS, "impl") else _BODY
+
+
+def declared(text: str, language: str) -> Iterator[tuple[int, int, str, str, str | None, str]]:
+    """(line_no, level, kind, name, container, code) of the declarations of one file, in the order of their lines."""
+    by_indent = language in INDENTED
+    scopes: list[tuple[str, str | None, int]] = []  # what, name, indentation
+    waiting = None  # the scope that the next brace on this level opens
+    for n, (line, bare) in enumerate(code_lines(text, language), 1):
+        code = line.strip()
+        if by_indent and code and not (scopes and scopes[-1][0] == _BRACKET):
+            indent = len(line) - len(line.lstrip())
+            while scopes and scopes[-1][2] >= indent:
+                scopes.pop()
+        where, holder = scopes[-1][:2] if scopes else (_TOP, None)
+        hit = None
+        if code:
+            for level, kind, pattern in _rules(language):
+                if level == -1 or (level == 0 and where == _TOP) or (level == 1 and where == _TYPE):
+                    if m := pattern.search(code):
+                        hit = kind, m.group(1)
+                        break
+        if hit:
+            kind, name = hit
+            member = kind in ("method", "property")
+            container = holder if member else None
+            if language == "go" and kind == "method":
+                container = (re.search(r"^func\s*\(\s*\w*\s*\*?\s*(\w+)", code) or [None, None])[1]
+            if kind:
+                yield n, int(where == _TYPE), kind, name or "", container, code
+            waiting = (_scope(kind), name, len(scopes))
+        elif language in _HAS_OPEN_SCOPES and where == _TOP and _OPEN_SCOPE.search(code):
+            waiting = (_TOP, None, len(scopes))
+        if by_indent and waiting:
+            if waiting[0] == _TYPE or hit[0] in ("method", "function", "enum"):
+                scopes.append((waiting[0], waiting[1], indent))
+            waiting = None
+        for sign in re.findall(r"[][(){};]", bare):
+            if sign in "([" or (sign == "{" and by_indent):
+                scopes.append((_BRACKET, holder, 1 << 30))
+            elif sign == "{":
+                scopes.append((*waiting[:2], 0) if waiting and waiting[2] == len(scopes) else (_BODY, None, 0))
+                waiting = None if waiting and waiting[2] == len(scopes) - 1 else waiting
+            elif sign == ";":
+                waiting = None if waiting and waiting[2] == len(scopes) else waiting
+            elif sign == "}" and not by_indent:
+                while scopes and scopes[-1][0] == _BRACKET:
+                    scopes.pop()
+                scopes = scopes[:-1]
+            elif scopes and scopes[-1][0] == _BRACKET:
+                scopes.pop()
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """Declarations: path, line_no, level, kind, name, container (of members) and signature.
 
-    Only files of a known language that are neither binary nor generated are read; oversized ones are.
+    Only files of a known language that are neither binary nor generated are read; oversized ones are. Null contents
+    hold nothing.
     """
     for flag in ("is_binary", "likely_generated"):
         if flag in files.columns:
             files = files.where(~F.coalesce(F.col(flag), F.lit(False)))
-    rows = levels(files).where("code <> ''")
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for languages, level, kind, pattern in reversed(RULES):
-        fits = F.col("language").isin(languages.split()) & F.col("code").rlike(pattern)
-        fits = fits & (F.col("level") == level) if level >= 0 else fits
-        found = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("name"))).otherwise(found)
-    marked = rows.withColumn("_f", found)
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    holds = F.col("_f.kind").isin(*CONTAINERS, "enum", "impl") | ((F.col("level") == 0) & F.col("_f").isNotNull() & (F.col("_f.kind") == "function"))
-    owner = F.last(F.when(holds, F.struct("_f.kind", "_f.name", "level")), ignorenulls=True).over(order)
-    marked = marked.withColumn("_o", owner).where("_f IS NOT NULL")
-    receiver = F.regexp_extract("code", r"^func\s*\(\s*\w*\s*\*?\s*(\w+)", 1)
-    member = F.col("_f.kind").isin("method", "property")
-    container = F.when(F.col("language").eqNullSafe("go") & (F.col("_f.kind") == "method"), receiver).when(member, F.col("_o.name"))
-    kept = marked.withColumn("container", container).where(~member | (F.col("language") == "go") & (F.col("_f.kind") == "method") | (F.col("_o.kind").isin(*CONTAINERS, "impl") & (F.col("level") == F.col("_o.level") + 1)))
-    return kept.select("path", "line_no", "level", F.col("_f.kind").alias("kind"), F.col("_f.name").alias("name"), "container", signature("code").alias("signature"))
+    read = files.select("path", P.language("path").alias("language"), F.col("content").cast("string").alias("content")).where("language IS NOT NULL AND content IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64).to_pydict()
+                rows = [(p, *d) for p, language, text in zip(part["path"], part["language"], part["content"], strict=True) for d in declared(text.replace("\r\n", "\n"), language)]
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape.types, strict=True)], schema=shape)
+
+    shape = pa.schema([("path", pa.string()), ("line_no", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("container", pa.string()), ("code", pa.string())])
+    found = read.mapInArrow(run, "path string, line_no int, level int, kind string, name string, container string, code string")
+    return found.select("path", "line_no", "level", "kind", "name", "container", signature("code").alias("signature"))
 
 
 def signature(code: Column | str) -> Column:
@@ -261,8 +344,13 @@ def warm(files: DataFrame, cache_folder: str) -> DataFrame:
     for flag in ("is_binary", "likely_generated"):
         if flag in files.columns:
             eligible = eligible.where(~F.coalesce(F.col(flag), F.lit(False)))
+    # one pass over the files says what is there; the numbers of stale ones come from the table as written
+    hashed = files.select("path", F.sha2("content", 256).alias("content_sha256"))
+    marked = eligible.select("path", F.lit(True).alias("_may"))
+    before = cache.select("path", "content_sha256", F.lit(True).alias("_held")).distinct()
+    counts = hashed.join(marked, "path", "left").join(before, ["path", "content_sha256"], "left").agg(
+        F.count_if(F.col("_may") & F.col("_held")).alias("cached"), F.count_if(F.col("_may") & F.col("_held").isNull()).alias("computed"), F.count_if(F.col("_may").isNull()).alias("skipped")
+    ).first()
     fresh = stale(eligible, cache)
-    made = fresh.select("path", "content_sha256").join(codemaps(symbols(fresh)), "path", "left").select("path", "content_sha256", F.coalesce("text", F.lit("")).alias("text"))
-    n_all, n_eligible, n_fresh = files.count(), eligible.count(), fresh.count()
-    made.write.mode("append").parquet(cache_folder)
-    return spark.range(1).select(F.lit(n_eligible - n_fresh).alias("cached"), F.lit(n_fresh).alias("computed"), F.lit(n_all - n_eligible).alias("skipped"))
+    fresh.select("path", "content_sha256").join(codemaps(symbols(fresh)), "path", "left").select("path", "content_sha256", F.coalesce("text", F.lit("")).alias("text")).write.mode("append").parquet(cache_folder)
+    return spark.createDataFrame([tuple(counts)], "cached long, computed long, skipped long")

@@ -82,3 +82,37 @@ def test_manifest(spark):
     text = 'let package = Package(\n name: "Kit",\n products: [.library(name: "Kit", targets: ["Kit"])],\n dependencies: [.package(url: "https://x/y", from: "1.0.0")],\n targets: [.target(name: "Kit"), .testTarget(name: "KitTests")])'
     row = structure.package_manifest(spark.createDataFrame([("Package.swift", text)], "path string, content string")).first()
     assert (row["name"], row["products"], row["dependencies"], row["targets"]) == ("Kit", ["Kit"], ["https://x/y"], ["Kit", "KitTests"])
+
+
+HARD = {
+    "a.ts": "const t = `\n{\nclass Not {\n`;\nimport y from 'http://x/y';\nexport class Real {\n  run() {\n    const re = /[{]/;\n  }\n  /* { */ stop() {\n  }\n}\nfunction last({ a, b }: P): void {\n}\n",
+    "b.rb": "# {\nmodule Outer\n  class Inner\n    def grow(n)\n      x = '('\n      y = 2\n    end\n\n    def shrink\n    end\n  end\nend\ndef top\nend\n",
+    "C.cs": "using System;\nnamespace N\n{\n    public class Room\n    {\n        public int Size { get; set; }\n        public void Open(int n)\n        {\n            var x = \"{\";\n        }\n        public void Close()\n        {\n        }\n    }\n}\n",
+    "d.py": "class Dog:\n  kind = 'd'\n  def bark(self):\n    local = 1\n    return local\n  def sit(self):\n    \"\"\"x = 1\n  y = 2\n    \"\"\"\ndef main(\n  a=1,\n  b=2,\n):\n  inner = 3\nLIMIT = [\n  1,\n]\n",
+    "e.java": "class A {\n  static class B {\n    int hidden;\n  }\n  int shown;\n  String s = \"}\";\n  void f(\n      int a,\n      int b) {\n    int local = 1;\n  }\n}\n",
+    "f.rs": "mod inner {\n    pub fn f<'a>(x: &'a str) -> char {\n        '{'\n    }\n    struct S {\n        v: i32,\n    }\n}\nfn g() {\n}\n",
+    "g.go": "import (\n\t\"fmt\"\n)\nvar q = `{\n`\nfunc Run() {\n}\n",
+    "h.cpp": "namespace a\n{\nclass E\n{\n  int size;\n};\n}\nint run(int a)\n{\n  int local = 1;\n}\n",
+}
+HARD_NAMES = {
+    "a.ts": {("import", "'http://x/y'", None), ("var", "t", None), ("class", "Real", None), ("method", "run", "Real"), ("method", "stop", "Real"), ("function", "last", None)},
+    "b.rb": {("class", "Outer", None), ("class", "Inner", None), ("method", "grow", "Inner"), ("method", "shrink", "Inner"), ("function", "top", None)},
+    "C.cs": {("import", "using System;", None), ("class", "Room", None), ("property", "Size", "Room"), ("method", "Open", "Room"), ("method", "Close", "Room")},
+    "d.py": {("class", "Dog", None), ("property", "kind", "Dog"), ("method", "bark", "Dog"), ("method", "sit", "Dog"), ("function", "main", None), ("var", "LIMIT", None)},
+    "e.java": {("class", "A", None), ("property", "shown", "A"), ("property", "s", "A"), ("method", "f", "A")},
+    "f.rs": {("function", "f", None), ("class", "S", None), ("property", "v", "S"), ("function", "g", None)},
+    "g.go": {("import", '"fmt"', None), ("var", "q", None), ("function", "Run", None)},
+    "h.cpp": {("class", "E", None), ("property", "size", "E"), ("function", "run", None)},
+}
+
+
+@pytest.mark.parametrize("path", sorted(HARD))
+def test_literals_comments_and_layouts_lose_nothing(path):
+    language = {"a.ts": "ts", "b.rb": "ruby", "C.cs": "c_sharp", "d.py": "py", "e.java": "java", "f.rs": "rust", "g.go": "go", "h.cpp": "cpp"}[path]
+    assert {(kind, name, holder) for _, _, kind, name, holder, _ in structure.declared(HARD[path], language)} == HARD_NAMES[path]
+
+
+def test_files_without_declarations_or_contents(spark):
+    rows = spark.createDataFrame([("a.ts", ""), ("b.py", None), ("c.txt", "class A {}"), ("d.go", "\n\n")], "path string, content string")
+    assert structure.symbols(rows).count() == 0
+    assert structure.symbols(rows.limit(0)).count() == 0
