@@ -15,6 +15,8 @@ from lodestone.operators import budget, ordering
 MATCH = ["path", "line", "col", "match_text", "context_before", "context_after", "kind", "score"]
 #: A query with one of these looks like a path pattern.
 _PATH_SIGNS = re.compile(r"[/*?\[\]{}]")
+#: The first matches are worth up to FIRST for their place, the latest paths up to RECENT for theirs.
+FIRST, RECENT, MAX_CHARS = 1000, 200, 50_000
 _NOT_LINEAR = re.compile(r"\(\?<?[=!]|\\[1-9]")
 
 
@@ -60,68 +62,75 @@ def pattern_of(query: str, regex: bool = False, whole_word: bool = False, java:
     return f"(?U)(?<!\\w)(?:{body})(?!\\w)" if whole_word else body
 
 
-def content_matches(files: DataFrame, query: str, regex: bool = False, whole_word: bool = False, java: bool = False, content: str = "content") -> DataFrame:
+def content_matches(files: DataFrame, query: str, regex: bool = False, whole_word: bool = False, java: bool = False, content: str = "content", around: int | None = None) -> DataFrame:
     """(path, line, col, match_text): a row for each line with a match, at its first one. col counts bytes from 1.
 
-    Files without a match are left out before their lines are cut, by the same test on the whole content.
+    With `around`, also context_before and context_after. A line between two matches of a file is shown once: it belongs
+    to the next match if that is within reach, else to the one before. A file's lines are matched where they lie, and
+    only matches leave its row.
     """
-    if not regex and not whole_word:
-        hits = line_table(files, content, F.contains(F.col(content), F.lit(query))).where(F.contains("line", F.lit(query)))
-        at = F.locate(query, "line")
-        return hits.select("path", F.col("line_no").alias("line"), (F.octet_length(F.substring("line", F.lit(1), at - 1)) + 1).alias("col"), F.lit(query).alias("match_text"))
-    pattern = F.lit(pattern_of(query, regex, whole_word, java))
-    hits = line_table(files, content).where(F.regexp_like("line", pattern))
-    found = F.regexp_substr("line", pattern)
-    at = F.regexp_instr("line", pattern)
-    return hits.select("path", F.col("line_no").alias("line"), (F.octet_length(F.substring("line", F.lit(1), at - 1)) + 1).alias("col"), found.alias("match_text"))
-
-
-def with_context(matches: DataFrame, lines: DataFrame, around: int) -> DataFrame:
-    """matches with the lines around them. A line between two matches of a file is shown once: it belongs to the
-    next match if it is within reach of it, else to the one before."""
-    hits = matches.select("path", F.col("line").alias("line_no"), F.lit(True).alias("_hit")).distinct()
-    near = hits.select("path", F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)).alias("line_no")).distinct()
-    shown = lines.join(near, ["path", "line_no"]).join(hits, ["path", "line_no"], "left")
-    hit_line = F.when(F.col("_hit"), F.col("line_no"))
-    order = Window.partitionBy("path").orderBy("line_no")
-    owned = shown.withColumn("_next", F.first(hit_line, ignorenulls=True).over(order.rowsBetween(1, around))).withColumn("_last", F.last(hit_line, ignorenulls=True).over(order.rowsBetween(-around, -1)))
-    owned = owned.where("_hit IS NULL").withColumn("_before", (F.col("_next") - F.col("line_no") <= around) & F.col("_next").isNotNull())
-    owned = owned.withColumn("_owner", F.when(F.col("_before"), F.col("_next")).otherwise(F.col("_last")))
-    text = F.struct("line_no", "line")
-    context = owned.groupBy("path", F.col("_owner").alias("line")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_before"), text)))["line"].alias("context_before"), F.array_sort(F.collect_list(F.when(~F.col("_before"), text)))["line"].alias("context_after")
-    )
-    none = F.array().cast("array<string>")
-    return matches.join(context, ["path", "line"], "left").withColumns({c: F.coalesce(c, none) for c in ("context_before", "context_after")})
+    plain = not regex and not whole_word
+    pattern = F.lit(query if plain else pattern_of(query, regex, whole_word, java))
+    fits = lambda line: F.contains(line, pattern) if plain else F.regexp_like(line, pattern)
+    rows = files.where(F.contains(F.col(content), pattern)) if plain else files
+    if around is None:
+        hits = line_table(rows, content).where(fits(F.col("line"))).withColumnRenamed("line", "_text").withColumnRenamed("line_no", "line")
+        context = []
+    else:
+        numbered = F.transform(T.lines(content), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        rows = rows.select("path", numbered.alias("_lines")).withColumn("_hits", F.filter("_lines", lambda h: fits(h["x"])))
+        n = F.size("_lines")
+
+        def shown(h: Column, k: Column) -> Column:
+            first = F.greatest(F.coalesce(F.get("_hits", k - 1)["i"] + 1, F.lit(0)), h["i"] - around)
+            last = F.least(n - 1, h["i"] + around, F.coalesce(F.get("_hits", k + 1)["i"] - around - 1, n))
+            part = lambda start, count: F.transform(F.slice("_lines", start + 1, F.greatest(count, F.lit(0))), lambda y: y["x"])
+            return F.struct((h["i"] + 1).alias("line"), h["x"].alias("_text"), part(first, h["i"] - first).alias("context_before"), part(h["i"] + 1, last - h["i"]).alias("context_after"))
+
+        hits = rows.select("path", F.inline(F.transform("_hits", shown)))
+        context = ["context_before", "context_after"]
+    at = F.locate(query, "_text") if plain else F.regexp_instr("_text", pattern)
+    found = F.lit(query) if plain else F.regexp_substr("_text", pattern)
+    return hits.select("path", "line", (F.octet_length(F.substring("_text", F.lit(1), at - 1)) + 1).alias("col"), found.alias("match_text"), *context)
+
+
+def recency(history: DataFrame, path: str = "path", position: str = "pos", top: int | None = None) -> DataFrame:
+    """(path, rank from 0) by where a path first shows in the history. top: only so many paths, ranked by one task; a
+    score asks for the first RECENT."""
+    first = history.groupBy(F.col(path).alias("path")).agg(F.min(position).alias("_first"))
+    if top is None:
+        return ordering.numbered(first, ["_first", "path"], "rank").drop("_first")
+    return _placed(first, ["_first", "path"], top, "rank", 0).drop("_first")
 
 
-def recency(history: DataFrame, path: str = "path", position: str = "pos") -> DataFrame:
-    """(path, rank from 0) by where a path first shows in the history."""
-    first = history.groupBy(F.col(path).alias("path")).agg(F.min(position).alias("_first"))
-    return ordering.numbered(first, ["_first", "path"], "rank").drop("_first")
+def _placed(rows: DataFrame, order: list[Column | str], top: int, column: str, first: int) -> DataFrame:
+    """The first `top` rows with their place in the order: a top-k in every task, then one task for those."""
+    return rows.orderBy(*order).limit(top).withColumn(column, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + (first - 1)).cast("int"))
 
 
-def ranked(matches: DataFrame, recent: DataFrame | None = None, context_paths: list[str] = (), type_index: DataFrame | None = None, top: int | None = None) -> DataFrame:
-    """matches with score and `rank` (from 1): what matched best, stood first, lies near the context paths, was
-    changed lately, and defines the type that it names. matches has `position`, its place in the input, from 0.
-    top: only so many rows, which one task then ranks."""
-    score = F.coalesce(F.col("score"), F.lit(0.0)) + F.greatest(F.lit(0), F.lit(1000) - F.col("position"))
+def boosted(matches: DataFrame, recent: DataFrame | None = None, context_paths: list[str] = (), type_index: DataFrame | None = None) -> DataFrame:
+    """matches whose score counts how near they lie to the context paths, how lately they were changed, and whether they
+    define the type that they name. Where they stood among all matches is not counted yet."""
+    score = F.coalesce(F.col("score"), F.lit(0.0))
     if context_paths:
         score = score + F.lit(40) * F.greatest(F.lit(0), *[P.shared_depth(F.col("path"), P.normalised(c)) for c in context_paths])
     rows = matches
     if recent is not None:
-        rows = rows.join(recent.select("path", F.col("rank").alias("_recent")), "path", "left")
-        score = score + F.coalesce(F.greatest(F.lit(0), F.lit(200) - F.col("_recent")), F.lit(0))
+        rows = rows.join(recent.where(F.col("rank") < RECENT).select("path", F.col("rank").alias("_recent")), "path", "left")
+        score = score + F.coalesce(F.lit(RECENT) - F.col("_recent"), F.lit(0))
     if type_index is not None:
         rows = rows.withColumn("_name", F.regexp_extract(F.coalesce("match_text", F.lit("")), "\\b[A-Z]\\w*", 0))
         defined = type_index.select(F.col("type_name").alias("_name"), "path", F.lit(2000).alias("_defines")).distinct()
         rows = rows.join(defined, ["_name", "path"], "left")
         score = score + F.coalesce("_defines", F.lit(0))
-    rows = rows.withColumn("score", score.cast("double")).drop("_recent", "_name", "_defines")
-    order = [F.desc("score"), "path", "line"]
-    if top is None:
-        return ordering.numbered(rows, order, "rank", first=1)
-    return rows.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return rows.withColumn("score", score.cast("double")).drop("_recent", "_name", "_defines")
+
+
+def ranked(matches: DataFrame, recent: DataFrame | None = None, context_paths: list[str] = (), type_index: DataFrame | None = None) -> DataFrame:
+    """matches with score and `rank` (from 1): what matched best, stood first, and is boosted(). matches has `position`,
+    its place in the input, from 0."""
+    rows = boosted(matches, recent, context_paths, type_index).withColumn("score", F.col("score") + F.greatest(F.lit(0), F.lit(FIRST) - F.col("position")))
+    return ordering.numbered(rows, [F.desc("score"), "path", "line"], "rank", first=1)
 
 
 def file_counts(matches: DataFrame) -> DataFrame:
@@ -143,27 +152,51 @@ def summary(matches: DataFrame, kept: DataFrame) -> DataFrame:
     return both.select((left > 0).alias("limit_hit"), left.alias("omitted_total"), F.when(left > 0, F.lit("More matched than is shown: use a longer pattern, fewer paths or extensions, or less context.")).alias("suggestion"))
 
 
-def search(
-    files: DataFrame, query: str, mode: str = "auto", regex: bool = False, whole_word: bool = False, paths: list[str] = (), extensions: list[str] = (), exclude: list[str] = (),
-    context_lines: int = 0, context_paths: list[str] = (), recent: DataFrame | None = None, type_index: DataFrame | None = None, max_results: int = 50,
-) -> DataFrame:
-    """The best max_results matches with rank, by path and by content. All matches are scored before the limit; context
-    lines are read for the kept ones only."""
+def found(files: DataFrame, query: str, mode: str = "auto", regex: bool = False, whole_word: bool = False, paths: list[str] = (), extensions: list[str] = (), exclude: list[str] = (), context_lines: int = 0) -> DataFrame:
+    """All matches by path and by content, unranked, with their context; _branch is 0 for paths and 1 for contents."""
     mode = resolve_mode(query, mode)
     files = narrowed(files, paths, extensions, exclude)
+    none = F.array().cast("array<string>")
     branches = []
     if mode in ("path", "both"):
-        found = path_matches(files, query, 0.15 if mode == "path" else 0.35)
-        branches.append(found.select("path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("match_text"), F.lit("path").alias("kind"), "score", F.lit(0).alias("_branch")))
+        named = path_matches(files, query, 0.15 if mode == "path" else 0.35)
+        branches.append(named.select("path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("match_text"), none.alias("context_before"), none.alias("context_after"), F.lit("path").alias("kind"), "score", F.lit(0).alias("_branch")))
     if mode in ("content", "both"):
-        found = content_matches(searchable(files), query, regex, whole_word)
-        branches.append(found.select("path", "line", "col", "match_text", F.lit("content").alias("kind"), F.lit(0.0).alias("score"), F.lit(1).alias("_branch")))
-    rows = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
-    placed = ordering.numbered(rows, ["_branch", F.desc("score"), "path", "line"], "position")
-    kept = ranked(placed, recent, context_paths, type_index, top=max_results)
-    if context_lines and mode != "path":
-        texts = searchable(files).join(kept.where("kind = 'content'").select("path").distinct(), "path", "left_semi")
-        kept = with_context(kept, line_table(texts), context_lines)
-    else:
-        kept = kept.withColumns({c: F.array().cast("array<string>") for c in ("context_before", "context_after")})
-    return kept.select("rank", *MATCH)
+        held = content_matches(searchable(files), query, regex, whole_word, around=context_lines or None)
+        if not context_lines:
+            held = held.withColumns({"context_before": none, "context_after": none})
+        branches.append(held.select("path", "line", "col", "match_text", "context_before", "context_after", F.lit("content").alias("kind"), F.lit(0.0).alias("score"), F.lit(1).alias("_branch")))
+    return branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
+
+
+def best(matches: DataFrame, recent: DataFrame | None = None, context_paths: list[str] = (), type_index: DataFrame | None = None, max_results: int = 50) -> DataFrame:
+    """The best max_results of found() matches with rank. All of them are scored.
+
+    Only the first FIRST matches are worth more for where they stand. So the best ones are among these and the best of
+    all by the other scores: two top-k passes, in which no match is shuffled that a task does not hold for one of the best.
+    """
+    place = ["_branch", F.desc("_own"), "path", "line"]
+    rows = boosted(matches.withColumn("_own", F.col("score")), recent, context_paths, type_index)
+    first = _placed(rows, place, FIRST, "_at", 0).withColumn("score", F.col("score") + (F.lit(FIRST) - F.col("_at"))).drop("_at")
+    others = rows.orderBy(F.desc("score"), "path", "line").limit(max_results + FIRST)
+    # a match that is in both has its higher score among the first
+    whole = [c for c in rows.columns if c not in ("_branch", "path", "line", "score")]
+    both = first.unionByName(others).groupBy("_branch", "path", "line").agg(F.max("score").alias("score"), *[F.first(c).alias(c) for c in whole])
+    return _placed(both, [F.desc("score"), "path", "line"], max_results, "rank", 1).drop("_branch", "_own")
+
+
+def search(
+    files: DataFrame, query: str, mode: str = "auto", regex: bool = False, whole_word: bool = False, paths: list[str] = (), extensions: list[str] = (), exclude: list[str] = (),
+    context_lines: int = 0, context_paths: list[str] = (), recent: DataFrame | None = None, type_index: DataFrame | None = None, max_results: int = 50, max_chars: int = MAX_CHARS,
+) -> DataFrame:
+    """The best max_results matches with rank, by path and by content, as far as max_chars of JSON go. All matches are
+    scored before the limit. A file's path is its key."""
+    matches = found(files, query, mode, regex, whole_word, paths, extensions, exclude, context_lines)
+    return shaped(best(matches, recent, context_paths, type_index, max_results), max_results, max_chars).select("rank", *MATCH)
+
+
+def answer(files: DataFrame, query: str, **options) -> tuple[DataFrame, DataFrame]:
+    """search() and, beside it, one row with limit_hit, omitted_total and a suggestion, counted over all matches."""
+    kept = search(files, query, **options)
+    narrow = {k: v for k, v in options.items() if k in ("mode", "regex", "whole_word", "paths", "extensions", "exclude")}
+    return kept, summary(found(files, query, **narrow), kept)

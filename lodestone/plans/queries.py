@@ -147,9 +147,7 @@ def search_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT h.path, CAST(h.line_no AS INTEGER) AS line, coalesce(b, []) AS context_before, coalesce(a, []) AS context_after FROM h LEFT JOIN o ON h.path = o.path AND h.line_no = o.line""",
 )
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir)
-    hits = search.content_matches(rows, "License")
-    return search.with_context(hits, search.line_table(rows, text_filter=F.contains("content", F.lit("License"))), 2).select("path", "line", "context_before", "context_after")
+    return search.content_matches(files(spark, sf_dir), "License", around=2).select("path", "line", "context_before", "context_after")
 
 
 _PAGES = "p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)"
@@ -192,7 +190,7 @@ def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_top", None)
 def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole search: the best 50 matches by path and content with context."""
-    return search.search(files(spark, sf_dir), "License", context_lines=1, context_paths=["src1/en/1.txt"], recent=search.recency(commits(spark, sf_dir)))
+    return search.search(files(spark, sf_dir), "License", context_lines=1, context_paths=["src1/en/1.txt"], recent=search.recency(commits(spark, sf_dir), top=search.RECENT))
 
 
 @query(

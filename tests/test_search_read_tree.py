@@ -22,7 +22,7 @@ def test_content_matches(files):
 
 
 def test_context_lines_are_shown_once(files):
-    hits = search.with_context(search.content_matches(files, "Key"), search.line_table(files), 1)
+    hits = search.content_matches(files, "Key", around=1)
     rows = {(r["path"], r["line"]): (r["context_before"], r["context_after"]) for r in hits.collect()}
     assert rows[("src/a.txt", 2)] == (["one"], [])
     assert rows[("src/a.txt", 4)] == (["three"], ["five"])
