@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -69,9 +70,13 @@ def reanchored(replacement: Column, from_line: Column, to_line: Column) -> Colum
 
 def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
     """(path, edit_index, spans array<struct<start,end,replacement>>, matched_by, dice, error) for each edit."""
+    return _with_content(files, edits).drop("content")
+
+
+def _with_content(files: DataFrame, edits: DataFrame) -> DataFrame:
     rows = edits.join(files.select("path", "content"), "path", "left")
     body, find, put = F.coalesce("content", F.lit("")), F.regexp_replace("search", "\r\n?", "\n"), F.regexp_replace(F.coalesce("replace", F.lit("")), "\r\n?", "\n")
-    rows = rows.select("path", "edit_index", F.coalesce("all", F.lit(False)).alias("all"), F.col("content").isNull().alias("_none"), F.regexp_replace(body, "\r\n?", "\n").alias("t"), find.alias("s"), put.alias("r"))
+    rows = rows.select("path", "edit_index", "content", F.coalesce("all", F.lit(False)).alias("all"), F.col("content").isNull().alias("_none"), F.regexp_replace(body, "\r\n?", "\n").alias("t"), find.alias("s"), put.alias("r"))
     rows = rows.withColumn("_ds", decoded("s")).withColumn("_dr", decoded("r"))
     rows = rows.withColumn("_lit", offsets(F.col("t"), F.col("s")))
     rows = rows.withColumn("_esc", F.when((F.size("_lit") == 0) & F.contains("s", F.lit("\\")), offsets(F.col("t"), F.col("_ds"))).otherwise(F.array().cast("array<int>")))
@@ -109,7 +114,7 @@ def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
     )
     spans = F.when(tier == "literal", literal).when(tier == "escape", escaped).when(tier == "fuzzy", fuzzy)
     return rows.withColumn("error", problem).select(
-        "path", "edit_index", F.when(F.col("error").isNull(), spans).alias("spans"), F.when(F.col("error").isNull(), tier).alias("matched_by"), F.when((tier == "fuzzy") & F.col("error").isNull(), F.get("_scores", at)).alias("dice"), "error"
+        "path", "edit_index", "content", F.when(F.col("error").isNull(), spans).alias("spans"), F.when(F.col("error").isNull(), tier).alias("matched_by"), F.when((tier == "fuzzy") & F.col("error").isNull(), F.get("_scores", at)).alias("dice"), "error"
     )
 
 
@@ -123,31 +128,59 @@ def applied_spans(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
 
+PLAN = ["path", "status", "edits_applied", "matched_by", "dice_scores", "after", "pre_sha256", "post_sha256", "diff", "post_context", "error", "file_created"]
+
+
 def planned(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """A row for each edited file: status, content after, hashes before and after, tiers, pseudo-diff, and error.
+    """A row for each edited file: status, content after, hashes before and after, tiers, pseudo-diff, the numbered
+    lines around each change, and error.
 
-    Any failing edit fails its file; so does an overlap of two edits. Line ends are kept: CRLF where most are.
+    Any failing edit fails its file; so does an overlap of two edits. Line ends are kept: CRLF where most are. Edits and
+    contents meet once, by path, and stay there.
     """
-    found = resolved(files, edits).groupBy("path").agg(
-        F.flatten(F.collect_list("spans")).alias("_spans"), F.array_sort(F.collect_list(F.struct("edit_index", "matched_by", "dice")))["matched_by"].alias("matched_by"),
+    by_index = F.array_sort(F.collect_list(F.struct("edit_index", "matched_by", "dice")))
+    rows = _with_content(files, edits).groupBy("path").agg(
+        F.first("content").alias("content"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"), by_index.alias("_tiers"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("edit_index"))).alias("_error"), F.count(F.lit(1)).alias("edits"),
     )
-    rows = found.join(files.select("path", "content"), "path", "left").withColumn("_spans", F.array_sort("_spans"))
     clash = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_spans") - 1, F.lit(1))), lambda i: F.coalesce(F.get("_spans", i)["start"] < F.get("_spans", i - 1)["end"], F.lit(False)))
     overlap = F.struct(F.lit("overlapping_edits").alias("code"), F.lit("overlapping edits").alias("message"), F.transform("_spans", lambda s: line_of(F.regexp_replace("content", "\r\n?", "\n"), s["start"])).alias("lines")).cast(ERROR)
     rows = rows.withColumn("error", F.coalesce("_error", F.when(clash, overlap)))
     rows = rows.withColumn("_lf", F.regexp_replace("content", "\r\n?", "\n"))
-    lf = F.col("_lf")
-    crlf = F.regexp_count("content", F.lit("\r\n"))
-    mostly = crlf > F.regexp_count("content", F.lit("\n")) - crlf
-    after = applied_spans(lf, F.col("_spans"))
-    after = F.when(mostly, F.regexp_replace(after, "\n", "\r\n")).otherwise(after)
     ok = F.col("error").isNull()
-    rows = rows.withColumn("after", F.when(ok, after))
+    rows = rows.withColumn("_after", F.when(ok, applied_spans(F.col("_lf"), F.col("_spans"))))
+    rows = rows.withColumn("after", F.when(mostly_crlf("content"), F.regexp_replace("_after", "\n", "\r\n")).otherwise(F.col("_after")))
     return rows.select(
-        "path", F.when(ok, F.lit("applied")).otherwise(F.lit("failed")).alias("status"), F.when(ok, F.col("edits")).otherwise(F.lit(0)).cast("int").alias("edits_applied"), "matched_by", "after",
-        F.sha2("content", 256).alias("pre_sha256"), F.sha2("after", 256).alias("post_sha256"), F.when(ok, line_diff("content", "after")).alias("diff"), "error",
-    )
+        "path", F.when(ok, F.lit("applied")).otherwise(F.lit("failed")).alias("status"), F.when(ok, F.col("edits")).otherwise(F.lit(0)).cast("int").alias("edits_applied"), F.col("_tiers")["matched_by"].alias("matched_by"),
+        F.filter(F.col("_tiers")["dice"], lambda d: d.isNotNull()).alias("dice_scores"), "after", F.sha2("content", 256).alias("pre_sha256"), F.sha2("after", 256).alias("post_sha256"),
+        F.when(ok, line_diff("content", "after")).alias("diff"), F.when(ok, post_contexts(F.col("_after"), F.col("_spans"))).alias("post_context"), "error", F.lit(False).alias("file_created"),
+    ).select(*PLAN)
+
+
+def mostly_crlf(text: Column | str) -> Column:
+    crlf = F.regexp_count(T.col(text), F.lit("\r\n"))
+    return crlf > F.regexp_count(T.col(text), F.lit("\n")) - crlf
+
+
+def rewritten(files: DataFrame, rewrites: DataFrame, create: bool = False) -> DataFrame:
+    """planned() for whole new texts (path, rewrite). Files keep their kind of line end and whether the last line has
+    one; a path without a file is created with the text as it stands, or fails where `create` is not set."""
+    rows = rewrites.select("path", F.coalesce("rewrite", F.lit("")).alias("_new")).join(files.select("path", "content"), "path", "left")
+    new = F.col("content").isNull()
+    ok = ~new | F.lit(create)
+    lf = F.regexp_replace("_new", "\r\n?", "\n")
+    open_ended = F.regexp_replace(lf, "\n\\z", "")
+    shaped = F.when(F.endswith("content", F.lit("\n")), F.concat(open_ended, F.lit("\n"))).otherwise(open_ended)
+    after = F.when(new, F.col("_new")).when(mostly_crlf("content"), F.regexp_replace(shaped, "\n", "\r\n")).otherwise(shaped)
+    rows = rows.withColumn("after", F.when(ok, after)).withColumn("_before", F.coalesce("content", F.lit(""))).withColumn("_lf", F.regexp_replace("after", "\r\n", "\n"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    missing = F.struct(F.lit("file_not_found").alias("code"), F.lit("file not found").alias("message"), none("int").alias("lines")).cast(ERROR)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length("_lf").alias("end"), F.col("_lf").alias("replacement")))
+    return rows.select(
+        "path", F.when(ok, F.lit("applied")).otherwise(F.lit("failed")).alias("status"), ok.cast("int").alias("edits_applied"), F.when(ok, F.array(F.lit("rewrite"))).otherwise(none("string")).alias("matched_by"),
+        none("double").alias("dice_scores"), "after", F.sha2("_before", 256).alias("pre_sha256"), F.sha2("after", 256).alias("post_sha256"), F.when(ok, line_diff("_before", "after")).alias("diff"),
+        F.when(ok, post_contexts(F.col("_lf"), whole)).alias("post_context"), F.when(~ok, missing).alias("error"), (new & ok).alias("file_created"),
+    ).select(*PLAN)
 
 
 def line_diff(before: Column | str, after: Column | str) -> Column:
@@ -167,12 +200,24 @@ def line_diff(before: Column | str, after: Column | str) -> Column:
     return F.get(held, 0)
 
 
-def post_context(text: Column | str, line: Column, around: int = 3) -> Column:
-    """The numbered lines around a line."""
-    lines = T.lines(text)
-    first = F.greatest(F.lit(1), line - around)
-    shown = F.slice(lines, first, F.lit(2 * around + 1))
-    return F.transform(shown, lambda x, i: F.concat((first + i).cast("string"), F.lit(": "), x))
+def post_contexts(after: Column, spans: Column, around: int = 3) -> Column:
+    """For each span of an applied array: start_line and end_line of what was put in, and the numbered lines around it."""
+    size = lambda p: F.char_length(p["replacement"])
+    start = F.struct(F.lit(0).alias("moved"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    put = F.aggregate(
+        spans, start,
+        lambda s, p: F.struct((s["moved"] + size(p) - (p["end"] - p["start"])).cast("int").alias("moved"), F.concat(s["out"], F.array(F.struct((p["start"] + s["moved"]).alias("a"), (p["start"] + s["moved"] + size(p)).cast("int").alias("b")))).alias("out")),
+        lambda s: s["out"],
+    )
+    placed = F.transform(put, lambda r: F.struct(line_of(after, r["a"]).cast("int").alias("a"), line_of(after, F.greatest(r["a"], r["b"] - 1)).cast("int").alias("b")))
+
+    def shown(held: Column, r: Column) -> Column:
+        first = F.greatest(F.lit(1), r["a"] - around)
+        part = F.slice(held, first, r["b"] + around - first + 1)
+        return F.struct(r["a"].alias("start_line"), r["b"].alias("end_line"), F.array_join(F.transform(part, lambda x, i: F.concat((first + i).cast("string"), F.lit(": "), x)), "\n").alias("text"))
+
+    # a one-element array binds the lines, so that no span cuts the text again
+    return F.get(F.transform(F.array(T.lines(after)), lambda held: F.transform(placed, lambda r: shown(held, r))), 0)
 
 
 def inside(root: str, path: str) -> Path:
@@ -195,24 +240,29 @@ def write_atomically(path: Path, text: str) -> None:
     os.replace(name, path)
 
 
-def commit(plan: DataFrame, root: str, expected: dict[str, str] | None = None, dry_run: bool = False) -> list[dict]:
+def commit(plan: DataFrame, root: str, expected: dict[str, str] | None = None, dry_run: bool = False, changed: Callable[[list[str]], None] | None = None) -> list[dict]:
     """Writes planned files of a local workspace one after another and reads each back; a workspace's edits are few.
 
-    A file whose content is no longer what the plan was made from is left alone.
+    A file whose content is no longer what the plan was made from is left alone. `changed` is called with the paths
+    that were written, so that what was derived from them (catalogs, codemaps) can go.
     """
-    found = []
+    found, written = [], []
     for row in plan.orderBy("path").toLocalIterator():
-        result = {"path": row["path"], "status": row["status"], "edits_applied": row["edits_applied"], "error": row["error"].asDict() if row["error"] else None}
+        result = {"path": row["path"], "status": row["status"], "edits_applied": row["edits_applied"], "file_created": row["file_created"], "error": row["error"].asDict() if row["error"] else None}
         if row["status"] == "applied":
+            result["post_context"] = [c.asDict() for c in row["post_context"]]
             target = inside(root, row["path"])
-            now = hashlib.sha256(target.read_bytes()).hexdigest()
+            now = hashlib.sha256(target.read_bytes() if target.exists() else b"").hexdigest()
             if now != row["pre_sha256"] or (expected or {}).get(row["path"], now) != now:
                 result |= {"status": "failed", "edits_applied": 0, "error": {"code": "hash_mismatch", "message": "the file has changed", "lines": []}}
             elif not dry_run:
                 write_atomically(target, row["after"])
+                written.append(row["path"])
                 if hashlib.sha256(target.read_bytes()).hexdigest() != row["post_sha256"]:
                     result |= {"status": "failed", "error": {"code": "verify_failed", "message": "the file written is not the one planned", "lines": []}}
         found.append(result)
+    if written and changed is not None:
+        changed(written)
     return found
 
 

@@ -53,6 +53,21 @@ def file_blocks(entries: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("_text", content).select("session_id", "path", F.concat(F.lit("File: "), "path", F.lit("\n"), body).alias("block"))
 
 
+def file_map(entries: DataFrame, codemaps: DataFrame, usage: str = "auto", trees: DataFrame | None = None) -> DataFrame:
+    """(session_id, section, text): a session's tree (trees: session_id, tree) and the structure of its codemap entries
+    by path. usage: `auto` takes all of them, `selected` leaves out those that closure found (auto), `none` takes none."""
+    if usage not in ("auto", "selected", "none"):
+        raise ValueError(f"unknown codemap usage: {usage}")
+    chosen = entries.where("mode = 'codemap'" if usage != "none" else "false")
+    if usage == "selected" and "auto" in entries.columns:
+        chosen = chosen.where(~F.coalesce("auto", F.lit(False)))
+    parts = chosen.join(codemaps.select("path", "text"), "path").select("session_id", F.lit(1).alias("k"), "path", F.regexp_replace("text", "\\s+$", "").alias("text"))
+    if trees is not None:
+        parts = parts.unionByName(trees.select("session_id", F.lit(0).alias("k"), F.lit("").alias("path"), F.regexp_replace("tree", "\\s+$", "").alias("text")))
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("k", "path", "text")))["text"], "\n\n")
+    return parts.where("text <> ''").groupBy("session_id").agg(whole.alias("text")).select("session_id", F.lit("file_map").alias("section"), "text")
+
+
 def joined_blocks(blocks: DataFrame, text: str = "block") -> DataFrame:
     """(session_id, text): a session's blocks in path order. A selection is what a token budget admits, so one row holds it."""
     return blocks.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", text))), lambda b: b[text]), "\n\n").alias("text"))

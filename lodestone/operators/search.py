@@ -94,6 +94,25 @@ def content_matches(files: DataFrame, query: str, regex: bool = False, whole_wor
     return hits.select("path", "line", (F.octet_length(F.substring("_text", F.lit(1), at - 1)) + 1).alias("col"), found.alias("match_text"), *context)
 
 
+def with_context(matches: DataFrame, lines: DataFrame, around: int) -> DataFrame:
+    """Matches from elsewhere with the lines (path, line_no, line) around them, as content_matches() gives them. A line between two matches of a file is shown once: it belongs to the
+    next match if it is within reach of it, else to the one before."""
+    hits = matches.select("path", F.col("line").alias("line_no"), F.lit(True).alias("_hit")).distinct()
+    near = hits.select("path", F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)).alias("line_no")).distinct()
+    shown = lines.join(near, ["path", "line_no"]).join(hits, ["path", "line_no"], "left")
+    hit_line = F.when(F.col("_hit"), F.col("line_no"))
+    order = Window.partitionBy("path").orderBy("line_no")
+    owned = shown.withColumn("_next", F.first(hit_line, ignorenulls=True).over(order.rowsBetween(1, around))).withColumn("_last", F.last(hit_line, ignorenulls=True).over(order.rowsBetween(-around, -1)))
+    owned = owned.where("_hit IS NULL").withColumn("_before", (F.col("_next") - F.col("line_no") <= around) & F.col("_next").isNotNull())
+    owned = owned.withColumn("_owner", F.when(F.col("_before"), F.col("_next")).otherwise(F.col("_last")))
+    text = F.struct("line_no", "line")
+    context = owned.groupBy("path", F.col("_owner").alias("line")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_before"), text)))["line"].alias("context_before"), F.array_sort(F.collect_list(F.when(~F.col("_before"), text)))["line"].alias("context_after")
+    )
+    none = F.array().cast("array<string>")
+    return matches.join(context, ["path", "line"], "left").withColumns({c: F.coalesce(c, none) for c in ("context_before", "context_after")})
+
+
 def recency(history: DataFrame, path: str = "path", position: str = "pos", top: int | None = None) -> DataFrame:
     """(path, rank from 0) by where a path first shows in the history. top: only so many paths, ranked by one task; a
     score asks for the first RECENT."""

@@ -22,8 +22,9 @@ def measured(entries: DataFrame, files: DataFrame, codemaps: DataFrame | None =
 
     Slices are clamped to the file's lines and merged; their tokens are the sum over slices. Unknown paths go.
     """
-    known = files.select("path", F.sha2("content", 256).alias("content_sha256"), T.estimate_tokens("content").alias("tokens_full"), T.lines_kept("content").alias("_lines"))
-    rows = entries.join(known, "path")
+    whole = files.select("path", F.sha2("content", 256).alias("content_sha256"), T.estimate_tokens("content").alias("tokens_full"))
+    texts = files.join(entries.where("mode = 'slices'").select("path").distinct(), "path", "left_semi").select("path", T.lines_kept("content").alias("_lines"))
+    rows = entries.join(whole, "path").join(texts, "path", "left").withColumn("_lines", F.when(F.col("mode") == "slices", F.col("_lines")))
     spread = rows.where("mode = 'slices'").select(F.concat_ws("\u0000", "session_id", "path").alias("_k"), F.size("_lines").alias("_last"), F.inline("slices"))
     merged = intervals.normalise(spread, "_k", last="_last", note="description").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "description"))).alias("_merged"))
     rows = rows.drop("slices").withColumn("_k", F.concat_ws("\u0000", "session_id", "path")).join(merged, "_k", "left")
@@ -147,6 +148,34 @@ def load(spark, folder: str, session_id: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(folder).where(F.col("session_id") == session_id)
 
 
+def session_key(session_id: str, scope: str) -> str:
+    """All sessions of a workspace share one selection where its scope is `workspace`."""
+    return "shared" if scope == "workspace" else session_id
+
+
+def cleared(selection: DataFrame, prompts: DataFrame, session_id: str) -> tuple[DataFrame, DataFrame]:
+    """A selection and prompts (session_id, prompt) without one session's entries and prompt."""
+    other = F.col("session_id") != session_id
+    return selection.where(other), prompts.where(other)
+
+
+def save_profile(selection: DataFrame, folder: str, session_id: str, name: str) -> None:
+    """Keeps a session's entries under a name; what the name held before goes."""
+    rows = selection.where(F.col("session_id") == session_id).drop("session_id").withColumn("profile", F.lit(name))
+    rows.write.partitionBy("profile").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+
+
+def load_profile(spark, folder: str, name: str, session_id: str) -> DataFrame:
+    """A profile's entries as those of a session."""
+    stored = SCHEMA.replace("session_id string", "profile string")
+    rows = spark.read.schema(stored).parquet(folder).where(F.col("profile") == name)
+    return rows.withColumn("session_id", F.lit(session_id)).select("session_id", *[c for c in rows.columns if c != "profile"])
+
+
+def profiles(spark, folder: str) -> DataFrame:
+    return spark.read.schema(SCHEMA.replace("session_id string", "profile string")).parquet(folder).select("profile").distinct()
+
+
 def view(snapshot: DataFrame, kind: str, files: DataFrame | None = None, codemaps: DataFrame | None = None) -> DataFrame:
     """A selection as `summary` (totals), `files` (a row each with its tokens), `content` (text of full and sliced
     entries) or `codemaps` (structure of those taken as such)."""

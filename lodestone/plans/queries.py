@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
@@ -38,9 +38,24 @@ def query(name: str, sql: str | None = None) -> Callable:
 # Catalog
 
 
-@query("catalog_scan", f"WITH {_FILES} SELECT path, CAST(strlen(content) AS BIGINT) AS size, strlen(content) > 100000 AS oversized, false AS is_binary FROM f")
+def _number() -> Column:
+    """The number in a document's path."""
+    return F.split_part(F.split_part("path", F.lit("/"), F.lit(-1)), F.lit("."), F.lit(1)).cast("long")
+
+
+_NUMBERED = "n AS (SELECT path, content, CAST(split_part(split_part(path, '/', -1), '.', 1) AS BIGINT) AS i FROM f)"
+
+
+@query(
+    "catalog_scan",
+    f"""WITH {_FILES}, {_NUMBERED}, p AS (SELECT path, CASE WHEN i % 11 = 0 THEN 'a' || chr(0) || content WHEN i % 7 = 0 THEN 'n = 10' || chr(10) || 'stop' || chr(10) || content WHEN i % 5 = 0 THEN content || chr(0) ELSE content END AS content FROM n)
+    SELECT path, CAST(strlen(content) AS BIGINT) AS size, strlen(content) > 100000 AS oversized, contains(content, chr(0)) AND strlen(split_part(content, chr(0), 1)) < 8192 AS is_binary FROM p""",
+)
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.flagged(files(spark, sf_dir), size_cap=100_000).select("path", "size", "oversized", "is_binary")
+    """Flags of all files. Some begin with a NUL byte, some end with one, some have lines whose bytes only look like one."""
+    text = F.when(F.col("i") % 11 == 0, F.concat(F.lit("a\x00"), "content")).when(F.col("i") % 7 == 0, F.concat(F.lit("n = 10\nstop\n"), "content")).when(F.col("i") % 5 == 0, F.concat("content", F.lit("\x00"))).otherwise(F.col("content"))
+    rows = files(spark, sf_dir).withColumn("i", _number()).withColumn("content", text).withColumn("size", T.utf8_bytes("content"))
+    return corpus.flagged(rows, size_cap=100_000).select("path", "size", "oversized", "is_binary")
 
 
 @query(
@@ -98,6 +113,17 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
+@query(
+    "token_estimate_cjk",
+    f"""WITH {_FILES}, {_NUMBERED}, t AS (SELECT path, content || repeat('漢かカ한', CAST(i % 40 * 10 AS INTEGER)) AS t FROM n), k AS (SELECT *, length(t) - length(regexp_replace(t, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]', '', 'g')) AS cjk, length(t) / (length(t) - length(replace(t, chr(10), '')) + 1) > 100 AND (length(t) - length(replace(t, ';', ''))) > length(t) * 0.01::DOUBLE AS small FROM t)
+    SELECT path, CAST(ceil(ceil(strlen(t) / 4.0 * 1.05::DOUBLE) * (CASE WHEN length(t) > 0 AND cjk > length(t) * 0.1::DOUBLE THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN small THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END)) AS BIGINT) AS tokens FROM k""",
+)
+def token_estimate_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which more or less is Han, kana or Hangul."""
+    rows = files(spark, sf_dir).withColumn("i", _number())
+    return rows.select("path", T.estimate_tokens(F.concat("content", F.repeat(F.lit("漢かカ한"), (F.col("i") % 40 * 10).cast("int")))).alias("tokens"))
+
+
 @query("line_density", "SELECT doc_id, CAST(length(t) AS DOUBLE) / (length(t) - length(replace(t, chr(10), '')) + 1) AS mean_line, length(t) / (length(t) - length(replace(t, chr(10), '')) + 1) > 100 AND (length(t) - length(replace(t, ';', ''))) > length(t) * 0.01 AS minified FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def line_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
@@ -187,20 +213,49 @@ def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(placed, recent, ["src1/en/1.txt"]).select("path", "line", "score", "rank")
 
 
-@query("search_top", None)
+_HITS = """h AS (SELECT path, line_no, line FROM l WHERE contains(line, 'License'))"""
+
+
+@query(
+    "search_top",
+    f"""WITH {_FILES}, {_LINES}, {_NUMBERED}, {_HITS}, m AS (SELECT path, CAST(line_no AS INTEGER) AS line, CAST(strlen(left(line, instr(line, 'License') - 1)) + 1 AS INTEGER) AS col, row_number() OVER (ORDER BY path, line_no) - 1 AS position FROM h),
+    r AS (SELECT path, row_number() OVER (ORDER BY i DESC, path) - 1 AS r FROM n),
+    s AS (SELECT m.path, line, col, CAST(greatest(0, 1000 - position) + 40 * CASE WHEN m.path = 'src1/en/1.txt' THEN 3 WHEN m.path LIKE 'src1/en/%' THEN 2 WHEN m.path LIKE 'src1/%' THEN 1 ELSE 0 END + greatest(0, 200 - r) AS DOUBLE) AS score FROM m JOIN r ON m.path = r.path),
+    k AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, path, line) AS INTEGER) AS rank FROM s QUALIFY rank <= 50),
+    c AS (SELECT l.path, l.line_no, l.line, min(h.line_no) FILTER (h.line_no > l.line_no) AS nxt, max(h.line_no) FILTER (h.line_no < l.line_no) AS prv FROM l JOIN h ON l.path = h.path AND abs(l.line_no - h.line_no) = 1 GROUP BY ALL),
+    d AS (SELECT c.* FROM c ANTI JOIN h ON c.path = h.path AND c.line_no = h.line_no),
+    o AS (SELECT path, coalesce(nxt, prv) AS line, list(line ORDER BY line_no) FILTER (nxt IS NOT NULL) AS b, list(line ORDER BY line_no) FILTER (nxt IS NULL) AS a FROM d GROUP BY 1, 2)
+    SELECT rank, k.path, k.line, col, 'License' AS match_text, coalesce(b, []) AS context_before, coalesce(a, []) AS context_after, 'content' AS kind, score FROM k LEFT JOIN o ON k.path = o.path AND k.line = o.line""",
+)
 def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole search: the best 50 matches by path and content with context."""
-    return search.search(files(spark, sf_dir), "License", context_lines=1, context_paths=["src1/en/1.txt"], recent=search.recency(commits(spark, sf_dir), top=search.RECENT))
+    """A whole search: the best 50 matches by path and content with context. The latest documents count as changed last."""
+    rows = files(spark, sf_dir)
+    recent = search.recency(rows.select("path", (-_number()).alias("pos")), top=search.RECENT)
+    return search.search(rows, "License", context_lines=1, context_paths=["src1/en/1.txt"], recent=recent, max_chars=1_000_000)
 
 
 @query(
     "search_shape",
+    f"""WITH {_FILES}, {_LINES}, {_HITS}, m AS (SELECT path, line_no, strlen(left(line, instr(line, 'License') - 1)) + 1 AS col, row_number() OVER (ORDER BY path, line_no) AS rank FROM h QUALIFY rank <= 40),
+    x AS (SELECT rank, CAST(length('{{"path":"","line":,"col":,"match_text":"License"}}') + length(path) + length(CAST(line_no AS VARCHAR)) + length(CAST(col AS VARCHAR)) AS BIGINT) AS c FROM m),
+    a AS (SELECT list({{'c': c, 'k': rank, 'used': 0::BIGINT, 'ks': []::BIGINT[]}} ORDER BY rank) AS xs FROM x),
+    r AS (SELECT list_reduce(list_prepend({{'c': 0::BIGINT, 'k': 0::BIGINT, 'used': 0::BIGINT, 'ks': []::BIGINT[]}}, xs), lambda s, x: CASE WHEN s.used + x.c + CASE WHEN len(s.ks) > 0 THEN 1 ELSE 0 END <= 998 THEN {{'c': 0::BIGINT, 'k': 0::BIGINT, 'used': s.used + x.c + CASE WHEN len(s.ks) > 0 THEN 1 ELSE 0 END, 'ks': list_append(s.ks, x.k)}} ELSE s END) AS s FROM a)
+    SELECT m.path, CAST(m.line_no AS INTEGER) AS line, CAST(m.rank AS INTEGER) AS rank FROM m, r WHERE list_contains(s.ks, m.rank)""",
+)
+def search_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 matches as far as 1,000 characters of JSON go."""
+    hits = search.content_matches(files(spark, sf_dir), "License")
+    return search.shaped(ordering.numbered(hits, ["path", "line"], "rank", first=1), 40, 1000).select("path", "line", "rank")
+
+
+@query(
+    "budget_groups",
     """WITH g AS (SELECT o_custkey % 20 AS g, o_orderkey, CAST(strlen(o_orderpriority) * 7 + o_orderkey % 90 AS BIGINT) AS cost, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS position FROM orders),
     a AS (SELECT g, list({'p': position, 'k': o_orderkey, 'c': cost} ORDER BY position) AS xs FROM g WHERE position <= 40 GROUP BY 1),
     r AS (SELECT g, list_reduce(xs, lambda s, x: CASE WHEN s.used + x.c <= 900 THEN {'used': s.used + x.c, 'ks': list_append(s.ks, x.k)} ELSE s END, {'used': 0::BIGINT, 'ks': []::BIGINT[]}) AS s FROM (SELECT g, list_transform(xs, lambda x: {'used': 0::BIGINT, 'ks': []::BIGINT[], 'c': x.c, 'k': x.k}) AS xs FROM a))
     SELECT g, unnest(s.ks) AS o_orderkey FROM r""",
 )
-def search_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+def budget_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice under a budget, for each of twenty groups."""
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("g"), "o_orderkey", (F.octet_length("o_orderpriority") * 7 + F.col("o_orderkey") % 90).cast("long").alias("cost"))
     return budget.choose(rows, ["o_orderkey"], "cost", 900, 40, group=["g"]).select("g", "o_orderkey")
@@ -225,6 +280,12 @@ def read_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.read_batch(asked, files(spark, sf_dir), 200_000)
 
 
+@query("read_refusals", f"WITH {_FILES}, {_NUMBERED} SELECT path, CASE WHEN i % 11 = 0 THEN 'binary' WHEN strlen(content) > 3000 THEN 'too_large' END AS code FROM n")
+def read_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).withColumn("content", F.when(_number() % 11 == 0, F.concat(F.lit("\x00"), "content")).otherwise(F.col("content")))
+    return corpus.flagged(rows, size_cap=3000).select("path", read.refusal()["code"].alias("code"))
+
+
 # Trees
 
 _PREFIXES = "x AS (SELECT DISTINCT path, unnest(generate_series(0, len(string_split(path, '/')))) AS depth FROM p WHERE path <> ''), y AS (SELECT path, depth, array_to_string(list_slice(string_split(path, '/'), 1, depth), '/') AS prefix, depth = len(string_split(path, '/')) AS leaf FROM x)"
@@ -283,7 +344,12 @@ def codemap_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.symbols(_code(spark, sf_dir)).select("path", "line_no", "kind", "name", "container")
 
 
-@query("codemap_text")
+_MAPS = f"""{_SUPPLIERS}, m AS (SELECT path, k, CASE WHEN k % 2 = 0
+      THEN format('File: {{}}\nImports:\n  - import os\n---\n\nClasses:\n  - Supplier{{}}\n    Methods:\n      - L4: def name(self):\n\nFunctions:\n  - L7: def make{{}}() -> Supplier{{}}:\n\nGlobal vars:\n  - LIMIT\n---\n', path, k, k, k // 2)
+      ELSE format('File: {{}}\nImports:\n  - ''./x''\n---\n\nClasses:\n  - Supplier{{}}\n    Methods:\n      - L3: name(): string\n\nFunctions:\n  - L7: export function make{{}}(): Supplier{{}}\n---\n', path, k, k, k // 2) END AS text FROM s)"""
+
+
+@query("codemap_text", f"WITH {_MAPS} SELECT path, text FROM m")
 def codemap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.codemaps(structure.symbols(_code(spark, sf_dir)))
 
@@ -308,13 +374,55 @@ def auto_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "structure_budget",
-    f"""WITH {_FILES}, t AS (SELECT path, {_TOKENS.format("content")} AS cost FROM f WHERE path LIKE 'src1/%'), a AS (SELECT list({{'path': path, 'cost': cost, 'n': 0, 'used': 0::BIGINT, 'kept': []::VARCHAR[]}} ORDER BY path) AS xs FROM (SELECT * FROM t ORDER BY path LIMIT 10)),
-    r AS (SELECT list_reduce(list_prepend({{'path': '', 'cost': 0::BIGINT, 'n': 0, 'used': 0::BIGINT, 'kept': []::VARCHAR[]}}, xs), lambda s, x: CASE WHEN s.n = 0 OR s.used + x.cost <= 3000 THEN {{'path': '', 'cost': 0::BIGINT, 'n': s.n + 1, 'used': s.used + x.cost, 'kept': list_append(s.kept, x.path)}} ELSE s END) AS s FROM a)
+    f"""WITH {_MAPS}, t AS (SELECT path, {_TOKENS.format("text")} AS cost FROM m WHERE path LIKE 'src/%'), a AS (SELECT list({{'path': path, 'cost': cost, 'n': 0, 'used': 0::BIGINT, 'kept': []::VARCHAR[]}} ORDER BY path) AS xs FROM (SELECT * FROM t ORDER BY path LIMIT 10)),
+    r AS (SELECT list_reduce(list_prepend({{'path': '', 'cost': 0::BIGINT, 'n': 0, 'used': 0::BIGINT, 'kept': []::VARCHAR[]}}, xs), lambda s, x: CASE WHEN s.n = 0 OR s.used + x.cost <= 250 THEN {{'path': '', 'cost': 0::BIGINT, 'n': s.n + 1, 'used': s.used + x.cost, 'kept': list_append(s.kept, x.path)}} ELSE s END) AS s FROM a)
     SELECT unnest(s.kept) AS path FROM r""",
 )
 def structure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten files of a folder as far as 3,000 tokens go; the first is always taken."""
-    return structure.structures(files(spark, sf_dir).select("path", F.col("content").alias("text")), ["src1"], 10, 3000).select("path")
+    """The structures of a folder's first ten files as far as 250 tokens go; the first is always taken."""
+    return structure.structures(structure.codemaps(structure.symbols(_code(spark, sf_dir))), ["src"], 10, 250).select("path")
+
+
+#: A file in each language, `#` standing for a number: its name, its text, and (line, kind, name, container, signature).
+_LANGUAGES = [
+    ("a#.ts", "import y from 'http://x/#';\nconst t = `\n{\n`;\nexport class Cart# extends Base {\n  total: number = 0;\n  add(item: Item): void {\n    const local = 1;\n  }\n}\nexport enum Kind# { A, B }\n",
+     [(1, "import", "'http://x/#'", None, "import y from 'http://x/#';"), (2, "var", "t", None, "const t = `"), (5, "class", "Cart#", None, "export class Cart# extends Base"), (6, "property", "total", "Cart#", "total: number = 0;"), (7, "method", "add", "Cart#", "add(item: Item): void"), (11, "enum", "Kind#", None, "export enum Kind#")]),
+    ("b#.js", "class Old# {\n  go() {\n    const re = /[{]/;\n  }\n}\nfunction start#() {\n}\n", [(1, "class", "Old#", None, "class Old#"), (2, "method", "go", "Old#", "go()"), (6, "function", "start#", None, "function start#()")]),
+    ("c#.tsx", "// {\nexport function View#(props: Props) {\n  return null;\n}\n", [(2, "function", "View#", None, "export function View#(props: Props)")]),
+    ("d#.py", "class Dog#(Animal):\n  kind = 'd'\n  def bark(self, n: int) -> None:\n    local = 1\ndef main#(\n  a=1,\n):\n  pass\n", [(1, "class", "Dog#", None, "class Dog#(Animal):"), (2, "property", "kind", "Dog#", "kind = 'd'"), (3, "method", "bark", "Dog#", "def bark(self, n: int) -> None:"), (5, "function", "main#", None, "def main#(")]),
+    ("e#.go", "type Box# struct {\n\tSize int\n}\nfunc (b *Box#) Grow(n int) {\n}\n", [(1, "class", "Box#", None, "type Box# struct"), (2, "property", "Size", "Box#", "Size int"), (4, "method", "Grow", "Box#", "func (b *Box#) Grow(n int)")]),
+    ("f#.rs", "pub struct Point# {\n    x: i32,\n}\nimpl Point# {\n    pub fn len<'a>(&'a self) -> char {\n        '{'\n    }\n}\n", [(1, "class", "Point#", None, "pub struct Point#"), (2, "property", "x", "Point#", "x: i32,"), (4, "impl", "Point#", None, "impl Point#"), (5, "method", "len", "Point#", "pub fn len<'a>(&'a self) -> char")]),
+    ("g#.swift", "protocol Named# {\n    func show()\n}\n#Preview { Card() }\n", [(1, "interface", "Named#", None, "protocol Named#"), (2, "method", "show", "Named#", "func show()"), (4, "preview", "#Preview", None, "#Preview")]),
+    ("H#.java", "public class Shop# {\n    private int total;\n    public int sum(List<Item> xs) {\n        return total;\n    }\n}\n", [(1, "class", "Shop#", None, "public class Shop#"), (2, "property", "total", "Shop#", "private int total;"), (3, "method", "sum", "Shop#", "public int sum(List<Item> xs)")]),
+    ("i#.c", "#define MAX# 3\nstruct node# {\n    int v;\n};\nint add#(int a, int b) {\n    return a + b;\n}\n", [(1, "macro", "MAX#", None, "#define MAX# 3"), (2, "class", "node#", None, "struct node#"), (3, "property", "v", "node#", "int v;"), (5, "function", "add#", None, "int add#(int a, int b)")]),
+    ("j#.cpp", "namespace a\n{\nclass Engine#\n{\n    void start(int n);\n};\n}\n", [(3, "class", "Engine#", None, "class Engine#"), (5, "method", "start", "Engine#", "void start(int n);")]),
+    ("K#.cs", "namespace N\n{\n    public class Room#\n    {\n        public void Open(int n)\n        {\n            var x = 1;\n        }\n    }\n}\n", [(3, "class", "Room#", None, "public class Room#"), (5, "method", "Open", "Room#", "public void Open(int n)")]),
+    ("l#.rb", "module Outer#\n  class Inner#\n    def grow(n)\n    end\n  end\nend\n", [(1, "class", "Outer#", None, "module Outer#"), (2, "class", "Inner#", None, "class Inner#"), (3, "method", "grow", "Inner#", "def grow(n)")]),
+    ("m#.php", "<?php\nclass Cart# {\n    public function add($x) {\n        return '{';\n    }\n}\nfunction run#($a) {\n}\n", [(2, "class", "Cart#", None, "class Cart#"), (3, "method", "add", "Cart#", "public function add($x)"), (7, "function", "run#", None, "function run#($a)")]),
+    ("n#.dart", "class Car# {\n  int speed = 0;\n}\ntypedef Fn# = int;\n", [(1, "class", "Car#", None, "class Car#"), (2, "property", "speed", "Car#", "int speed = 0;"), (4, "alias", "Fn#", None, "typedef Fn# = int;")]),
+]
+
+
+def _sql_text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_DECLARED = ", ".join(f"({_sql_text(name)}, {n}, {_sql_text(kind)}, {_sql_text(what)}, {_sql_text(holder)}, {_sql_text(code)})" for name, _, rows in _LANGUAGES for n, kind, what, holder, code in rows)
+
+
+@query(
+    "codemap_languages",
+    f"""WITH d(path, line_no, kind, name, container, signature) AS (VALUES {_DECLARED}), k AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier)
+    SELECT replace(path, '#', k) AS path, line_no, kind, CASE WHEN kind = 'preview' THEN name ELSE replace(name, '#', k) END AS name, replace(container, '#', k) AS container, CASE WHEN kind IN ('preview', 'macro') THEN '#' || replace(substr(signature, 2), '#', k) ELSE replace(signature, '#', k) END AS signature FROM d, k""",
+)
+def codemap_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of files in fourteen languages, one of each for every supplier."""
+    sources = spark.createDataFrame([(name, text) for name, text, _ in _LANGUAGES], "name string, text string")
+    k = F.col("s_suppkey").cast("string")
+    # a number sign that leads a line of its own is part of the language
+    text = F.regexp_replace("text", "(?<!^|\n)#", k)
+    code = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(sources)).select(F.replace("name", F.lit("#"), k).alias("path"), text.alias("content"))  # fourteen rows on one side
+    return structure.symbols(code).select("path", "line_no", "kind", "name", "container", "signature")
 
 
 # Intervals and selection
@@ -329,27 +437,18 @@ def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "interval_difference",
-    """WITH w AS (SELECT l_orderkey AS key, CAST(min(l_linenumber) * 20 AS BIGINT) AS a, CAST(max(l_linenumber) * 20 + 30 AS BIGINT) AS b FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1),
-    c AS (SELECT l_orderkey AS key, CAST(l_linenumber * 20 + 5 AS BIGINT) AS a, CAST(l_linenumber * 20 + 5 + l_quantity % 12 AS BIGINT) AS b FROM lineitem WHERE l_orderkey % 4 = 0),
+    """WITH w AS (SELECT l_orderkey AS key, CAST(min(l_linenumber) * 20 AS BIGINT) AS a, CAST(max(l_linenumber) * 20 + 30 AS BIGINT) AS b FROM lineitem GROUP BY 1),
+    c AS (SELECT l_orderkey AS key, CAST(l_linenumber * 20 + 5 AS BIGINT) AS a, CAST(l_linenumber * 20 + 5 + l_quantity % 12 AS BIGINT) AS b FROM lineitem),
     p AS (SELECT key, unnest(generate_series(a, b)) AS x FROM w), q AS (SELECT DISTINCT key, unnest(generate_series(a, b)) AS x FROM c), d AS (SELECT p.key, p.x FROM p ANTI JOIN q ON p.key = q.key AND p.x = q.x),
     i AS (SELECT key, x, x - row_number() OVER (PARTITION BY key ORDER BY x) AS g FROM d) SELECT key, min(x) AS start, max(x) AS "end" FROM i GROUP BY key, g""",
 )
 def interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _uncovered(table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0"))
-
-
-def _uncovered(items: DataFrame) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
     whole = items.groupBy(F.col("l_orderkey").alias("key")).agg((F.min("l_linenumber") * 20).cast("long").alias("start"), (F.max("l_linenumber") * 20 + 30).cast("long").alias("end"))
     cut = items.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 20 + 5).cast("long").alias("start"), (F.col("l_linenumber") * 20 + 5 + F.col("l_quantity").cast("long") % 12).alias("end"))
     return intervals.subtract(whole, cut, "key")
 
 
-@query("interval_difference_whole")
-def interval_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """interval_difference over all orders."""
-    return _uncovered(table(spark, sf_dir, "lineitem"))
-
-
 _SELECTED = "e AS (SELECT coalesce(lang, 'und') AS session_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), d.doc_id || '.txt') AS path, CASE WHEN toxic = 1 THEN 'codemap' WHEN quality = 1 THEN 'full' END AS mode, coalesce(text, '') AS content FROM documents d JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 1)"
 
 
@@ -410,14 +509,6 @@ def preset_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", packaging.preset(F.lit(None).cast("string"), kind, F.col("props"), ["standard", "plan", "review", "diff-followup", "mvp"]).alias("preset"))
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = files(spark, sf_dir)
-    entries = selection.measured(selected(spark, sf_dir).where(F.col("path").rlike("[05]\\.txt$")), rows)
-    contents = packaging.joined_blocks(packaging.file_blocks(entries, rows)).withColumn("section", F.lit("file_contents"))
-    prompts = entries.select("session_id").distinct().select("session_id", F.lit("user_instructions").alias("section"), F.lit("Explain.").alias("text"))
-    return entries, contents.select("session_id", "section", "text").unionByName(prompts)
-
-
 def _bundled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The whole selection, in sessions that a token budget admits."""
     rows = files(spark, sf_dir)
@@ -427,41 +518,44 @@ def _bundled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return entries, contents.select("session_id", "section", "text").unionByName(prompts)
 
 
-_PACKED = f"""{_SELECTED}, b AS (SELECT session_id, string_agg('File: ' || path || chr(10) || '```txt' || chr(10) || rtrim(content, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '```', chr(10) || chr(10) ORDER BY path) AS t FROM e WHERE mode = 'full' AND regexp_matches(path, '[05][.]txt$') GROUP BY 1),
-    x AS (SELECT session_id, CASE WHEN t IS NULL THEN '' ELSE '<file_contents>' || chr(10) || t || chr(10) || '</file_contents>' || chr(10) || chr(10) END || '<user_instructions>' || chr(10) || 'Explain.' || chr(10) || '</user_instructions>' AS text FROM (SELECT DISTINCT session_id FROM e WHERE regexp_matches(path, '[05][.]txt$')) LEFT JOIN b USING (session_id))"""
+_PACKED = f"""{_SELECTED}, w AS (SELECT *, CASE WHEN mode = 'full' THEN {_TOKENS.format('content')} ELSE 0 END AS own, {_TOKENS.format('path')} + 8 AS more FROM e),
+    v AS (SELECT *, coalesce(sum(own + more) OVER (ORDER BY session_id, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w), z AS (SELECT session_id || '#' || CAST(before // {BUNDLE_TOKENS} AS BIGINT) AS session_id, path, mode, content, own FROM v),
+    b AS (SELECT session_id, string_agg('File: ' || path || chr(10) || '```txt' || chr(10) || rtrim(content, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '```', chr(10) || chr(10) ORDER BY path) AS t FROM z WHERE mode = 'full' GROUP BY 1),
+    x AS (SELECT session_id, CASE WHEN t IS NULL THEN '' ELSE '<file_contents>' || chr(10) || t || chr(10) || '</file_contents>' || chr(10) || chr(10) END || '<user_instructions>' || chr(10) || 'Explain.' || chr(10) || '</user_instructions>' AS text FROM (SELECT DISTINCT session_id FROM z) LEFT JOIN b USING (session_id)),
+    m AS (SELECT session_id, CAST(sum(own) AS BIGINT) AS files_full FROM z GROUP BY 1)"""
 
 
 @query("payload_hash", f"WITH {_PACKED} SELECT session_id, sha256(text) AS content_sha256, {_TOKENS.format('text')} AS tokens FROM x")
 def payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packaging.payload(_packed(spark, sf_dir)[1]).select("session_id", "content_sha256", "tokens")
-
-
-@query("token_breakdown", f"WITH {_PACKED}, m AS (SELECT session_id, CAST(sum(CASE WHEN mode = 'full' THEN {_TOKENS.format('content')} ELSE 0 END) AS BIGINT) AS files_full FROM e WHERE regexp_matches(path, '[05][.]txt$') GROUP BY 1) SELECT session_id, files_full, 3 AS instructions, {_TOKENS.format('text')} AS total FROM x JOIN m USING (session_id)")
-def token_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, sections = _packed(spark, sf_dir)
-    return packaging.breakdown(sections, entries, packaging.payload(sections)).select("session_id", "files_full", "instructions", "total")
-
-
-@query("payload_hash_whole")
-def payload_hash_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """payload_hash over the whole selection."""
     return packaging.payload(_bundled(spark, sf_dir)[1]).select("session_id", "content_sha256", "tokens")
 
 
-@query("token_breakdown_whole")
-def token_breakdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token_breakdown over the whole selection."""
+@query("token_breakdown", f"WITH {_PACKED} SELECT session_id, files_full, 3 AS instructions, {_TOKENS.format('text')} AS total FROM x JOIN m USING (session_id)")
+def token_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, sections = _bundled(spark, sf_dir)
     return packaging.breakdown(sections, entries, packaging.payload(sections)).select("session_id", "files_full", "instructions", "total")
 
 
-@query("receipt")
+@query(
+    "receipt",
+    f"""WITH {_PACKED}, j AS (SELECT session_id, string_agg(format('{{{{"path":"{{}}","mode":"{{}}","tokens":{{}}}}}}', path, mode, own), ',' ORDER BY path) AS files FROM z GROUP BY 1), t AS (SELECT session_id, files, files_full, sha256(text) AS hash, {_TOKENS.format('text')} AS total FROM x JOIN m USING (session_id) JOIN j USING (session_id))
+    SELECT session_id, format('{{{{"generated_at":"2024-01-01T00:00:00.000Z","preset":"standard","budget":160000,"files":[{{}}],"token_breakdown":{{{{"prompt":0,"files_full":{{}},"files_slices":0,"codemaps":0,"instructions":3,"file_tree":0,"git_diff":0,"meta_prompts":0,"total":{{}}}}}},"content_hash":"{{}}"}}}}', files, files_full, total, hash) AS receipt FROM t""",
+)
 def receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, sections = _bundled(spark, sf_dir)
     made = packaging.payload(sections)
     return packaging.receipt(entries, made, packaging.breakdown(sections, entries, made), "standard", 160_000, "2024-01-01T00:00:00.000Z")
 
 
+@query("file_map", f"WITH {_MAPS} SELECT CAST(k % 7 AS VARCHAR) AS session_id, 'file_map' AS section, string_agg(rtrim(text, chr(10)), chr(10) || chr(10) ORDER BY path) AS text FROM m WHERE k % 3 <> 0 GROUP BY 1")
+def file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structures of seven sessions' codemap entries; entries taken in full have none."""
+    code = _code(spark, sf_dir)
+    k = F.regexp_extract("path", "(\\d+)", 1).cast("int")
+    entries = code.select((k % 7).cast("string").alias("session_id"), "path", F.when(k % 3 == 0, F.lit("full")).otherwise(F.lit("codemap")).alias("mode"))
+    return packaging.file_map(entries, structure.codemaps(structure.symbols(code)))
+
+
 # Edits
 
 
@@ -478,11 +572,50 @@ def edit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.line_table(files(spark, sf_dir)).select("path", "line_no", T.normalised_line("line").alias("normal"))
 
 
-@query("edit_overlap", f"WITH {_RANGES}, o AS (SELECT key, a, lag(b) OVER (PARTITION BY key ORDER BY a, b) AS before FROM r) SELECT key, bool_or(coalesce(a < before, false)) AS overlaps FROM o GROUP BY 1")
+@query("edit_overlap", f"WITH {_FILES}, {_NUMBERED}, o AS (SELECT path, i, '<HEADER-ABCDEFGHIJ>' || content AS c FROM n) SELECT path, CASE WHEN i % 2 = 0 THEN 'failed' ELSE 'applied' END AS status, CASE WHEN i % 2 = 0 THEN 'overlapping_edits' END AS code, CASE WHEN i % 2 = 0 THEN [1, 1] END AS lines, CASE WHEN i % 2 = 1 THEN sha256('1D2' || substr(c, 20)) END AS post_sha256 FROM o")
 def edit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("key").orderBy("start", "end")
-    clash = ranges(spark, sf_dir).withColumn("clash", F.coalesce(F.col("start") < F.lag("end").over(order), F.lit(False)))
-    return clash.groupBy("key").agg(F.bool_or("clash").alias("overlaps"))
+    """Two edits of each file's first line, which overlap in every other file."""
+    rows = files(spark, sf_dir).withColumn("i", _number()).withColumn("content", F.concat(F.lit("<HEADER-ABCDEFGHIJ>"), "content"))
+    second = F.when(F.col("i") % 2 == 0, F.lit("CDEFGHIJ>")).otherwise(F.lit("EFGHIJ>"))
+    wanted = lambda k, what, put: rows.select("path", F.lit(k).alias("edit_index"), what.alias("search"), F.lit(put).alias("replace"), F.lit(False).alias("all"))
+    both = wanted(0, F.lit("<HEADER-ABC"), "1").unionByName(wanted(1, second, "2"))
+    return edits.planned(rows, both).select("path", "status", "error.code", "error.lines", "post_sha256")
+
+
+@query(
+    "edit_tiers",
+    f"""WITH {_FILES}, {_NUMBERED}, t AS (SELECT path, i, i % 4 = 3 AS crlf, CASE WHEN i % 2 = 1 THEN 'tab' || chr(9) || '"q"' || chr(10) ELSE 'if ready:' || chr(10) || '        Public   Value = zebra(1)' || chr(10) || '        other' || chr(10) END AS a, CASE WHEN i % 2 = 1 THEN 'done' || chr(9) || chr(10) ELSE 'if ready:' || chr(10) || '        value = lion(2)' || chr(10) || '        more = 3' || chr(10) || '        other' || chr(10) END AS b, content FROM n),
+    u AS (SELECT path, i, CASE WHEN crlf THEN replace(a || '.' || chr(10), chr(10), chr(13) || chr(10)) ELSE a || '.' || chr(10) END AS pre, CASE WHEN crlf THEN replace(b || '.' || chr(10), chr(10), chr(13) || chr(10)) ELSE b || '.' || chr(10) END AS post FROM t)
+    SELECT path, 'applied' AS status, [CASE WHEN i % 2 = 1 THEN 'escape' ELSE 'fuzzy' END] AS matched_by, sha256(pre) AS pre_sha256, sha256(post) AS post_sha256,
+      CASE WHEN i % 2 = 1 THEN '1: done' || chr(9) || chr(10) || '2: .' ELSE '1: if ready:' || chr(10) || '2:         value = lion(2)' || chr(10) || '3:         more = 3' || chr(10) || '4:         other' || chr(10) || '5: .' END AS context FROM u""",
+)
+def edit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts found with their escapes decoded, or by a fuzzy line whose replacement is moved to its indentation; some of
+    the files end their lines with CRLF."""
+    i = F.col("i")
+    odd = F.lit('tab\t"q"\n.\n')
+    even = F.lit("if ready:\n        Public   Value = zebra(1)\n        other\n.\n")
+    text = F.when(i % 2 == 1, odd).otherwise(even)
+    rows = files(spark, sf_dir).withColumn("i", _number()).withColumn("content", F.when(i % 4 == 3, F.regexp_replace(text, "\n", "\r\n")).otherwise(text))
+    find = F.when(i % 2 == 1, F.lit(r'tab\t\"q\"')).otherwise(F.lit("  value = zebra(1)\n"))
+    put = F.when(i % 2 == 1, F.lit(r"done\t")).otherwise(F.lit("  value = lion(2)\n  more = 3\n"))
+    wanted = rows.select("path", F.lit(0).alias("edit_index"), find.alias("search"), put.alias("replace"), F.lit(False).alias("all"))
+    return edits.planned(rows, wanted).select("path", "status", "matched_by", "pre_sha256", "post_sha256", F.get("post_context", 0)["text"].alias("context"))
+
+
+@query(
+    "edit_rewrite",
+    f"""WITH {_FILES}, {_NUMBERED}, t AS (SELECT path, i, i % 5 = 0 AS gone, CASE WHEN i % 3 = 0 THEN replace(content, chr(10), chr(13) || chr(10)) ELSE content END AS content FROM n),
+    u AS (SELECT *, (length(content) - length(replace(content, chr(13) || chr(10), ''))) / 2 AS crlf, length(content) - length(replace(content, chr(10), '')) AS lf FROM t),
+    r AS (SELECT path, gone, CASE WHEN gone THEN 'one' || chr(10) || 'two' ELSE replace('one' || chr(10) || 'two' || CASE WHEN content LIKE '%' || chr(10) THEN chr(10) ELSE '' END, chr(10), CASE WHEN crlf > lf - crlf THEN chr(13) || chr(10) ELSE chr(10) END) END AS after FROM u)
+    SELECT path, 'applied' AS status, gone AS file_created, sha256(after) AS post_sha256, '1: one' || chr(10) || '2: two' AS context FROM r""",
+)
+def edit_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole new texts for all files, a fifth of which do not exist and are created."""
+    rows = files(spark, sf_dir).withColumn("i", _number())
+    wanted = rows.select("path", F.lit("one\ntwo").alias("rewrite"))
+    held = rows.where("i % 5 <> 0").withColumn("content", F.when(F.col("i") % 3 == 0, F.regexp_replace("content", "\n", "\r\n")).otherwise(F.col("content")))
+    return edits.rewritten(held, wanted, create=True).select("path", "status", "file_created", "post_sha256", F.get("post_context", 0)["text"].alias("context"))
 
 
 @query("edit_apply", f"WITH {_FILES} SELECT path, 'applied' AS status, sha256(replace(content, ' the ', ' THE ')) AS post_sha256 FROM f WHERE contains(content, ' the ')")
@@ -499,21 +632,21 @@ def edit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.planned(rows, wanted).select("path", "error.code")
 
 
+_LIMIT = "CASE WHEN length({0}) <= 4 THEN 0.25 WHEN length({0}) <= 7 THEN 0.35 WHEN length({0}) <= 12 THEN 0.5 WHEN length({0}) <= 20 THEN 0.65 WHEN length({0}) <= 40 THEN 0.7 ELSE 0.8 END"
+
+
 @query(
     "edit_fuzzy",
-    f"""WITH {_FILES}, {_LINES}, n AS (SELECT path, line_no, {_NORMAL} AS s FROM l WHERE line_no <= 3),
-    g AS (SELECT path, line_no, s, list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2)) AS x FROM n WHERE length(s) > 1), q AS (SELECT list_transform(generate_series(1, 16), lambda i: substr('the thing of ands', i, 2)) AS y),
-    c AS (SELECT path, line_no, len(x) AS a, len(y) AS b, list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda u: u = t)), len(list_filter(y, lambda u: u = t))))) AS shared FROM g, q)
-    SELECT path, CAST(line_no AS INTEGER) AS line_no, round(2.0 * shared / (a + b), 6) AS dice FROM c""",
+    f"""WITH {_FILES}, {_LINES}, n AS (SELECT path, line_no, line, length(line) AS size, {_NORMAL} AS s FROM l),
+    w AS (SELECT path, {_NORMAL} AS y FROM (SELECT path, arg_min(line, line_no) || ' zq' AS line FROM n WHERE s <> '' GROUP BY 1)),
+    g AS (SELECT path, line_no, size, s, y, list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2)) AS a, list_transform(generate_series(1, length(y) - 1), lambda i: substr(y, i, 2)) AS b FROM n JOIN w USING (path)),
+    c AS (SELECT path, line_no, size, s, y, CASE WHEN s = y THEN 1.0 WHEN length(s) < 2 OR length(y) < 2 THEN 0.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda u: u = t)), len(list_filter(b, lambda u: u = t))))), 0) / (len(a) + len(b)) END AS dice FROM g),
+    e AS (SELECT *, bool_or(s = y) OVER (PARTITION BY path) AS exact, sum(size + 1) OVER (PARTITION BY path ORDER BY line_no) - size - 1 AS base, max(line_no) OVER (PARTITION BY path) AS last FROM c),
+    q AS (SELECT path, list({{'n': line_no, 'd': dice, 'a': base, 'b': base + size + CASE WHEN line_no < last OR f.content LIKE '%' || chr(10) THEN 1 ELSE 0 END}} ORDER BY line_no) FILTER (CASE WHEN exact THEN s = y ELSE dice >= {_LIMIT.format('y')} END) AS hits, arg_max(line_no, dice * 1000000 - line_no / 1000000.0) AS best FROM e JOIN f USING (path) GROUP BY path)
+    SELECT path, CASE WHEN len(hits) = 1 THEN 'fuzzy' END AS matched_by, CASE WHEN len(hits) = 1 THEN round(hits[1].d, 6) END AS dice, CASE WHEN len(hits) = 1 THEN CAST(hits[1].a AS INTEGER) END AS start, CASE WHEN len(hits) = 1 THEN CAST(hits[1].b AS INTEGER) END AS "end",
+      CASE WHEN len(hits) > 1 THEN 'ambiguous_match' WHEN coalesce(len(hits), 0) = 0 THEN 'no_match' END AS code, CASE WHEN len(hits) > 1 THEN list_transform(hits, lambda h: CAST(h.n AS INTEGER)) WHEN coalesce(len(hits), 0) = 0 THEN [CAST(best AS INTEGER)] END AS lines FROM q""",
 )
 def edit_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike the first lines of all files are to a line that is looked for."""
-    rows = search.line_table(files(spark, sf_dir)).where("line_no <= 3").select("path", "line_no", T.normalised_line("line").alias("s"))
-    return rows.where(F.char_length("s") > 1).select("path", "line_no", F.round(T.multiset_dice(F.lit("the thing of ands"), F.col("s")), 6).alias("dice"))
-
-
-@query("edit_fuzzy_whole")
-def edit_fuzzy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file's first line with words, changed a little, looked for among all lines of the file by the three tiers."""
     rows = files(spark, sf_dir)
     first = F.get(F.filter(T.lines("content"), lambda x: T.normalised_line(x) != ""), 0)

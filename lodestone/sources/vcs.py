@@ -13,11 +13,23 @@ PATCH_LINES = 300
 UNIT = "\x1f"
 
 
+class VcsError(RuntimeError):
+    """A command that could not run. code: git_unavailable (no such program), not_a_repo, or git_error."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(f"git_failed: {code}: {message}")
+        self.code = code
+
+
 def git_lines(spark: SparkSession, repo: str, *args: str) -> DataFrame:
     """(line_no from 0, line): what a read-only git command prints for one repository."""
-    done = subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, errors="replace")
+    try:
+        done = subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, errors="replace")
+    except FileNotFoundError as error:
+        raise VcsError("git_unavailable", str(error)) from error
     if done.returncode:
-        raise RuntimeError(f"git_failed: {done.stderr.strip()[:500]}")
+        said = done.stderr.strip()[:500]
+        raise VcsError("not_a_repo" if "not a git repository" in said.lower() or "outside repository" in said.lower() else "git_error", said)
     return spark.createDataFrame(list(enumerate(done.stdout.splitlines())), "line_no int, line string")
 
 

@@ -37,8 +37,8 @@ def test_the_whole_selection_is_packaged_in_bounded_sessions(spark, monkeypatch)
     content = {r["path"]: r["content"] for r in files(spark, SF).select("path", "content").collect()}
     mode = {r["path"]: r["mode"] for r in selected(spark, SF).collect()}
     records = {r["session_id"]: json.loads(r["receipt"]) for r in queries.QUERIES["receipt"](spark, SF).collect()}
-    hashes = {r["session_id"]: r["content_sha256"] for r in queries.QUERIES["payload_hash_whole"](spark, SF).collect()}
-    sums = {r["session_id"]: r["files_full"] for r in queries.QUERIES["token_breakdown_whole"](spark, SF).collect()}
+    hashes = {r["session_id"]: r["content_sha256"] for r in queries.QUERIES["payload_hash"](spark, SF).collect()}
+    sums = {r["session_id"]: r["files_full"] for r in queries.QUERIES["token_breakdown"](spark, SF).collect()}
     held = [f["path"] for r in records.values() for f in r["files"]]
     assert sorted(held) == sorted(mode) and len(records) > 4
     assert hashes.keys() == records.keys() == sums.keys()
@@ -62,12 +62,12 @@ def test_ranges_of_all_orders_are_subtracted(spark):
         starts = [x for k, x in enumerate(left) if k == 0 or left[k - 1] != x - 1]
         ends = [x for k, x in enumerate(left) if k == len(left) - 1 or left[k + 1] != x + 1]
         want |= {(key, a, b) for a, b in zip(starts, ends, strict=True)}
-    got = [(r["key"], r["start"], r["end"]) for r in queries.QUERIES["interval_difference_whole"](spark, SF).collect()]
+    got = [(r["key"], r["start"], r["end"]) for r in queries.QUERIES["interval_difference"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want and any(k % 4 for k, _, _ in got)
 
 
 def test_fuzzy_edits_are_resolved_among_all_lines(spark):
-    rows = {r["path"]: r for r in queries.QUERIES["edit_fuzzy_whole"](spark, SF).collect()}
+    rows = {r["path"]: r for r in queries.QUERIES["edit_fuzzy"](spark, SF).collect()}
     content = {r["path"]: r["content"] for r in files(spark, SF).select("path", "content").collect()}
     assert rows.keys() == {p for p, t in content.items() if t.strip()}
     found = [r for r in rows.values() if r["matched_by"] == "fuzzy"]

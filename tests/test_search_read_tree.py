@@ -22,11 +22,19 @@ def test_content_matches(files):
 
 
 def test_context_lines_are_shown_once(files):
-    hits = search.content_matches(files, "Key", around=1)
+    hits = search.with_context(search.content_matches(files, "Key"), search.line_table(files), 1)
     rows = {(r["path"], r["line"]): (r["context_before"], r["context_after"]) for r in hits.collect()}
     assert rows[("src/a.txt", 2)] == (["one"], [])
     assert rows[("src/a.txt", 4)] == (["three"], ["five"])
     assert rows[("lib/é.txt", 1)] == ([], [])
+    again = search.content_matches(files, "Key", around=1)
+    assert {(r["path"], r["line"]): (r["context_before"], r["context_after"]) for r in again.collect()} == rows
+
+
+def test_caps_of_an_answer(files):
+    kept, caps = search.answer(files, "Key", context_lines=1, max_results=2)
+    assert kept.count() == 2 and tuple(caps.first())[:2] == (True, 2 + search.found(files, "Key").count() - 4)
+    assert tuple(search.answer(files, "nowhere", max_results=2)[1].first()) == (False, 0, None)
 
 
 def test_search_modes_and_summary(spark, files):
