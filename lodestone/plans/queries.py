@@ -495,6 +495,88 @@ def selection_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.invalidate(before, now).select("session_id", "path", "mode", "slices_invalidated")
 
 
+_CUT = "c AS (SELECT session_id, path, content, CASE WHEN content LIKE '%' || chr(10) THEN list_slice(string_split(content, chr(10)), 1, -2) ELSE string_split(content, chr(10)) END AS ls FROM e WHERE mode = 'full' AND content <> '')"
+
+
+def _sliced(spark: SparkSession, sf_dir: str, *parts: tuple[int, int]) -> DataFrame:
+    """The selection's full entries as slices."""
+    slices = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(None).cast("string").alias("description")) for a, b in parts])
+    return selected(spark, sf_dir).where("mode = 'full'").withColumn("mode", F.lit("slices")).withColumn("slices", slices)
+
+
+@query(
+    "selection_remove_slices",
+    f"""WITH {_SELECTED}, {_CUT}, s AS (SELECT session_id, path, content, ls, unnest([1, 4]) AS n FROM c), k AS (SELECT session_id, path, n, ls[n] || CASE WHEN n < len(ls) OR content LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS t FROM s WHERE n <= len(ls)),
+    o AS (SELECT session_id, path, CAST(n AS INTEGER) AS start, CAST(n AS INTEGER) AS "end", {_TOKENS.format('t')} AS tokens FROM k) SELECT session_id, path, start, "end", CAST(sum(tokens) OVER (PARTITION BY session_id, path) AS BIGINT) AS tokens_slices FROM o""",
+)
+def selection_remove_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of lines 1 to 4, lines 2 and 3 are taken out again; tokens are those of the lines left."""
+    rows = files(spark, sf_dir)
+    before = selection.measured(_sliced(spark, sf_dir, (1, 4)), rows)
+    left = selection.remove(before, _sliced(spark, sf_dir, (2, 3)), rows)
+    return left.select("session_id", "path", "tokens_slices", F.inline("slices")).drop("description")
+
+
+@query("selection_replace", f"WITH {_SELECTED} SELECT session_id, path, mode FROM e WHERE session_id <> 'en' OR path LIKE '%1.txt'")
+def selection_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session is set anew; the others stay."""
+    rows = files(spark, sf_dir)
+    return selection.replace(selection.measured(selected(spark, sf_dir), rows), selected(spark, sf_dir).where("session_id = 'en' AND path LIKE '%1.txt'"), rows).select("session_id", "path", "mode")
+
+
+@query("selection_modes", f"WITH {_SELECTED} SELECT session_id, path, CASE WHEN path LIKE '%4.txt' THEN 'codemap' WHEN path LIKE '%6.txt' THEN 'full' ELSE mode END AS mode FROM e WHERE path NOT LIKE '%8.txt'")
+def selection_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some entries are demoted, some promoted, some forgotten; paths that are not selected stay out."""
+    rows = files(spark, sf_dir)
+    before = selection.measured(selected(spark, sf_dir), rows)
+    named = lambda end: rows.where(F.col("path").endswith(end)).select(F.split_part("path", F.lit("/"), F.lit(2)).alias("session_id"), "path")
+    after = selection.set_mode(selection.set_mode(before, named("4.txt"), "codemap"), named("6.txt"), "full")
+    return selection.forget(after, named("8.txt")).select("session_id", "path", "mode")
+
+
+@query(
+    "selection_snapshot",
+    f"""WITH {_MAPS}, c AS (SELECT * FROM m WHERE k % 3 = 0), d AS (SELECT DISTINCT m.path, m.text FROM c JOIN m ON m.k = c.k // 2 WHERE m.path NOT IN (SELECT path FROM c))
+    SELECT 'one' AS session_id, path, 'full' AS mode, false AS auto, NULL AS tokens_codemap FROM c UNION ALL SELECT 'one', path, 'codemap', true, {_TOKENS.format('text')} FROM d""",
+)
+def selection_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit entries and, as codemaps, the files that define what they refer to."""
+    code = _code(spark, sf_dir)
+    found = structure.symbols(code)
+    maps = structure.codemaps(found)
+    entries = code.where(F.regexp_extract("path", "(\\d+)", 1).cast("int") % 3 == 0).select(F.lit("one").alias("session_id"), "path", F.lit("full").alias("mode"), F.array().cast(selection.SLICES).alias("slices"))
+    explicit = selection.measured(entries, code)
+    shown = selection.with_auto(explicit, selection.closure(explicit, structure.references(found), structure.type_index(found)), code, maps)
+    return shown.select("session_id", "path", "mode", "auto", F.when(F.col("auto"), F.col("tokens_codemap")).alias("tokens_codemap"))
+
+
+@query("selection_content", f"WITH {_SELECTED}, {_CUT} SELECT session_id, path, sha256(array_to_string(list_slice(ls, 1, CASE WHEN len(ls) = 3 THEN 3 ELSE 2 END), chr(10)) || CASE WHEN len(ls) > 3 OR content LIKE '%' || chr(10) THEN chr(10) ELSE '' END || CASE WHEN len(ls) >= 4 THEN ls[4] || CASE WHEN len(ls) > 4 OR content LIKE '%' || chr(10) THEN chr(10) ELSE '' END ELSE '' END) AS text_sha256 FROM c")
+def selection_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of lines 1, 2 and 4 of each file; a slice beyond the end is moved to the last line."""
+    rows = files(spark, sf_dir)
+    return selection.view(selection.measured(_sliced(spark, sf_dir, (1, 2), (4, 4)), rows), "content", rows).select("session_id", "path", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    "prompt_log",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, CASE event_type WHEN 'signup' THEN 'set' WHEN 'purchase' THEN 'clear' ELSE 'append' END AS action, coalesce(props, '') AS text FROM events),
+    p AS (SELECT *, sum(CASE WHEN action <> 'append' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY event_id) AS epoch FROM e), q AS (SELECT * FROM p QUALIFY epoch = max(epoch) OVER (PARTITION BY session_id))
+    SELECT session_id, string_agg(CASE WHEN action = 'clear' THEN '' ELSE text END, '' ORDER BY event_id) AS prompt FROM q GROUP BY 1""",
+)
+def prompt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts after a log in which each user sets, appends to and clears one."""
+    action = F.when(F.col("event_type") == "signup", F.lit("set")).when(F.col("event_type") == "purchase", F.lit("clear")).otherwise(F.lit("append"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("at"), action.alias("action"), F.col("props").alias("text"))
+    return selection.prompts_after(log).select("session_id", "prompt")
+
+
+@query("selection_latest", "WITH e AS (SELECT event_type AS session_id, 'u' || user_id AS path, event_id, CASE WHEN value > 20 THEN 'full' END AS mode FROM events) SELECT session_id, path, mode FROM e QUALIFY row_number() OVER (PARTITION BY session_id, path ORDER BY event_id DESC) = 1 AND mode IS NOT NULL")
+def selection_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each entry in a log of upserts, where a null mode means that it has left."""
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("session_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("value") > 20, F.lit("full")).alias("mode"), "event_id")
+    return selection.latest(log, "event_id").select("session_id", "path", "mode")
+
+
 # Packaging
 
 
@@ -718,6 +800,19 @@ def patch_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vcs.patch_hunks(_patches(spark, sf_dir), max_lines=4, group="patch_id").select("path", "hunk_no", "old_start", "new_start", "patch", "omitted_lines")
 
 
+@query("head_truncate", f"WITH {_FILES}, c AS (SELECT path, string_split(content, chr(10)) AS ls FROM f) SELECT path, sha256(array_to_string(list_slice(ls, 1, 3), chr(10)) || CASE WHEN len(ls) > 3 THEN chr(10) || '... (' || (len(ls) - 3) || ' more lines omitted)' ELSE '' END) AS head_sha256 FROM c")
+def head_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("path", F.sha2(vcs.head_lines(F.col("content"), 3), 256).alias("head_sha256"))
+
+
+@query("branch_facts", "SELECT 'main' AS branch, 'origin/main' AS upstream, CAST(count(*) FILTER (event_type = 'click') % 100 AS INTEGER) AS ahead, CAST(count(*) % 50 AS INTEGER) AS behind FROM events")
+def branch_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header lines of a status, beside its entries."""
+    counts = table(spark, sf_dir, "events").agg((F.count_if(F.col("event_type") == "click") % 100).alias("a"), (F.count(F.lit(1)) % 50).alias("b"))
+    head = counts.select(F.explode(F.array(F.lit("# branch.head main"), F.lit("# branch.upstream origin/main"), F.concat(F.lit("# branch.ab +"), F.col("a").cast("string"), F.lit(" -"), F.col("b").cast("string")))).alias("line"))
+    return vcs.branch_facts(head.unionByName(_status_lines(spark, sf_dir).where("line NOT LIKE '#%'").select("line")))
+
+
 @query("blame_lines", "SELECT CAST(event_id AS INTEGER) AS line, left(sha256(CAST(user_id AS VARCHAR)), 8) AS sha_short, 'u' || user_id AS author, props AS content FROM events")
 def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 40)
