@@ -7,9 +7,10 @@ file's text at a time.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -266,43 +267,59 @@ def index_table(index: DataFrame) -> DataFrame:
     return index.groupBy("type_name").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-def _capped(items: Column, indent: str, cap: int = FILE_TOKENS) -> Column:
-    """Lines of a list, cut where their sum of tokens passes the cap, with how many are left out."""
-    cost = lambda t: F.ceil(F.octet_length(t) / F.lit(4.0) * F.lit(1.05))
-    lines = F.transform(items, lambda t: F.concat(F.lit(f"{indent}- "), t))
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"))
-    fits = F.aggregate(lines, state, lambda s, t: F.struct((s["used"] + cost(t)).alias("used"), (s["n"] + (s["used"] + cost(t) <= cap).cast("int")).alias("n")), lambda s: F.greatest(s["n"], F.least(F.lit(1), F.size(lines))))
-    rest = F.size(lines) - fits
-    return F.concat(F.slice(lines, F.lit(1), fits), F.when(rest > 0, F.array(F.concat(F.lit(f"{indent}- ... (+"), rest.cast("string"), F.lit(" more)")))).otherwise(F.array().cast("array<string>")))
+def _capped(items: list[str], indent: str, cap: int = FILE_TOKENS) -> list[str]:
+    """Lines of a list, cut where their sum of tokens passes the cap, with how many are left out. The first one stays."""
+    lines, used, kept = [f"{indent}- {item}" for item in items], 0, 0
+    for line in lines:
+        used += math.ceil(len(line.encode()) / 4.0 * 1.05)
+        if kept and used > cap:
+            break
+        kept += 1
+    return lines[:kept] + ([f"{indent}- ... (+{len(lines) - kept} more)"] if kept < len(lines) else [])
+
+
+def rendered(path: str, found: list[dict]) -> str:
+    """One file's declarations (kind, name, container, shown; in the order of their lines) as text, in a fixed order of
+    sections."""
+    def named(*kinds: str) -> list[str]:
+        return [d["shown"] for d in found if d["kind"] in kinds]
+
+    def listed(title: str, items: list[str], indent: str = "") -> list[str]:
+        return [f"{indent}{title}:", *_capped(items, f"{indent}  ")] if items else []
+
+    def section(title: str, kind: str) -> list[str]:
+        return ["", *listed(title, named(kind))] if named(kind) else []
+
+    def types(title: str, kind: str) -> list[str]:
+        lines = ["", f"{title}:"] if named(kind) else []
+        for holder in named(kind):
+            own = [d for d in found if d["container"] == holder]
+            lines.append(f"  - {holder}")
+            for part, of in (("Methods", "method"), ("Properties", "property")):
+                lines += listed(part, [d["shown"] for d in own if d["kind"] == of], "    ")
+        return lines
+
+    previews = len(named("preview"))
+    return "\n".join([
+        f"File: {path}", "Imports:", *[f"  - {x}" for x in named("import")], "---", *types("Classes", "class"), *types("Interfaces", "interface"), *section("Type-aliases", "alias"), *section("Functions", "function"),
+        *section("Enums", "enum"), *section("Global vars", "var"), *(["", f"Previews: {previews}"] if previews else []), *section("Exports", "export"), *section("Macros", "macro"), "---\n",
+    ])
 
 
 def codemaps(found: DataFrame) -> DataFrame:
-    """(path, text): each file's structure as text, in a fixed order of sections."""
+    """(path, text): each file's structure as text. A file's declarations meet in one row, never those of two files."""
     numbered = F.concat(F.lit("L"), F.col("line_no").cast("string"), F.lit(": "), F.col("signature"))
-    item = F.struct("line_no", "kind", "name", "container", F.when(F.col("kind").isin("method", "function"), numbered).when(F.col("kind") == "property", F.col("signature")).otherwise(F.col("name")).alias("shown"))
-    rows = found.where("kind <> 'impl'").groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    of = lambda *kinds: F.filter("s", lambda x: x["kind"].isin(*kinds))
-    shown = lambda items: F.transform(items, lambda x: x["shown"])
-    none = F.array().cast("array<string>")
-
-    def section(title: str, *kinds: str) -> Column:
-        return F.when(F.size(of(*kinds)) > 0, F.concat(F.array(F.lit(""), F.lit(f"{title}:")), _capped(shown(of(*kinds)), "  "))).otherwise(none)
-
-    def members(of_type: Column, title: str, kind: str) -> Column:
-        own = F.filter("s", lambda x: (x["kind"] == kind) & (x["container"] == of_type["name"]))
-        return F.when(F.size(own) > 0, F.concat(F.array(F.lit(f"    {title}:")), _capped(shown(own), "      "))).otherwise(none)
-
-    def types(title: str, kind: str) -> Column:
-        each = F.flatten(F.transform(of(kind), lambda x: F.concat(F.array(F.concat(F.lit("  - "), x["name"])), members(x, "Methods", "method"), members(x, "Properties", "property"))))
-        return F.when(F.size(of(kind)) > 0, F.concat(F.array(F.lit(""), F.lit(f"{title}:")), each)).otherwise(none)
-
-    previews = F.size(of("preview"))
-    whole = reduce(F.concat, [
-        F.array(F.concat(F.lit("File: "), F.col("path")), F.lit("Imports:")), F.transform(of("import"), lambda x: F.concat(F.lit("  - "), x["name"])), F.array(F.lit("---")),
-        types("Classes", "class"), types("Interfaces", "interface"), section("Type-aliases", "alias"), section("Functions", "function"), section("Enums", "enum"), section("Global vars", "var"),
-        F.when(previews > 0, F.array(F.lit(""), F.concat(F.lit("Previews: "), previews.cast("string")))).otherwise(none), section("Exports", "export"), section("Macros", "macro"), F.array(F.lit("---")),
-    ])
-    return rows.select("path", F.concat(F.array_join(whole, "\n"), F.lit("\n")).alias("text"))
+    shown = F.when(F.col("kind").isin("method", "function"), numbered).when(F.col("kind") == "property", F.col("signature")).otherwise(F.col("name"))
+    rows = found.where("kind <> 'impl'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "kind", "name", "container", shown.alias("shown")))).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64).to_pydict()
+                texts = [rendered(path, held) for path, held in zip(part["path"], part["s"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part["path"], pa.string()), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return rows.mapInArrow(run, "path string, text string")
 
 
 def structures(maps: DataFrame, paths: list[str], max_files: int = MAX_FILES, max_tokens: int = QUERY_TOKENS) -> DataFrame:
