@@ -14,7 +14,8 @@ from lodestone.functions import text as T
 
 # The sample that is sniffed, the size cap, and the ignore files.
 SNIFF_BYTES, SIZE_CAP = 8192, 10_000_000
-FILES_PER_TASK = 2000
+#: Tasks that walk a folder's tree, and about how many bytes of files a task holds at a time.
+WALKERS, READ_BYTES = 256, 64 << 20
 IGNORE_FILES = [".gitignore", ".repo_ignore", ".cursorignore"]
 
 
@@ -51,63 +52,91 @@ def paths_of_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path")).where("path <> ''").distinct()
 
 
-def listing(root: str) -> list[tuple[str, str, int, float]]:
+def _opened(root: str) -> tuple[pa.fs.FileSystem, str]:
+    system, base = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    return system, base.rstrip("/")
+
+
+def _entries(system: pa.fs.FileSystem, folder: str) -> tuple[list[str], list[pa.fs.FileInfo]]:
+    """Folders that are entered, and files. What cannot be read is left out."""
+    found = [e for e in system.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)) if e.base_name not in P.HARD_IGNORED]
+    return [e.path for e in found if e.type == pa.fs.FileType.Directory], [e for e in found if e.type == pa.fs.FileType.File]
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, abs_path, size, mtime_ms) of the files below a folder of any file system that Arrow opens.
 
-    Spark's own readers leave out names that begin with a dot or an underscore, which source trees need.
-    Directories that are never entered are not listed; entries that cannot be read are left out.
+    Spark's own readers leave out names that begin with a dot or an underscore, which source trees need. The driver
+    opens folders only until there is one for each of WALKERS tasks, which walk the rest.
     """
-    system, base = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-    base = base.rstrip("/")
-    found, folders = [], [base]
-    while folders:
-        for entry in system.get_file_info(pa.fs.FileSelector(folders.pop(), allow_not_found=True)):
-            relative = entry.path[len(base) :].lstrip("/")
-            if entry.base_name in P.HARD_IGNORED:
-                continue
-            if entry.type == pa.fs.FileType.Directory:
-                folders.append(entry.path)
-            elif entry.type == pa.fs.FileType.File:
-                found.append((relative, entry.path, int(entry.size or 0), (entry.mtime_ns or 0) / 1e6))
-    return sorted(found)
+    system, base = _opened(root)
+    opened, ahead = [], [base]
+    while ahead and len(ahead) < WALKERS:
+        opened, ahead = opened + ahead, [sub for folder in ahead for sub in _entries(system, folder)[0]]
+    start = spark.createDataFrame([(f, False) for f in opened] + [(f, True) for f in ahead], "folder string, deep boolean").repartition(max(1, min(len(ahead), WALKERS)))
+    shape = pa.schema([("path", pa.string()), ("abs_path", pa.string()), ("size", pa.int64()), ("mtime_ms", pa.float64())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, below = _opened(root)
+        for batch in batches:
+            for folder, deep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left = [folder]
+                while left:
+                    folders, files = _entries(own, left.pop())
+                    left += folders if deep else []
+                    rows = [(f.path[len(below) :].lstrip("/"), f.path, int(f.size or 0), (f.mtime_ns or 0) / 1e6) for f in files]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, shape.types, strict=True)], schema=shape)
+
+    return start.mapInArrow(walk, "path string, abs_path string, size long, mtime_ms double")
 
 
 def scan(spark: SparkSession, root: str, extra_rules: list[str] = (), ios_preset: bool | str = "auto", size_cap: int = SIZE_CAP) -> DataFrame:
     """All files below a folder, less the ignored ones, with their bytes read by tasks.
 
     Columns: root, path, abs_path, size, mtime_ms, content, is_binary, oversized, likely_generated, language. Ignore
-    files are read first; rules of deeper folders come later and so win.
+    files are read first; rules of deeper folders come later and so win. Files are read a few at a time; one that is
+    oversized is read in a batch of its own.
     """
-    entries = listing(root)
-    rules = ignore_rules(root, [e[0] for e in entries], extra_rules, ios_preset)
-    rows = spark.createDataFrame(entries, "path string, abs_path string, size long, mtime_ms double")
-    kept = rows.where(~P.ignored("path", rules)).where(~F.col("path").rlike("\\.xcassets/.+"))
-    tasks = max(spark.sparkContext.defaultParallelism, len(entries) // FILES_PER_TASK)
-    named = kept.select(F.lit(root).alias("root"), "path", "abs_path", "size", "mtime_ms").repartition(tasks)
+    entries = listing(spark, root)
+    rules = ignore_rules(entries, root, extra_rules, ios_preset)
+    kept = entries.where(~P.ignored("path", rules)).where(~F.col("path").rlike("\\.xcassets/.+"))
+    # names are dealt anew by their hash, so that a large folder is read by many tasks
+    named = kept.select(F.lit(root).alias("root"), "path", "abs_path", "size", "mtime_ms").repartition("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")[0]
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part, contents = batch.slice(k, 64), []
-                for path in part.column(2).to_pylist():
-                    with system.open_input_stream(path, compression=None) as source:
-                        contents.append(source.read())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], names=[*part.schema.names, "content"])
+        system = _opened(root)[0]
 
+        def read(part: pa.RecordBatch) -> pa.RecordBatch:
+            contents = []
+            for path in part.column(2).to_pylist():
+                with system.open_input_stream(path, compression=None) as source:
+                    contents.append(source.read())
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.large_binary())], names=[*part.schema.names, "content"]).cast(shape)
+
+        for batch in batches:
+            first, held = 0, 0
+            for k, size in enumerate(batch.column(3).to_pylist()):
+                if k > first and held + size > READ_BYTES:
+                    yield read(batch.slice(first, k - first))
+                    first, held = k, 0
+                held += size
+            yield read(batch.slice(first))
+
+    shape = pa.schema([("root", pa.string()), ("path", pa.string()), ("abs_path", pa.string()), ("size", pa.int64()), ("mtime_ms", pa.float64()), ("content", pa.binary())])
     return flagged(named.mapInArrow(run, "root string, path string, abs_path string, size long, mtime_ms double, content binary"), size_cap)
 
 
-def ignore_rules(root: str, paths: list[str], extra: list[str] = (), ios_preset: bool | str = "auto") -> list[str]:
-    """The rules that hold for a listed folder: extra ones, the preset, then those of ignore files by depth."""
-    system, base = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-    rules = list(extra)
-    if ios_preset == "auto":
-        ios_preset = any("/" in p and p.split("/")[0].endswith(".xcodeproj") or p == "Package.swift" for p in paths)
-    if ios_preset:
+def ignore_rules(entries: DataFrame, root: str, extra: list[str] = (), ios_preset: bool | str = "auto") -> list[str]:
+    """The rules that hold for a listed folder: extra ones, the preset, then those of ignore files by depth. To the
+    driver come the ignore files' paths and one sign of an iOS project."""
+    system, base = _opened(root)
+    rules, name = list(extra), P.base_name("path")
+    signs = entries.where(F.split_part("path", F.lit("/"), F.lit(1)).endswith(".xcodeproj") & F.contains("path", F.lit("/")) | (F.col("path") == "Package.swift")).limit(1).select("path")
+    found = [r["path"] for r in entries.where(name.isin(IGNORE_FILES)).select("path").unionByName(signs).collect()]
+    own = [p for p in found if p.rpartition("/")[2] in IGNORE_FILES]
+    if ios_preset is True or (ios_preset == "auto" and len(own) < len(found)):
         rules += P.IOS_RULES
-    own = [p for p in paths if p.rpartition("/")[2] in IGNORE_FILES]
-    for path in sorted(own, key=lambda p: (p.count("/"), p.rpartition("/")[0], IGNORE_FILES.index(p.rpartition("/")[2]))):
+    for path in sorted(set(own), key=lambda p: (p.count("/"), p.rpartition("/")[0], IGNORE_FILES.index(p.rpartition("/")[2]))):
         with system.open_input_stream(f"{base}/{path}") as source:
             for line in source.read().decode("utf-8", "replace").splitlines():
                 rules += P.rebased(path.rpartition("/")[0], line)
