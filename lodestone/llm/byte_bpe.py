@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from lodestone.llm.shared import without_collector
 
 #: Bounds of what a worker keeps; at a bound it forgets all and starts anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 100_000, 200_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 250_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
