@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat_format, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, warc
+from lodestone.llm import byte_bpe, chat_format, fill_in_middle, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, warc
 from lodestone.llm.shared import crc_mod
 
 
@@ -80,6 +80,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in the middle, and rebuilt from that."""
+    coded = fill_in_middle.transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    coded = coded.withColumn("output_sha256", F.sha2("output", 256))
+    return fill_in_middle.restore(coded).withColumn("restored_sha256", F.sha2("restored", 256)).drop("restored")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_language_id": op2_language_id,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_fingerprints": op9_fingerprints,
     "op10_warc": op10_warc,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +126,17 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
         FROM f
     """,
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS s,
+                          regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t FROM documents),
+        h AS (SELECT doc_id, text, t, len(t) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, coalesce(array_to_string(t[1:a], ''), '') AS x, coalesce(array_to_string(t[a + 1:b], ''), '') AS y, coalesce(array_to_string(t[b + 1:], ''), '') AS z FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass handles, so that temporary arrays stay small.
 CHUNK_BYTES = 1 << 19
@@ -45,6 +46,19 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def carried(docs: DataFrame, keep: list[str], new: list[str], values: list[Column]) -> tuple[DataFrame, list[T.StructField]]:
+    """The kept columns and then the values, under names of their own (k0, k1, .., v0, v1, ..), and the kept columns' fields.
+
+    For kernels that go by position: no column of the table can clash with what a kernel needs or makes. Kept columns
+    whose name (in any case of letters) is among the new ones are left out, as those replace them.
+    """
+    taken = {n.lower() for n in new}
+    kept = [c for c in keep if c.lower() not in taken]
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in kept]
+    rows = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(quoted)], *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return rows, [T.StructField(c, f.dataType, f.nullable) for c, f in zip(kept, rows.schema.fields, strict=False)]
+
+
 @contextmanager
 def without_collector() -> Iterator[None]:
     """Python's cycle collector is off inside: for loops that make millions of small objects without a cycle."""
