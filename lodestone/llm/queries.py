@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat_format, fill_in_middle, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, warc
+from lodestone.llm import byte_bpe, chat_format, fill_in_middle, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, token_files, warc
 from lodestone.llm.shared import crc_mod
 
 
@@ -80,6 +80,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to files of fixed bit width and read back from them."""
+    index = token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(index).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document rearranged for filling in the middle, and rebuilt from that."""
     coded = fill_in_middle.transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_fingerprints": op9_fingerprints,
     "op10_warc": op10_warc,
+    "op12_token_files": op12_token_files,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 

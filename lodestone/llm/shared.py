@@ -111,8 +111,8 @@ def labelled_sample(labelled: DataFrame, docs: DataFrame, label: str, text: str,
     return [(r[1], first[r[0]]) for r in sorted(texts)]
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(bytes, offsets, first row, end row) of pieces of a text column of about CHUNK_BYTES; nulls count as empty.
+def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(bytes, offsets, first row, end row) of pieces of a text column of about `size` bytes; nulls count as empty.
 
     No text is cut: one that is longer than a chunk is a chunk of its own.
     """
@@ -130,7 +130,7 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int,
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1)
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         yield data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first], first, end
         first = end
 
