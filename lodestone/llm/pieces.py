@@ -13,15 +13,12 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import xxhash
 
-from lodestone.llm.shared import mix
+from lodestone.llm.shared import LONG_SPAN, span_keys, window_reader
 
 #: The one pattern that is cut here.
 PATTERN = public_tokenizers.PATTERN
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
-#: Longest piece, in bytes, whose key is made from its 8-byte windows.
-LONG = 64
 #: Code points up to here have classes that do not depend on the version of Unicode.
 LAST_POINT = 0x24F
 
@@ -37,7 +34,6 @@ def _class(point: int) -> int:
 #: Classes of bytes (of those that begin two-byte characters only a placeholder), and of two-byte characters by their bytes.
 _ONE = np.array([_class(b) if b < 0x80 else ODD for b in range(256)], np.uint8)
 _TWO = np.array([_class(p) for p in range(0x80, 0x280)], np.uint8)
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,31 +74,21 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each span, the same for spans of equal bytes (none of which is NUL), and a span for each number."""
-    n = ends - starts
-    windows = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    part = lambda k, j: windows[starts[k] + j] & _MASKS[np.minimum(n[k] - j, 8)]
+    n, part = ends - starts, window_reader(data, starts, ends)
     short = np.flatnonzero(n <= 8)
     codes = np.empty(len(starts), np.int64)
     codes[short], found = pd.factorize(part(short, 0))
     long = np.flatnonzero(n > 8)
     if len(long):
-        key = mix(part(long, 0) ^ n[long].astype(np.uint64))
-        for j in range(8, LONG, 8):
-            more = np.flatnonzero(n[long] > j)
-            if not len(more):
-                break
-            key[more] = mix(key[more] + part(long[more], j))
-        for k in np.flatnonzero(n[long] > LONG):
-            key[k] = xxhash.xxh64_intdigest(data[starts[long[k]] : ends[long[k]]].tobytes())
-        own, uniques = pd.factorize(key)
+        own, uniques = pd.factorize(span_keys(data, starts[long], ends[long]))
         first = np.empty(len(uniques), np.int64)
         first[own[::-1]] = long[::-1]
         like = first[own]
         same = n[long] == n[like]
-        for j in range(0, LONG, 8):
+        for j in range(0, LONG_SPAN, 8):
             more = np.flatnonzero(same & (n[long] > j))
             same[more] = part(long[more], j) == part(like[more], j)
-        for k in np.flatnonzero(same & (n[long] > LONG)):
+        for k in np.flatnonzero(same & (n[long] > LONG_SPAN)):
             same[k] = like[k] == long[k] or bool((data[starts[long[k]] : ends[long[k]]] == data[starts[like[k]] : ends[like[k]]]).all())
         own[~same] = len(uniques) + np.arange((~same).sum())  # spans that share a key with others stand for themselves
         codes[long] = own + len(found)

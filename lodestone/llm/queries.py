@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat_format, fill_in_middle, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, token_files, warc
+from lodestone.llm import byte_bpe, chat_format, collocations, fill_in_middle, fingerprints, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, token_files, warc
 from lodestone.llm.shared import crc_mod
 
 
@@ -80,6 +80,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language of the documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to files of fixed bit width and read back from them."""
     index = token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_fingerprints": op9_fingerprints,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op12_token_files": op12_token_files,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -133,6 +139,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
         FROM f
     """,
+    "op11_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        o AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k)),
+        f AS (SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f FROM o GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, p, f AS a FROM f WHERE k >= 2 AND f >= 100),
+        u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+        s AS (SELECT u.lang, u.p, u.a, x.f AS l, y.f AS r, n.n, u.cut, CAST((1000::HUGEINT * u.a * n.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+              FROM u JOIN f x ON x.lang = u.lang AND x.k = u.cut AND x.p = u.p[1:u.cut] JOIN f y ON y.lang = u.lang AND y.k = u.k - u.cut AND y.p = u.p[u.cut + 1:] JOIN n ON n.lang = u.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+        v AS (SELECT lang, p[i:j] AS p, max(a) AS longer FROM c, range(1, 6) t(i), range(1, 6) z(j) WHERE j <= k AND j - i + 1 BETWEEN 2 AND k - 1 GROUP BY ALL),
+        q AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score FROM b LEFT JOIN v ON v.lang = b.lang AND v.p = b.p WHERE v.longer IS NULL OR 100 * v.longer < 100 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM q QUALIFY rank <= 2000
+    """,
     "op13_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS s,
                           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t FROM documents),

@@ -6,11 +6,12 @@ import gc
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,6 +193,34 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Longest span, in bytes, whose key is made from its 8-byte windows.
+LONG_SPAN = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def window_reader(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A function from spans (by number) and a place in them, before their end, to up to eight bytes from there on, as one number."""
+    windows = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    return lambda k, j: windows[starts[k] + j] & _MASKS[np.minimum(ends[k] - starts[k] - j, 8)]
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit key of each byte span, equal for equal spans; another seed gives other keys."""
+    n, part = ends - starts, window_reader(data, starts, ends)
+    drawn = mix(np.array([seed], np.uint64))[0]
+    with np.errstate(over="ignore"):
+        key = mix(part(np.arange(len(n)), 0) ^ mix(n.astype(np.uint64) + drawn))
+        more = np.flatnonzero(n > 8)
+        for j in range(8, LONG_SPAN, 8):
+            if not len(more):
+                break
+            key[more] = mix(key[more] + part(more, j))
+            more = more[n[more] > j + 8]
+    for k in np.flatnonzero(n > LONG_SPAN):
+        key[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return key
+
+
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]]; empty spans give 0."""
     sums = np.zeros(len(values) + 1, np.float64)
