@@ -1,11 +1,11 @@
 """Phrase collocations by prefix growth: frequent prefixes are extended to the right, depth first, over projected pointers.
 
 A word is its 64-bit key; keys are held against the whole vocabulary and drawn anew should two words share one, so
-counts of keys are counts of words. Three passes over the texts count words, pairs of frequent words, and project each
-occurrence of a chain of frequent pairs to the words that follow it; equal ones are summed in the task and again
-before they are dealt. Each frequent prefix is then one task's: it sorts its pointers by the next word, keeps the
-words that are frequent after the prefix, and goes on with their pointers. A prefix with very many pointers is dealt
-to several tasks, whose counts are added up. Which words and pairs are frequent is told to the passes by a bitmap of
+counts of keys are counts of words. Three passes over the texts count words, then pairs of frequent words (by one
+number each, which two pairs may share), and project each occurrence of a frequent pair to it and the frequent chain
+of words that follows; equal ones are summed in the task and again before they are dealt. Each frequent prefix is
+then one task's: it sorts its pointers by the next word, keeps the words that are frequent after the prefix, and goes
+on with their pointers. A prefix with very many pointers is dealt to several tasks, whose counts are added up. Which words and pairs are frequent is told to the passes by a bitmap of
 bounded size: what it lets through by mistake is only counted in vain.
 """
 
@@ -28,7 +28,7 @@ UNKNOWN = "und"
 #: Bits of a bitmap for each thing that it holds, and its most bits (128 MB) whatever it holds.
 BITS_EACH, MOST_BITS = 16, 1 << 30
 #: Bytes of text that are counted at once, and different keys that a task gathers before it hands them on.
-CHUNK, MOST_KEYS = 4 << 20, 400_000
+CHUNK, MOST_KEYS = 2 << 20, 400_000
 #: Pointers of a prefix that one task gets at most; fewer where the table is small, so that tasks are alike.
 MOST_POINTERS, LEAST_POINTERS = 200_000, 500
 #: Parts in which a language's best phrases are found before they meet.
@@ -85,15 +85,11 @@ def grouped(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One number for two keys; the same as pair_column gives."""
+    """One number for two keys in this order; others may share it."""
     b = b.view(np.uint64)
     return a ^ ((b << np.uint64(21)) | (b >> np.uint64(43))).view(np.int64)
 
 
-def pair_column(a: str, b: str) -> Column:
-    return F.col(a).bitwiseXOR(F.shiftleft(b, 21).bitwiseOR(F.shiftrightunsigned(b, 43)))
-
-
 class Bitmap:
     """Which keys may be in a set: the bit at their lowest bits. Has a bit for every key of the set, and never more than MOST_BITS."""
 
@@ -112,8 +108,9 @@ class Bitmap:
         return (np.frombuffer(self.shared.value, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def tallied(docs: DataFrame, seed: int, columns: list[str], chosen: Callable[[Words], tuple[np.ndarray, list[np.ndarray]]], words: bool = False) -> DataFrame:
-    """lang, the columns, n (and, of words, the word): how often chosen() gives each row of columns for a language's words.
+def tallied(docs: DataFrame, seed: int, columns: list[str], chosen: Callable[[Words], tuple[np.ndarray, list[np.ndarray]]], words: bool = False, by_lang: bool = True) -> DataFrame:
+    """lang, the columns, n (and, of words, the word): how often chosen() gives each row of columns for a language's words
+    (lang null: for all languages' together).
 
     Tasks sum up what they meet; a key may come from several tasks, and several times from one.
     """
@@ -130,7 +127,7 @@ def tallied(docs: DataFrame, seed: int, columns: list[str], chosen: Callable[[Wo
             return [c[rows] for c in all_columns], n, pa.concat_arrays([p[2] for p in parts]).take(pa.array(rows)) if words else None
 
         def handed(made: list[np.ndarray], n: np.ndarray, texts: pa.Array | None) -> pa.RecordBatch:
-            named = pa.array(list(langs), pa.string()).take(pa.array(made[0]))
+            named = pa.array(list(langs), pa.string()).take(pa.array(made[0], mask=made[0] < 0))
             return pa.RecordBatch.from_arrays([named, *map(pa.array, made[1:]), pa.array(n), *([texts] if words else [])], names=names)
 
         for batch in batches:
@@ -139,7 +136,7 @@ def tallied(docs: DataFrame, seed: int, columns: list[str], chosen: Callable[[Wo
                 own = np.array([langs.setdefault(x, len(langs)) for x in of.dictionary.to_pylist()], np.int64)[of.indices.to_numpy()]
                 met = Words(data, offsets, seed)
                 at, made = chosen(met)
-                made = [own[met.rows[at]], *made]
+                made = [own[met.rows[at]] if by_lang else np.full(len(at), -1), *made]
                 rows, n = grouped(made, np.ones(len(at)))
                 parts.append(([c[rows] for c in made], n, met.texts(at[rows]) if words else None))
                 held += len(rows)
@@ -224,8 +221,8 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
 
     for seed in range(1, 65):
         met = tallied(rows, seed, ["h"], lambda met: (every(met), [met.keys]), words=True)
-        vocabulary = kept(met.groupBy("lang", "h").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other")), f"vocabulary-{seed}")
-        if vocabulary.where("word <> other").isEmpty():  # no two words of a language share a key
+        vocabulary = kept(met.groupBy("lang", "h", "word").agg(F.sum("n").alias("n")), f"vocabulary-{seed}")
+        if vocabulary.groupBy("lang", "h").count().where("count > 1").isEmpty():  # no two words of a language share a key
             break
     else:
         raise ValueError("no seed gives every word a key of its own")
@@ -235,31 +232,35 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     def pairs(met: Words) -> tuple[np.ndarray, list[np.ndarray]]:
         usual = known.has(met.keys)
         at = np.flatnonzero(met.joined[:-1] & usual[:-1] & usual[1:])
-        return at, [met.keys[at], met.keys[at + 1]]
+        return at, [paired(met.keys[at], met.keys[at + 1])]
 
-    two = kept(tallied(rows, seed, ["h1", "h2"], pairs).groupBy("lang", "h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
-    chains = Bitmap(two, pair_column("h1", "h2"))
+    # one number a pair, over all languages: those that reach the count hold all frequent pairs, and next to no others
+    two = kept(tallied(rows, seed, ["pair"], pairs, by_lang=False).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
+    chains = Bitmap(two, F.col("pair"))
 
     def projected(met: Words) -> tuple[np.ndarray, list[np.ndarray]]:
         goes = np.zeros(len(met.keys) + 4, bool)
         if len(met.keys):
             goes[: len(met.keys) - 1] = met.joined[:-1] & chains.has(paired(met.keys[:-1], met.keys[1:]))
-        at = np.flatnonzero(goes[:-1] & goes[1:])
-        fourth = goes[at + 2]
+        at = np.flatnonzero(goes)
+        third = goes[at + 1]
+        fourth = third & goes[at + 2]
         fifth = fourth & goes[at + 3]
         key = np.concatenate([met.keys, np.zeros(4, np.int64)])
-        return at, [3 + fourth.astype(np.int64) + fifth, key[at], key[at + 1], key[at + 2], np.where(fourth, key[at + 3], 0), np.where(fifth, key[at + 4], 0)]
+        return at, [2 + third.astype(np.int64) + fourth + fifth, key[at], key[at + 1], np.where(third, key[at + 2], 0), np.where(fourth, key[at + 3], 0), np.where(fifth, key[at + 4], 0)]
 
     keys = ["h1", "h2", "h3", "h4", "h5"]
     pointers = kept(tallied(rows, seed, ["k", *keys], projected).groupBy("lang", "k", *keys).agg(F.sum("n").alias("n")), "pointers")
     most = min(MOST_POINTERS, max(LEAST_POINTERS, pointers.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    double = pointers.groupBy("lang", "h1", "h2").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select("lang", F.array("h1", "h2").alias("p"), "f")
     prefix = ["lang", "h1", "h2", "h3"]
+    pointers = pointers.where("k > 2")
     large = pointers.groupBy(*prefix).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > most).select(*prefix, F.ceil(F.col("held") / most).alias("shards"))
     spread = pointers.join(large, prefix, "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     spread = spread.select("lang", "k", *keys, "n", F.pmod(F.xxhash64("k", "h4", "h5"), F.col("shards")).alias("shard"), "shards")
     dealt = spread.repartition(*prefix, "shard").sortWithinPartitions(*prefix, "shard")
     longer = grown(dealt, least).groupBy("lang", "k", *keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    as_array = [words.select("lang", F.array("h").alias("p"), F.col("n").alias("f")), two.select("lang", F.array("h1", "h2").alias("p"), F.col("n").alias("f"))]
+    as_array = [words.select("lang", F.array("h").alias("p"), F.col("n").alias("f")), double]
     as_array.append(longer.select("lang", F.slice(F.array(*keys), F.lit(1), F.col("k").cast("int")).alias("p"), F.col("n").alias("f")))
     phrases = kept(reduce(DataFrame.unionByName, as_array), "phrases")
     return words.select("lang", "h", "word"), phrases, vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))

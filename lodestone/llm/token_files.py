@@ -27,9 +27,9 @@ from lodestone.llm.shared import carried, text_chunks, without_collector, work_f
 MAGIC = b"LSTOKID1"
 _HEAD, _TABLE, _TAIL = struct.Struct("<8sIIQ"), np.dtype([("at", "<u8"), ("crc", "<u4")]), struct.Struct("<Q8s")
 #: Ids in a block (a multiple of 8), ids that a reader unpacks at once, and pieces that a worker keeps.
-BLOCK_IDS, MAX_IDS, MAX_PIECES = 4096, 1 << 20, 600_000
+BLOCK_IDS, MAX_IDS, MAX_PIECES = 4096, 1 << 20, 400_000
 #: Bytes of text that are cut at once: many, since equal pieces among them are looked up once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bytes of text that make a file, and the most files.
 FILE_BYTES, MOST_FILES = 32 << 20, 16_384
 INDEX = "key long, file string, shard int, first long, n_tokens long"
