@@ -13,10 +13,9 @@ from __future__ import annotations
 
 import base64
 import codecs
-import re
+import struct
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import without_collector
+from lodestone.llm import pieces
+from lodestone.llm.shared import carried, text_chunks, without_collector
 
 #: Bounds of what a worker keeps; at a bound it forgets all and starts anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 250_000, 200_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 300_000, 200_000
+#: Bytes of text that are cut at once: many, since equal pieces among them are looked up once.
+CHUNK = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -206,43 +208,50 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Ids by piece of text, worked out when first asked for. When full, it becomes the older half of what is kept."""
+    """Ids (little-endian, 32 bits each) by piece, worked out when first asked for. When full, it becomes the older half of what is kept."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer, self.older = transducer, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= MAX_PIECES:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(piece)
         if ids is None:
-            ids = tuple(self.transducer.ids(piece.encode("utf-8", "replace")))
+            found = self.transducer.ids(piece)
+            ids = struct.pack(f"<{len(found)}I", *found)
         self[piece] = ids
         return ids
 
 
-#: Characters for which the standard library's classes give the same pieces as \p{L} and \p{N} do.
-_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-
-
 class Encoder:
-    """Cuts texts into pieces by a pattern and encodes each piece by itself."""
+    """Cuts texts into pieces by a pattern and encodes each piece by itself.
+
+    Texts of plain characters are cut a chunk at a time where the pattern is the one that numpy cuts; others one by one.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = Pieces(Transducer(ranks))
-        self.pattern = regex.compile(pattern)
-        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
-        self.plain = re.compile(plain) if r"\p" not in plain else None
+        self.pattern, self.known = regex.compile(pattern), pattern == pieces.PATTERN
 
-    def split(self, text: str) -> list[str]:
-        if self.plain is not None and not _PLAIN.search(text):
-            return self.plain.findall(text)
-        return self.pattern.findall(text)
+    def ids_of(self, found: list[bytes]) -> list[bytes]:
+        return list(map(self.pieces.__getitem__, found))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))), np.int32)
+        return np.frombuffer(b"".join(self.ids_of([p.encode("utf-8", "replace") for p in self.pattern.findall(text)])), "<u4")
+
+    def encode_rows(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """(ids, where each row's begin and all end, first row, end row) for parts of a column of texts; null is empty."""
+        for data, offsets, first, end in text_chunks(column, CHUNK):
+            with without_collector():
+                if self.known:
+                    ids, bounds = pieces.encoded(data, offsets, self.ids_of, self.encode)
+                else:
+                    parts = [self.encode(data[a:b].tobytes().decode()) for a, b in zip(offsets, offsets[1:])]
+                    ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            yield ids.astype(np.int32), bounds, first, end
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -255,26 +264,29 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+_ELEMENT = pa.list_(pa.field("element", pa.int32(), False))
+
+
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)).cast(_ELEMENT)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of each whole text instead of the text; a null text has none, as an empty one.
 
     path: a .tiktoken file that every executor has. An existing column of the new name is replaced.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), ids.lower())], F.col(text).alias("_text"))
-    schema = T.StructType([*kept.drop("_text").schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    rows, fields = carried(docs, docs.columns, [text, ids], [F.col(f"`{text}`")])
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                with without_collector():
-                    found = [own.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists.cast(pa.list_(pa.field("element", pa.int32(), False)))], schema=pa.schema([*list(part.schema)[:-1], pa.field(ids, pa.list_(pa.field("element", pa.int32(), False)), False)]))
+            for found, bounds, first, end in own.encode_rows(batch.column(batch.num_columns - 1)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], _lists(found, bounds)], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 class Decoder:
@@ -302,8 +314,9 @@ class Decoder:
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded", block: int = 65536) -> DataFrame:
     """coded with the text that its ids stand for instead of the ids; null ids give an empty text."""
-    kept = coded.select(*[F.col(f"`{c}`") for c in coded.columns if c.lower() not in (text.lower(), ids.lower())], F.col(ids).alias("_ids"))
-    schema = T.StructType([*kept.drop("_ids").schema.fields, T.StructField(text, T.StringType(), False)])
+    rows, fields = carried(coded, coded.columns, [ids, text], [F.col(f"`{ids}`")])
+    schema = T.StructType([*fields, T.StructField(text, T.StringType(), False)])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Decoder({i: t for t, i in read_ranks(path).items()})
@@ -314,9 +327,9 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
                 for row in part.column(part.num_columns - 1):
                     flat = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int32)
                     texts.append("".join(own.stream(flat[i : i + block] for i in range(0, len(flat), block))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], schema=pa.schema([*list(part.schema)[:-1], pa.field(text, pa.string(), False)]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", block: int = 65536) -> DataFrame:
@@ -324,22 +337,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
 
     Both steps are those of encode() and decode(); done in one pass, the ids need not go to Python again.
     """
-    new = (text.lower(), ids.lower(), decoded.lower())
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], F.col(text).alias("_text"))
-    schema = T.StructType([*kept.drop("_text").schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
+    rows, fields = carried(docs, docs.columns, [text, ids, decoded], [F.col(f"`{text}`")])
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         machine = Decoder(coder.pieces.transducer.tokens)
-        element = pa.list_(pa.field("element", pa.int32(), False))
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                with without_collector():
-                    found = [coder.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))).cast(element)
-                texts = pa.array(["".join(machine.stream(x[i : i + block] for i in range(0, len(x), block))) for x in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, texts], schema=pa.schema([*list(part.schema)[:-1], pa.field(ids, element, False), pa.field(decoded, pa.string(), False)]))
-
-    return kept.mapInArrow(run, schema)
+            for found, bounds, first, end in coder.encode_rows(batch.column(batch.num_columns - 1)):
+                texts = ["".join(machine.stream(found[i : min(i + block, b)] for i in range(a, b, block))) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], _lists(found, bounds), pa.array(texts, pa.string())], names=names)
+
+    return rows.mapInArrow(run, schema)

@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches in DataFrame functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the document's.
-A text with fewer than FEW hashes below the threshold keeps all of its hashes. Sketches of parts merge into the
-sketch of the whole by union, and the share of a sketch found in another, both brought to the scale of the coarser
-one, estimates containment, however unequal the documents are.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the document's. A text
+with fewer than FEW hashes below the fraction takes the next of the fixed SCALES, the last of which keeps all; the scale
+is written with the hashes. Sketches of parts merge into the sketch of the whole by union. Two sketches are brought to
+the coarser of their scales, and the share of the smaller one that is found in the other estimates containment, however
+unequal the documents are. It is a function of the two sketches alone.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
-#: One hash in so many is kept.
-SCALE = 4
-#: With fewer hashes than this below the threshold a sketch keeps all, and an estimate is too coarse to be given.
+#: One hash in so many is kept: the first that leaves FEW hashes, or else the last.
+SCALES = [4, 2, 1]
 FEW = 16
 #: Where neighbours by key are met: rows of a range of keys, quantiles that part the keys, and the most ranges.
 RANGE_ROWS, QUANTILES, MOST_RANGES = 4000, 256, 16384
@@ -32,51 +32,57 @@ def shingle_hashes(words: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(runs)
 
 
-def below(hashes: Column, scale: int = SCALE) -> Column:
+def below(hashes: Column, scale: Column | int) -> Column:
     """The hashes below 1/scale of the range, from its lower end."""
-    bound = F.lit(-(1 << 63) + (1 << 64) // scale)
-    return F.filter(hashes, lambda h: h < bound)
+    bounds = {x: -(1 << 63) + (1 << 64) // x for x in SCALES if x > 1}
+    if isinstance(scale, int):
+        return hashes if scale == 1 else F.filter(hashes, lambda h: h < bounds[scale])
+    found = F.when(scale == 1, hashes)
+    for x, bound in bounds.items():
+        found = found.when(scale == x, F.filter(hashes, lambda h: h < bound))
+    return found
 
 
-def sketch_of_hashes(hashes: Column, scale: int = SCALE) -> Column:
-    """The sorted, distinct hashes below 1/scale of the range; all of them where those are fewer than FEW."""
-    kept = F.array_sort(F.array_distinct(below(hashes, scale)))
-    return F.when(F.size(kept) < FEW, F.array_sort(F.array_distinct(hashes))).otherwise(kept)
+def _sketch(scale: Column | int, hashes: Column) -> Column:
+    return F.struct((F.lit(scale) if isinstance(scale, int) else scale).alias("scale"), hashes.alias("hashes"))
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two texts' shingles together, from their sketches; exactly what their joint hashes would give."""
-    return sketch_of_hashes(F.array_union(a, b), scale)
-
+def sketch_of_hashes(hashes: Column, finest: Column | int = 1) -> Column:
+    """(scale, hashes): the sorted, distinct hashes below the first of SCALES that leaves FEW of them; of the scale
+    `finest`, which the hashes were taken by, where none does."""
+    distinct = F.array_sort(F.array_distinct(hashes))
+    found = None
+    for scale in SCALES[:-1]:
+        enough = (F.size(below(distinct, scale)) >= FEW) & (F.lit(scale) >= finest)
+        found = (F if found is None else found).when(enough, _sketch(scale, below(distinct, scale)))
+    return found.otherwise(_sketch(finest, distinct))
 
-def is_scaled(sketch: Column, scale: int = SCALE) -> Column:
-    """True where the sketch holds only hashes below the threshold, false where it holds all of a text's hashes."""
-    return F.size(below(sketch, scale)) >= FEW
 
-
-def shared_part(a: Column, b: Column) -> Column:
-    """The share of the smaller array's elements that the other has; 1 for two empty ones, 0 for one."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of two texts' shingles together, from their sketches; exactly what their joint hashes would give."""
+    scale = F.greatest(a["scale"], b["scale"])
+    return sketch_of_hashes(F.array_union(below(a["hashes"], scale), below(b["hashes"], scale)), scale)
 
 
-def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The share of the smaller text's shingles that the other has, from the sketches: exact where both hold all
-    hashes, an estimate where both are scaled, and null (no estimate) where one is scaled and the other is not."""
-    fine = is_scaled(a, scale) == is_scaled(b, scale)
-    return F.when(fine, shared_part(a, b))
+def containment(a: Column, b: Column) -> Column:
+    """The share of the smaller sketch's hashes that the other has, both at the coarser of the two scales; exact where
+    both hold all hashes. 1 if neither has a hash there, 0 if one has none."""
+    scale = F.greatest(a["scale"], b["scale"])
+    x, y = below(a["hashes"], scale), below(b["hashes"], scale)
+    least = F.least(F.size(x), F.size(y))
+    return F.when(F.greatest(F.size(x), F.size(y)) == 0, F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / least)
 
 
-def sketched(docs: DataFrame, text: str = "text", column: str = "sketch", scale: int = SCALE) -> DataFrame:
-    """docs with the sketch of each whole text; a null text counts as empty and has an empty sketch."""
-    step = docs.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
-    step = step.withColumn("_hashes", shingle_hashes(F.col("_words"))).drop("_words")
-    return step.withColumn(column, sketch_of_hashes(F.col("_hashes"), scale)).drop("_hashes")
+def sketched(docs: DataFrame, text: str = "text", column: str = "sketch") -> DataFrame:
+    """docs with the sketch of each whole text; a null text counts as empty and has no hashes. A column of the new name is replaced."""
+    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() != column.lower()]).alias("row"), words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("words"))
+    rows = rows.select("row", shingle_hashes(F.col("words")).alias("hashes"))
+    return rows.select("row.*", sketch_of_hashes(F.col("hashes")).alias(column))
 
 
 def as_string(sketch: Column) -> Column:
-    """A sketch in text: 16 hex digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    """A sketch in text: its scale, a colon, and 16 hex digits for each hash."""
+    return F.concat(sketch["scale"].cast("string"), F.lit(":"), F.array_join(F.transform(sketch["hashes"], lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ""))
 
 
 def _range_of(key: Column, bounds: list[float], steps: int) -> Column:
@@ -113,36 +119,28 @@ def in_key_ranges(docs: DataFrame, key: str) -> DataFrame:
     return placed.withColumn("_range", F.col("_place.r")).withColumn("_ghost", F.col("_place.g")).drop("_r", "_first", "before", "_place")
 
 
-def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", scale: int = SCALE) -> DataFrame:
+def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row its sketch, that of its text edited with the next row's, and the containment of both pairs.
 
     The next row is that with the next larger key; the last is followed by the first, and a single row by itself.
     The edited text keeps the first half of the code points (the odd one too) and goes on with as many from the
     start of the next text as the other half has, or all. Rows with equal keys follow in the order of their
     texts. Null texts are empty; null keys come last. Other columns are not read.
-    Where one sketch holds all hashes of a short text and the other is scaled, sketches give no estimate, and all
-    shingles of both texts are compared instead.
     """
-    rows = in_key_ranges(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_key")
-    dealt = sketched(rows.repartition("_range"), "_text", "_own", scale)
+    rows = in_key_ranges(docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), "_key")
+    dealt = sketched(rows.repartition("_range"), "_text", "_own")
     order = Window.partitionBy("_range").orderBy("_ghost", F.col("_key").asc_nulls_last(), "_text")
     met = dealt.select("*", F.lead("_text").over(order).alias("_next_text"), F.lead("_own").over(order).alias("_next")).where("_ghost = 0")
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next_text"), F.lit(1), half))
-    both = sketched(met.withColumn("_edited_text", edited), "_edited_text", "_edited", scale)
-    mixed = lambda c: is_scaled(F.col("_own"), scale) != is_scaled(F.col(c), scale)
-    both = both.withColumns({"_mixed_edited": mixed("_edited"), "_mixed_next": mixed("_next")})
-    for name, source, needed in (("own", "_text", F.col("_mixed_edited") | F.col("_mixed_next")), ("edited", "_edited_text", F.col("_mixed_edited")), ("next", "_next_text", F.col("_mixed_next"))):
-        both = both.withColumn("_words", F.when(needed, words(F.col(source))))
-        both = both.withColumn(f"_all_{name}", F.when(needed, F.array_distinct(shingle_hashes(F.col("_words"))))).drop("_words")
-    near = lambda c: F.when(F.col(f"_mixed{c}"), shared_part(F.col("_all_own"), F.col(f"_all{c}"))).otherwise(shared_part(F.col("_own"), F.col(c)))
+    both = sketched(met.select("_key", n.alias("_n"), edited.alias("_edited_text"), "_own", "_next"), "_edited_text", "_edited")
     return both.select(
         F.col("_key").alias(key),
-        n.cast("long").alias("n_chars"),
+        F.col("_n").cast("long").alias("n_chars"),
         F.sha2("_edited_text", 256).alias("edited_sha256"),
         as_string(F.col("_own")).alias("fingerprint"),
         as_string(F.col("_edited")).alias("edited_fingerprint"),
-        near("_edited").alias("near_edited"),
-        near("_next").alias("near_next"),
+        containment(F.col("_own"), F.col("_edited")).alias("near_edited"),
+        containment(F.col("_own"), F.col("_next")).alias("near_next"),
     )

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.shared import labelled_sample
+from lodestone.llm.shared import carried, labelled_sample
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -209,15 +210,15 @@ def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", label
     Existing columns of the two new names are replaced. An empty table gives an empty table; without any
     labelled row (net is None) every text is `und` with score 0. The text goes back to Spark only where it is kept.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (label_as.lower(), score_as.lower())]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text_"))
-    schema = source.drop("_text_").withColumns({label_as: F.lit("").cast("string"), score_as: F.lit(0.0)}).schema
+    source, fields = carried(docs, docs.columns if keep is None else keep, [label_as, score_as], [F.col(f"`{text}`")])
+    schema = T.StructType([*fields, T.StructField(label_as, T.StringType(), False), T.StructField(score_as, T.DoubleType(), False)])
+    names_out = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 names, scores = predict(net, part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], label_as, score_as])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=names_out)
 
     return source.mapInArrow(run, schema)

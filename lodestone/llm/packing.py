@@ -133,6 +133,8 @@ def _ways(units: int, depth: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
 
 def plan(lengths: list[int], window: int = WINDOW) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Full windows as lists of (document, start, length), and the pieces that are left and fill no window."""
+    if window < UNITS:
+        raise ValueError(f"a window has at least {UNITS} tokens")
     windows: list[list[tuple[int, int, int]]] = []
     classes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     unit = window // UNITS

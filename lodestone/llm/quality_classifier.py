@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.hashed_lr import margins, row_features, sigmoid, word_families
-from lodestone.llm.shared import labelled_sample, text_chunks
+from lodestone.llm.shared import carried, labelled_sample, text_chunks
 
 BITS = 20
 THRESHOLD = 0.3
@@ -71,7 +72,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 5) -> FtrlMo
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = 4000) -> FtrlModel | None:
-    """A model from at most max_rows labelled texts, as many of either label as there are."""
+    """A model from at most max_rows labelled texts, and of either label at most 1,000 (labelled_sample's bound): 2,000 by default."""
     return train(labelled_sample(labels.where(F.col(label).isin(0, 1)), docs, label, text, key, max_rows))
 
 
@@ -82,13 +83,14 @@ def classify(docs: DataFrame, model: FtrlModel | None, text: str = "text", keep:
     Null texts score as empty ones, by the bias alone; without a model every score is 0.5. Existing columns of the
     two names are replaced; an empty table stays empty. The text goes back to Spark only where it is kept.
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")], F.col(text).alias("_text_"))
-    schema = source.drop("_text_").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    source, fields = carried(docs, docs.columns if keep is None else keep, ["score", "predicted"], [F.col(f"`{text}`")])
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, offsets, first, end in text_chunks(batch.column(batch.num_columns - 1)):
                 score = np.full(end - first, 0.5) if model is None else sigmoid(margins(word_families(data, offsets, BITS), model.tables, model.bias))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=names)
 
     return source.mapInArrow(run, schema)

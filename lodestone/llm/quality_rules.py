@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.hashed_lr import Family, character_families, margins, row_features, sigmoid, word_families
-from lodestone.llm.shared import IS_SPACE, labelled_sample, mix, span_hashes, text_chunks, words_of
+from lodestone.llm.shared import IS_SPACE, carried, labelled_sample, mix, span_hashes, text_chunks, words_of
 
 #: Fixed thresholds.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS, MIN_QUALITY = 20, 30, 8, 0.3
@@ -160,9 +160,9 @@ def judge(docs: DataFrame, model: QualityModel | None, text: str = "text", keep:
     counted rules alone decide. Existing columns of the added names are replaced; an empty table stays empty. The
     text itself goes back to Spark only where it is among the kept columns.
     """
-    names = {f.name for f in ADDED}
-    source = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in names], F.col(text).alias("_text_"))
-    schema = T.StructType([*source.schema.fields[:-1], *ADDED.fields])
+    source, fields = carried(docs, docs.columns if keep is None else keep, ADDED.names, [F.col(f"`{text}`")])
+    schema = T.StructType([*fields, *ADDED.fields])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,6 +174,6 @@ def judge(docs: DataFrame, model: QualityModel | None, text: str = "text", keep:
                     good = sigmoid(model.slope * margins(features(data, offsets, **words), model.tables, model.bias) + model.offset)
                 kept = ~failed if good is None else ~failed & (good >= MIN_QUALITY)
                 added = [*(pa.array(counts[f.name], pa.int64()) for f in ADDED.fields[:5]), pa.nulls(end - first, pa.float64()) if good is None else pa.array(good), pa.array(failed), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], *added], names=[*batch.schema.names[:-1], *(f.name for f in ADDED.fields)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], *added], names=names)
 
     return source.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import checkpoint_dir
+from lodestone.llm.shared import carried, checkpoint_dir
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Numbers of groups to choose from, and the members that a cell of unlike fingerprints should have at most.
@@ -57,17 +57,18 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "simhash") -> DataFrame:
     """docs without the text column and with the fingerprint as a (signed) long; a null text has fingerprint 0."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), column.lower())], F.col(text).alias("_text"))
-    schema = T.StructType([*kept.drop("_text").schema.fields, T.StructField(column, T.LongType())])
+    rows, fields = carried(docs, docs.columns, [text, column], [F.col(f"`{text}`")])
+    schema = T.StructType([*fields, T.StructField(column, T.LongType())])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 found = np.array([fingerprint(t) for t in part.column(part.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found)], names=[*part.schema.names[:-1], column])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found)], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def unary_counts(fp: str) -> Column:
