@@ -50,12 +50,12 @@ def _sketch(scale: Column | int, hashes: Column) -> Column:
 def sketch_of_hashes(hashes: Column, finest: Column | int = 1) -> Column:
     """(scale, hashes): the sorted, distinct hashes below the first of SCALES that leaves FEW of them; of the scale
     `finest`, which the hashes were taken by, where none does."""
-    distinct = F.array_sort(F.array_distinct(hashes))
+    ordered = lambda scale: F.array_sort(F.array_distinct(below(hashes, scale)))
     found = None
     for scale in SCALES[:-1]:
-        enough = (F.size(below(distinct, scale)) >= FEW) & (F.lit(scale) >= finest)
-        found = (F if found is None else found).when(enough, _sketch(scale, below(distinct, scale)))
-    return found.otherwise(_sketch(finest, distinct))
+        enough = (F.size(ordered(scale)) >= FEW) & (F.lit(scale) >= finest)
+        found = (F if found is None else found).when(enough, _sketch(scale, ordered(scale)))
+    return found.otherwise(_sketch(finest, ordered(1)))
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -74,10 +74,20 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def sketched(docs: DataFrame, text: str = "text", column: str = "sketch") -> DataFrame:
-    """docs with the sketch of each whole text; a null text counts as empty and has no hashes. A column of the new name is replaced."""
-    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() != column.lower()]).alias("row"), words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("words"))
-    rows = rows.select("row", shingle_hashes(F.col("words")).alias("hashes"))
-    return rows.select("row.*", sketch_of_hashes(F.col("hashes")).alias(column))
+    """docs with the sketch of each whole text; a null text counts as empty and has no hashes. A column of the new name is
+    replaced. Rows stay where they are."""
+    names = [c.lower() for c in (*docs.columns, column)]
+    new = lambda name: name if name not in names else new(name + "_")
+    held, hashes, *low = map(new, ["words", "hashes", *(f"below{s}" for s in SCALES[:-1])])
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() != column.lower()]
+    step = docs.select("*", words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias(held)).select(*kept, shingle_hashes(F.col(held)).alias(hashes))
+    # each array is a column, so that it is worked out once; the finer ones only where the coarser leave too few
+    found, most = None, F.lit(False)
+    for scale, name in zip(SCALES, low):
+        step = step.withColumn(name, F.when(~most, F.array_sort(F.array_distinct(below(F.col(hashes), scale)))))
+        most = most | (F.size(name) >= FEW)
+        found = (F if found is None else found).when(F.size(name) >= FEW, _sketch(scale, F.col(name)))
+    return step.select(*kept, found.otherwise(_sketch(1, F.array_sort(F.array_distinct(F.col(hashes))))).alias(column))
 
 
 def as_string(sketch: Column) -> Column:
