@@ -1,8 +1,8 @@
-"""Structure of source files: declarations by rules over lines, and what follows from them.
+"""Structure of source files: declarations by rules over statements, and what follows from them.
 
-One pass over each file, in Arrow batches: comments and literals are set aside, brackets (or indentation) say in which
-scope a line begins, and the rules of its language say what it declares. Files need no shuffle; one task holds one
-file's text at a time.
+One pass over each file, in Arrow batches: its tokens are joined into whole statements (statements.py), blocks say in
+which scope a statement stands, and the rules of its language say what it declares. Files need no shuffle; one task
+holds one file's text at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.operators import budget
+from lodestone.operators.statements import Head, statements
 
 # Names that are never references, and the token caps of a file's text and of a structure query.
 PRIMITIVES = ["String", "Number", "Boolean", "Object", "Array", "Promise", "React"]
@@ -29,21 +30,22 @@ TYPES = ["class", "interface", "alias", "enum"]
 _MODS = r"(?:(?:public|private|protected|internal|open|fileprivate|static|final|abstract|sealed|partial|readonly|override|virtual|async|export|default|declare|inline|const|unsafe|extern|pub(?:\([^)]*\))?|mutating|lazy|weak|late|covariant|external|factory|required|native|synchronized|default|new|volatile|transient)\s+)*"
 _ID = r"([A-Za-z_$][\w$]*)"
 #: (languages, level, kind, expression with the name as its first group). Level 0 is the top (of the file, a namespace
-#: or a module), 1 inside a container, -1 anywhere. The first rule that matches a line decides; one without a kind
+#: or a module), 1 inside a container, -1 anywhere. The first rule that matches a statement decides; one without a kind
 #: passes a nested type over with all that it holds.
 RULES: list[tuple[str, int, str, str]] = [
     ("ts tsx js", 0, "import", r"^import\b.*?(['\"][^'\"]+['\"]).*$"),
     ("ts tsx js", 0, "export", r"^export\s+(\{[^}]*\}.*|\*.*)$"),
+    ("ts tsx js", 0, "export", r"^export\s+(default\b(?!\s+(?:async\s+)?(?:abstract\s+)?(?:class|function|interface)\s*[\w*]).*)$"),
     ("ts tsx js", 0, "class", rf"^{_MODS}class\s+{_ID}"),
     ("ts tsx", 0, "interface", rf"^{_MODS}interface\s+{_ID}"),
     ("ts tsx", 0, "alias", rf"^{_MODS}type\s+{_ID}\s*(?:<[^=]*>)?\s*="),
     ("ts tsx", 0, "enum", rf"^{_MODS}enum\s+{_ID}"),
     ("ts tsx js", 0, "function", rf"^{_MODS}function\s*\*?\s*{_ID}"),
-    ("ts tsx js", 0, "function", rf"^{_MODS}(?:const|let|var)?\s*{_ID}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::\s*[^=]+)?=>"),
+    ("ts tsx js", 0, "function", rf"^{_MODS}(?:const|let|var)?\s*{_ID}\s*(?::[^=]+)?=\s*(?:(?:async\s*)?(?:<[^>]*>\s*)?(?:\(.*?\)|[\w$]+)\s*(?::\s*[^=]+)?=>|(?:async\s+)?function\b)"),
     ("ts js", 0, "var", rf"^(?:export\s+)?(?:declare\s+)?(?:const|let|var)\s+{_ID}"),
     ("ts tsx js java cpp swift dart", 1, "", rf"^{_MODS}(?:class|interface|enum|struct|union|protocol|actor|record)\s+{_ID}"),
-    ("ts tsx js", 1, "method", rf"^{_MODS}(?:get\s+|set\s+)?\*?#?{_ID}\s*(?:<[^>]*>)?\(.*[{{;]?\s*$"),
-    ("ts tsx js", 1, "property", rf"^{_MODS}#?{_ID}[?!]?\s*[:=;]"),
+    ("ts tsx js", 1, "method", rf"^{_MODS}(?:get\s+|set\s+)?\*?#?{_ID}\??\s*(?:<[^>]*>)?\(.*[{{;,]?\s*$"),
+    ("ts tsx js", 1, "property", rf"^{_MODS}#?{_ID}[?!]?\s*(?:[:=;,]|$)"),
     ("py", 0, "import", r"^((?:from\s+\S+\s+)?import\s+.+)$"),
     ("py", 0, "enum", rf"^class\s+{_ID}\s*\([^)]*Enum[^)]*\)\s*:"),
     ("py", 0, "class", rf"^class\s+{_ID}"),
@@ -51,14 +53,15 @@ RULES: list[tuple[str, int, str, str]] = [
     ("py", 0, "var", rf"^{_ID}\s*(?::[^=]+)?=[^=]"),
     ("py", 1, "method", rf"^(?:async\s+)?def\s+{_ID}"),
     ("py", 1, "property", rf"^{_ID}\s*(?::\s*\S|=[^=])"),
-    ("go", -1, "import", r"^(?:import\s+)?(?:[\w.]+\s+)?(\"[\w./-]+\")$"),
-    ("go", 0, "class", rf"^type\s+{_ID}\s+struct\b"),
-    ("go", 0, "interface", rf"^type\s+{_ID}\s+interface\b"),
+    ("go", 0, "import", r"^import\s+(?:[\w.]+\s+)?([\"`][\w./-]+[\"`])$"),
+    ("go", 0, "class", rf"^type\s+{_ID}(?:\[[^\]]*\])?\s+struct\b"),
+    ("go", 0, "interface", rf"^type\s+{_ID}(?:\[[^\]]*\])?\s+interface\b"),
     ("go", 0, "method", rf"^func\s*\([^)]*\)\s*{_ID}"),
     ("go", 0, "function", rf"^func\s+{_ID}"),
     ("go", 0, "alias", rf"^type\s+{_ID}\s+"),
     ("go", 0, "var", rf"^(?:var|const)\s+{_ID}"),
-    ("go", 1, "property", rf"^{_ID}\s+[\w*\[\].]+"),
+    ("go", 1, "method", rf"^{_ID}\("),
+    ("go", 1, "property", rf"^{_ID}(?:,\s*\w+)*\s+[\w*\[\].(<]+"),
     ("rust", 0, "import", r"^(?:pub\s+)?(use\s+.+;)$"),
     ("rust", 0, "class", rf"^{_MODS}(?:struct|union)\s+{_ID}"),
     ("rust", 0, "enum", rf"^{_MODS}enum\s+{_ID}"),
@@ -73,7 +76,7 @@ RULES: list[tuple[str, int, str, str]] = [
     ("swift", -1, "preview", r"^(#Preview)\b"),
     ("swift", 0, "interface", rf"^{_MODS}protocol\s+{_ID}"),
     ("swift", 0, "enum", rf"^{_MODS}(?:indirect\s+)?enum\s+{_ID}"),
-    ("swift", 0, "class", rf"^(?:@\w+\s+)*{_MODS}(?:class|struct|actor)\s+{_ID}"),
+    ("swift", 0, "class", rf"^(?:@\w+\s+)*{_MODS}(?:class|struct|actor|extension)\s+{_ID}"),
     ("swift", 0, "alias", rf"^{_MODS}typealias\s+{_ID}"),
     ("swift", 0, "function", rf"^(?:@\w+\s+)*{_MODS}func\s+{_ID}"),
     ("swift", 0, "var", rf"^{_MODS}(?:let|var)\s+{_ID}"),
@@ -81,20 +84,20 @@ RULES: list[tuple[str, int, str, str]] = [
     ("swift", 1, "property", rf"^(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}(?:let|var)\s+{_ID}"),
     ("java", 0, "import", r"^(import\s+.+;)$"),
     ("java c_sharp php dart", 0, "interface", rf"^{_MODS}(?:@)?interface\s+{_ID}"),
-    ("java", 0, "enum", rf"^{_MODS}enum\s+{_ID}"),
-    ("java", 0, "class", rf"^{_MODS}(?:class|record)\s+{_ID}"),
-    ("java c_sharp", 1, "method", rf"^(?:@\w+\s+)*(?!return\b|new\b|throw\b|else\b){_MODS}(?:<[^>]+>\s*)?(?:[\w<>\[\],.?]+\s+)?{_ID}\s*\([^;]*\)?[^;=]*[{{;]?\s*$"),
-    ("java c_sharp", 1, "property", rf"^{_MODS}[\w<>\[\],.?]+\s+{_ID}\s*(?:=.*;|;|\{{.*)$"),
+    ("java", 0, "enum", rf"^(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}enum\s+{_ID}"),
+    ("java", 0, "class", rf"^(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}(?:class|record)\s+{_ID}"),
+    ("java c_sharp", 1, "method", rf"^(?:@\w+(?:\([^)]*\))?\s+)*(?!return\b|new\b|throw\b|else\b){_MODS}(?:<[^>]+>\s*)?(?:[\w.?]+(?:<.*?>)?(?:\[\])*\??\s+)?{_ID}\s*(?:<[^>]*>\s*)?\([^;]*\)?(?:[^;=]*;?|[^;]*=>.*)\s*$"),
+    ("java c_sharp", 1, "property", rf"^(?:@\w+(?:\([^)]*\))?\s+)*(?!return\b|throw\b){_MODS}[\w<>\[\].?]+(?:<.*>)?(?:\[\])*\s+{_ID}\s*(?:(?:=|,).*)?;?$"),
     ("c cpp", -1, "import", r"^#\s*include\s+([<\"][^>\"]+[>\"])"),
     ("c cpp", -1, "macro", rf"^#\s*define\s+{_ID}"),
     ("c cpp", 0, "enum", rf"^(?:typedef\s+)?enum\s+(?:class\s+)?{_ID}"),
     ("c cpp", 0, "class", rf"^(?:typedef\s+)?(?:template\s*<[^>]*>\s*)?(?:struct|class|union)\s+{_ID}\s*(?:final\s*)?(?::[^;]*)?(?:\{{.*)?$"),
-    ("c cpp", 0, "alias", rf"^typedef\b.*?\b{_ID}\s*;"),
+    ("c cpp", 0, "alias", rf"^typedef\b.*?\b{_ID}\s*(?:\[[^\]]*\])*;"),
     ("cpp", 0, "alias", rf"^using\s+{_ID}\s*="),
-    ("c cpp", 0, "function", rf"^(?!return\b|else\b)(?:[\w:*&<>,]+\s+)+[*&]?(?:\w+::)*{_ID}\s*\([^;]*\)?\s*(?:const)?\s*[{{;]?\s*$"),
-    ("c", 0, "var", rf"^(?:static\s+|extern\s+|const\s+)*[\w*]+\s+\*?{_ID}\s*(?:\[[^\]]*\])?\s*(?:=.*)?;$"),
+    ("c cpp", 0, "function", rf"^(?!return\b|else\b)(?:[\w:*&<>,]+\s+)+[*&]?(?:\w+::)*{_ID}\s*\([^;]*\)?\s*(?:const)?\s*(?:noexcept)?\s*;?\s*$"),
+    ("c", 0, "var", rf"^(?:static\s+|extern\s+|const\s+|unsigned\s+|struct\s+)*[\w*]+\s+\**{_ID}\s*(?:\[[^\]]*\])*\s*(?:(?:=|,).*)?;$"),
     ("cpp", 1, "method", rf"^(?!return\b){_MODS}(?:virtual\s+|explicit\s+)*(?:[\w:*&<>,]+\s+)*[*&~]?{_ID}\s*\([^;]*\)[^;]*[{{;]?\s*$"),
-    ("c cpp", 1, "property", rf"^(?:static\s+|const\s+|mutable\s+)*[\w:<>,]+[\s*&]+{_ID}\s*(?:\[[^\]]*\])?\s*(?:=.*)?;$"),
+    ("c cpp", 1, "property", rf"^(?:static\s+|const\s+|mutable\s+|unsigned\s+|struct\s+)*[\w:]+(?:<.*>)?[\s*&]+{_ID}\s*(?:\[[^\]]*\])*\s*(?:(?:=|,|:).*)?;$"),
     ("c_sharp", 0, "import", r"^(using\s+[\w.=\s]+;)$"),
     ("c_sharp", -1, "enum", rf"^{_MODS}enum\s+{_ID}"),
     ("c_sharp", -1, "interface", rf"^{_MODS}interface\s+{_ID}"),
@@ -104,45 +107,31 @@ RULES: list[tuple[str, int, str, str]] = [
     ("ruby", 0, "function", rf"^def\s+(?:self\.)?{_ID}[?!=]?"),
     ("ruby", 1, "method", rf"^def\s+(?:self\.)?{_ID}[?!=]?"),
     ("ruby", 0, "var", rf"^([A-Z]\w*|\$\w+)\s*="),
-    ("ruby", 1, "property", r"^(?:attr_\w+\s+:)([a-z]\w*)"),
+    ("ruby", 1, "property", r"^(?:attr_\w+[\s(]+:)([a-z]\w*)"),
     ("ruby", 1, "property", r"^([A-Z]\w*)\s*="),
-    ("php", -1, "import", r"^(use\s+[\w\\]+.*;)$"),
+    ("php", 0, "import", r"^(use\s+[\w\\]+.*;)$"),
     ("php", -1, "enum", rf"^{_MODS}enum\s+{_ID}"),
     ("php", -1, "class", rf"^{_MODS}(?:class|trait)\s+{_ID}"),
     ("php", 0, "function", rf"^{_MODS}function\s+&?{_ID}"),
     ("php", 1, "method", rf"^{_MODS}function\s+&?{_ID}"),
-    ("php", 1, "property", rf"^{_MODS}(?:\??[\w\\|]+\s+)?\$?{_ID}\s*[=;]"),
+    ("php", 1, "property", rf"^(?!use\b|return\b|case\b){_MODS}(?:\??[\w\\|]+\s+)?\$?{_ID}\s*[=;,]"),
     ("dart", 0, "import", r"^((?:import|export|part)\s+.+;)$"),
     ("dart", 0, "enum", rf"^enum\s+{_ID}"),
     ("dart", 0, "class", rf"^(?:abstract\s+|base\s+|sealed\s+|final\s+)*(?:class|mixin|extension)\s+{_ID}"),
     ("dart", 0, "alias", rf"^typedef\s+{_ID}"),
-    ("dart", 0, "function", rf"^(?:[\w<>?,\[\]]+\s+)?{_ID}\s*\([^;]*\)?\s*(?:async\s*)?[{{=].*$"),
-    ("dart", 1, "method", rf"^{_MODS}(?:[\w<>?,\[\]]+\s+)?(?:get\s+|set\s+)?{_ID}\s*\([^;]*\).*$"),
-    ("dart", 1, "property", rf"^{_MODS}[\w<>?,\[\]]+\s+{_ID}\s*(?:=.*)?;$"),
+    ("dart", 0, "function", rf"^(?:[\w<>?,\[\]]+\s+)?{_ID}\s*\([^;]*\)\s*(?:async\s*)?(?:=>.*)?$"),
+    ("dart", 1, "method", rf"^{_MODS}(?:[\w<>?,\[\]]+\s+)?(?:get|set)\s+{_ID}\b"),
+    ("dart", 1, "method", rf"^{_MODS}(?:[\w<>?,\[\]]+\s+)?{_ID}(?:\.\w+)?\s*\([^;]*\).*$"),
+    ("dart", 1, "property", rf"^{_MODS}(?:[\w?]+(?:<.*>)?\??\s+)?{_ID}\s*(?:(?:=|,).*)?;$"),
 ]
-#: Languages whose scopes come from indentation.
-INDENTED = ["py", "ruby"]
 SYMBOL = "path string, line_no int, level int, kind string, name string, container string, signature string"
 
-_OF_C, _OF_SHELL = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))", r"(?P<comment>#[^\n]*)"
-_DOUBLE, _SINGLE, _BACKTICK = r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'?", r"`(?:\\.|[^`\\])*`?"
-_TRIPLE = r'"""(?:\\.|.)*?(?:"""|\Z)'
-#: What is not code in a language: comments, and literals, which may span lines.
-LITERALS = {
-    "ts tsx js": [_OF_C, r"(?<=[=(,:!&|?\[])[ \t]*/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/*\[\\\n])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\[\\\n])*/", _DOUBLE, _SINGLE, _BACKTICK],
-    "py": [_OF_SHELL, _TRIPLE, r"\'\'\'(?:\\.|.)*?(?:\'\'\'|\Z)", _DOUBLE, _SINGLE],
-    "ruby": [_OF_SHELL, r"(?P<block>^=begin\b.*?(?:^=end\b|\Z))", _DOUBLE, _SINGLE],
-    "go": [_OF_C, _DOUBLE, _SINGLE, r"`[^`]*`?"],
-    "rust": [_OF_C, r'r#+".*?(?:"#+|\Z)', r'"(?:\\.|[^"\\])*"?', r"'(?:\\[^\n]+?|[^'\\\n])'"],
-    "c_sharp": [_OF_C, _TRIPLE, r'\$?@\$?"(?:""|[^"])*"?', _DOUBLE, _SINGLE],
-    "php": [_OF_C, r"(?P<hash>#(?!\[)[^\n]*)", r'"(?:\\.|[^"\\])*"?', r"'(?:\\.|[^'\\])*'?"],
-    "swift": [_OF_C, _TRIPLE, _DOUBLE],
-    "java dart c cpp": [_OF_C, _TRIPLE, _DOUBLE, _SINGLE],
-}
 #: Scopes that hold declarations as the top of a file does.
 _OPEN_SCOPE = re.compile(r"^(?:(?:pub(?:\([^)]*\))?|export|declare|inline)\s+)*(?:namespace|module|mod|global)\b|^extern\s+\"C\"")
 _HAS_OPEN_SCOPES = ["ts", "tsx", "cpp", "c", "c_sharp", "php", "rust"]
-_TOP, _TYPE, _BODY, _BRACKET = "top", "type", "body", "bracket"
+_TOP, _TYPE, _BODY = "top", "type", "body"
+#: Languages in which a type may be declared in any block.
+_AT_ANY_DEPTH = ["c_sharp", "php", "ruby", "c", "cpp", "swift"]
 
 
 @cache
@@ -150,75 +139,74 @@ def _rules(language: str) -> list[tuple[int, str, re.Pattern]]:
     return [(level, kind, re.compile(pattern)) for languages, level, kind, pattern in RULES if language in languages.split()]
 
 
-@cache
-def _literals(language: str) -> re.Pattern:
-    return re.compile("|".join(next(v for k, v in LITERALS.items() if language in k.split())), re.DOTALL | re.MULTILINE)
-
-
-def code_lines(text: str, language: str) -> list[tuple[str, str]]:
-    """Each line without comments, and the same without literals. What a literal holds beyond its first line goes."""
-    shown, bare, at = [], [], 0
-    for m in _literals(language).finditer(text):
-        between, gap = text[at : m.start()], re.sub(r"[^\n]", " ", m.group())
-        first = 0 if m.lastgroup else (m.group() + "\n").index("\n")
-        shown += [between, m.group()[:first], gap[first:]]
-        bare += [between, gap]
-        at = m.end()
-    return list(zip("".join([*shown, text[at:]]).split("\n"), "".join([*bare, text[at:]]).split("\n"), strict=True))
-
-
-def _scope(kind: str) -> str:
-    return _TYPE if kind in (*CONTAINERS, "impl") else _BODY
+def _hits(head: Head, where: str, language: str, code: str, bare: str) -> tuple[str, str] | None:
+    for level, kind, pattern in _rules(language):
+        if level == -1 or (level == 0 and where == _TOP) or (level == 1 and where == _TYPE):
+            # only imports and exports are told by what literals hold
+            if m := pattern.search(code if kind in ("import", "export", "preview") else bare):
+                return kind, m.group(1) if m.lastindex else ""
+    return None
+
+
+def _others(bare: str, name: str, language: str) -> list[str]:
+    """The further names that a statement declares beside its first one."""
+    rest = bare[bare.index(name) + len(name) :]
+    if language == "ruby":
+        return re.findall(r",\s*:([a-z]\w*)", rest) if bare.startswith("attr_") else []
+    if language == "go":
+        rest = rest.split("=")[0]
+    if language == "py":
+        return []
+    names, depth = [], 0
+    plain = re.sub(r"<[^<>=;()]*>", "", re.sub(r"<[^<>=;()]*>", "", rest))
+    for at, sign in enumerate(plain):
+        depth += (sign in "([{") - (sign in ")]}")
+        if sign == "," and not depth and (m := re.match(r"\s*[*&$]*([A-Za-z_$][\w$]*)\s*(?:[=;,:\[]|$|\s[\w*\[\].]+)", plain[at + 1 :])):
+            names.append(m.group(1))
+    return names
 
 
 def declared(text: str, language: str) -> Iterator[tuple[int, int, str, str, str | None, str]]:
-    """(line_no, level, kind, name, container, code) of the declarations of one file, in the order of their lines."""
-    by_indent = language in INDENTED
-    scopes: list[tuple[str, str | None, int]] = []  # what, name, indentation
-    waiting = None  # the scope that the next brace on this level opens
-    for n, (line, bare) in enumerate(code_lines(text, language), 1):
-        code = line.strip()
-        if by_indent and code and not (scopes and scopes[-1][0] == _BRACKET):
-            indent = len(line) - len(line.lstrip())
-            while scopes and scopes[-1][2] >= indent:
-                scopes.pop()
-        where, holder = scopes[-1][:2] if scopes else (_TOP, None)
-        hit = None
-        if code:
-            for level, kind, pattern in _rules(language):
-                if level == -1 or (level == 0 and where == _TOP) or (level == 1 and where == _TYPE):
-                    if m := pattern.search(code):
-                        hit = kind, m.group(1)
-                        break
-        if hit:
-            kind, name = hit
-            member = kind in ("method", "property")
-            container = holder if member else None
-            if language == "go" and kind == "method":
-                container = (re.search(r"^func\s*\(\s*\w*\s*\*?\s*(\w+)", code) or [None, None])[1]
-            if kind:
-                yield n, int(where == _TYPE), kind, name or "", container, code
-            waiting = (_scope(kind), name, len(scopes))
-        elif language in _HAS_OPEN_SCOPES and where == _TOP and _OPEN_SCOPE.search(code):
-            waiting = (_TOP, None, len(scopes))
-        if by_indent and waiting:
-            if waiting[0] == _TYPE or hit[0] in ("method", "function", "enum"):
-                scopes.append((waiting[0], waiting[1], indent))
-            waiting = None
-        for sign in re.findall(r"[][(){};]", bare):
-            if sign in "([" or (sign == "{" and by_indent):
-                scopes.append((_BRACKET, holder, 1 << 30))
-            elif sign == "{":
-                scopes.append((*waiting[:2], 0) if waiting and waiting[2] == len(scopes) else (_BODY, None, 0))
-                waiting = None if waiting and waiting[2] == len(scopes) - 1 else waiting
-            elif sign == ";":
-                waiting = None if waiting and waiting[2] == len(scopes) else waiting
-            elif sign == "}" and not by_indent:
-                while scopes and scopes[-1][0] == _BRACKET:
-                    scopes.pop()
-                scopes = scopes[:-1]
-            elif scopes and scopes[-1][0] == _BRACKET:
-                scopes.pop()
+    """(line_no, level, kind, name, container, code) of the declarations of one file, in the order of their lines.
+
+    code is the whole head of the declaration: all of it up to its body, with single spaces. A statement that declares
+    several names gives a row for each.
+    """
+    blocks = [(iter(statements(text, language)), _TOP, None, "")]  # those that are open: statements to come, scope, container, what stands before each
+    while blocks:
+        heads, where, holder, before = blocks[-1]
+        for head in heads:
+            code, bare = before + head.code, before + head.bare
+            if language == "go" and head.opened and where == _TOP and bare in ("import", "type", "var", "const"):
+                blocks.append((iter(head.body), _TOP, None, f"{bare} "))
+                break
+            hit = _hits(head, where, language, code, bare)
+            inside, held = _BODY, None
+            if hit:
+                kind, name = hit
+                member = kind in ("method", "property")
+                container = holder if member else None
+                if language == "go" and kind == "method" and where == _TOP:
+                    container = (re.search(r"^func\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)", bare) or [None, None])[1]
+                if kind:
+                    yield head.line, int(where == _TYPE), kind, name, container, code
+                if language in ("ts", "tsx", "js") and kind not in ("import", "export") and where == _TOP and bare.startswith("export "):
+                    yield head.line, 0, "export", signature(code), None, code
+                if kind in ("var", "property") or kind == "function" and language in ("ts", "tsx", "js") and re.match(r"^(?:export\s+)?(?:const|let|var)\b", bare):
+                    for other in _others(bare, name, language):
+                        yield head.line, int(where == _TYPE), "var" if kind == "function" else kind, other, container, code
+                if kind in (*CONTAINERS, "impl"):
+                    inside, held = _TYPE, name
+            elif language in _HAS_OPEN_SCOPES and where == _TOP and _OPEN_SCOPE.search(bare):
+                inside = _TOP
+            if head.tail and (m := re.match(r"\**\s*([A-Za-z_]\w*)", head.tail)) and bare.startswith("typedef"):
+                yield head.line, 0, "alias", m.group(1), None, f"{code} {head.tail}"
+                inside, held = (_TYPE, held or m.group(1)) if re.match(r"typedef\s+(?:struct|union|class)\b", bare) else (inside, held)
+            if head.body and (inside != _BODY or language in _AT_ANY_DEPTH):
+                blocks.append((iter(head.body), inside, held, ""))
+                break
+        else:
+            blocks.pop()
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -236,19 +224,17 @@ def symbols(files: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64).to_pydict()
-                rows = [(p, *d) for p, language, text in zip(part["path"], part["language"], part["content"], strict=True) for d in declared(text.replace("\r\n", "\n"), language)]
+                rows = [(p, *d, signature(code)) for p, language, text in zip(part["path"], part["language"], part["content"], strict=True) for *d, code in declared(text.replace("\r\n", "\n"), language)]
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape.types, strict=True)], schema=shape)
 
-    shape = pa.schema([("path", pa.string()), ("line_no", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("container", pa.string()), ("code", pa.string())])
-    found = read.mapInArrow(run, "path string, line_no int, level int, kind string, name string, container string, code string")
-    return found.select("path", "line_no", "level", "kind", "name", "container", signature("code").alias("signature"))
+    shape = pa.schema([("path", pa.string()), ("line_no", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("container", pa.string()), ("signature", pa.string())])
+    return read.mapInArrow(run, SYMBOL)
 
 
-def signature(code: Column | str) -> Column:
-    """A declaration's line up to its body, with single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(T.col(code), r"=>.*$", "=>"), r"\s*\{.*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s*:\s*$", ":"), r"\s+", " "))
+def signature(code: str) -> str:
+    """A declaration's head without what opens its body."""
+    return re.sub(r"\s*:\s*$", ":", re.sub(r"\s*\{\s*$", "", code))
 
 
 def type_index(found: DataFrame) -> DataFrame:

@@ -338,7 +338,9 @@ _SUPPLIERS = "s AS (SELECT CAST(s_suppkey AS BIGINT) AS k, 'src/supplier' || s_s
     UNION ALL SELECT path, 2, 'var', 'LIMIT', NULL FROM s WHERE k % 2 = 0
     UNION ALL SELECT path, CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END, 'class', 'Supplier' || k, NULL FROM s
     UNION ALL SELECT path, CASE WHEN k % 2 = 0 THEN 4 ELSE 3 END, 'method', 'name', 'Supplier' || k FROM s
-    UNION ALL SELECT path, 7, 'function', 'make' || k, NULL FROM s""",
+    UNION ALL SELECT path, 7, 'function', 'make' || k, NULL FROM s
+    UNION ALL SELECT path, 2, 'export', 'export class Supplier' || k || ' extends Supplier' || (k // 2), NULL FROM s WHERE k % 2 = 1
+    UNION ALL SELECT path, 7, 'export', 'export function make' || k || '(): Supplier' || (k // 2), NULL FROM s WHERE k % 2 = 1""",
 )
 def codemap_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.symbols(_code(spark, sf_dir)).select("path", "line_no", "kind", "name", "container")
@@ -346,7 +348,7 @@ def codemap_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MAPS = f"""{_SUPPLIERS}, m AS (SELECT path, k, CASE WHEN k % 2 = 0
       THEN format('File: {{}}\nImports:\n  - import os\n---\n\nClasses:\n  - Supplier{{}}\n    Methods:\n      - L4: def name(self):\n\nFunctions:\n  - L7: def make{{}}() -> Supplier{{}}:\n\nGlobal vars:\n  - LIMIT\n---\n', path, k, k, k // 2)
-      ELSE format('File: {{}}\nImports:\n  - ''./x''\n---\n\nClasses:\n  - Supplier{{}}\n    Methods:\n      - L3: name(): string\n\nFunctions:\n  - L7: export function make{{}}(): Supplier{{}}\n---\n', path, k, k, k // 2) END AS text FROM s)"""
+      ELSE format('File: {{}}\nImports:\n  - ''./x''\n---\n\nClasses:\n  - Supplier{{}}\n    Methods:\n      - L3: name(): string\n\nFunctions:\n  - L7: export function make{{}}(): Supplier{{}}\n\nExports:\n  - export class Supplier{{}} extends Supplier{{}}\n  - export function make{{}}(): Supplier{{}}\n---\n', path, k, k, k // 2, k, k // 2, k, k // 2) END AS text FROM s)"""
 
 
 @query("codemap_text", f"WITH {_MAPS} SELECT path, text FROM m")
@@ -383,13 +385,13 @@ def structure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.structures(structure.codemaps(structure.symbols(_code(spark, sf_dir))), ["src"], 10, 250).select("path")
 
 
-#: A file in each language, `#` standing for a number: its name, its text, and (line, kind, name, container, signature).
+#: Files in each language, `#` standing for a number: its name, its text, and (line, kind, name, container, signature).
 _LANGUAGES = [
     ("a#.ts", "import y from 'http://x/#';\nconst t = `\n{\n`;\nexport class Cart# extends Base {\n  total: number = 0;\n  add(item: Item): void {\n    const local = 1;\n  }\n}\nexport enum Kind# { A, B }\n",
-     [(1, "import", "'http://x/#'", None, "import y from 'http://x/#';"), (2, "var", "t", None, "const t = `"), (5, "class", "Cart#", None, "export class Cart# extends Base"), (6, "property", "total", "Cart#", "total: number = 0;"), (7, "method", "add", "Cart#", "add(item: Item): void"), (11, "enum", "Kind#", None, "export enum Kind#")]),
+     [(1, "import", "'http://x/#'", None, "import y from 'http://x/#';"), (2, "var", "t", None, "const t = ` { `;"), (5, "class", "Cart#", None, "export class Cart# extends Base"), (5, "export", "export class Cart# extends Base", None, "export class Cart# extends Base"), (6, "property", "total", "Cart#", "total: number = 0;"), (7, "method", "add", "Cart#", "add(item: Item): void"), (11, "enum", "Kind#", None, "export enum Kind#"), (11, "export", "export enum Kind#", None, "export enum Kind#")]),
     ("b#.js", "class Old# {\n  go() {\n    const re = /[{]/;\n  }\n}\nfunction start#() {\n}\n", [(1, "class", "Old#", None, "class Old#"), (2, "method", "go", "Old#", "go()"), (6, "function", "start#", None, "function start#()")]),
-    ("c#.tsx", "// {\nexport function View#(props: Props) {\n  return null;\n}\n", [(2, "function", "View#", None, "export function View#(props: Props)")]),
-    ("d#.py", "class Dog#(Animal):\n  kind = 'd'\n  def bark(self, n: int) -> None:\n    local = 1\ndef main#(\n  a=1,\n):\n  pass\n", [(1, "class", "Dog#", None, "class Dog#(Animal):"), (2, "property", "kind", "Dog#", "kind = 'd'"), (3, "method", "bark", "Dog#", "def bark(self, n: int) -> None:"), (5, "function", "main#", None, "def main#(")]),
+    ("c#.tsx", "// {\nexport function View#(props: Props) {\n  return null;\n}\n", [(2, "function", "View#", None, "export function View#(props: Props)"), (2, "export", "export function View#(props: Props)", None, "export function View#(props: Props)")]),
+    ("d#.py", "class Dog#(Animal):\n  kind = 'd'\n  def bark(self, n: int) -> None:\n    local = 1\ndef main#(\n  a=1,\n):\n  pass\n", [(1, "class", "Dog#", None, "class Dog#(Animal):"), (2, "property", "kind", "Dog#", "kind = 'd'"), (3, "method", "bark", "Dog#", "def bark(self, n: int) -> None:"), (5, "function", "main#", None, "def main#( a=1, ):")]),
     ("e#.go", "type Box# struct {\n\tSize int\n}\nfunc (b *Box#) Grow(n int) {\n}\n", [(1, "class", "Box#", None, "type Box# struct"), (2, "property", "Size", "Box#", "Size int"), (4, "method", "Grow", "Box#", "func (b *Box#) Grow(n int)")]),
     ("f#.rs", "pub struct Point# {\n    x: i32,\n}\nimpl Point# {\n    pub fn len<'a>(&'a self) -> char {\n        '{'\n    }\n}\n", [(1, "class", "Point#", None, "pub struct Point#"), (2, "property", "x", "Point#", "x: i32,"), (4, "impl", "Point#", None, "impl Point#"), (5, "method", "len", "Point#", "pub fn len<'a>(&'a self) -> char")]),
     ("g#.swift", "protocol Named# {\n    func show()\n}\n#Preview { Card() }\n", [(1, "interface", "Named#", None, "protocol Named#"), (2, "method", "show", "Named#", "func show()"), (4, "preview", "#Preview", None, "#Preview")]),
@@ -400,6 +402,23 @@ _LANGUAGES = [
     ("l#.rb", "module Outer#\n  class Inner#\n    def grow(n)\n    end\n  end\nend\n", [(1, "class", "Outer#", None, "module Outer#"), (2, "class", "Inner#", None, "class Inner#"), (3, "method", "grow", "Inner#", "def grow(n)")]),
     ("m#.php", "<?php\nclass Cart# {\n    public function add($x) {\n        return '{';\n    }\n}\nfunction run#($a) {\n}\n", [(2, "class", "Cart#", None, "class Cart#"), (3, "method", "add", "Cart#", "public function add($x)"), (7, "function", "run#", None, "function run#($a)")]),
     ("n#.dart", "class Car# {\n  int speed = 0;\n}\ntypedef Fn# = int;\n", [(1, "class", "Car#", None, "class Car#"), (2, "property", "speed", "Car#", "int speed = 0;"), (4, "alias", "Fn#", None, "typedef Fn# = int;")]),
+    ("o#.ts", "import {\n  A#,\n  B,\n} from './m#';\nconst a = 1, b = f(1, 2);\nclass Z# {\n  static async z(\n    a: Widget#,\n    b: Gadget,\n  ): Promise<Thing> {\n    return a;\n  }\n  x = 1; y: Map<string, number>;\n}\n",
+     [(1, "import", "'./m#'", None, "import { A#, B, } from './m#';"), (5, "var", "a", None, "const a = 1, b = f(1, 2);"), (5, "var", "b", None, "const a = 1, b = f(1, 2);"), (6, "class", "Z#", None, "class Z#"), (7, "method", "z", "Z#", "static async z( a: Widget#, b: Gadget, ): Promise<Thing>"), (13, "property", "x", "Z#", "x = 1;"), (13, "property", "y", "Z#", "y: Map<string, number>;")]),
+    ("p#.go", "import (\n\t\"fmt\"\n)\ntype (\n\tA# struct {\n\t\tX, Y int\n\t}\n\tB# interface {\n\t\tRun(n int) error\n\t}\n)\nvar (\n\tv = 1\n)\nfunc (a A#) Go(\n\tn int,\n) error {\n\treturn nil\n}\n",
+     [(2, "import", '"fmt"', None, 'import "fmt"'), (5, "class", "A#", None, "type A# struct"), (6, "property", "X", "A#", "X, Y int"), (6, "property", "Y", "A#", "X, Y int"), (8, "interface", "B#", None, "type B# interface"), (9, "method", "Run", "B#", "Run(n int) error"), (13, "var", "v", None, "var v = 1"), (15, "method", "Go", "A#", "func (a A#) Go( n int, ) error")]),
+    ("q#.java", "@Deprecated\npublic class A# {\n  int a, b;\n  A#(int x) { this.x = x; }\n  int get() { return x; }\n  public <T> Map<String, T> of(\n      T a) { return null; }\n}\n",
+     [(1, "class", "A#", None, "@Deprecated public class A#"), (3, "property", "a", "A#", "int a, b;"), (3, "property", "b", "A#", "int a, b;"), (4, "method", "A#", "A#", "A#(int x)"), (5, "method", "get", "A#", "int get()"), (6, "method", "of", "A#", "public <T> Map<String, T> of( T a)")]),
+    ("r#.c", "typedef struct {\n  int x, y;\n} Point#;\ntypedef struct node# { int v; } Node#;\nint add#(int a,\n         int b) { return a + b; }\nstatic int n# = 0, m = 1;\n",
+     [(1, "alias", "Point#", None, "typedef struct Point#;"), (2, "property", "x", "Point#", "int x, y;"), (2, "property", "y", "Point#", "int x, y;"), (4, "class", "node#", None, "typedef struct node#"), (4, "alias", "Node#", None, "typedef struct node# Node#;"), (4, "property", "v", "node#", "int v;"), (5, "function", "add#", None, "int add#(int a, int b)"), (7, "var", "n#", None, "static int n# = 0, m = 1;"), (7, "var", "m", None, "static int n# = 0, m = 1;")]),
+    ("s#.cpp", "class E# : public Base\n{\npublic:\n  int size() const { return n; }\n  E#(int x) : n(x) {}\nprivate:\n  int n;\n};\n", [(1, "class", "E#", None, "class E# : public Base"), (4, "method", "size", "E#", "int size() const"), (5, "method", "E#", "E#", "E#(int x) : n(x)"), (7, "property", "n", "E#", "int n;")]),
+    ("t#.py", "class A#:\n    class B:\n        hidden = 1\n        def no(self): pass\n    shown = 2\n    def yes(\n        self,\n    ) -> C#:\n        import os\nif shown:\n    import sys\n    def inner(): pass\nfrom m import (\n    a,\n)\n",
+     [(1, "class", "A#", None, "class A#:"), (5, "property", "shown", "A#", "shown = 2"), (6, "method", "yes", "A#", "def yes( self, ) -> C#:"), (13, "import", "from m import ( a, )", None, "from m import ( a, )")]),
+    ("u#.swift", "extension Card#: View {\n  func draw(\n    a: Int\n  ) -> Int { 1 }\n  var body: some View { Text(a) }\n}\nlet a = 1, b = 2\n", [(1, "class", "Card#", None, "extension Card#: View"), (2, "method", "draw", "Card#", "func draw( a: Int ) -> Int"), (5, "property", "body", "Card#", "var body: some View"), (7, "var", "a", None, "let a = 1, b = 2"), (7, "var", "b", None, "let a = 1, b = 2")]),
+    ("v#.rb", "class T#\n  attr_reader :x, :y\n  def one(a) = a\n  def two; end\n  def three(a,\n            b)\n  end\nend\n", [(1, "class", "T#", None, "class T#"), (2, "property", "x", "T#", "attr_reader :x, :y"), (2, "property", "y", "T#", "attr_reader :x, :y"), (3, "method", "one", "T#", "def one(a) = a"), (4, "method", "two", "T#", "def two; end"), (5, "method", "three", "T#", "def three(a, b)")]),
+    ("w#.php", "<?php\nuse App\\Base#;\nclass C# {\n  use Shared;\n  private $a = 1, $b;\n  function f(\n    $x\n  ) { return 1; }\n}\n", [(2, "import", "use App\\Base#;", None, "use App\\Base#;"), (3, "class", "C#", None, "class C#"), (5, "property", "a", "C#", "private $a = 1, $b;"), (5, "property", "b", "C#", "private $a = 1, $b;"), (6, "method", "f", "C#", "function f( $x )")]),
+    ("x#.dart", "class C# {\n  int get y => 1;\n  final Map<String, int> m = {}; int a, b = 2;\n  void run(\n    int n,\n  ) { go(); }\n}\n", [(1, "class", "C#", None, "class C#"), (2, "method", "y", "C#", "int get y => 1;"), (3, "property", "m", "C#", "final Map<String, int> m = {};"), (3, "property", "a", "C#", "int a, b = 2;"), (3, "property", "b", "C#", "int a, b = 2;"), (4, "method", "run", "C#", "void run( int n, )")]),
+    ("y#.rs", "#[derive(Debug)]\npub struct P# { x: i32, y: HashMap<u8, u8> }\nuse a::{\n    b,\n    c,\n};\nimpl<T> Show for P# {\n    fn f(\n        &self,\n    ) -> i32 { 1 }\n}\n", [(2, "class", "P#", None, "pub struct P#"), (2, "property", "x", "P#", "x: i32,"), (2, "property", "y", "P#", "y: HashMap<u8, u8>"), (3, "import", "use a::{ b, c, };", None, "use a::{ b, c, };"), (7, "impl", "P#", None, "impl<T> Show for P#"), (8, "method", "f", "P#", "fn f( &self, ) -> i32")]),
+    ("Z#.cs", "[Serializable]\npublic class R# {\n  public int S { get; set; } = 3;\n  int a, b;\n  public R#(int x) : base(x) { }\n  public int Two(\n    int n) => n;\n}\n", [(2, "class", "R#", None, "public class R#"), (3, "property", "S", "R#", "public int S"), (4, "property", "a", "R#", "int a, b;"), (4, "property", "b", "R#", "int a, b;"), (5, "method", "R#", "R#", "public R#(int x) : base(x)"), (6, "method", "Two", "R#", "public int Two( int n) => n;")]),
 ]
 
 
@@ -416,12 +435,12 @@ _DECLARED = ", ".join(f"({_sql_text(name)}, {n}, {_sql_text(kind)}, {_sql_text(w
     SELECT replace(path, '#', k) AS path, line_no, kind, CASE WHEN kind = 'preview' THEN name ELSE replace(name, '#', k) END AS name, replace(container, '#', k) AS container, CASE WHEN kind IN ('preview', 'macro') THEN '#' || replace(substr(signature, 2), '#', k) ELSE replace(signature, '#', k) END AS signature FROM d, k""",
 )
 def codemap_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declarations of files in fourteen languages, one of each for every supplier."""
+    """Declarations of files in fourteen languages and several layouts, one of each for every supplier."""
     sources = spark.createDataFrame([(name, text) for name, text, _ in _LANGUAGES], "name string, text string")
     k = F.col("s_suppkey").cast("string")
     # a number sign that leads a line of its own is part of the language
-    text = F.regexp_replace("text", "(?<!^|\n)#", k)
-    code = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(sources)).select(F.replace("name", F.lit("#"), k).alias("path"), text.alias("content"))  # fourteen rows on one side
+    text = F.regexp_replace("text", "(?<!^|\n)#(?!\\[)", k)
+    code = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(sources)).select(F.replace("name", F.lit("#"), k).alias("path"), text.alias("content"))  # a row for each file of the list on one side
     return structure.symbols(code).select("path", "line_no", "kind", "name", "container", "signature")
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lodestone.operators import structure
@@ -95,7 +97,7 @@ HARD = {
     "h.cpp": "namespace a\n{\nclass E\n{\n  int size;\n};\n}\nint run(int a)\n{\n  int local = 1;\n}\n",
 }
 HARD_NAMES = {
-    "a.ts": {("import", "'http://x/y'", None), ("var", "t", None), ("class", "Real", None), ("method", "run", "Real"), ("method", "stop", "Real"), ("function", "last", None)},
+    "a.ts": {("import", "'http://x/y'", None), ("var", "t", None), ("class", "Real", None), ("export", "export class Real", None), ("method", "run", "Real"), ("method", "stop", "Real"), ("function", "last", None)},
     "b.rb": {("class", "Outer", None), ("class", "Inner", None), ("method", "grow", "Inner"), ("method", "shrink", "Inner"), ("function", "top", None)},
     "C.cs": {("import", "using System;", None), ("class", "Room", None), ("property", "Size", "Room"), ("method", "Open", "Room"), ("method", "Close", "Room")},
     "d.py": {("class", "Dog", None), ("property", "kind", "Dog"), ("method", "bark", "Dog"), ("method", "sit", "Dog"), ("function", "main", None), ("var", "LIMIT", None)},
@@ -116,3 +118,20 @@ def test_files_without_declarations_or_contents(spark):
     rows = spark.createDataFrame([("a.ts", ""), ("b.py", None), ("c.txt", "class A {}"), ("d.go", "\n\n")], "path string, content string")
     assert structure.symbols(rows).count() == 0
     assert structure.symbols(rows.limit(0)).count() == 0
+
+
+def test_types_over_lines_and_imported_names_are_references(spark):
+    text = "import {\n  Alpha,\n  Beta,\n} from 'm';\nexport function f(\n  a: Widget,\n  b: Gadget,\n): Promise<Thing> {\n  return new Hidden();\n}\n"
+    found = structure.symbols(spark.createDataFrame([("a.ts", text)], "path string, content string"))
+    assert {r["type_name"] for r in structure.references(found).collect()} == {"Alpha", "Beta", "Widget", "Gadget", "Thing"}
+
+
+def test_unclosed_and_odd_sources_end_well():
+    rng = random.Random(1)
+    signs = ["{", "}", "(", ")", "[", "]", ";", "\n", "class A", "def f", "type X", '"', "'", "`", "/*", "*/", "//", "#", "<", ">", "=>", ",", "=", "end", "struct", "  ", "x", "import", ":"]
+    for language in ("ts", "js", "tsx", "py", "go", "rust", "swift", "java", "c", "cpp", "c_sharp", "ruby", "php", "dart"):
+        for _ in range(120):
+            text = "".join(rng.choice(signs) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 40)))
+            for line, _, kind, name, _, code in structure.declared(text, language):
+                assert 1 <= line <= text.count("\n") + 1 and kind and code == " ".join(code.split()) and name is not None
+        assert len(list(structure.declared("class A {\n}\n" * 3000, language))) in (0, 3000)
