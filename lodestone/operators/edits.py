@@ -12,8 +12,11 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from lodestone.functions import text as T
 
@@ -73,25 +76,96 @@ def resolved(files: DataFrame, edits: DataFrame) -> DataFrame:
     return _with_content(files, edits).drop("content")
 
 
+_NEAR = types.ArrayType(types.StructType([types.StructField("closest", types.IntegerType()), types.StructField("at", types.ArrayType(types.IntegerType())), types.StructField("dice", types.ArrayType(types.DoubleType()))]))
+
+
+@F.arrow_udf(_NEAR)
+def _near_lines(lines: pa.Array, wanted: pa.Array) -> pa.Array:
+    """For each wanted (line, least score) of a file the place (from 1) of the line with the highest score, and places (from
+    0) and scores of all that reach the least or are equal; null for a null one."""
+    found = []
+    for own, asked in zip(lines, wanted, strict=True):
+        index = None
+        row = []
+        for want in asked.as_py() or []:
+            if want is None:
+                row.append(None)
+                continue
+            index = index or Bigrams(own.as_py() or [])
+            scores = index.dice(want["line"])
+            at = np.flatnonzero((scores >= want["least"]) | (scores == 1.0))
+            row.append({"closest": int(scores.argmax()) + 1 if len(scores) else None, "at": at.tolist(), "dice": scores[at].tolist()})
+        found.append(row)
+    return pa.array(found, pa.list_(pa.struct([("closest", pa.int32()), ("at", pa.list_(pa.int32())), ("dice", pa.list_(pa.float64()))])))
+
+
+class Bigrams:
+    """The lines of a file by their bigrams: for each bigram the lines that hold it, and how often.
+
+    A line is scored by adding up what it shares with the one looked for over the latter's bigrams; lines that share none
+    are never looked at.
+    """
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.lengths = np.array([len(x) for x in lines], np.int64)
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.cumsum(self.lengths)
+        inside = np.ones(len(points), bool)
+        inside[ends[self.lengths > 0] - 1] = False  # a line's last character begins no pair
+        at = np.flatnonzero(inside)
+        self.grams, number = np.unique(points[at] << 21 | points[at + 1], return_inverse=True) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        of = np.searchsorted(ends, at, side="right")
+        held, self.counts = np.unique(number.astype(np.int64) << 32 | of, return_counts=True)
+        self.held = held & 0xFFFFFFFF
+        self.starts = np.searchsorted(held >> 32, np.arange(len(self.grams) + 1))
+
+    def dice(self, line: str) -> np.ndarray:
+        """multiset_dice of the line with each of the lines."""
+        n = len(line)
+        if n < 2:
+            return np.array([float(x == line) for x in self.lines])
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        grams, times = np.unique(points[:-1] << 21 | points[1:], return_counts=True)
+        place = np.searchsorted(self.grams, grams)
+        known = np.flatnonzero(place < len(self.grams))
+        known = known[self.grams[place[known]] == grams[known]]
+        shared = np.zeros(len(self.lines))
+        for k in known.tolist():
+            part = slice(self.starts[place[k]], self.starts[place[k] + 1])
+            shared[self.held[part]] += np.minimum(self.counts[part], times[k])
+        return np.where(self.lengths < 2, 0.0, shared * 2.0 / np.maximum(n - 1 + self.lengths - 1, 1))
+
+
 def _with_content(files: DataFrame, edits: DataFrame) -> DataFrame:
-    rows = edits.join(files.select("path", "content"), "path", "left")
-    body, find, put = F.coalesce("content", F.lit("")), F.regexp_replace("search", "\r\n?", "\n"), F.regexp_replace(F.coalesce("replace", F.lit("")), "\r\n?", "\n")
-    rows = rows.select("path", "edit_index", "content", F.coalesce("all", F.lit(False)).alias("all"), F.col("content").isNull().alias("_none"), F.regexp_replace(body, "\r\n?", "\n").alias("t"), find.alias("s"), put.alias("r"))
+    """Edits meet their file's content once, gathered by path; each then goes on with it where it is."""
+    lf = lambda c: F.regexp_replace(c, "\r\n?", "\n")
+    one = F.struct("edit_index", F.col("search").isNull().alias("unset"), lf(F.coalesce("search", F.lit(""))).alias("s"), lf(F.coalesce("replace", F.lit(""))).alias("r"), F.coalesce("all", F.lit(False)).alias("all"))
+    asked = edits.groupBy("path").agg(F.collect_list(one).alias("_edits"))
+    rows = asked.join(files.select("path", "content"), "path", "left")
+    rows = rows.select("path", "content", F.col("content").isNull().alias("_none"), lf(F.coalesce("content", F.lit(""))).alias("t"), "_edits")
+    # fuzzy: lines of the selector without blank ones, lines of the file as they are
+    first = lambda s: F.get(F.filter(F.transform(F.split(s, "\n"), T.normalised_line), lambda x: x != ""), 0)
+    held = lambda e: F.contains(F.col("t"), e["s"]) | (F.contains(e["s"], F.lit("\\")) & F.contains(F.col("t"), decoded(e["s"])))
+    line = lambda e: F.when(~held(e), first(e["s"]))
+    rows = rows.withColumn("_first", F.transform("_edits", line))
+    some = F.exists("_first", lambda x: x.isNotNull())
+    rows = rows.withColumn("_lines", F.when(some, T.lines("t")).otherwise(F.array().cast("array<string>"))).withColumn("_norm", F.transform("_lines", T.normalised_line))
+    wanted = F.when(some, F.transform("_first", lambda x: F.when(x.isNotNull(), F.struct(x.alias("line"), threshold(F.char_length(x)).alias("least")))))
+    rows = rows.withColumn("_near", _near_lines("_norm", wanted))
+    rows = rows.withColumn("_e", F.explode(F.arrays_zip("_edits", "_near"))).select("path", "content", "_none", "t", "_lines", "_norm", F.col("_e._edits.*"), F.col("_e._near").alias("_near"))
     rows = rows.withColumn("_ds", decoded("s")).withColumn("_dr", decoded("r"))
     rows = rows.withColumn("_lit", offsets(F.col("t"), F.col("s")))
     rows = rows.withColumn("_esc", F.when((F.size("_lit") == 0) & F.contains("s", F.lit("\\")), offsets(F.col("t"), F.col("_ds"))).otherwise(F.array().cast("array<int>")))
-    # fuzzy: lines of the selector without blank ones, lines of the file as they are
     rows = rows.withColumn("_raw", F.filter(F.split("s", "\n"), lambda x: T.normalised_line(x) != "")).withColumn("_sel", F.transform("_raw", T.normalised_line))
     n, first = F.size("_sel"), F.get("_sel", 0)
-    open_yet = (F.size("_lit") == 0) & (F.size("_esc") == 0) & (n > 0)
-    rows = rows.withColumn("_lines", F.when(open_yet, T.lines("t")).otherwise(F.array().cast("array<string>"))).withColumn("_norm", F.transform("_lines", T.normalised_line))
-    score = lambda line: T.multiset_dice(first, line)
-    rows = rows.withColumn("_scores", F.when(open_yet, F.transform("_norm", score)).otherwise(F.array().cast("array<double>")))
-    exact = F.exists("_norm", lambda x: x == first)
-    starts = F.filter(F.sequence(F.lit(0), F.size("_norm") - 1), lambda i: F.when(exact, F.get("_norm", i) == first).otherwise(F.get("_scores", i) >= threshold(F.char_length(first))))
+    open_yet = (F.size("_lit") == 0) & (F.size("_esc") == 0) & (n > 0) & F.col("_near").isNotNull()
+    exact = F.exists("_near.at", lambda i: F.get("_norm", i) == first)
+    least = threshold(F.char_length(first))
+    starts = F.filter("_near.at", lambda i: F.when(exact, F.get("_norm", i) == first).otherwise(F.get("_near.dice", F.array_position("_near.at", i).cast("int") - 1) >= least))
     must = F.when(n <= 2, F.sequence(F.lit(0), n - 1)).when(n <= 5, F.sequence(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2), n - 2, n - 1))
     passes = lambda i: (i + n <= F.size("_norm")) & F.forall(F.filter(must, lambda k: k > 0), lambda k: F.get("_norm", i + k) == F.get("_sel", k))
-    rows = rows.withColumn("_starts", F.when(open_yet & (F.size("_norm") > 0), F.filter(starts, passes)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("_starts", F.when(open_yet, F.filter(starts, passes)).otherwise(F.array().cast("array<int>")))
     at = F.get("_starts", 0)
     upto = lambda k: F.char_length(F.array_join(F.slice(T.lines_kept("t"), F.lit(1), k), ""))
     moved = reanchored(F.col("r"), F.get("_raw", 0), F.get("_lines", at))
@@ -106,15 +180,15 @@ def _with_content(files: DataFrame, edits: DataFrame) -> DataFrame:
     many = F.when(tier == "literal", F.size("_lit")).when(tier == "escape", F.size("_esc")).otherwise(F.lit(1))
     several = F.transform(F.when(F.size("_lit") > 0, F.col("_lit")).otherwise(F.col("_esc")), lambda o: line_of(F.col("t"), o))
     several = F.when((many > 1) & ~F.col("all"), several)
-    closest = F.array(F.array_position("_scores", F.array_max("_scores")))
+    closest = F.array(F.col("_near.closest"))
     none = F.array().cast("array<int>")
     problem = (
-        F.when(F.col("_none"), error("file_not_found", none)).when(n == 0, error("invalid_request", none)).when(tier.isNull() & (F.size("_starts") > 1), error("ambiguous_match", F.transform("_starts", lambda i: i + 1)))
+        F.when(F.col("_none"), error("file_not_found", none)).when((n == 0) | F.col("unset"), error("invalid_request", none)).when(tier.isNull() & (F.size("_starts") > 1), error("ambiguous_match", F.transform("_starts", lambda i: i + 1)))
         .when(tier.isNull(), error("no_match", closest)).when((many > 1) & ~F.col("all"), error("multiple_matches", several))
     )
     spans = F.when(tier == "literal", literal).when(tier == "escape", escaped).when(tier == "fuzzy", fuzzy)
     return rows.withColumn("error", problem).select(
-        "path", "edit_index", "content", F.when(F.col("error").isNull(), spans).alias("spans"), F.when(F.col("error").isNull(), tier).alias("matched_by"), F.when((tier == "fuzzy") & F.col("error").isNull(), F.get("_scores", at)).alias("dice"), "error"
+        "path", "edit_index", "content", F.when(F.col("error").isNull(), spans).alias("spans"), F.when(F.col("error").isNull(), tier).alias("matched_by"), F.when((tier == "fuzzy") & F.col("error").isNull(), F.get("_near.dice", F.array_position("_near.at", at).cast("int") - 1)).alias("dice"), "error"
     )
 
 
@@ -135,14 +209,14 @@ def planned(files: DataFrame, edits: DataFrame) -> DataFrame:
     """A row for each edited file: status, content after, hashes before and after, tiers, pseudo-diff, the numbered
     lines around each change, and error.
 
-    Any failing edit fails its file; so does an overlap of two edits. Line ends are kept: CRLF where most are. Edits and
-    contents meet once, by path, and stay there.
+    Any failing edit fails its file; so does an overlap of two edits. Line ends are kept: CRLF where most are. Contents
+    are moved once to be searched and once to be changed, however many edits a file has.
     """
     by_index = F.array_sort(F.collect_list(F.struct("edit_index", "matched_by", "dice")))
-    rows = _with_content(files, edits).groupBy("path").agg(
-        F.first("content").alias("content"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"), by_index.alias("_tiers"),
+    rows = resolved(files, edits).groupBy("path").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"), by_index.alias("_tiers"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("edit_index"))).alias("_error"), F.count(F.lit(1)).alias("edits"),
-    )
+    ).join(files.select("path", "content"), "path", "left")
     clash = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_spans") - 1, F.lit(1))), lambda i: F.coalesce(F.get("_spans", i)["start"] < F.get("_spans", i - 1)["end"], F.lit(False)))
     overlap = F.struct(F.lit("overlapping_edits").alias("code"), F.lit("overlapping edits").alias("message"), F.transform("_spans", lambda s: line_of(F.regexp_replace("content", "\r\n?", "\n"), s["start"])).alias("lines")).cast(ERROR)
     rows = rows.withColumn("error", F.coalesce("_error", F.when(clash, overlap)))

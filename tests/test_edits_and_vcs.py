@@ -1,4 +1,7 @@
+import random
 import subprocess
+import time
+from collections import Counter
 
 import pytest
 
@@ -47,6 +50,46 @@ def test_fuzzy_edits(spark):
     assert two["error"]["code"] == "ambiguous_match" and two["error"]["lines"] == [1, 2]
 
 
+def plain_dice(a, b):
+    if a == b:
+        return 1.0
+    if len(a) < 2 or len(b) < 2:
+        return 0.0
+    x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
+    return (x & y).total() * 2.0 / (len(a) - 1 + len(b) - 1)
+
+
+def test_lines_are_scored_by_their_bigrams():
+    rng = random.Random(4)
+    for _ in range(60):
+        lines = ["".join(rng.choices("abcé😀 ", k=rng.randrange(0, 12))) for _ in range(rng.randrange(0, 30))]
+        held = edits.Bigrams(lines)
+        for want in [*rng.sample(lines, min(3, len(lines))), "ab", "a", "zz top", "abcabc"]:
+            assert held.dice(want).tolist() == [plain_dice(want, x) for x in lines]
+
+
+def test_many_edits_of_a_long_file(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(3000)]
+    lines = [f"    {i} " + " ".join(rng.choices(names, k=5)) for i in range(20_000)]
+    at = sorted(rng.sample(range(20_000), 100))
+    wanted = [(lines[i].strip()[:-2] + "Q!", f"changed {i}", False) for i in at]
+    began = time.perf_counter()
+    got = plan(spark, "\n".join(lines) + "\n", *wanted)
+    assert time.perf_counter() - began < 60
+    for i in at:
+        lines[i] = f"    changed {i}"
+    assert got["status"] == "applied" and got["edits_applied"] == 100 and set(got["matched_by"]) == {"fuzzy"}
+    assert got["after"] == "\n".join(lines) + "\n"
+
+
+def test_an_edit_without_a_search_is_invalid(spark):
+    assert plan(spark, "a\nb\n", (None, "x", False))["error"]["code"] == "invalid_request"
+    files = spark.createDataFrame([], "path string, content string")
+    row = edits.planned(files, spark.createDataFrame([("g", 0, "a", "b", False)], SCHEMA)).first()
+    assert row["status"] == "failed" and row["error"]["code"] == "file_not_found"
+
+
 def test_line_ends_and_diff(spark):
     got = plan(spark, "a\r\nb\r\nc\r\n", ("b", "B\nB2", False))
     assert got["after"] == "a\r\nB\r\nB2\r\nc\r\n" and got["diff"] == ["-b", "+B", "+B2"]
