@@ -34,6 +34,14 @@ class Workspace:
         self.session = selection.session_key(session, self.settings["selection"]["scope"])
         self.state = Path(self.root) / ".lodestone"
         self.catalog = corpus.Catalog()
+        more = self.settings["dynamic_roots"]
+        self.others = policy.Roots(lambda found: Workspace(spark, found, session=self.session), most=more["max"], close=Workspace.close) if more["enabled"] else None
+
+    def close(self) -> None:
+        """Lets go of what is kept of the files, here and in the other roots that were opened from here."""
+        self.catalog.drop()
+        while self.others is not None and self.others.held:
+            self.others.held.popitem()[1].close()
 
     def call(self, tool: str, arguments: dict) -> dict:
         """What the tool gives, or an error with a code: a tool that is off, arguments that break a rule, a failed command."""
@@ -43,7 +51,9 @@ class Workspace:
         try:
             asked = policy.checked(tool, arguments)
             if "root" in asked and policy.valid_root(asked["root"]) != self.root:
-                return Workspace(self.spark, asked["root"], session=self.session).call(tool, {k: v for k, v in asked.items() if k != "root"})
+                if self.others is None:
+                    raise ValueError("invalid_root: other roots are turned off")
+                return self.others.get(asked["root"]).call(tool, {k: v for k, v in asked.items() if k != "root"})
             return getattr(self, f"_{tool}")({k: v for k, v in asked.items() if k != "root"})
         except vcs.VcsError as error:
             return {"error": {"code": error.code, "message": str(error)}}
@@ -94,10 +104,17 @@ class Workspace:
         narrow = a.get("filters", {})
         kept, caps = search.answer(
             self.files(), a["pattern"], mode=a.get("mode", "auto"), regex=a.get("regex", False), whole_word=a.get("whole_word", False), paths=narrow.get("paths", []), extensions=narrow.get("extensions", []),
-            exclude=narrow.get("exclude", []), context_lines=a.get("context_lines", 0), context_paths=a.get("contextPaths", []), max_results=a.get("max_results", 50), max_chars=self.settings["caps"]["search_chars"],
+            exclude=narrow.get("exclude", []), recent=self._recent(), context_lines=a.get("context_lines", 0), context_paths=a.get("contextPaths", []), max_results=a.get("max_results", 50), max_chars=self.settings["caps"]["search_chars"],
         )
         return {"matches": _rows(kept.orderBy("rank"))} | _rows(caps)[0]
 
+    def _recent(self) -> DataFrame | None:
+        """The files of the last commits by rank, from 0 for the latest; none where the root is in no repository."""
+        try:
+            return search.recency(vcs.history(self.spark, self.root), top=search.RECENT)
+        except vcs.VcsError:
+            return None
+
     def _read_file(self, a: dict) -> dict:
         paths = [P.normalised(p) for p in a.get("paths", [a.get("path")])]
         rows = self.files().where(F.col("path").isin(paths))
@@ -129,7 +146,7 @@ class Workspace:
         mode = {"codemap_only": "codemap"}.get(a.get("mode", "full"), a.get("mode", "full"))
         named = self.files().where(P.under("path", a["paths"])).select("path") if a.get("paths") else self.files().limit(0).select("path")
         rows = named.select(F.lit(self.session).alias("session_id"), "path", F.lit(mode).alias("mode"), F.array().cast(selection.SLICES).alias("slices"))
-        cut = [(self.session, P.normalised(s["path"]), "slices", [(r["start_line"], r.get("end_line", r["start_line"]), None) for r in s.get("ranges", [])]) for s in a.get("slices", [])]
+        cut = [(self.session, P.normalised(s["path"]), "slices", [(r["start_line"], r.get("end_line", r["start_line"]), r.get("description")) for r in s.get("ranges", [])]) for s in a.get("slices", [])]
         return rows.unionByName(self.spark.createDataFrame(cut, rows.schema)) if cut else rows
 
     def _manage_selection(self, a: dict) -> dict:

@@ -122,3 +122,38 @@ def test_command_line(spark, space):
     assert cli.run(spark, cli.parser().parse_args(["tool", space.root, "read_file", '{"path": "note.txt", "limit": 1}']))["files"][0]["text"] == "one\n"
     assert set(policy.ARGUMENTS) == set(policy.TOOLS)
     assert cli.run(spark, cli.parser().parse_args(["config", space.root]))["profile"] == "full"
+
+
+def test_search_ranks_what_was_committed_last(space):
+    import os
+
+    def git(*args):
+        subprocess.run(["git", "-C", space.root, "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True, env={**os.environ, "GIT_CONFIG_GLOBAL": "/dev/null"})
+
+    for name in ("x1.md", "x2.md", "x3.md"):
+        with open(f"{space.root}/{name}", "w") as out:
+            out.write("needle here\n")
+    before = [m["path"] for m in space.call("file_search", {"pattern": "needle", "mode": "content"})["matches"]]
+    git("init", "-q")
+    git("add", "x3.md")
+    git("commit", "-qm", "third")
+    after = [m["path"] for m in space.call("file_search", {"pattern": "needle", "mode": "content"})["matches"]]
+    assert before == ["x1.md", "x2.md", "x3.md"] and after == ["x3.md", "x1.md", "x2.md"]
+
+
+def test_other_roots_are_kept_and_closed(space, tmp_path):
+    roots = [tmp_path / f"r{i}" for i in range(5)]
+    for root in roots:
+        root.mkdir()
+        (root / "a.txt").write_text("alone\n")
+        assert len(space.call("file_search", {"pattern": "alone", "root": str(root)})["matches"]) == 1
+    assert [k.rsplit("/", 1)[-1] for k in space.others.held] == ["r1", "r2", "r3", "r4"]
+    space.close()
+    assert not space.others.held
+    space.others = None
+    assert space.call("file_search", {"pattern": "alone", "root": str(roots[0])})["error"]["code"] == "invalid_root"
+
+
+def test_slices_keep_their_descriptions(space):
+    space.call("manage_selection", {"op": "add", "slices": [{"path": "note.txt", "ranges": [{"start_line": 1, "end_line": 1, "description": "the start"}]}]})
+    assert space.selected().first()["slices"][0]["description"] == "the start"
