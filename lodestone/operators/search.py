@@ -118,7 +118,7 @@ def recency(history: DataFrame, path: str = "path", position: str = "pos", top:
     score asks for the first RECENT."""
     first = history.groupBy(F.col(path).alias("path")).agg(F.min(position).alias("_first"))
     if top is None:
-        return ordering.numbered(first, ["_first", "path"], "rank").drop("_first")
+        return ordering.numbered(first, ["_first", "path"], "rank").drop("_first").withColumn("rank", F.col("rank").cast("int"))
     return _placed(first, ["_first", "path"], top, "rank", 0).drop("_first")
 
 
@@ -149,7 +149,7 @@ def ranked(matches: DataFrame, recent: DataFrame | None = None, context_paths: l
     """matches with score and `rank` (from 1): what matched best, stood first, and is boosted(). matches has `position`,
     its place in the input, from 0."""
     rows = boosted(matches, recent, context_paths, type_index).withColumn("score", F.col("score") + F.greatest(F.lit(0), F.lit(FIRST) - F.col("position")))
-    return ordering.numbered(rows, [F.desc("score"), "path", "line"], "rank", first=1)
+    return ordering.numbered(rows, [F.desc("score"), "path", "line"], "rank", first=1).withColumn("rank", F.col("rank").cast("int"))
 
 
 def file_counts(matches: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.operators import budget
 from lodestone.operators.statements import Head, statements
+from lodestone.sources.versions import Versioned
 
 # Names that are never references, and the token caps of a file's text and of a structure query.
 PRIMITIVES = ["String", "Number", "Boolean", "Object", "Array", "Promise", "React"]
@@ -124,6 +125,7 @@ RULES: list[tuple[str, int, str, str]] = [
     ("dart", 1, "method", rf"^{_MODS}(?:[\w<>?,\[\]]+\s+)?{_ID}(?:\.\w+)?\s*\([^;]*\).*$"),
     ("dart", 1, "property", rf"^{_MODS}(?:[\w?]+(?:<.*>)?\??\s+)?{_ID}\s*(?:(?:=|,).*)?;$"),
 ]
+CODEMAP = "path string, text string"
 SYMBOL = "path string, line_no int, level int, kind string, name string, container string, signature string"
 
 #: Scopes that hold declarations as the top of a file does.
@@ -248,6 +250,13 @@ def references(found: DataFrame) -> DataFrame:
     return named.where(~F.col("type_name").isin(PRIMITIVES)).join(type_index(found), ["path", "type_name"], "left_anti")
 
 
+def keep(files: DataFrame, table: Versioned) -> dict[str, int]:
+    """Brings a table of declarations (SYMBOL) up to the files (with a stamp): only those that are new or changed are
+    read, and what is gone takes its declarations with it, so codemaps, type index and references of the table are those
+    of the files as they are. Returns how many paths were added, changed and removed."""
+    return table.follow(files, symbols)
+
+
 def index_table(index: DataFrame) -> DataFrame:
     """type_name with the sorted paths that define it."""
     return index.groupBy("type_name").agg(F.array_sort(F.collect_set("path")).alias("paths"))
@@ -323,37 +332,19 @@ def package_manifest(files: DataFrame) -> DataFrame:
     )
 
 
-def stale(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files whose (path, content_sha256) the cache does not hold: those that must be read anew."""
-    hashed = files.withColumn("content_sha256", F.sha2("content", 256))
-    return hashed.join(cache.select("path", "content_sha256"), ["path", "content_sha256"], "left_anti")
-
-
 def warm(files: DataFrame, cache_folder: str) -> DataFrame:
-    """Brings a codemap table up to date: unchanged files stay, changed and new ones are computed and appended.
+    """Brings a codemap table up to date by content hashes: unchanged files stay, changed and new ones are computed, and
+    what is gone leaves the table, which so holds each path once.
 
-    Returns one row: cached, computed, skipped. A path's current row is the one with its current content hash.
+    Returns one row: cached, computed, skipped. Versioned(spark, cache_folder, CODEMAP).read() gives the codemaps.
     """
     spark = files.sparkSession
-    schema = "path string, content_sha256 string, text string"
-    try:
-        cache = spark.read.schema(schema).parquet(cache_folder)
-        cache.isEmpty()
-    except Exception as error:  # noqa: BLE001  no table yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        cache = spark.createDataFrame([], schema)
-    eligible = files.where(P.language("path").isNotNull())
+    may = P.language("path").isNotNull()
     for flag in ("is_binary", "likely_generated"):
         if flag in files.columns:
-            eligible = eligible.where(~F.coalesce(F.col(flag), F.lit(False)))
-    # one pass over the files says what is there; the numbers of stale ones come from the table as written
-    hashed = files.select("path", F.sha2("content", 256).alias("content_sha256"))
-    marked = eligible.select("path", F.lit(True).alias("_may"))
-    before = cache.select("path", "content_sha256", F.lit(True).alias("_held")).distinct()
-    counts = hashed.join(marked, "path", "left").join(before, ["path", "content_sha256"], "left").agg(
-        F.count_if(F.col("_may") & F.col("_held")).alias("cached"), F.count_if(F.col("_may") & F.col("_held").isNull()).alias("computed"), F.count_if(F.col("_may").isNull()).alias("skipped")
-    ).first()
-    fresh = stale(eligible, cache)
-    fresh.select("path", "content_sha256").join(codemaps(symbols(fresh)), "path", "left").select("path", "content_sha256", F.coalesce("text", F.lit("")).alias("text")).write.mode("append").parquet(cache_folder)
-    return spark.createDataFrame([tuple(counts)], "cached long, computed long, skipped long")
+            may = may & ~F.coalesce(F.col(flag), F.lit(False))
+    total, eligible = files.select(F.count(F.lit(1)), F.count_if(may)).first()
+    texts = lambda fresh: fresh.select("path").join(codemaps(symbols(fresh)), "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
+    done = Versioned(spark, cache_folder, CODEMAP).follow(files.where(may).withColumn("stamp", F.sha2("content", 256)), texts)
+    computed = done["added"] + done["changed"]
+    return spark.createDataFrame([(eligible - computed, computed, total - eligible)], "cached long, computed long, skipped long")

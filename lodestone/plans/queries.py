@@ -11,7 +11,7 @@ from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.operators import budget, edits, intervals, ordering, packaging, read, search, selection, structure, tree
 from lodestone.plans.tables import commits, files, page_paths, ranges, selected, table
-from lodestone.sources import corpus, vcs
+from lodestone.sources import corpus, vcs, versions
 
 #: Tokens of a session when the whole selection is packaged.
 BUNDLE_TOKENS = 160_000
@@ -105,6 +105,32 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.freshness(before, now)
 
 
+@query(
+    "catalog_delta",
+    f"WITH {_FILES}, {_NUMBERED} SELECT path, CASE WHEN i % 5 = 0 THEN 'added' WHEN i % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM n WHERE (i % 5 <> 0 OR i % 7 <> 0) AND (i % 5 = 0 OR i % 7 = 0 OR i % 3 = 0)",
+)
+def catalog_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between two snapshots of all files: some are new, some gone, some have another content."""
+    rows = files(spark, sf_dir).select("path", "content", _number().alias("i"))
+    before = rows.where("i % 5 <> 0").select("path", F.sha2("content", 256).alias("stamp"))
+    now = rows.where("i % 7 <> 0").select("path", F.sha2(F.when(F.col("i") % 3 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256).alias("stamp"))
+    return versions.changes(before, now).select("path", "change")
+
+
+@query(
+    "catalog_follow",
+    f"WITH {_FILES}, {_NUMBERED}, e AS (SELECT path, content || CASE WHEN i % 3 = 0 THEN ' more' ELSE '' END || CASE WHEN i % 5 = 0 THEN '!' ELSE '' END AS t FROM n WHERE i % 7 <> 0) SELECT path, {_TOKENS.format('t')} AS tokens FROM e",
+)
+def catalog_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all files in a versioned table that follows three states of them; each time only what changed is measured."""
+    kept = versions.Versioned(spark, ordering.work_folder(spark, "catalog-follow"), "path string, tokens long")
+    rows = files(spark, sf_dir).select("path", "content", _number().alias("i"))
+    longer = rows.where("i % 7 <> 0").withColumn("content", F.when(F.col("i") % 3 == 0, F.concat("content", F.lit(" more"))).otherwise(F.col("content")))
+    for state in (rows, longer, longer.withColumn("content", F.when(F.col("i") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))):
+        kept.follow(state.withColumn("stamp", F.sha2("content", 256)), lambda fresh: fresh.select("path", T.estimate_tokens("content").alias("tokens")))
+    return kept.read()
+
+
 # Tokens and filters
 
 
@@ -208,7 +234,7 @@ def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.content_matches(files(spark, sf_dir), "License")
-    placed = ordering.numbered(hits.withColumn("score", F.lit(0.0)), ["path", "line"], "position")
+    placed = ordering.numbered(hits.withColumn("score", F.lit(0.0)), ["path", "line"], "position").withColumn("position", F.col("position").cast("int"))
     recent = search.recency(hits.select("path", F.col("path").alias("pos")))
     return search.ranked(placed, recent, ["src1/en/1.txt"]).select("path", "line", "score", "rank")
 
@@ -245,7 +271,7 @@ def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 matches as far as 1,000 characters of JSON go."""
     hits = search.content_matches(files(spark, sf_dir), "License")
-    return search.shaped(ordering.numbered(hits, ["path", "line"], "rank", first=1), 40, 1000).select("path", "line", "rank")
+    return search.shaped(ordering.numbered(hits, ["path", "line"], "rank", first=1).withColumn("rank", F.col("rank").cast("int")), 40, 1000).select("path", "line", "rank")
 
 
 @query(
@@ -361,6 +387,17 @@ def type_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.type_index(structure.symbols(_code(spark, sf_dir)))
 
 
+@query("type_index_follow", f"WITH {_SUPPLIERS} SELECT CASE WHEN k % 3 = 0 THEN 'Vendor' ELSE 'Supplier' END || k AS type_name, path FROM s WHERE k % 4 <> 1")
+def type_index_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type index of a table of declarations after some files were changed and some removed."""
+    kept = versions.Versioned(spark, ordering.work_folder(spark, "type-index-follow"), structure.SYMBOL)
+    code = _code(spark, sf_dir).withColumn("k", F.regexp_extract("path", "(\\d+)", 1).cast("int"))
+    renamed = code.where("k % 4 <> 1").withColumn("content", F.when(F.col("k") % 3 == 0, F.replace("content", F.lit("class Supplier"), F.lit("class Vendor"))).otherwise(F.col("content")))
+    for state in (code, renamed):
+        structure.keep(state.withColumn("stamp", F.sha2("content", 256)), kept)
+    return structure.type_index(kept.read())
+
+
 @query("type_references", f"WITH {_SUPPLIERS} SELECT path, 'Supplier' || (k // 2) AS type_name FROM s WHERE k // 2 <> k UNION SELECT path, 'LIMIT' FROM s WHERE k % 2 = 0")
 def type_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.references(structure.symbols(_code(spark, sf_dir)))

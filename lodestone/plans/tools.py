@@ -6,10 +6,12 @@ prompt, lies in tables beside it, of which a small JSON file names the current o
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from lodestone.functions import paths as P
 from lodestone.operators import edits, packaging, read, search, selection, structure, tree
 from lodestone.plans import config, policy
 from lodestone.sources import corpus, stores, vcs
+from lodestone.sources.versions import Versioned, opened
 
 READ_CHARS, BLAME_LINES, LOG_COMMITS = 50_000, 200, 20
 
@@ -33,7 +36,11 @@ class Workspace:
         self.settings = settings or config.load(self.root)
         self.session = selection.session_key(session, self.settings["selection"]["scope"])
         self.state = Path(self.root) / ".lodestone"
-        self.catalog = corpus.Catalog()
+        own = self.settings
+        self.tables = self._shared()
+        self.catalog = corpus.Catalog(spark, self.root, f"{self.tables}/files", own["ignore"]["extra"], own["ignore"]["ios_preset"], own["caps"]["file_size_bytes"])
+        self.declared = Versioned(spark, f"{self.tables}/symbols", structure.SYMBOL)
+        self.known = False
         more = self.settings["dynamic_roots"]
         self.others = policy.Roots(lambda found: Workspace(spark, found, session=self.session), most=more["max"], close=Workspace.close) if more["enabled"] else None
 
@@ -60,15 +67,30 @@ class Workspace:
         except ValueError as error:
             return {"error": {"code": str(error).split(":")[0], "message": str(error)}}
 
+    def _shared(self) -> str:
+        """Where the workspace's tables lie: below its state where one machine runs all, else in the warehouse."""
+        if self.spark.sparkContext.master.startswith("local"):
+            return f"file://{self.state}/tables"
+        return f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone/{hashlib.sha256(self.root.encode()).hexdigest()[:16]}"
+
     def files(self) -> DataFrame:
         """The scanned folder with contents as text; binary files keep their flag and no text."""
-        own = self.settings
-        found = self.catalog.get(self.spark, self.root, extra_rules=own["ignore"]["extra"], ios_preset=own["ignore"]["ios_preset"], size_cap=own["caps"]["file_size_bytes"])
+        return self._texts(self.catalog.files())
+
+    def _texts(self, found: DataFrame) -> DataFrame:
         return found.withColumn("content", F.when(F.col("is_binary"), F.lit("")).otherwise(F.col("content").cast("string")))
 
+    def symbols(self) -> DataFrame:
+        """The declarations of all files, from a table of which only the parts of changed files are worked out anew."""
+        if not self.catalog.looked or not self.known:
+            structure.keep(self._texts(self.catalog.stamped()), self.declared)
+            self.known = True
+        return self.declared.read()
+
     def changed(self, paths: list[str]) -> None:
-        """Drops what was derived from the files: the catalog is scanned again; codemaps are found by content anyway."""
+        """The catalog is looked at again, and of it and of what is derived from it only what these paths hold is made anew."""
         self.catalog.drop()
+        self.known = False
 
     # state
 
@@ -83,14 +105,17 @@ class Workspace:
         return self.spark.read.schema(selection.SCHEMA).parquet(folder) if folder else self.spark.createDataFrame([], selection.SCHEMA)
 
     def _select(self, rows: DataFrame) -> None:
-        folder = f"file://{self.state}/selection-{uuid.uuid4().hex}"
+        before, folder = self._held().get("selection"), f"{self.tables}/selection-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
         self._keep(selection=folder)
+        if before:  # no file names it any more
+            system, base = opened(before)
+            system.delete_dir(base)
 
     def snapshot(self) -> tuple[DataFrame, DataFrame]:
         """The selection as it is now, with what closure adds, and the codemaps of all files."""
         files = self.files()
-        found = structure.symbols(files)
+        found = self.symbols()
         maps = structure.codemaps(found)
         now = selection.invalidate(self.selected(), files)
         if not self.settings["selection"]["auto_codemaps"]:
@@ -133,7 +158,7 @@ class Workspace:
         return tree.render(marked, a.get("mode", "auto"), a.get("max_tokens", self.settings["caps"]["tree_tokens"]), a.get("max_depth"), have_selection=not chosen.isEmpty())
 
     def _get_code_structure(self, a: dict) -> dict:
-        maps = structure.codemaps(structure.symbols(self.files()))
+        maps = structure.codemaps(self.symbols())
         wanted = [r["path"] for r in self.selected().select("path").collect()] if a.get("scope") == "selected" else a["paths"]
         if not wanted:
             return {"files": [], "limit_hit": False, "omitted_total": 0}
@@ -151,9 +176,11 @@ class Workspace:
 
     def _manage_selection(self, a: dict) -> dict:
         op, held, files = a["op"], self.selected(), self.files()
-        profiles = f"file://{self.state}/profiles"
+        profiles = f"{self.tables}/profiles"
         if op == "list_profiles":
-            return {"profiles": sorted(r["profile"] for r in selection.profiles(self.spark, profiles).collect()) if (self.state / "profiles").exists() else []}
+            system, base = opened(profiles)
+            there = system.get_file_info(base).type != pyarrow.fs.FileType.NotFound
+            return {"profiles": sorted(r["profile"] for r in selection.profiles(self.spark, profiles).collect()) if there else []}
         if op in ("save_profile", "load_profile") and "name" not in a:
             raise ValueError("invalid_request: a name for the profile")
         if op == "save_profile":
@@ -167,7 +194,7 @@ class Workspace:
             unknown = [p for p in a.get("paths", []) if files.where(P.under("path", [p])).isEmpty()] if a.get("strict") else []
             if unknown:
                 return {"error": {"code": "not_found", "paths": unknown}}
-            maps = structure.codemaps(structure.symbols(files))
+            maps = structure.codemaps(self.symbols())
             if op in ("promote", "demote"):
                 auto, _ = self.snapshot()
                 self._select(selection.set_mode(held, entries, "full" if op == "promote" else "codemap", auto))
@@ -212,7 +239,8 @@ class Workspace:
     def _apply_edits(self, a: dict) -> dict:
         path = P.normalised(a["path"])
         edits.inside(self.root, path)
-        files = self.files().where(F.col("path") == path)
+        listed = self.catalog.files().where(F.col("path") == path).select("path", "abs_path", "size", "mtime_ms")
+        files = self._texts(corpus.with_contents(listed, self.root, self.settings["caps"]["file_size_bytes"], whole=True))  # as it is now
         if "rewrite" in a:
             plan = edits.rewritten(files, self.spark.createDataFrame([(path, a["rewrite"])], "path string, rewrite string"), create=a.get("on_missing") == "create")
         else:

@@ -34,8 +34,3 @@ def export_payload(payloads: DataFrame, receipts: DataFrame, session_id: str, fo
     write_atomically(text, row["text"])
     write_atomically(receipt, row["receipt"])
     return text, receipt
-
-
-def write_snapshot(files: DataFrame, folder: str) -> None:
-    """The catalog without contents as a table."""
-    files.drop("content").write.mode("overwrite").parquet(folder)

@@ -7,6 +7,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import ordering
+
 # The states of a status, in their order, and the cap on a file's patch lines.
 STATES = ["staged", "unstaged", "untracked", "deleted", "renamed"]
 PATCH_LINES = 300
@@ -98,19 +100,25 @@ def patch_hunks(lines: DataFrame, max_lines: int | None = PATCH_LINES, group: st
     """(path, hunk_no, header, old_start, new_start, patch, omitted_lines) from unified patches.
 
     lines: line_no, line and, where there are many patches, `group` that tells them apart. A file shows max_lines
-    of its hunks' lines; omitted_lines counts the rest of a hunk.
+    of its hunks' lines; omitted_lines counts the rest of a hunk. A line learns its file and hunk from what is carried
+    over ranges of lines, so that no patch meets in one task; a hunk's row holds at most max_lines lines.
     """
     keys = [group] if group else []
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     named = F.regexp_extract("line", "^diff --git a/(.+) b/(.+)$", 2)
-    rows = lines.withColumn("_file", F.sum(F.col("line").startswith("diff --git ").cast("int")).over(order)).withColumn("path", F.last(F.when(F.col("line").startswith("diff --git "), named), ignorenulls=True).over(order))
-    of_file = Window.partitionBy(*keys, "_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.where("_file > 0").withColumn("hunk_no", F.sum(F.col("line").startswith("@@ ").cast("int")).over(of_file)).where("hunk_no > 0")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_file").orderBy("line_no")))
-    shown = F.lit(True) if max_lines is None else F.col("_n") <= max_lines
-    hunks = rows.groupBy(*keys, "path", "_file", "hunk_no").agg(
-        F.min_by("line", "line_no").alias("header"), F.array_join(F.array_sort(F.collect_list(F.when(shown, F.struct("line_no", "line"))))["line"], "\n").alias("patch"), F.count_if(~shown).alias("omitted_lines")
-    )
+    marks = {
+        "_f": F.when(F.col("line").startswith("diff --git "), F.struct(*keys, "line_no", named.alias("path"))),
+        "_h": F.when(F.col("line").startswith("@@ "), F.struct(*keys, "line_no", F.col("_pos").alias("pos"))),
+    }
+    rows = ordering.running(lines.select(*keys, "line_no", "line"), [*keys, "line_no"], {"_pos": F.lit(1).cast("long")}, marks)
+    for key in keys:
+        rows = rows.where(F.col(key).eqNullSafe(F.col(f"_f.{key}")) & F.col(key).eqNullSafe(F.col(f"_h.{key}")))
+    rows = rows.where("_h.line_no > _f.line_no").select(*keys, "line_no", "line", "_f.path", F.col("_f.line_no").alias("_file"), F.col("_h.line_no").alias("_hunk"), (F.col("_pos") - F.col("_h.pos")).alias("_k"))
+    held = F.struct("line_no", "line") if max_lines is None else F.when(F.col("_k") < max_lines, F.struct("line_no", "line"))
+    hunks = rows.groupBy(*keys, "path", "_file", "_hunk").agg(F.min_by("line", "line_no").alias("header"), F.array_sort(F.collect_list(held))["line"].alias("_lines"), F.count(F.lit(1)).alias("_n"))
+    of_file = Window.partitionBy(*keys, "_file").orderBy("_hunk")
+    hunks = hunks.withColumn("hunk_no", F.row_number().over(of_file)).withColumn("_before", F.coalesce(F.sum("_n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    shown = F.col("_n") if max_lines is None else F.least(F.col("_n"), F.greatest(F.lit(max_lines) - F.col("_before"), F.lit(0)))
+    hunks = hunks.withColumn("patch", F.array_join(F.slice("_lines", F.lit(1), shown.cast("int")), "\n")).withColumn("omitted_lines", F.col("_n") - shown)
     at = lambda k: F.regexp_extract("header", "^@@ -(\\d+)(?:,\\d+)? \\+(\\d+)", k).try_cast("int")
     return hunks.select(*keys, "path", F.col("hunk_no").cast("int"), "header", F.coalesce(at(1), F.lit(0)).alias("old_start"), F.coalesce(at(2), F.lit(0)).alias("new_start"), "patch", "omitted_lines")
 
@@ -125,8 +133,11 @@ def blame_lines(lines: DataFrame, group: str | None = None) -> DataFrame:
     """(line, sha_short, author, date_iso, content) from porcelain blame; a commit's facts stand at its first line."""
     keys = [group] if group else []
     head = F.regexp_extract("line", "^([0-9a-f]{40}) \\d+ (\\d+)", 1)
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("_sha", F.last(F.when(head != "", head), ignorenulls=True).over(order)).withColumn("_at", F.last(F.when(head != "", F.regexp_extract("line", "^([0-9a-f]{40}) \\d+ (\\d+)", 2).try_cast("int")), ignorenulls=True).over(order))
+    at = F.regexp_extract("line", "^([0-9a-f]{40}) \\d+ (\\d+)", 2).try_cast("int")
+    rows = ordering.running(lines.select(*keys, "line_no", "line"), [*keys, "line_no"], {}, {"_head": F.when(head != "", F.struct(*keys, head.alias("sha"), at.alias("at")))})
+    for key in keys:
+        rows = rows.where(F.col(key).eqNullSafe(F.col(f"_head.{key}")))
+    rows = rows.select(*keys, "line", F.col("_head.sha").alias("_sha"), F.col("_head.at").alias("_at"))
     value = lambda key: F.max(F.when(F.col("line").startswith(f"{key} "), F.substring("line", len(key) + 2, 1 << 20)))
     facts = rows.groupBy(*keys, "_sha").agg(value("author").alias("author"), value("author-time").try_cast("long").alias("_time"))
     text = rows.where(F.col("line").startswith("\t")).select(*keys, "_sha", F.col("_at").alias("line_no"), F.substring("line", 2, 1 << 20).alias("content"))

@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import edits, intervals
 from lodestone.sources import vcs
@@ -176,3 +177,33 @@ def test_diff_and_show(spark, tmp_path):
     assert meta.first()["subject"] == "c4" and changed.first()["path"] == "f"
     with pytest.raises(ValueError):
         vcs.show(spark, str(tmp_path), "--all")
+
+
+def test_patches_and_blames_with_and_without_a_group(spark):
+    """What lines carry from range to range: as a plain pass over them says, in whatever ranges they lie."""
+    text, want, n = ["preamble", "@@ -9 +9 @@ not in a file"], [], 0
+    for f in range(9):
+        text += [f"diff --git a/f{f} b/f{f}", "--- a", "+++ b"]
+        shown = 0
+        for h in range(f % 4):
+            own = [f"@@ -{h + 1},2 +{h + 5} @@ x"] + [f"+{f} {h} {k}" for k in range(f)]
+            text += own
+            kept = own[: max(0, 5 - shown)]
+            shown += len(own)
+            want.append((f"f{f}", h + 1, own[0], h + 1, h + 5, "\n".join(kept), len(own) - len(kept)))
+    lines = spark.createDataFrame(list(enumerate(text)), "line_no int, line string").repartition(3)
+    columns = ["path", "hunk_no", "header", "old_start", "new_start", "patch", "omitted_lines"]
+    took = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert took(vcs.patch_hunks(lines, 5)) == sorted(want)
+    two = lines.withColumn("g", F.lit("a")).unionByName(lines.withColumn("g", F.lit(None).cast("string")))
+    assert took(vcs.patch_hunks(two, 5, group="g")) == sorted(want * 2)
+    uncut = took(vcs.patch_hunks(lines, None))
+    assert [r[:5] for r in uncut] == [r[:5] for r in sorted(want)] and all(r[6] == 0 and r[5].startswith(r[2]) for r in uncut)
+    blame, told = [], []
+    for n in range(1, 31):
+        sha = f"{n % 4:040x}"
+        blame += [f"{sha} 1 {n} 1", *([f"author w{n % 4}", f"author-time {n % 4}"] if n <= 4 else []), f"\tline {n}"]
+        told.append((n, sha[:8], f"w{n % 4}", f"line {n}"))
+    rows = spark.createDataFrame(list(enumerate(blame)), "line_no int, line string").repartition(3)
+    said = lambda df: sorted(tuple(r) for r in df.select("line", "sha_short", "author", "content").collect())
+    assert said(vcs.blame_lines(rows)) == told == said(vcs.blame_lines(rows.withColumn("g", F.lit(1)), group="g"))
