@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lodestone.llm import byte_bpe, fingerprints, language_id, packing, quality_classifier, quality_rules, simhash, warc
 from lodestone.llm import queries as Q
+from tests.llm.test_texts import plain_quality, rules
 from tests.oracle import both
 
 SMALL = "/root/testdata/sf0.001"
@@ -461,7 +462,10 @@ def test_pipeline_by_brute_force(spark):
     assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(left) and len(left) > 190
     two = corpus_pipeline.of_quality(spark, one, SMALL)
     model = quality_rules.fit(one.select("doc_id", "text"), spark.read.parquet(f"{SMALL}/labels.parquet"))
-    want = sorted(r["doc_id"] for r in quality_rules.judge(one, model).where("kept").collect())
+    def fails(r):
+        return r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+
+    want = sorted(k for k in left if not fails(rules(rows[k]["text"])) and plain_quality(model, rows[k]["text"]) >= 0.3)
     assert sorted(r["doc_id"] for r in two.collect()) == want and 0 < len(want) < len(left)
     three = corpus_pipeline.without_near_duplicates(spark, two, SMALL)
     stay = set(classes({k: plain_simhash(rows[k]["text"]) for k in want}).values())

@@ -1,7 +1,9 @@
 """Language ID, quality rules, quality classifier, license scan and chat perspectives."""
 
+import math
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +126,44 @@ def test_counts_by_brute_force(spark):
         assert r["base_failed"] == failed and r["kept"] == (not failed) and r["quality"] is None
 
 
+@cache
+def word_number(word):
+    """The library's hash of one word, taken by itself."""
+    raw = np.frombuffer(word, np.uint8)
+    return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+
+def plain_quality(model, text):
+    """The probability of good quality, feature by feature from the model's weights."""
+    cell, words, chars = (1 << quality_rules.BITS) - 1, (text or "").encode().split(), [int.from_bytes(c.encode(), "little") for c in text or ""]
+
+    def run(part):
+        code = part[0]
+        for c in part[1:]:
+            code = (code * 0x9E3779B1 + c) % (1 << 32)
+        code = (code ^ (code >> 15)) * 2246822519 % (1 << 32)
+        code = (code ^ (code >> 13)) * 2654435761 % (1 << 32)
+        return code >> (32 - quality_rules.BITS)
+
+    def pair(a, b):
+        return 0 if a == b else int(mix(np.array([(word_number(a) * 0xD6E8FEB86659FD93 + word_number(b)) % (1 << 64)], np.uint64))[0]) & cell
+
+    families = [[word_number(w) & cell for w in words], [pair(a, b) for a, b in zip(words, words[1:])], *([run(chars[i : i + n]) for i in range(len(chars) - n + 1)] for n in (2, 4))]
+    margin = model.bias + sum(sum(float(table[p]) for p in places) / max(1, len(places)) for table, places in zip(model.tables, families, strict=True))
+    return 1 / (1 + math.exp(-min(35, max(-35, model.slope * margin + model.offset))))
+
+
+def test_quality_probability_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = quality_rules.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    rows = quality_rules.judge(docs.unionByName(held(spark, [(10_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")), model).collect()
+    assert len(rows) == 200 + len(ODD) and len({r["kept"] for r in rows}) == 2
+    for r in rows:
+        want = plain_quality(model, r["text"])
+        assert abs(r["quality"] - want) < 1e-5
+        assert r["kept"] == (not r["base_failed"] and r["quality"] >= quality_rules.MIN_QUALITY)
+
+
 def judged_apart(spark):
     """Labelled rows of texts that pass the counted rules, judged by a model fitted to the other rows."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
