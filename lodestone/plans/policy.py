@@ -7,12 +7,15 @@ from collections import OrderedDict
 from collections.abc import Callable
 from pathlib import Path
 
+from lodestone.operators.packaging import SECTIONS
 from lodestone.plans.config import PROFILES
 
 # The tools, and those that change files.
 TOOLS = ["file_search", "read_file", "get_file_tree", "get_code_structure", "manage_selection", "prompt", "workspace_context", "apply_edits", "file_actions", "git"]
 MUTATING = ["apply_edits", "file_actions"]
 MAX_PATHS, MAX_TREE_TOKENS = 32, 50_000
+#: Bounds of this library on what one call of git gives.
+MAX_COMMITS, MAX_BLAMED = 1000, 2000
 
 
 def refusal(tool: str, settings: dict) -> dict | None:
@@ -84,6 +87,11 @@ def checked(tool: str, arguments: dict) -> dict:
         need(arguments["op"] not in ("set", "append") or "text" in arguments, "a text to set or append")
     if tool == "file_actions":
         need("action" in arguments or "op" in arguments, "an action")
+    if tool == "git":
+        need(arguments.get("count", 1) <= MAX_COMMITS, f"count up to {MAX_COMMITS}")
+        need(arguments.get("end_line", 1) - arguments.get("start_line", 1) < MAX_BLAMED, f"up to {MAX_BLAMED} lines of a blame")
+    if tool == "workspace_context":
+        need(set(arguments.get("include", [])) <= set(SECTIONS), f"include takes {', '.join(SECTIONS)}")
     if tool == "apply_edits":
         ways = [("rewrite" in arguments), ("edits" in arguments), ("search" in arguments or "replace" in arguments)]
         need(sum(ways) == 1, "exactly one of rewrite, edits, and search with replace")

@@ -16,18 +16,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
-from lodestone.operators import edits, packaging, read, search, selection, structure, tree
+from lodestone.operators import budget, edits, packaging, read, search, selection, structure, tree
 from lodestone.plans import config, policy
 from lodestone.sources import corpus, stores, vcs
 from lodestone.sources.versions import Versioned, opened
 
 READ_CHARS, BLAME_LINES, LOG_COMMITS = 50_000, 200, 20
+#: Rows of an answer at most, and of one whose rows hold texts.
+MOST_ROWS, MOST_TEXTS = 2000, 200
 
 
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def _some(df: DataFrame, order: list[str], name: str, text: str | None = None) -> dict:
+    """The first rows by the order as far as the caps go, and how many are left out. A text is cut after READ_CHARS
+    characters, all texts together have no more, and omitted_chars says what a text lost."""
+    if text is None:
+        kept = _rows(df.orderBy(*order).limit(MOST_ROWS))
+    else:
+        cut = df.withColumns({"omitted_chars": F.greatest(F.char_length(text) - READ_CHARS, F.lit(0)), text: F.substring(text, 1, READ_CHARS)}).withColumn("_chars", F.char_length(text))
+        kept = _rows(budget.choose(cut, order, "_chars", READ_CHARS, MOST_TEXTS, first_free=True).orderBy("position").drop("position", "_chars"))
+    left = df.count() - len(kept)
+    return {name: kept, "limit_hit": left > 0 or any(r.get("omitted_chars") for r in kept), "omitted_total": left}
+
+
 class Workspace:
     """One folder with its settings and one session's selection and prompt."""
 
@@ -201,7 +215,9 @@ class Workspace:
             else:
                 self._select({"add": selection.add, "set": selection.replace}[op](held, entries, files, maps) if op != "remove" else selection.remove(held, entries, files))
         shown, maps = self.snapshot()
-        return {"selection": _rows(selection.view(shown, a.get("view", "summary"), files, maps))}
+        kind = a.get("view", "summary")
+        found = selection.view(shown, kind, files, maps)
+        return {"selection": _rows(found)} if kind == "summary" else _some(found, ["path"], "selection", None if kind == "files" else "text")
 
     def _prompt(self, a: dict) -> dict:
         now = self._held().get("prompt", "")
@@ -227,6 +243,8 @@ class Workspace:
         if "git_diff_text" in a or preset["git_inclusion"] != "none":
             patches = lambda: "\n".join(r["patch"] for r in vcs.diff(self.spark, self.root, a.get("git_compare", "uncommitted"), "patches").collect())
             sections = sections.unionByName(section("git_diff", a["git_diff_text"] if "git_diff_text" in a else patches()))
+        if "include" in a:
+            sections = sections.where(F.col("section").isin(a["include"]))
         made = packaging.payload(sections, own["packager"]["section_order"], own["packager"]["duplicate_instructions_at_top"])
         costs = packaging.breakdown(sections, shown, made, self.spark.createDataFrame([(self.session, prompt)], "session_id string, prompt string"))
         if a.get("op", "snapshot") == "snapshot":
@@ -248,7 +266,8 @@ class Workspace:
             rows = [(path, k, e["search"], e["replace"], e.get("all", False)) for k, e in enumerate(asked)]
             plan = edits.planned(files, self.spark.createDataFrame(rows, "path string, edit_index int, search string, replace string, `all` boolean"))
         expected = {path: a["expected_sha256"]} if "expected_sha256" in a else None
-        return edits.commit(plan, self.root, expected, a.get("dry_run", False), self.changed)[0]
+        done = edits.commit(plan, self.root, expected, a.get("dry_run", False), self.changed)[0]
+        return done if a.get("verbose", True) else {k: v for k, v in done.items() if k not in ("diff", "post_context")}
 
     def _file_actions(self, a: dict) -> dict:
         done = edits.file_action(self.root, a.get("action", a.get("op")), a["path"], a.get("content"), a.get("new_path", a.get("destination")), a.get("if_exists") == "overwrite", a.get("expected_sha256"))
@@ -256,16 +275,22 @@ class Workspace:
             self.changed([a["path"]])
         return done
 
+    def _differences(self, rows: DataFrame) -> dict:
+        """A summary, files or hunks, as far as the caps go."""
+        if "patch" in rows.columns:
+            return _some(rows, ["path", "hunk_no"], "diff", "patch")
+        return _some(rows, ["path"], "diff") if "path" in rows.columns else {"diff": _rows(rows)}
+
     def _git(self, a: dict) -> dict:
         op, lines = a["op"], lambda *args: vcs.git_lines(self.spark, self.root, *args)
         if op == "status":
             said = lines("status", "--porcelain=v2", "--branch")
-            return {"branch": _rows(vcs.branch_facts(said))[0], "files": _rows(vcs.status_entries(said).orderBy("path", "state"))}
+            return {"branch": _rows(vcs.branch_facts(said))[0]} | _some(vcs.status_entries(said), ["path", "state"], "files")
         if op == "diff":
-            return {"diff": _rows(vcs.diff(self.spark, self.root, a.get("compare", "uncommitted"), a.get("detail", "summary"), self.settings["caps"]["git_patch_lines"]))}
+            return self._differences(vcs.diff(self.spark, self.root, a.get("compare", "uncommitted"), a.get("detail", "summary"), self.settings["caps"]["git_patch_lines"]))
         if op == "show":
             meta, rows = vcs.show(self.spark, self.root, a.get("revspec", "HEAD"), a.get("detail", "summary"))
-            return {"commit": _rows(meta)[0], "diff": _rows(rows)}
+            return {"commit": _rows(meta)[0]} | self._differences(rows)
         below = ["--", a["path"]] if "path" in a else []
         if op == "log":
             return {"commits": _rows(vcs.log_entries(lines("log", f"-{a.get('count', LOG_COMMITS)}", "--pretty=format:%H%x1f%h%x1f%an%x1f%aI%x1f%s", *below)))}

@@ -135,6 +135,10 @@ def test_lines_are_those_of_a_recursive_drawing(spark, monkeypatch):
     monkeypatch.setattr(tree, "MOST_LINES", 5)
     short = tree.render(marked, mode="full")
     assert short["limit_hit"] and short["omitted_total"] == len(nodes) - 5 and short["tree"].count("\n") == 6
+    monkeypatch.setattr(tree, "MOST_LINES", 2)
+    last = tree.render(marked, max_tokens=1)
+    whole = drawn(nodes, tree.Shape(anchored_only=True, distant=1))
+    assert last["shape"] == "root summaries" and last["omitted_total"] == len(whole) + 1 - 2 and last["tree"].count("\n") == 3
     assert tree.render(tree.anchors(tree.rollup(df.limit(0)), df.limit(0)))["tree"] == tree.HEAD + "\n"
 
 

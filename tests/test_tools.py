@@ -157,3 +157,40 @@ def test_other_roots_are_kept_and_closed(space, tmp_path):
 def test_slices_keep_their_descriptions(space):
     space.call("manage_selection", {"op": "add", "slices": [{"path": "note.txt", "ranges": [{"start_line": 1, "end_line": 1, "description": "the start"}]}]})
     assert space.selected().first()["slices"][0]["description"] == "the start"
+
+
+def test_answers_are_bounded_and_say_so(space, monkeypatch):
+    space.call("manage_selection", {"op": "add", "paths": ["note.txt", "src/b.py"], "mode": "full"})
+    monkeypatch.setattr(tools, "READ_CHARS", 5)
+    got = space.call("manage_selection", {"op": "get", "view": "content"})
+    assert [(r["path"], r["text"], r["omitted_chars"]) for r in got["selection"]] == [("note.txt", "one\nK", 7)] and got["limit_hit"] and got["omitted_total"] == 1
+    monkeypatch.setattr(tools, "MOST_ROWS", 1)
+    got = space.call("manage_selection", {"op": "get", "view": "files"})
+    assert [r["path"] for r in got["selection"]] == ["note.txt"] and got["omitted_total"] == 1
+    for tool, bad in (("git", {"op": "log", "count": 1001}), ("git", {"op": "blame", "path": "a", "start_line": 1, "end_line": 2001}), ("workspace_context", {"include": ["nothing"]})):
+        assert space.call(tool, bad)["error"]["code"] == "invalid_request", tool
+
+
+def test_parts_of_answers_that_are_asked_for(space):
+    space.call("manage_selection", {"op": "add", "paths": ["note.txt"], "mode": "full"})
+    space.call("prompt", {"op": "set", "text": "Do it."})
+    text = open(space.call("workspace_context", {"op": "export", "include": ["user_instructions"]})["payload"]).read()
+    assert "Do it." in text and "<file_contents>" not in text and "<file_map>" not in text
+    short = space.call("apply_edits", {"path": "note.txt", "search": "one", "replace": "1", "verbose": False})
+    assert short["status"] == "applied" and not {"diff", "post_context"} & set(short)
+
+
+def test_tools_read_only_what_changed(space):
+    """Declarations and contents outlive a session; an edit makes only its own file anew; old selections leave no table."""
+    assert "Base" in space.call("get_code_structure", {"paths": ["src"]})["files"][1]["text"]
+    first = space.declared.manifest()["number"]
+    space.call("apply_edits", {"path": "src/b.py", "search": "Base", "replace": "Root"})
+    assert "Root" in space.call("get_code_structure", {"paths": ["src"]})["files"][1]["text"]
+    now = space.declared.manifest()
+    assert now["number"] > first and space.declared.stamps().count() == 3
+    later = tools.Workspace(space.spark, space.root)
+    assert later.catalog.refresh() == {"added": 0, "changed": 0, "removed": 0}
+    assert "Root" in later.call("get_code_structure", {"paths": ["src"]})["files"][1]["text"] and later.declared.manifest() == now
+    for path in ("src/a.py", "src/b.py", "note.txt"):
+        space.call("manage_selection", {"op": "add", "paths": [path]})
+    assert len([p for p in (space.state / "tables").iterdir() if p.name.startswith("selection-")]) == 1
