@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
@@ -17,6 +17,10 @@ MATCH = ["path", "line", "col", "match_text", "context_before", "context_after",
 _PATH_SIGNS = re.compile(r"[/*?\[\]{}]")
 #: The first matches are worth up to FIRST for their place, the latest paths up to RECENT for theirs.
 FIRST, RECENT, MAX_CHARS = 1000, 200, 50_000
+#: A search that may stop early cuts the paths into at most SLICES ranges, known by SAMPLED paths each. It takes the first
+#: one, then GROWTH times as many at each step, until it has its matches or they show more than SHOWN_BYTES.
+SLICES, SAMPLED, GROWTH, SHOWN_BYTES = 256, 8, 8, 16 * 1024 * 1024
+_TOO_MANY = "More matched than is shown: use a longer pattern, fewer paths or extensions, or less context."
 _NOT_LINEAR = re.compile(r"\(\?<?[=!]|\\[1-9]")
 
 
@@ -168,11 +172,65 @@ def summary(matches: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: limit_hit, omitted_total and a suggestion where rows were left out."""
     both = matches.agg(F.count(F.lit(1)).alias("n")).crossJoin(kept.agg(F.count(F.lit(1)).alias("k")))  # one row each
     left = F.col("n") - F.col("k")
-    return both.select((left > 0).alias("limit_hit"), left.alias("omitted_total"), F.when(left > 0, F.lit("More matched than is shown: use a longer pattern, fewer paths or extensions, or less context.")).alias("suggestion"))
+    return both.select((left > 0).alias("limit_hit"), left.alias("omitted_total"), F.when(left > 0, F.lit(_TOO_MANY)).alias("suggestion"))
 
 
-def found(files: DataFrame, query: str, mode: str = "auto", regex: bool = False, whole_word: bool = False, paths: list[str] = (), extensions: list[str] = (), exclude: list[str] = (), context_lines: int = 0) -> DataFrame:
-    """All matches by path and by content, unranked, with their context; _branch is 0 for paths and 1 for contents."""
+def slice_ends(files: DataFrame) -> list[str]:
+    """Paths at which slices of about as many files end, in byte order; the last slice ends nowhere. They are taken from
+    the paths with the least hashes: each task hands over SLICES * SAMPLED paths at most, and no content is read."""
+    least = files.where("path IS NOT NULL").select("path", F.xxhash64("path").alias("_hash")).orderBy("_hash", "path").limit(SLICES * SAMPLED)
+    sample = sorted((r["path"] for r in least.select("path").collect()), key=str.encode)
+    return sample[SAMPLED - 1 :: SAMPLED]
+
+
+def _between(rows: DataFrame, after: str | None, until: str | None) -> DataFrame:
+    """Rows whose path lies in the range; the filter goes down to the scan where path is a column of it."""
+    if after is not None:
+        rows = rows.where(F.col("path") > after)
+    return rows if until is None else rows.where(F.col("path") <= until)
+
+
+def first_matches(files: DataFrame, query: str, max_results: int, shown_bytes: int = SHOWN_BYTES, **how) -> tuple[DataFrame, bool]:
+    """The first max_results content matches by path and line, and whether there are more.
+
+    Slices of the paths are searched in growing steps, and what lies behind the last match that is asked for is not read
+    (but for the slice it is in). A step brings the places and sizes of at most max_results + 1 matches to the driver;
+    the matches themselves are a plan over the files up to the last place. Once the matched texts and context exceed
+    shown_bytes, the match that exceeds them is the last. how: as for content_matches(). Files without a path are passed over.
+    """
+    files = files.where("path IS NOT NULL")
+    if max_results < 1:
+        raise ValueError("a search asks for at least one match")
+    cost = F.octet_length("match_text").cast("long")
+    for side in ("context_before", "context_after") if how.get("around") is not None else ():
+        cost = cost + F.aggregate(side, F.lit(0).cast("long"), lambda n, line: n + F.octet_length(line))
+    ends: list[str | None] = [*slice_ends(files), None]
+    places: list[Row] = []
+    shown, done, step, after = 0, 0, 1, None
+    while done < len(ends) and len(places) <= max_results and shown <= shown_bytes:
+        done = min(len(ends), done + step)
+        until = ends[done - 1]
+        hits = content_matches(_between(files, after, until), query, **how).select("path", "line", cost.alias("cost"))
+        for place in hits.orderBy("path", "line").limit(max_results + 1 - len(places)).collect():
+            places.append(place)
+            shown += place["cost"]
+        after, step = until, step * GROWTH
+    kept, used = 0, 0
+    while kept < min(max_results, len(places)) and used <= shown_bytes:
+        used += places[kept]["cost"]
+        kept += 1
+    # the bytes may be spent by the last match of a step, with no place known behind it
+    more = kept < len(places) or (done < len(ends) and not content_matches(_between(files, after, None), query, **how).isEmpty())
+    if not kept:
+        return content_matches(files.limit(0), query, **how), False
+    first, last = places[0]["path"], places[kept - 1]
+    near = files.where((F.col("path") >= first) & (F.col("path") <= last["path"]))
+    return content_matches(near, query, **how).where((F.col("path") < last["path"]) | (F.col("line") <= last["line"])), more
+
+
+def found(files: DataFrame, query: str, mode: str = "auto", regex: bool = False, whole_word: bool = False, paths: list[str] = (), extensions: list[str] = (), exclude: list[str] = (), context_lines: int = 0, held: DataFrame | None = None) -> DataFrame:
+    """All matches by path and by content, unranked, with their context; _branch is 0 for paths and 1 for contents. held:
+    the content matches, where they are known already."""
     mode = resolve_mode(query, mode)
     files = narrowed(files, paths, extensions, exclude)
     none = F.array().cast("array<string>")
@@ -181,7 +239,8 @@ def found(files: DataFrame, query: str, mode: str = "auto", regex: bool = False,
         named = path_matches(files, query, 0.15 if mode == "path" else 0.35)
         branches.append(named.select("path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("match_text"), none.alias("context_before"), none.alias("context_after"), F.lit("path").alias("kind"), "score", F.lit(0).alias("_branch")))
     if mode in ("content", "both"):
-        held = content_matches(searchable(files), query, regex, whole_word, around=context_lines or None)
+        if held is None:
+            held = content_matches(searchable(files), query, regex, whole_word, around=context_lines or None)
         if not context_lines:
             held = held.withColumns({"context_before": none, "context_after": none})
         branches.append(held.select("path", "line", "col", "match_text", "context_before", "context_after", F.lit("content").alias("kind"), F.lit(0.0).alias("score"), F.lit(1).alias("_branch")))
@@ -207,15 +266,38 @@ def best(matches: DataFrame, recent: DataFrame | None = None, context_paths: lis
 def search(
     files: DataFrame, query: str, mode: str = "auto", regex: bool = False, whole_word: bool = False, paths: list[str] = (), extensions: list[str] = (), exclude: list[str] = (),
     context_lines: int = 0, context_paths: list[str] = (), recent: DataFrame | None = None, type_index: DataFrame | None = None, max_results: int = 50, max_chars: int = MAX_CHARS,
+    stop_early: bool = False,
 ) -> DataFrame:
     """The best max_results matches with rank, by path and by content, as far as max_chars of JSON go. All matches are
-    scored before the limit. A file's path is its key."""
-    matches = found(files, query, mode, regex, whole_word, paths, extensions, exclude, context_lines)
+    scored before the limit, with stop_early those by path and the first_matches() by content. A file's path is its key."""
+    held = _first_held(files, query, mode, regex, whole_word, paths, extensions, exclude, context_lines, max_results)[0] if stop_early else None
+    matches = found(files, query, mode, regex, whole_word, paths, extensions, exclude, context_lines, held)
     return shaped(best(matches, recent, context_paths, type_index, max_results), max_results, max_chars).select("rank", *MATCH)
 
 
-def answer(files: DataFrame, query: str, **options) -> tuple[DataFrame, DataFrame]:
-    """search() and, beside it, one row with limit_hit, omitted_total and a suggestion, counted over all matches."""
-    kept = search(files, query, **options)
+def _first_held(files: DataFrame, query: str, mode: str, regex: bool, whole_word: bool, paths: list[str], extensions: list[str], exclude: list[str], context_lines: int, max_results: int) -> tuple[DataFrame | None, bool]:
+    """first_matches() of a search, and none where contents are not searched."""
+    if resolve_mode(query, mode) == "path":
+        return None, False
+    return first_matches(searchable(narrowed(files, paths, extensions, exclude)), query, max_results, regex=regex, whole_word=whole_word, around=context_lines or None)
+
+
+def answer(files: DataFrame, query: str, stop_early: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """search() and, beside it, one row with limit_hit, omitted_total and a suggestion. They are counted over all matches;
+    with stop_early contents behind the last match are not read: limit_hit says whether there are any, and omitted_total
+    is null then, since nobody has counted them."""
     narrow = {k: v for k, v in options.items() if k in ("mode", "regex", "whole_word", "paths", "extensions", "exclude")}
-    return kept, summary(found(files, query, **narrow), kept)
+    if not stop_early:
+        kept = search(files, query, **options)
+        return kept, summary(found(files, query, **narrow), kept)
+    all_narrow = {"mode": "auto", "regex": False, "whole_word": False, "paths": (), "extensions": (), "exclude": ()} | narrow
+    held, more = _first_held(files, query, *all_narrow.values(), options.get("context_lines", 0), options.get("max_results", 50))
+    matches = found(files, query, **narrow, context_lines=options.get("context_lines", 0), held=held)
+    ranking = {k: v for k, v in options.items() if k in ("recent", "context_paths", "type_index", "max_results")}
+    kept = shaped(best(matches, **ranking), options.get("max_results", 50), options.get("max_chars", MAX_CHARS)).select("rank", *MATCH)
+    told = summary(matches, kept)
+    return kept, _uncounted(told) if more else told
+
+
+def _uncounted(told: DataFrame) -> DataFrame:
+    return told.select(F.lit(True).alias("limit_hit"), F.lit(None).cast("long").alias("omitted_total"), F.lit(_TOO_MANY).alias("suggestion"))

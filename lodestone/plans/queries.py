@@ -260,6 +260,12 @@ def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(rows, "License", context_lines=1, context_paths=["src1/en/1.txt"], recent=recent, max_chars=1_000_000)
 
 
+@query("search_first", f"WITH {_FILES}, {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line, CAST(strlen(left(line, instr(line, 'License') - 1)) + 1 AS INTEGER) AS col, 'License' AS match_text FROM l WHERE contains(line, 'License') ORDER BY path, line_no LIMIT 200")
+def search_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 matches by path and line, of a search that stops once it has them."""
+    return search.first_matches(files(spark, sf_dir), "License", 200)[0]
+
+
 @query(
     "search_shape",
     f"""WITH {_FILES}, {_LINES}, {_HITS}, m AS (SELECT path, line_no, strlen(left(line, instr(line, 'License') - 1)) + 1 AS col, row_number() OVER (ORDER BY path, line_no) AS rank FROM h QUALIFY rank <= 40),

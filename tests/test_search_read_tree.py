@@ -37,6 +37,68 @@ def test_caps_of_an_answer(files):
     assert tuple(search.answer(files, "nowhere", max_results=2)[1].first()) == (False, 0, None)
 
 
+@pytest.fixture
+def many(spark):
+    """(files, opened): 400 files in an order of their own; `opened` counts those whose content was looked at."""
+    opened = spark.sparkContext.accumulator(0)
+
+    def content(n):
+        opened.add(1)
+        return f"Key {n}\nplain\nsecond Key\n" if n % 5 == 0 else "plain\n"
+
+    paths = spark.range(400).selectExpr("CAST(id AS INT) AS n", "concat('d', id * 7 % 11, '/é', id, '.txt') AS path")
+    return paths.select("path", F.udf(content)("n").alias("content")), opened
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r["path"].encode(), r["line"]))
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 60, 159, 160, 161, 1000])
+def test_first_matches_are_the_first_of_all(many, most):
+    files, _ = many
+    whole = in_order(search.content_matches(files, "Key", around=1).collect())
+    rows, more = search.first_matches(files, "Key", most, around=1)
+    assert in_order(rows.collect()) == whole[:most] and len(whole) == 160
+    assert more == (most < 160)
+
+
+def test_an_early_stop_leaves_the_rest_unread(many):
+    files, opened = many
+    rows, more = search.first_matches(files, "Key", 4)
+    assert rows.count() == 4 and more
+    assert 0 < opened.value < 200  # both passes together, of 400 files
+
+
+def test_bytes_shown_stop_a_search(many):
+    files, _ = many
+    whole = in_order(search.content_matches(files, "Key").collect())
+    for shown, kept in ((0, 1), (2, 1), (3, 2), (29, 10), (30, 11)):  # three bytes a match; the one that exceeds is the last
+        rows, more = search.first_matches(files, "Key", 1000, shown_bytes=shown)
+        assert in_order(rows.collect()) == whole[:kept] and more
+    rows, more = search.first_matches(files, "Key", 1000, shown_bytes=3 * 160 - 1)
+    assert rows.count() == 160 and not more
+
+
+def test_first_matches_of_nothing(spark, files):
+    none = spark.createDataFrame([(None, "Key"), ("a", None), ("b", "")], "path string, content string")
+    for rows in (none, none.limit(0)):
+        got, more = search.first_matches(rows, "Key", 5)
+        assert got.count() == 0 and not more
+    with pytest.raises(ValueError):
+        search.first_matches(files, "Key", 0)
+
+
+def test_a_search_that_stops_early_ranks_what_it_has(files, many):
+    assert search.search(files, "Key", stop_early=True).collect() == search.search(files, "Key").collect()
+    assert search.search(files, "a.txt", mode="path", stop_early=True).collect() == search.search(files, "a.txt", mode="path").collect()
+    kept, told = search.answer(many[0], "Key", mode="content", stop_early=True, max_results=5)
+    assert [r["path"] for r in kept.orderBy("rank").collect()] == [r["path"] for r in in_order(search.content_matches(many[0], "Key").collect())[:5]]
+    assert tuple(told.first())[:2] == (True, None)
+    whole = search.answer(files, "Key", stop_early=True, max_results=50)[1]
+    assert tuple(whole.first()) == (False, 0, None)
+
+
 def test_search_modes_and_summary(spark, files):
     assert search.resolve_mode("a/b") == "path" and search.resolve_mode("ab") == "both"
     found = search.search(files, "a.txt", mode="path")
