@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
-from lodestone.operators import ordering
+from lodestone.operators import ordering, tree
 from lodestone.operators import selection as S
 
 # Phrases that ask for a review, the sections in their order, and the prompts' texts.
@@ -55,17 +55,48 @@ def file_blocks(entries: DataFrame, files: DataFrame) -> DataFrame:
 
 def file_map(entries: DataFrame, codemaps: DataFrame, usage: str = "auto", trees: DataFrame | None = None) -> DataFrame:
     """(session_id, section, text): a session's tree (trees: session_id, tree) and the structure of its codemap entries
-    by path. usage: `auto` takes all of them, `selected` leaves out those that closure found (auto), `none` takes none."""
+    by path, in one row; file_map_parts() is for selections that no budget bounds. usage: `auto` takes all of them,
+    `selected` leaves out those that closure found (auto), `none` takes none."""
+    parts = _mapped(entries, codemaps, usage).select("session_id", F.lit(1).alias("k"), "path", "text")
+    if trees is not None:
+        parts = parts.unionByName(trees.select("session_id", F.lit(0).alias("k"), F.lit("").alias("path"), F.regexp_replace("tree", "\\s+$", "").alias("text")))
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("k", "path", "text")))["text"], "\n\n")
+    return parts.where("text <> ''").groupBy("session_id").agg(whole.alias("text")).select("session_id", F.lit("file_map").alias("section"), "text")
+
+
+def _mapped(entries: DataFrame, codemaps: DataFrame, usage: str) -> DataFrame:
+    """(session_id, path, text): the structures of the codemap entries that `usage` takes."""
     if usage not in ("auto", "selected", "none"):
         raise ValueError(f"unknown codemap usage: {usage}")
     chosen = entries.where("mode = 'codemap'" if usage != "none" else "false")
     if usage == "selected" and "auto" in entries.columns:
         chosen = chosen.where(~F.coalesce("auto", F.lit(False)))
-    parts = chosen.join(codemaps.select("path", "text"), "path").select("session_id", F.lit(1).alias("k"), "path", F.regexp_replace("text", "\\s+$", "").alias("text"))
+    return chosen.join(codemaps.select("path", "text"), "path").select("session_id", "path", F.regexp_replace("text", "\\s+$", "").alias("text"))
+
+
+def file_map_parts(entries: DataFrame, codemaps: DataFrame, usage: str = "auto", trees: DataFrame | None = None, budget: int = 10_000) -> DataFrame:
+    """(session_id, section, part, text): file maps in parts from 0, whose texts one after another are a session's map.
+
+    trees: (session_id, place, line) as tree.of_sessions() gives them. A part holds the lines and structures that begin
+    within the same `budget` tokens of a running sum over all sessions, so it exceeds them by one structure at most, and
+    no task needs more than a range of the order. Entries without a codemap text give nothing; nor does a null session.
+    """
+    if budget < 1:
+        raise ValueError("a part needs room for a token")
+    place = "array<struct<rank:int,name:string>>"
+    # what comes before a piece belongs to it; a session's first piece has nothing before it
+    pieces = _mapped(entries, codemaps, usage).where("text <> '' AND session_id IS NOT NULL").select("session_id", F.lit(1).alias("k"), F.lit(None).cast(place).alias("place"), "path", F.lit("\n\n").alias("lead"), "text")
     if trees is not None:
-        parts = parts.unionByName(trees.select("session_id", F.lit(0).alias("k"), F.lit("").alias("path"), F.regexp_replace("tree", "\\s+$", "").alias("text")))
-    whole = F.array_join(F.array_sort(F.collect_list(F.struct("k", "path", "text")))["text"], "\n\n")
-    return parts.where("text <> ''").groupBy("session_id").agg(whole.alias("text")).select("session_id", F.lit("file_map").alias("section"), "text")
+        first = F.size("place") == 0
+        drawn = F.when(first, F.concat(F.lit(tree.HEAD + "\n"), "line")).otherwise(F.col("line"))
+        pieces = pieces.unionByName(trees.select("session_id", F.lit(0).alias("k"), F.col("place").cast(place).alias("place"), F.lit("").alias("path"), F.when(first, F.lit("")).otherwise(F.lit("\n")).alias("lead"), drawn.alias("text")))
+    order = ["session_id", "k", "place", "path"]
+    rows = ordering.summed(pieces.withColumn("cost", T.estimate_tokens(F.concat("lead", "text")) + 1), order, "cost", "before")
+    begins = rows.groupBy("session_id").agg(F.min("before").alias("_begin"))
+    rows = rows.join(begins, "session_id").withColumn("part", (F.floor(F.col("before") / budget) - F.floor(F.col("_begin") / budget)).cast("long"))
+    own = F.when(F.col("before") == F.col("_begin"), F.col("text")).otherwise(F.concat("lead", "text"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("before", own.alias("own"))))["own"], "")
+    return rows.groupBy("session_id", "part").agg(whole.alias("text")).select("session_id", F.lit("file_map").alias("section"), "part", "text")
 
 
 def joined_blocks(blocks: DataFrame, text: str = "block") -> DataFrame:

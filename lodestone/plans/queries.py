@@ -15,6 +15,8 @@ from lodestone.sources import corpus, vcs, versions
 
 #: Tokens of a session when the whole selection is packaged.
 BUNDLE_TOKENS = 160_000
+#: Tokens of a part of a file map.
+MAP_TOKENS = 2_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,10 +262,10 @@ def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(rows, "License", context_lines=1, context_paths=["src1/en/1.txt"], recent=recent, max_chars=1_000_000)
 
 
-@query("search_first", f"WITH {_FILES}, {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line, CAST(strlen(left(line, instr(line, 'License') - 1)) + 1 AS INTEGER) AS col, 'License' AS match_text FROM l WHERE contains(line, 'License') ORDER BY path, line_no LIMIT 200")
+@query("search_first", f"WITH {_FILES}, {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line, CAST(strlen(left(line, instr(line, 'the') - 1)) + 1 AS INTEGER) AS col, 'the' AS match_text FROM l WHERE contains(line, 'the') ORDER BY path, line_no LIMIT 200")
 def search_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 matches by path and line, of a search that stops once it has them."""
-    return search.first_matches(files(spark, sf_dir), "License", 200)[0]
+    return search.first_matches(files(spark, sf_dir), "the", 200)[0]
 
 
 @query(
@@ -691,13 +693,21 @@ def receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packaging.receipt(entries, made, packaging.breakdown(sections, entries, made), "standard", 160_000, "2024-01-01T00:00:00.000Z")
 
 
-@query("file_map", f"WITH {_MAPS} SELECT CAST(k % 7 AS VARCHAR) AS session_id, 'file_map' AS section, string_agg(rtrim(text, chr(10)), chr(10) || chr(10) ORDER BY path) AS text FROM m WHERE k % 3 <> 0 GROUP BY 1")
+@query(
+    "file_map",
+    f"""WITH {_MAPS}, e AS (SELECT CAST(k % 7 AS VARCHAR) AS session_id, k % 3 = 0 AS whole, path, text FROM m),
+    c AS (SELECT session_id, substr(path, 5) || CASE WHEN whole THEN ' *' ELSE ' +' END AS label, path, path = max(path) OVER (PARTITION BY session_id) AS last FROM e),
+    p AS (SELECT DISTINCT session_id, 0 AS k, '' AS path, '(+ denotes codemap available)' || chr(10) || '.' AS text FROM e UNION ALL SELECT DISTINCT session_id, 1, '', chr(10) || '└── src' FROM e
+      UNION ALL SELECT session_id, 2, path, chr(10) || '    ' || CASE WHEN last THEN '└── ' ELSE '├── ' END || label FROM c UNION ALL SELECT session_id, 3, path, chr(10) || chr(10) || rtrim(text, chr(10)) FROM e WHERE NOT whole),
+    w AS (SELECT *, {_TOKENS.format('text')} + 1 AS cost FROM p), v AS (SELECT *, (sum(cost) OVER (ORDER BY session_id, k, path) - cost) // {MAP_TOKENS} AS n FROM w), z AS (SELECT *, n - min(n) OVER (PARTITION BY session_id) AS part FROM v)
+    SELECT session_id, 'file_map' AS section, CAST(part AS BIGINT) AS part, string_agg(text, '' ORDER BY k, path) AS text FROM z GROUP BY session_id, part""",
+)
 def file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The structures of seven sessions' codemap entries; entries taken in full have none."""
+    """Trees of seven sessions' entries and the structures of those that are codemaps, in parts of about MAP_TOKENS."""
     code = _code(spark, sf_dir)
     k = F.regexp_extract("path", "(\\d+)", 1).cast("int")
     entries = code.select((k % 7).cast("string").alias("session_id"), "path", F.when(k % 3 == 0, F.lit("full")).otherwise(F.lit("codemap")).alias("mode"))
-    return packaging.file_map(entries, structure.codemaps(structure.symbols(code)))
+    return packaging.file_map_parts(entries, structure.codemaps(structure.symbols(code)), trees=tree.of_sessions(entries), budget=MAP_TOKENS)
 
 
 # Edits

@@ -230,3 +230,20 @@ def test_boosts_count_among_all_matches_and_not_only_the_first(spark):
     types = types.withColumn("path", F.concat(F.lit("Key/"), "path"))
     first = search.search(named, "Key", mode="both", type_index=types, max_results=50).orderBy("rank").first()
     assert (first["path"], first["kind"], first["line"]) == ("Key/z/late.txt", "content", 2)
+
+
+SESSIONS = [("one", "a/b/c.py", "full"), ("one", "a/b/d.py", "codemap"), ("one", "a/e", "slices"), ("one", "z", "codemap"), ("two", "a/b/c.py", "codemap"), ("two", "q/r.xcassets/s", None), ("three", "a", "full"), ("three", "a/b", "full")]
+
+
+def test_trees_of_many_sessions_are_those_of_each(spark):
+    given = [*SESSIONS, ("one", "a/b/c.py", "full"), ("two", "a/b/c.py", "full"), ("one", None, "full"), (None, "x", "full")]
+    entries = spark.createDataFrame(given, "session_id string, path string, mode string")
+    got = tree.of_sessions(entries).orderBy("session_id", "place").collect()
+    assert {r["session_id"] for r in got} == {"one", "two", "three"}
+    for session in ("one", "two", "three"):
+        own = entries.where(F.col("session_id") == session)
+        plain = tree.anchors(tree.rollup(own), own.where("mode IS NULL OR mode <> 'codemap'").where("path IS NOT NULL"), own.where("mode = 'codemap'"))
+        alone = tree.lines(tree.placed(plain), tree.Shape(staged=False)).orderBy("place").collect()
+        assert [r["line"] for r in got if r["session_id"] == session] == [r["line"] for r in alone]
+    assert [r["line"] for r in got if r["session_id"] == "one"] == [".", "├── a", "│   ├── b", "│   │   ├── c.py *", "│   │   └── d.py +", "│   └── e *", "└── z +"]
+    assert tree.of_sessions(entries.limit(0)).count() == 0

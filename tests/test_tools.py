@@ -3,7 +3,7 @@ import subprocess
 
 import pytest
 
-from lodestone.operators import edits, packaging, selection
+from lodestone.operators import edits, packaging, selection, tree
 from lodestone.plans import cli, policy, tools
 from lodestone.sources import vcs
 
@@ -78,6 +78,33 @@ def test_file_map_by_usage(spark):
     assert text("selected") == ["File: a\n---"] and text("none") == [] and text("none", trees) == ["."]
 
 
+def test_parts_of_a_file_map_are_the_map(spark):
+    rows = [(f"s{n % 3}", f"d{n % 4}/f{n:02}.py", ("full", "codemap")[n % 2], n % 5 == 1) for n in range(40)] + [("s0", "d0/gone.py", "codemap", False), ("s0", "d0/blank.py", "codemap", False), (None, "d0/f00.py", "codemap", False)]
+    entries = spark.createDataFrame(rows, "session_id string, path string, mode string, auto boolean")
+    maps = spark.createDataFrame([(f"d{n % 4}/f{n:02}.py", f"File: {n}\n" + "x = 1\n" * n) for n in range(40)] + [("d0/blank.py", " \n")], "path string, text string")
+    drawn = tree.of_sessions(entries)
+    told = {}
+    for r in drawn.orderBy("session_id", "place").collect():
+        told[r["session_id"]] = told.get(r["session_id"], tree.HEAD) + "\n" + r["line"]
+    trees = spark.createDataFrame(list(told.items()), "session_id string, tree string")
+    for usage, lines, texts in (("auto", drawn, trees), ("selected", None, None), ("none", drawn, trees)):
+        whole = {r["session_id"]: r["text"] for r in packaging.file_map(entries.where("session_id IS NOT NULL"), maps, usage, texts).collect()}
+        pieces = sum(text.count("File: ") for text in whole.values()) + (drawn.count() if lines is not None else 0)
+        for budget in (1, 60):
+            parts = packaging.file_map_parts(entries, maps, usage, lines, budget).orderBy("session_id", "part").collect()
+            joined = {}
+            for r in parts:
+                joined[r["session_id"]] = joined.get(r["session_id"], "") + r["text"]
+            assert joined == whole
+            assert all(r["section"] == "file_map" and r["part"] >= 0 for r in parts)
+            # a part begins within the budget, and only its last piece may reach beyond it
+            assert all(len(r["text"].encode()) / 4 <= budget + 70 for r in parts)
+            assert len(parts) == pieces if budget == 1 else len(parts) < pieces
+    assert packaging.file_map_parts(entries.limit(0), maps, trees=drawn.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packaging.file_map_parts(entries, maps, budget=0)
+
+
 def test_profiles_replace_and_stay_apart(spark, tmp_path):
     files = spark.createDataFrame([("a", "x\n"), ("b", "y\n")], "path string, content string")
     rows = lambda p: selection.measured(spark.createDataFrame([("s", p, "full", [])], f"session_id string, path string, mode string, slices {selection.SLICES}"), files)
