@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from lodestone.llm.shared import without_collector
 WINDOW, UNITS, DEPTH = 2048, 32, 4
 #: Tokens of a block.
 BLOCK_TOKENS = 4_000_000
-MAX_PIECES = 100_000
+MAX_PIECES, MAX_LENGTH = 300_000, 64
 #: A tokenizer's rules for which words can be cut here, and its BPE model asked for one word at a time.
 _KNOWN = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -39,7 +39,8 @@ _ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|<\\|")
 
 
 class WordIds(dict):
-    """Ids of a word of the lower-cased text; when full, it becomes the older half of what is kept."""
+    """Ids (as the bytes of unsigned 32-bit numbers) of what stands between two spaces of the lower-cased text, and of its
+    words; when full, it becomes the older half of what is kept. Long ones are not kept."""
 
     def __init__(self, model):
         super().__init__()
@@ -48,14 +49,19 @@ class WordIds(dict):
         rest = [b for b in range(256) if b not in plain]
         self.signs = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}  # byte-level alphabet
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MAX_PIECES:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(word)
+    def __missing__(self, run: str) -> bytes:
+        ids = self.older.get(run)
         if ids is None:
-            ids = tuple(t.id for t in self.model.tokenize("".join(map(self.signs.__getitem__, word.encode()))))
-        self[word] = ids
+            words = _WORD.findall(run)
+            if words == [run]:
+                ids = array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.signs))]).tobytes()
+            else:
+                ids = b"".join(map(self.__getitem__, words))
+        if len(run) <= MAX_LENGTH:
+            if len(self) >= MAX_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[run] = ids
         return ids
 
 
@@ -71,7 +77,8 @@ def tokenize(path: str) -> Callable[[str], np.ndarray]:
     def ids(text: str) -> np.ndarray:
         if words is None or _ODD.search(text):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.fromiter(chain.from_iterable(map(words.__getitem__, _WORD.findall(text.lower()))), np.uint32)
+        # no word of the rules holds a space, so the text is cut at its spaces first
+        return np.frombuffer(b"".join(map(words.__getitem__, text.lower().split())), np.uint32)
 
     return ids
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import types
 import zlib
 from collections import defaultdict
 
@@ -399,6 +400,24 @@ def test_word_ids_are_those_of_the_tokenizer():
         assert ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_asked_for_once_and_long_runs_are_not_kept():
+    class Model:
+        calls = 0
+
+        def tokenize(self, word):
+            self.calls += 1
+            return [types.SimpleNamespace(id=len(word))]
+
+    model = Model()
+    words = packing.WordIds(model)
+    for _ in range(2):
+        for k in range(250_000):
+            words["".join(chr(97 + int(d)) for d in str(k))]
+    assert model.calls == 250_000
+    assert np.frombuffer(words["ab,cd."], np.uint32).tolist() == [2, 1, 2, 1]
+    assert np.frombuffer(words["x" * 5000 + "!"], np.uint32).tolist() == [5000, 1] and max(map(len, words)) < 100
+
+
 # WARC
 
 
