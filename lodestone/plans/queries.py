@@ -485,7 +485,9 @@ def codemap_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
     # a number sign that leads a line of its own is part of the language
     text = F.regexp_replace("text", "(?<!^|\n)#(?!\\[)", k)
-    code = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(sources)).select(F.replace("name", F.lit("#"), k).alias("path"), text.alias("content"))  # a row for each file of the list on one side
+    # the table is one small file, of which much code is made: its rows are spread before
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    code = suppliers.crossJoin(F.broadcast(sources)).select(F.replace("name", F.lit("#"), k).alias("path"), text.alias("content"))  # a row for each file of the list on one side
     return structure.symbols(code).select("path", "line_no", "kind", "name", "container", "signature")
 
 

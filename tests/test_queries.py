@@ -77,3 +77,7 @@ def test_fuzzy_edits_are_resolved_among_all_lines(spark):
     for r in found:
         text = content[r["path"]]
         assert (r["start"] == 0 or text[r["start"] - 1] == "\n") and (r["end"] == len(text) or text[r["end"] - 1] == "\n")
+
+
+def test_code_made_of_suppliers_is_read_by_all_tasks(spark):
+    assert queries.QUERIES["codemap_languages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
