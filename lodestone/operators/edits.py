@@ -85,20 +85,42 @@ def _near_lines(lines: pa.Array, wanted: pa.Array) -> pa.Array:
     0) and scores of all that reach the least or are equal; null for a null one."""
     found = []
     for own, asked in zip(lines, wanted, strict=True):
-        index = None
+        wants = asked.as_py() or []
+        held = (own.as_py() or []) if any(wants) else []
+        # an index is worth its making only where more than one line is looked for
+        index = Bigrams(held) if sum(map(bool, wants)) > 1 else None
         row = []
-        for want in asked.as_py() or []:
+        for want in wants:
             if want is None:
                 row.append(None)
                 continue
-            index = index or Bigrams(own.as_py() or [])
-            scores = index.dice(want["line"])
+            scores = index.dice(want["line"]) if index else dice_of_lines(held, want["line"])
             at = np.flatnonzero((scores >= want["least"]) | (scores == 1.0))
             row.append({"closest": int(scores.argmax()) + 1 if len(scores) else None, "at": at.tolist(), "dice": scores[at].tolist()})
         found.append(row)
     return pa.array(found, pa.list_(pa.struct([("closest", pa.int32()), ("at", pa.list_(pa.int32())), ("dice", pa.list_(pa.float64()))])))
 
 
+def dice_of_lines(lines: list[str], line: str) -> np.ndarray:
+    """multiset_dice of one line with each of the lines, in one pass over them."""
+    n = len(line)
+    if n < 2:
+        return np.array([float(x == line) for x in lines])
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join([line, *lines]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    pairs = points[:-1] << 21 | points[1:]
+    grams, times = np.unique(pairs[: n - 1], return_counts=True)
+    pairs = pairs[n:]
+    place = np.minimum(np.searchsorted(grams, pairs), len(grams) - 1)
+    at = np.flatnonzero(grams[place] == pairs)
+    ends = np.cumsum(lengths)
+    of = np.searchsorted(ends, at, side="right")
+    inside = at + 1 < ends[of]  # a line's last character begins no pair
+    cells, counts = np.unique(of[inside] * len(grams) + place[at[inside]], return_counts=True)
+    shared = np.bincount(cells // len(grams), np.minimum(counts, times[cells % len(grams)]), len(lines))
+    return np.where(lengths < 2, 0.0, shared * 2.0 / np.maximum(n - 1 + lengths - 1, 1))
+
+
 class Bigrams:
     """The lines of a file by their bigrams: for each bigram the lines that hold it, and how often.
 
@@ -160,17 +182,18 @@ def _with_content(files: DataFrame, edits: DataFrame) -> DataFrame:
     rows = rows.withColumn("_raw", F.filter(F.split("s", "\n"), lambda x: T.normalised_line(x) != "")).withColumn("_sel", F.transform("_raw", T.normalised_line))
     n, first = F.size("_sel"), F.get("_sel", 0)
     open_yet = (F.size("_lit") == 0) & (F.size("_esc") == 0) & (n > 0) & F.col("_near").isNotNull()
-    exact = F.exists("_near.at", lambda i: F.get("_norm", i) == first)
     least = threshold(F.char_length(first))
-    starts = F.filter("_near.at", lambda i: F.when(exact, F.get("_norm", i) == first).otherwise(F.get("_near.dice", F.array_position("_near.at", i).cast("int") - 1) >= least))
+    equal = F.filter("_near.at", lambda i: F.get("_norm", i) == first)
+    starts = F.when(F.size(equal) > 0, equal).otherwise(F.filter("_near.at", lambda i, k: F.get("_near.dice", k) >= least))
     must = F.when(n <= 2, F.sequence(F.lit(0), n - 1)).when(n <= 5, F.sequence(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2), n - 2, n - 1))
     passes = lambda i: (i + n <= F.size("_norm")) & F.forall(F.filter(must, lambda k: k > 0), lambda k: F.get("_norm", i + k) == F.get("_sel", k))
     rows = rows.withColumn("_starts", F.when(open_yet, F.filter(starts, passes)).otherwise(F.array().cast("array<int>")))
     at = F.get("_starts", 0)
-    upto = lambda k: F.char_length(F.array_join(F.slice(T.lines_kept("t"), F.lit(1), k), ""))
+    # each line takes its terminator with it, which only the last one may lack
+    through = lambda k: (k < F.size("_lines")) | F.endswith("t", F.lit("\n"))
+    upto = lambda k: F.aggregate(F.slice("_lines", F.lit(1), k), F.lit(0), lambda m, x: m + F.char_length(x) + 1) - F.when(through(k), F.lit(0)).otherwise(F.lit(1))
     moved = reanchored(F.col("r"), F.get("_raw", 0), F.get("_lines", at))
-    ended = F.endswith(F.get(T.lines_kept("t"), at + n - 1), F.lit("\n"))
-    moved = F.when(ended & ~F.endswith(moved, F.lit("\n")), F.concat(moved, F.lit("\n"))).otherwise(moved)
+    moved = F.when(through(at + n) & ~F.endswith(moved, F.lit("\n")), F.concat(moved, F.lit("\n"))).otherwise(moved)
     span = lambda a, b, text: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), text.alias("replacement"))
     literal = F.transform("_lit", lambda o: span(o, o + F.char_length("s"), F.col("r")))
     escaped = F.transform("_esc", lambda o: span(o, o + F.char_length("_ds"), F.col("_dr")))

@@ -805,7 +805,9 @@ _LIMIT = "CASE WHEN length({0}) <= 4 THEN 0.25 WHEN length({0}) <= 7 THEN 0.35 W
 def edit_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file's first line with words, changed a little, looked for among all lines of the file by the three tiers."""
     rows = files(spark, sf_dir)
-    first = F.get(F.filter(T.lines("content"), lambda x: T.normalised_line(x) != ""), 0)
+    with_words = lambda lines: F.get(F.filter(lines, lambda x: T.normalised_line(x) != ""), 0)
+    # all lines are compared only where none of the first few has words
+    first = F.coalesce(*(with_words(F.slice(F.split("content", "\r?\n", n + 1), 1, n)) for n in (1, 8)), with_words(T.lines("content")))
     wanted = rows.select("path", F.lit(0).alias("edit_index"), F.concat(first, F.lit(" zq")).alias("search"), F.lit("found").alias("replace"), F.lit(False).alias("all")).where("search IS NOT NULL")
     return edits.resolved(rows, wanted).select("path", "matched_by", F.round("dice", 6).alias("dice"), F.get("spans", 0)["start"].alias("start"), F.get("spans", 0)["end"].alias("end"), "error.code", "error.lines")
 

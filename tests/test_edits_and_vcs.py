@@ -69,6 +69,23 @@ def test_lines_are_scored_by_their_bigrams():
             assert held.dice(want).tolist() == [plain_dice(want, x) for x in lines]
 
 
+def test_one_line_is_scored_without_an_index():
+    rng = random.Random(6)
+    for _ in range(60):
+        lines = ["".join(rng.choices("abcé😀 ", k=rng.randrange(0, 12))) for _ in range(rng.randrange(0, 30))]
+        for want in [*rng.sample(lines, min(3, len(lines))), "ab", "a", "zz top", "abcabc"]:
+            assert edits.dice_of_lines(lines, want).tolist() == [plain_dice(want, x) for x in lines]
+
+
+def test_a_fuzzy_span_ends_with_its_line(spark):
+    for text, span in (("one\n\nfoo bar baz", [5, 16]), ("one\r\nfoo bar baz\r\ntwo", [4, 16]), ("foo bar baz\n", [0, 12])):
+        rows = spark.createDataFrame([("p", text)], "path string, content string")
+        asked = spark.createDataFrame([("p", 0, "FOO bar  baz", "x", False)], "path string, edit_index int, search string, replace string, all boolean")
+        got = edits.resolved(rows, asked).first()
+        assert got["matched_by"] == "fuzzy" and [got["spans"][0]["start"], got["spans"][0]["end"]] == span
+        assert got["spans"][0]["replacement"].endswith("\n") == (span[1] < len(text) or text.endswith("\n"))
+
+
 def test_many_edits_of_a_long_file(spark):
     rng = random.Random(5)
     names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(3000)]
