@@ -24,22 +24,25 @@ def normalise(ranges: DataFrame, key: str, start: str = "start", end: str = "end
     return merged.select(key, start, end, *([F.col("_note").alias(note)] if note else []))
 
 
-def subtract(ranges: DataFrame, removed: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+def subtract(ranges: DataFrame, removed: DataFrame, key: str, start: str = "start", end: str = "end", partitions: int | None = None) -> DataFrame:
     """ranges (already disjoint per key) without what `removed` covers; a range may be split.
 
-    Both sides become edges with a weight; a sweep over the edges of a key keeps where only `ranges` is open.
+    Both sides become edges with a weight; a sweep over the edges of a key finds where only `ranges` is open. Edges are
+    moved and sorted once and gathered in no table of groups. partitions: how many parts they are moved to (none: as
+    many as the session says), so that a task's part need not grow with the input.
     """
     def edges(side: DataFrame, mine: int, theirs: int) -> DataFrame:
         both = F.array(F.struct(F.col(start).alias("at"), F.lit(mine).alias("m"), F.lit(theirs).alias("t")), F.struct((F.col(end) + 1).alias("at"), F.lit(-mine).alias("m"), F.lit(-theirs).alias("t")))
         return side.select(key, F.inline(both))
 
-    points = edges(ranges, 1, 0).unionByName(edges(removed, 0, 1)).groupBy(key, "at").agg(F.sum("m").alias("m"), F.sum("t").alias("t"))
+    points = edges(ranges, 1, 0).unionByName(edges(removed, 0, 1))
+    if partitions is not None:
+        points = points.repartition(partitions, key)
+    # edges at one place count together: frames by value, and the last of them speaks for the place
     order = Window.partitionBy(key).orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    swept = points.withColumn("mine", F.sum("m").over(upto)).withColumn("theirs", F.sum("t").over(upto)).withColumn("next", F.lead("at").over(order))
-    left = swept.where("mine > 0 AND theirs = 0 AND next IS NOT NULL").select(key, F.col("at").alias(start), (F.col("next") - 1).alias(end), (F.col("m") > 0).alias("_starts"))
-    # neighbouring pieces of one range meet again unless a range begins between them
-    before = Window.partitionBy(key).orderBy(start)
-    cut = left.withColumn("_new", F.coalesce((F.lag(end).over(before) + 1 < F.col(start)) | F.col("_starts"), F.lit(True)).cast("int"))
-    joined = cut.withColumn("_piece", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.groupBy(key, "_piece").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_piece")
+    upto, here = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.currentRow, Window.currentRow)
+    swept = points.select(key, "at", F.sum("m").over(upto).alias("mine"), F.sum("t").over(upto).alias("theirs"), F.sum("m").over(here).alias("m"), F.sum("t").over(here).alias("t"), F.lead("at").over(order).alias("next"))
+    is_open, was_open = F.expr("mine > 0 AND theirs = 0"), F.expr("mine - m > 0 AND theirs - t = 0")
+    begins = is_open & (~was_open | (F.col("m") > 0))
+    bounds = swept.where(~F.col("next").eqNullSafe(F.col("at"))).select(key, "at", begins.alias("begins"), (was_open & ~is_open).alias("closes")).where("begins OR closes")
+    return bounds.withColumn("next", F.lead("at").over(order)).where("begins AND next IS NOT NULL").select(key, F.col("at").alias(start), (F.col("next") - 1).alias(end))

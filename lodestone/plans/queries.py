@@ -17,6 +17,8 @@ from lodestone.sources import corpus, vcs, versions
 BUNDLE_TOKENS = 160_000
 #: Tokens of a part of a file map.
 MAP_TOKENS = 2_000
+#: Rows of a table that one part of a shuffle may hold, where the number of parts follows the input.
+PART_ROWS = 500_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -510,9 +512,10 @@ def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    whole = items.groupBy(F.col("l_orderkey").alias("key")).agg((F.min("l_linenumber") * 20).cast("long").alias("start"), (F.max("l_linenumber") * 20 + 30).cast("long").alias("end"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // PART_ROWS))
+    whole = items.repartition(parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("key")).agg((F.min("l_linenumber") * 20).cast("long").alias("start"), (F.max("l_linenumber") * 20 + 30).cast("long").alias("end"))
     cut = items.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 20 + 5).cast("long").alias("start"), (F.col("l_linenumber") * 20 + 5 + F.col("l_quantity").cast("long") % 12).alias("end"))
-    return intervals.subtract(whole, cut, "key")
+    return intervals.subtract(whole, cut, "key", partitions=parts)
 
 
 _SELECTED = "e AS (SELECT coalesce(lang, 'und') AS session_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), d.doc_id || '.txt') AS path, CASE WHEN toxic = 1 THEN 'codemap' WHEN quality = 1 THEN 'full' END AS mode, coalesce(text, '') AS content FROM documents d JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 1)"

@@ -81,3 +81,10 @@ def test_fuzzy_edits_are_resolved_among_all_lines(spark):
 
 def test_code_made_of_suppliers_is_read_by_all_tasks(spark):
     assert queries.QUERIES["codemap_languages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_parts_of_the_subtraction_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(queries, "PART_ROWS", 500)
+    parts = -(-table(spark, SF, "lineitem").count() // 500)
+    got = queries.QUERIES["interval_difference"](spark, SF)
+    assert parts > 4 and got.rdd.getNumPartitions() == parts
