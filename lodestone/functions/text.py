@@ -80,13 +80,25 @@ def multiset_dice(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.char_length(a) < 2) | (F.char_length(b) < 2), F.lit(0.0)).otherwise(shared * 2.0 / (F.size(x) + F.size(y)))
 
 
-def normalised_line(line: Column | str) -> Column:
-    """A line as comparisons see it: case, spacing, one leading qualifier, rulers and an end sign set aside."""
+def _levelled(line: Column | str) -> Column:
     low = F.regexp_replace(F.lower(col(line)), " ", " ")
     low = F.trim(F.regexp_replace(low, "\\s+", " "))
     low = F.regexp_replace(low, f"^(?:{'|'.join(QUALIFIERS)})\\s+", "")
-    low = F.substring(F.regexp_replace(low, "[-=_*~]{4,}", "-"), 1, 150)
-    return F.regexp_replace(low, f"\\s*(?:{'|'.join(map(re.escape, TRAILING))})$", "")
+    return F.regexp_replace(low, "[-=_*~]{4,}", "-")
+
+
+def _without_end_sign(line: Column) -> Column:
+    return F.regexp_replace(line, f"\\s*(?:{'|'.join(map(re.escape, TRAILING))})$", "")
+
+
+def normalised_line(line: Column | str) -> Column:
+    """A whole line as comparisons see it: case, spacing, one leading qualifier, rulers and an end sign set aside."""
+    return _without_end_sign(_levelled(line))
+
+
+def normalised_head(line: Column | str, most: int) -> Column:
+    """The first characters of a normalised line, cut before an end sign goes. To show a line, not to compare it."""
+    return _without_end_sign(F.substring(_levelled(line), 1, most))
 
 
 def occurrences(text: Column | str, phrase: Column | str) -> Column:

@@ -17,6 +17,8 @@ from lodestone.sources import corpus, vcs, versions
 BUNDLE_TOKENS = 160_000
 #: Tokens of a part of a file map.
 MAP_TOKENS = 2_000
+#: Characters of a normalised line that edit_normalize shows; edits compare whole lines.
+LINE_HEAD = 150
 #: Rows of a table that one part of a shuffle may hold, where the number of parts follows the input.
 PART_ROWS = 500_000
 
@@ -723,12 +725,15 @@ def edit_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", T.occurrences("content", " the ").alias("n"))
 
 
-_NORMAL = r"regexp_replace(substr(regexp_replace(regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), '^(public|private|internal|protected|static|final|override|export|async) ', ''), '[-=_*~]{4,}', '-', 'g'), 1, 150), '\s*(->|=>|:=|=|:)$', '')"
+_RULED = r"regexp_replace(regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), '^(public|private|internal|protected|static|final|override|export|async) ', ''), '[-=_*~]{4,}', '-', 'g')"
+_ENDED = r"regexp_replace({0}, '\s*(->|=>|:=|=|:)$', '')"
+#: A line as comparisons see it, and the head of it that edit_normalize shows.
+_NORMAL, _NORMAL_HEAD = _ENDED.format(_RULED), _ENDED.format(f"substr({_RULED}, 1, {LINE_HEAD})")
 
 
-@query("edit_normalize", f"WITH {_FILES}, {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line_no, {_NORMAL} AS normal FROM l")
+@query("edit_normalize", f"WITH {_FILES}, {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line_no, {_NORMAL_HEAD} AS normal FROM l")
 def edit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.line_table(files(spark, sf_dir)).select("path", "line_no", T.normalised_line("line").alias("normal"))
+    return search.line_table(files(spark, sf_dir)).select("path", "line_no", T.normalised_head("line", LINE_HEAD).alias("normal"))
 
 
 @query("edit_overlap", f"WITH {_FILES}, {_NUMBERED}, o AS (SELECT path, i, '<HEADER-ABCDEFGHIJ>' || content AS c FROM n) SELECT path, CASE WHEN i % 2 = 0 THEN 'failed' ELSE 'applied' END AS status, CASE WHEN i % 2 = 0 THEN 'overlapping_edits' END AS code, CASE WHEN i % 2 = 0 THEN [1, 1] END AS lines, CASE WHEN i % 2 = 1 THEN sha256('1D2' || substr(c, 20)) END AS post_sha256 FROM o")

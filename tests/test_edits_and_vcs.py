@@ -77,6 +77,18 @@ def test_one_line_is_scored_without_an_index():
             assert edits.dice_of_lines(lines, want).tolist() == [plain_dice(want, x) for x in lines]
 
 
+def test_fuzzy_lines_are_compared_whole(spark):
+    head = "the same beginning of every line " * 8
+    lines = [head + tail for tail in ("ends in apples and pears", "ends in nuts and bolts", "ends in rope and twine")]
+    got = plan(spark, "\n".join(lines) + "\n", (lines[1].upper(), "found", False))
+    assert got["matched_by"] == ["fuzzy"] and got["after"] == f"{lines[0]}\nfound\n{lines[2]}\n"
+    asked = spark.createDataFrame([("f", 0, lines[2] + " zq", "x", False)], SCHEMA)
+    row = edits.resolved(spark.createDataFrame([("f", f"{head[:160]}\n{lines[2]}\n")], "path string, content string"), asked).first()
+    assert row["matched_by"] == "fuzzy" and row["dice"] == plain_dice(lines[2], lines[2] + " zq") < 1 and row["spans"][0]["start"] == 161
+    far = plan(spark, head + "x" * 200 + "\n", (head + "y" * 200, "z", False))
+    assert far["error"]["code"] == "no_match" and far["error"]["lines"] == [1]
+
+
 def test_a_fuzzy_span_ends_with_its_line(spark):
     for text, span in (("one\n\nfoo bar baz", [5, 16]), ("one\r\nfoo bar baz\r\ntwo", [4, 16]), ("foo bar baz\n", [0, 12])):
         rows = spark.createDataFrame([("p", text)], "path string, content string")

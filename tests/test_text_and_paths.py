@@ -43,6 +43,12 @@ def test_normalised_line(spark, raw, expected):
     assert one(spark, T.normalised_line("t"), t=raw) == expected
 
 
+def test_long_lines_are_normalised_whole(spark):
+    raw = "Static " + "Word " * 80 + "end   =>"
+    assert one(spark, T.normalised_line("t"), t=raw) == "word " * 80 + "end"
+    assert one(spark, T.normalised_head("t", 12), t=raw) == "word word wo" and one(spark, T.normalised_head("t", 5), t="ab ->cd") == "ab"
+
+
 def dice(a, b):
     if a == b:
         return 1.0
