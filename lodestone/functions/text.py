@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,14 +82,19 @@ def multiset_dice(a: Column, b: Column) -> Column:
 
 
 def _levelled(line: Column | str) -> Column:
-    low = F.regexp_replace(F.lower(col(line)), " ", " ")
+    low = F.replace(F.lower(col(line)), F.lit(" "), F.lit(" "))
     low = F.trim(F.regexp_replace(low, "\\s+", " "))
     low = F.regexp_replace(low, f"^(?:{'|'.join(QUALIFIERS)})\\s+", "")
     return F.regexp_replace(low, "[-=_*~]{4,}", "-")
 
 
 def _without_end_sign(line: Column) -> Column:
-    return F.regexp_replace(line, f"\\s*(?:{'|'.join(map(re.escape, TRAILING))})$", "")
+    def cut(x: Column) -> Column:
+        ended = reduce(Column.__or__, [F.endswith(x, F.lit(sign)) for sign in sorted({t[-1] for t in TRAILING})])
+        return F.when(ended, F.regexp_replace(x, f"\\s*(?:{'|'.join(map(re.escape, TRAILING))})\\z", "")).otherwise(x)
+
+    # a one-element array binds the line; the pattern would try each of its places, so it sees only lines that end in a sign
+    return F.get(F.transform(F.array(line), cut), 0)
 
 
 def normalised_line(line: Column | str) -> Column:

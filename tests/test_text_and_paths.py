@@ -46,6 +46,9 @@ def test_normalised_line(spark, raw, expected):
 def test_long_lines_are_normalised_whole(spark):
     raw = "Static " + "Word " * 80 + "end   =>"
     assert one(spark, T.normalised_line("t"), t=raw) == "word " * 80 + "end"
+    for same in ("a =\u2028", "a >", "a -> b", "a\u0085"):
+        assert one(spark, T.normalised_line("t"), t=same) == same
+    assert [one(spark, T.normalised_line("t"), t=f"a\u00a0 {sign}") for sign in (*T.TRAILING, "==")] == ["a"] * 5 + ["a ="]
     assert one(spark, T.normalised_head("t", 12), t=raw) == "word word wo" and one(spark, T.normalised_head("t", 5), t="ab ->cd") == "ab"
 
 
